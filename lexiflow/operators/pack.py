@@ -12,14 +12,15 @@ scope can be arbitrarily large (one table translated as one scope).  The
 packing is therefore exact *and* split:
 
 1. units are cut into segments ``(scope, floor(ord / M))`` of at most ``M``
-   units; each segment is one ``applyInPandas`` group;
+   units, hash-partitioned on that key and sorted within partitions;
 2. pass 1: per segment, the greedy is run from every possible first chunk
    boundary ``b`` (at most ``max_strings`` of them, since an open chunk must
    close within that many units); runs that meet share their tail, so the
    work is ``O(n log n)`` per segment.  Output: one small row per segment;
 3. stitch: per scope, a sequential fold over its segment rows (one row per
    segment, never the units) picks the real boundary of each segment;
-4. pass 2: each segment is cogrouped with its entry state and assigned.
+4. pass 2: each segment's entry row is unioned in front of its units (same
+   key, sorted first) and the segment is assigned in one stream.
 
 A scope of a single segment (the usual document) costs one greedy run per
 pass; no task ever holds more than ``M`` units.
@@ -107,11 +108,67 @@ def _assign_schema(scope_type) -> T.StructType:
     ])
 
 
+def iter_groups(batches, keys: list[str]):
+    """Complete groups of a stream of pandas batches sorted by ``keys``.
+
+    A group may span Arrow batches; its head is carried to the next batch.
+    Memory is one batch plus one group.
+    """
+    carry = None
+    for pdf in batches:
+        if carry is not None and len(carry):
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        kv = [pdf[k].to_numpy() for k in keys]
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        for a in kv:
+            change[1:] |= a[1:] != a[:-1]
+        starts = np.flatnonzero(change)
+        for i in range(len(starts) - 1):
+            yield pdf.iloc[starts[i]:starts[i + 1]]
+        carry = pdf.iloc[starts[-1]:]
+    if carry is not None and len(carry):
+        yield carry
+
+
+def _summarize(g: pd.DataFrame, B: int, K: int) -> tuple:
+    ests = g["est"].to_numpy(dtype=np.int64)
+    ords = g["ord"].to_numpy(dtype=np.int64)
+    gr = _Greedy(ests, B, K)
+    n = gr.n
+    info: dict[int, tuple[int, int]] = {}  # start -> (chunks from here, last start)
+    chunks, last_ord, exit_cnt, exit_budget = [], [], [], []
+    for b in range(min(K, n)):
+        path, p = [], b
+        while p < n and p not in info:
+            path.append(p)
+            p = gr.next_start(p)
+        cnt, last = info[p] if p < n else (0, -1)
+        for q in reversed(path):
+            cnt += 1
+            if last < 0:
+                last = q
+            info[q] = (cnt, last)
+        c, last = info[b]
+        chunks.append(c)
+        last_ord.append(int(ords[last]))
+        exit_cnt.append(n - last)
+        exit_budget.append(int(gr.P[n] - gr.P[last]))
+    return (g["scope"].iloc[0], int(g["seg"].iloc[0]), n, int(gr.P[n]), ests[:K].tolist(),
+            chunks, last_ord, exit_cnt, exit_budget)
+
+
 def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Assign chunks to deduplicated units.
 
     ``units`` needs ``scope`` (any type), ``ord`` (BIGINT, unique in the
     scope) and ``est`` (INT).  Returns ``scope, ord, chunk_id, chunk_no, pos``.
+
+    Each pass is ``repartition`` by key + ``sortWithinPartitions`` + one
+    ``mapInPandas`` that walks the sorted groups of its partition, so Python
+    is entered once per Arrow batch, not once per group.
     """
     B, K, M = settings.chunk_token_budget, settings.chunk_max_strings, settings.pack_segment_units
     scope_type = units.schema["scope"].dataType
@@ -119,95 +176,80 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         "scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"),
         F.floor(F.col("ord") / F.lit(M)).cast("bigint").alias("seg"),
     )
+    sch_sum = _summary_schema(scope_type)
+
+    def summarize(batches):
+        rows = [_summarize(g, B, K) for g in iter_groups(batches, ["scope", "seg"])]
+        if rows:
+            yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        ests = pdf["est"].to_numpy(dtype=np.int64)
-        ords = pdf["ord"].to_numpy(dtype=np.int64)
-        g = _Greedy(ests, B, K)
-        n = g.n
-        info: dict[int, tuple[int, int]] = {}  # start -> (chunks from here, last start)
-        cand = min(K, n)
-        chunks, last_ord, exit_cnt, exit_budget = [], [], [], []
-        for b in range(cand):
-            path, p = [], b
-            while p < n and p not in info:
-                path.append(p)
-                p = g.next_start(p)
-            cnt, last = info[p] if p < n else (0, -1)
-            for q in reversed(path):
-                cnt += 1
-                if last < 0:
-                    last = q
-                info[q] = (cnt, last)
-            c, last = info[b]
-            chunks.append(c)
-            last_ord.append(int(ords[last]))
-            exit_cnt.append(n - last)
-            exit_budget.append(int(g.P[n] - g.P[last]))
-        return pd.DataFrame({
-            "scope": [pdf["scope"].iloc[0]], "seg": [int(pdf["seg"].iloc[0])], "n": [n],
-            "total_est": [int(g.P[n])], "head_est": [ests[:K].tolist()],
-            "cand_chunks": [chunks], "cand_last_ord": [last_ord],
-            "cand_exit_cnt": [exit_cnt], "cand_exit_budget": [exit_budget],
-        })
-
-    summaries = seg.groupBy("scope", "seg").applyInPandas(summarize, _summary_schema(scope_type))
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg", kind="stable")
+    summaries = (seg.repartition("scope", "seg").sortWithinPartitions("scope", "seg", "ord")
+                 .mapInPandas(summarize, sch_sum))
+
+    def stitch(batches):
         rows = []
-        state = None          # (open count, open budget, open chunk id) or None = fresh
-        started = 0
-        for r in pdf.itertuples(index=False):
-            n = int(r.n)
-            if state is None:
-                b, open_id, open_cnt = 0, None, 0
-            else:
-                c, bc, open_id = state
-                head = np.cumsum(np.asarray(r.head_est, dtype=np.int64))
-                j_budget = int(np.searchsorted(head, B - bc, side="right"))
-                b = min(K - c, j_budget)
-                open_cnt = c
-            rows.append((r.scope, int(r.seg), b, open_id, open_cnt, started))
-            if b < n:
-                started += int(r.cand_chunks[b])
-                state = (int(r.cand_exit_cnt[b]), int(r.cand_exit_budget[b]), int(r.cand_last_ord[b]))
-            else:
-                state = (state[0] + n, state[1] + int(r.total_est), state[2])
-        return pd.DataFrame(rows, columns=["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before"])
-
-    entries = summaries.groupBy("scope").applyInPandas(stitch, _entry_schema(scope_type))
-
-    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=["scope", "ord", "chunk_id", "chunk_no", "pos"])
-        left = left.sort_values("ord", kind="stable")
-        ests = left["est"].to_numpy(dtype=np.int64)
-        ords = left["ord"].to_numpy(dtype=np.int64)
-        e = right.iloc[0]
-        g = _Greedy(ests, B, K)
-        n = g.n
-        b = min(int(e["entry_b"]), n)
-        chunk_id = np.empty(n, dtype=np.int64)
-        chunk_no = np.empty(n, dtype=np.int32)
-        pos = np.empty(n, dtype=np.int32)
-        k = int(e["chunks_before"])
-        if b > 0:
-            chunk_id[:b] = int(e["open_id"])
-            chunk_no[:b] = k
-            pos[:b] = int(e["open_cnt"]) + np.arange(1, b + 1)
-        p = b
-        while p < n:
-            k += 1
-            q = min(g.next_start(p), n)
-            chunk_id[p:q] = ords[p]
-            chunk_no[p:q] = k
-            pos[p:q] = np.arange(1, q - p + 1)
-            p = q
-        return pd.DataFrame({"scope": left["scope"].to_numpy(), "ord": ords,
-                             "chunk_id": chunk_id, "chunk_no": chunk_no, "pos": pos})
-
-    return (seg.groupBy("scope", "seg")
-            .cogroup(entries.groupBy("scope", "seg"))
-            .applyInPandas(assign, _assign_schema(scope_type)))
+        scope, state, started = object(), None, 0
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.scope != scope:
+                    scope, state, started = r.scope, None, 0
+                n = int(r.n)
+                if state is None:
+                    b, open_id, open_cnt = 0, None, 0
+                else:
+                    c, bc, open_id = state
+                    head = np.cumsum(np.asarray(r.head_est, dtype=np.int64))
+                    b = max(0, min(K - c, int(np.searchsorted(head, B - bc, side="right"))))
+                    open_cnt = c
+                rows.append((r.scope, int(r.seg), b, open_id, open_cnt, started))
+                if b < n:
+                    started += int(r.cand_chunks[b])
+                    state = (int(r.cand_exit_cnt[b]), int(r.cand_exit_budget[b]), int(r.cand_last_ord[b]))
+                else:
+                    state = (state[0] + n, state[1] + int(r.total_est), state[2])
+        if rows:
+            yield pd.DataFrame(rows, columns=["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before"])
+
+    entries = (summaries.repartition("scope").sortWithinPartitions("scope", "seg")
+               .mapInPandas(stitch, _entry_schema(scope_type)))
+
+    # entry row (kind 0) first, then the segment's units (kind 1), in one sorted stream
+    tagged = (seg.select("scope", "seg", F.lit(1).alias("kind"), "ord", "est",
+                         *[F.lit(None).cast("bigint").alias(c) for c in ("entry_b", "open_id", "open_cnt", "chunks_before")])
+              .unionByName(entries.select("scope", "seg", F.lit(0).alias("kind"),
+                                          F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("est"),
+                                          "entry_b", "open_id", "open_cnt", "chunks_before")))
+    out_cols = ["scope", "ord", "chunk_id", "chunk_no", "pos"]
+
+    def assign(batches):
+        for g in iter_groups(batches, ["scope", "seg"]):
+            e = g.iloc[0]
+            u = g.iloc[1:]
+            if u.empty:
+                continue
+            ests = u["est"].to_numpy(dtype=np.int64)
+            ords = u["ord"].to_numpy(dtype=np.int64)
+            gr = _Greedy(ests, B, K)
+            n = gr.n
+            b = min(int(e["entry_b"]), n)
+            chunk_id = np.empty(n, dtype=np.int64)
+            chunk_no = np.empty(n, dtype=np.int32)
+            pos = np.empty(n, dtype=np.int32)
+            k = int(e["chunks_before"])
+            if b > 0:
+                chunk_id[:b] = int(e["open_id"])
+                chunk_no[:b] = k
+                pos[:b] = int(e["open_cnt"]) + np.arange(1, b + 1)
+            p = b
+            while p < n:
+                k += 1
+                q = min(gr.next_start(p), n)
+                chunk_id[p:q] = ords[p]
+                chunk_no[p:q] = k
+                pos[p:q] = np.arange(1, q - p + 1)
+                p = q
+            yield pd.DataFrame({"scope": u["scope"].to_numpy(), "ord": ords,
+                                "chunk_id": chunk_id, "chunk_no": chunk_no, "pos": pos}, columns=out_cols)
+
+    return (tagged.repartition("scope", "seg").sortWithinPartitions("scope", "seg", "kind", "ord")
+            .mapInPandas(assign, _assign_schema(scope_type)))
