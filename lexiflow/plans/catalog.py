@@ -23,7 +23,7 @@ from ..operators.pack import pack_chunks
 from ..operators.rebuild import rebuild_text
 from ..session import work_dir
 from ..sources.text import explode_lines
-from .fixtures import jp_conversations, jp_documents
+from .fixtures import ROOT_NAME, jp_conversations, jp_documents, jp_files
 
 SMALL = DEFAULT.with_(chunk_token_budget=300, chunk_max_strings=8, throttle_waits=(0.0,))
 MOCK_SETTINGS = DEFAULT.with_(throttle_waits=(0.0,))
@@ -180,6 +180,88 @@ def q_usage_report(spark, sf):
     return est.crossJoin(act)
 
 
+# --- estimate, names, routing, columns ---------------------------------------
+
+def _file_lines(spark, sf):
+    f = jp_files(spark, sf)
+    return f, explode_lines(f.select("path", "text"), "text", keep=["path"])
+
+
+def q_estimate_breakdown(spark, sf):
+    from ..operators.estimate import breakdown, file_char_totals
+    f, lines = _file_lines(spark, sf)
+    return breakdown(f, file_char_totals(lines))
+
+
+def _name_calls(spark, sf):
+    from ..operators.estimate import name_calls
+    from ..operators.names import folder_table
+    f = jp_files(spark, sf)
+    return name_calls(folder_table(f, ROOT_NAME), f)
+
+
+def q_estimate_name_calls(spark, sf):
+    return _name_calls(spark, sf)
+
+
+def q_estimate_cost(spark, sf):
+    from ..operators.estimate import corpus_estimate
+    _, lines = _file_lines(spark, sf)
+    return corpus_estimate(lines, _name_calls(spark, sf))
+
+
+def _names_run(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "names")
+    if key not in _RUNS:
+        from ..operators.names import translate_dir_paths, translate_file_names, translate_folders
+        f = jp_files(spark, sf)
+        w = work_dir(spark)
+        folders = w.materialize(translate_folders(f, ROOT_NAME, MockTranslator(), MOCK_SETTINGS, w), "names/folders_en")
+        dirs = translate_dir_paths(folders, ROOT_NAME)
+        files = w.materialize(translate_file_names(f.drop("text"), dirs, MockTranslator(), MOCK_SETTINGS, w),
+                              "names/files_en")
+        _RUNS[key] = (folders, files)
+    return _RUNS[key]
+
+
+def q_name_translate(spark, sf):
+    folders, files = _names_run(spark, sf)
+    a = folders.filter(F.col("how") == "model").select(F.lit("folder").alias("kind"), "name", "context", "name_en")
+    b = (files.filter(has_script("stem"))
+         .select(F.lit("file").alias("kind"), F.col("stem").alias("name"), F.col("name_context").alias("context"),
+                 F.col("stem_en").alias("name_en")).distinct())
+    return a.unionByName(b)
+
+
+def q_path_translate(spark, sf):
+    _, files = _names_run(spark, sf)
+    return files.select("path", "path_en")
+
+
+def q_context_strings(spark, sf):
+    from ..functions.text import document_context
+    _, files = _names_run(spark, sf)
+    return files.select("path", "folder_context", "name_context",
+                        document_context("name_en", "folder_context").alias("doc_context"))
+
+
+def q_path_parts(spark, sf):
+    return jp_files(spark, sf, routed=True).select("path", "name", "stem", "suffix", "ext")
+
+
+def q_route_by_ext(spark, sf):
+    from ..operators.routing import route
+    return route(jp_files(spark, sf, routed=True)).select("path", "ext", "handler", "supported")
+
+
+def q_translate_columns(spark, sf):
+    from ..operators.columns import translate_columns
+    c = jp_conversations(spark, sf)
+    res = translate_columns(c, ["role", "text"], MockTranslator(), ["conv_id", "turn"], MOCK_SETTINGS,
+                            context="conversation", work=work_dir(spark), name="columns")
+    return res.table
+
+
 QUERIES = {
     "lines_explode": q_lines_explode,
     "filter_script": q_filter_script,
@@ -200,4 +282,14 @@ QUERIES = {
     "translate_lines": q_translate_lines,
     "translate_documents": q_translate_documents,
     "passthrough_docs": q_passthrough_docs,
+    "usage_report": q_usage_report,
+    "estimate_breakdown": q_estimate_breakdown,
+    "estimate_name_calls": q_estimate_name_calls,
+    "estimate_cost": q_estimate_cost,
+    "name_translate": q_name_translate,
+    "path_translate": q_path_translate,
+    "context_strings": q_context_strings,
+    "path_parts": q_path_parts,
+    "route_by_ext": q_route_by_ext,
+    "translate_columns": q_translate_columns,
 }

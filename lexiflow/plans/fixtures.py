@@ -49,3 +49,34 @@ def jp_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jp_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", "url", to_jp("html").alias("html"))
+
+
+# ---------------------------------------------------------------------------
+# A file tree derived from ``documents`` (fixed values of the derivation):
+#   root folder name:  corpus
+#   folders:           <source>/<lang>_資料
+#   file stem:         <first word of the lower-cased text, source script derived>_<doc_id>
+#                      (first word = leading run without space . , ; : ! ? ' " or newline;
+#                       empty -> "doc")
+#   routed extensions: by doc_id % 8 -> .txt .md .csv .docx .xlsx .pdf .png .TXT
+# ---------------------------------------------------------------------------
+ROOT_NAME = "corpus"
+FOLDER_SUFFIX = "_資料"
+ROUTE_EXTS = [".txt", ".md", ".csv", ".docx", ".xlsx", ".pdf", ".png", ".TXT"]
+FIRST_WORD = r"""^[^ .,;:!?'"\n]+"""
+
+
+def jp_files(spark: SparkSession, sf_dir: str, routed: bool = False) -> DataFrame:
+    """Documents as files: ``path, rel_dir, name, stem, suffix, ext, text``."""
+    from ..functions.text import name_ext, name_stem, name_suffix
+    d = table(spark, sf_dir, "documents")
+    word = F.regexp_extract(F.lower("text"), FIRST_WORD, 0)
+    stem = F.concat(to_jp(F.when(word == "", F.lit("doc")).otherwise(word)), F.lit("_"),
+                    F.col("doc_id").cast("string"))
+    ext = (F.element_at(F.array(*[F.lit(e) for e in ROUTE_EXTS]), (F.col("doc_id") % 8 + 1).cast("int"))
+           if routed else F.lit(".txt"))
+    f = d.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit(FOLDER_SUFFIX)).alias("rel_dir"),
+                 F.concat(stem, ext).alias("name"), to_jp("text").alias("text"))
+    return f.select("doc_id", F.concat("rel_dir", F.lit("/"), "name").alias("path"), "rel_dir", "name",
+                    name_stem("name").alias("stem"), name_suffix("name").alias("suffix"),
+                    name_ext("name").alias("ext"), "text")

@@ -150,3 +150,106 @@ SQL["passthrough_docs"] = with_(DOC_CTES) + f"""
 SELECT doc_id, count(*) FILTER (WHERE tr) AS n_translated, bool_and(text_out = text) AS unchanged
 FROM ({_LINES_OUT}) GROUP BY doc_id
 """
+
+
+# --- derived file tree ----------------------------------------------------------
+
+_SUFFIX_RE = r"^(.+)(\.[^.]+)$"
+
+
+def _files_cte(routed: bool) -> str:
+    ext = ("list_extract(['.txt', '.md', '.csv', '.docx', '.xlsx', '.pdf', '.png', '.TXT'], "
+           "CAST(doc_id % 8 + 1 AS INTEGER))") if routed else "'.txt'"
+    return f"""
+fw AS (
+  SELECT doc_id, source, lang, text, regexp_extract(lower(text), '^[^ .,;:!?''"\\n]+', 0) AS w FROM documents),
+f0 AS (
+  SELECT doc_id, source, lang, source || '/' || lang || '_資料' AS rel_dir,
+         translate(CASE WHEN w = '' THEN 'doc' ELSE w END, '{_A}', '{_J}') || '_' || CAST(doc_id AS VARCHAR)
+           || {ext} AS name,
+         translate(text, '{_A}', '{_J}') AS jp
+  FROM fw),
+files AS (
+  SELECT doc_id, source, lang, rel_dir, name, rel_dir || '/' || name AS path,
+         CASE WHEN regexp_matches(name, '{_SUFFIX_RE}') THEN regexp_extract(name, '{_SUFFIX_RE}', 1) ELSE name END AS stem,
+         regexp_extract(name, '{_SUFFIX_RE}', 2) AS suffix,
+         lower(regexp_extract(name, '{_SUFFIX_RE}', 2)) AS ext, jp
+  FROM f0)
+"""
+
+
+FILES = _files_cte(False)
+ROUTED = _files_cte(True)
+
+_NAME_CALLS = f"""
+nc AS (
+  SELECT CAST(count(DISTINCT n) AS BIGINT) AS name_calls FROM (
+    SELECT lang || '_資料' AS n FROM files UNION ALL SELECT source FROM files UNION ALL SELECT stem FROM files)
+  WHERE regexp_matches(n, '{JP}'))
+"""
+
+
+def _estimate_select(total: str) -> str:
+    return f"""
+SELECT total_chars, name_calls,
+       CAST(trunc(total_chars * 1.4::DOUBLE) AS BIGINT) + name_calls * 300 AS est_input_tokens,
+       CAST(trunc(total_chars * 0.68::DOUBLE) AS BIGINT) + name_calls * 50 AS est_output_tokens,
+       est_input_tokens / 1000000.0::DOUBLE * 3.0::DOUBLE AS est_input_cost,
+       est_output_tokens / 1000000.0::DOUBLE * 15.0::DOUBLE AS est_output_cost,
+       est_input_cost + est_output_cost AS est_cost,
+       est_cost * 1.3::DOUBLE AS est_cost_with_overhead,
+       (total_chars = 0 AND name_calls = 0) AS nothing_to_do
+FROM ({total})
+"""
+
+
+SQL["estimate_breakdown"] = with_(FILES) + (
+    f"SELECT path, name, ext, CAST({jp_chars('jp')} AS BIGINT) AS jp_chars FROM files WHERE {jp_chars('jp')} > 0")
+SQL["estimate_name_calls"] = with_(FILES, _NAME_CALLS) + "SELECT name_calls FROM nc"
+SQL["estimate_cost"] = with_(FILES, _NAME_CALLS) + _estimate_select(
+    f"SELECT CAST(sum({jp_chars('jp')}) AS BIGINT) AS total_chars, (SELECT name_calls FROM nc) AS name_calls FROM files")
+SQL["usage_report"] = with_(DOC_CTES) + f"""
+SELECT * FROM ({_estimate_select(f"SELECT CAST(sum({jp_chars('jp')}) AS BIGINT) AS total_chars, CAST(0 AS BIGINT) AS name_calls FROM docs")})
+CROSS JOIN (
+  SELECT input_tokens, output_tokens,
+         input_tokens / 1000000.0::DOUBLE * 3.0::DOUBLE + output_tokens / 1000000.0::DOUBLE * 15.0::DOUBLE AS cost_usd
+  FROM (SELECT CAST(sum(length(text)) AS BIGINT) AS input_tokens,
+               CAST(sum(length(text) + 4) AS BIGINT) AS output_tokens FROM uq))
+"""
+
+_FOLDER_EN = f"({mock("lang || '_資料'")})"
+_FCTX = f"(source || ' > ' || {_FOLDER_EN})"
+_STEM_EN = f"(CASE WHEN regexp_matches(stem, '{JP}') THEN {mock('stem')} ELSE stem END)"
+
+SQL["name_translate"] = with_(FILES) + f"""
+SELECT DISTINCT 'folder' AS kind, lang || '_資料' AS name, 'subfolder of ' || source AS context,
+       {_FOLDER_EN} AS name_en
+FROM files
+UNION ALL
+SELECT DISTINCT 'file', stem, 'file in folder: ' || {_FCTX}, {mock('stem')}
+FROM files WHERE regexp_matches(stem, '{JP}')
+"""
+SQL["path_translate"] = with_(FILES) + (
+    f"SELECT path, source || '/' || {_FOLDER_EN} || '/' || {_STEM_EN} || suffix AS path_en FROM files")
+SQL["context_strings"] = with_(FILES) + f"""
+SELECT path, {_FCTX} AS folder_context, 'file in folder: ' || {_FCTX} AS name_context,
+       'Document ''' || {_STEM_EN} || suffix || ''' in folder ''' || {_FCTX} || '''' AS doc_context
+FROM files
+"""
+SQL["path_parts"] = with_(ROUTED) + "SELECT path, name, stem, suffix, ext FROM files"
+SQL["route_by_ext"] = with_(ROUTED) + """
+SELECT path, ext,
+       CASE ext WHEN '.txt' THEN 'lines' WHEN '.md' THEN 'lines' WHEN '.csv' THEN 'csv'
+                WHEN '.docx' THEN 'docx' WHEN '.xlsx' THEN 'xlsx' WHEN '.pdf' THEN 'layout' ELSE 'copy' END AS handler,
+       ext IN ('.txt', '.md', '.csv', '.docx', '.xlsx', '.pdf') AS supported
+FROM files
+"""
+SQL["translate_columns"] = f"""
+WITH cv AS (
+  SELECT conv_id, turn, translate(role, '{_A}', '{_J}') AS role, translate(text, '{_A}', '{_J}') AS text
+  FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN {translatable('role')} THEN {mock('role')} ELSE role END AS role,
+       CASE WHEN {translatable('text')} THEN {mock('text')} ELSE text END AS text
+FROM cv
+"""
