@@ -106,14 +106,15 @@ class ScriptedFaultTranslator:
     raises a non-throttle error, to test per-file isolation.
     """
 
-    def __init__(self, fail_marker: str | None = None):
+    def __init__(self, fail_marker: str | None = None, faults: bool = True):
         self.fail_marker = fail_marker
+        self.faults = faults
 
     def __call__(self, req: ModelRequest) -> ModelReply:
         items = list(req.items)
         if self.fail_marker and any(self.fail_marker in s for s in items):
             raise RuntimeError(f"model refused: {self.fail_marker}")
-        if req.kind != "batch":
+        if req.kind != "batch" or not self.faults:
             return MockTranslator()(req)
         out = [mock_translate(s) for s in items]
         i, o = _usage(items, out)

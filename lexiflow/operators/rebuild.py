@@ -26,9 +26,32 @@ def rebuild_csv_rows(cells: DataFrame, key: str | list[str] = "path", text_col:
     empty rows are kept by the source as a row with no cells.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    # the empty-row marker (col = -1, text null) yields a row with no cells
     per_row = (cells.groupBy(*keys, "row")
                .agg(F.array_sort(F.collect_list(F.struct("col", F.col(text_col).alias("t")))).alias("cs"))
-               .select(*keys, "row", F.col("cs.t").alias("cells")))
+               .select(*keys, "row", F.filter(F.col("cs"), lambda x: x["col"] >= 0)["t"].alias("cells")))
     return (per_row.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rs"))
             .select(*keys, F.col("rs.cells").alias("rows")))
+
+
+def csv_field(c) -> "F.Column":
+    """K2 minimal quoting: a field holding a comma, quote, CR or LF is quoted,
+    inner quotes doubled."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(col.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(col, F.lit('"'), F.lit('""')), F.lit('"'))
+                  ).otherwise(col)
+
+
+def csv_text(rows) -> "F.Column":
+    """K2: ``ARRAY<ARRAY<STRING>>`` rows -> CSV text with ``\\r\\n`` after every row.
+
+    A row made of one empty field is written ``""`` (as the standard
+    writer does) so it is not read back as an empty row.
+    """
+    col = F.col(rows) if isinstance(rows, str) else rows
+
+    def one(r):
+        return F.when((F.size(r) == 1) & (F.element_at(r, 1) == F.lit("")), F.lit('""')).otherwise(
+            F.array_join(F.transform(r, lambda x: csv_field(x)), ","))
+    return F.array_join(F.transform(col, lambda r: F.concat(one(r), F.lit("\r\n"))), "")

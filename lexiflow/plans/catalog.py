@@ -262,6 +262,206 @@ def q_translate_columns(spark, sf):
     return res.table
 
 
+# --- csv -----------------------------------------------------------------------
+
+CSV_HEADER = ["番号", "役割", "本文"]
+CSV_DONE = "済"
+
+
+def csv_files(spark, sf):
+    """One CSV text per conversation: JP header, an empty row, then one row per
+    turn (assistant rows carry an extra cell), written with K2 quoting."""
+    from ..operators.rebuild import csv_text
+    c = jp_conversations(spark, sf)
+    cells = F.when(F.col("role") == "assistant",
+                   F.array(F.col("turn").cast("string"), "role", "text", F.lit(CSV_DONE))
+                   ).otherwise(F.array(F.col("turn").cast("string"), "role", "text"))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cells.alias("cells")))).alias("r"))
+    all_rows = F.concat(F.array(F.array(*[F.lit(h) for h in CSV_HEADER]), F.array().cast("array<string>")),
+                        F.col("r.cells"))
+    return rows.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".csv")).alias("path"),
+                       csv_text(all_rows).alias("text"))
+
+
+def q_csv_cells(spark, sf):
+    from ..sources.csv_cells import csv_cells
+    return csv_cells(csv_files(spark, sf)).filter(F.col("col") >= 0)
+
+
+def q_csv_rebuild(spark, sf):
+    from ..operators.rebuild import csv_text, rebuild_csv_rows
+    from ..sources.csv_cells import cell_units, csv_cells
+    cells = csv_cells(csv_files(spark, sf))
+    res = batch_translate(cell_units(cells).select("scope", "ord", "text", "context"), MockTranslator(),
+                          MOCK_SETTINGS, work_dir(spark), "csv")
+    out = apply_translations(cells.withColumn("scope", F.col("path")), res.translations)
+    return rebuild_csv_rows(out, "path").select("path", csv_text("rows").alias("text"))
+
+
+# --- layout ------------------------------------------------------------------------
+
+def spans(spark, sf):
+    """Span records from the documents: word = span, 20 lines a page, 5 a block."""
+    lines = jp_lines(spark, sf)
+    w = lines.select("scope", "ord", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+\s*"), 0))
+                     .alias("span", "text"))
+    n = F.length("text")
+    return w.select(
+        F.col("scope").cast("string").alias("path"),
+        (F.col("ord") / 20).cast("int").alias("page"),
+        ((F.col("ord") % 20) / 5).cast("int").alias("block"),
+        (F.col("ord") % 5).cast("int").alias("line"),
+        F.col("span").cast("int").alias("span"),
+        F.when((((F.col("ord") % 20) / 5).cast("int") == 3) & ((F.col("ord") / 20).cast("int") % 3 == 2), 1)
+        .otherwise(0).alias("block_type"),
+        "text",
+        (F.lit(8.0) + n % 4).alias("size"),
+        ((n * 4099) % 16777216).cast("int").alias("color"),
+        (F.col("span") * 10.0).alias("x0"), ((F.col("ord") % 5) * 12.0).alias("y0"),
+        (F.col("span") * 10.0 + n * 5.0).alias("x1"), ((F.col("ord") % 5) * 12.0 + 10.0).alias("y1"))
+
+
+def q_layout_lines(spark, sf):
+    from ..operators.layout import layout_lines
+    return layout_lines(spans(spark, sf))
+
+
+def q_page_limit(spark, sf):
+    from ..operators.layout import layout_lines
+    return layout_lines(spans(spark, sf), max_pages=2).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def q_layout_style(spark, sf):
+    from ..operators.layout import layout_lines, layout_style, layout_units
+    lines = layout_lines(spans(spark, sf))
+    units = layout_units(lines, F.concat(F.lit("Document '"), F.col("path"), F.lit(".pdf'")))
+    res = batch_translate(units.select("scope", "ord", "text", "context"), MockTranslator(), MOCK_SETTINGS,
+                          work_dir(spark), "layout")
+    return layout_style(apply_translations(units, res.translations))
+
+
+# --- markup ---------------------------------------------------------------------------
+
+def _page_nodes(spark, sf):
+    from ..sources.markup import PARAGRAPH_NODE, text_nodes
+    from .fixtures import jp_pages
+    p = jp_pages(spark, sf)
+    return p, text_nodes(p, "html", PARAGRAPH_NODE, ["page_id"])
+
+
+def q_markup_text_nodes(spark, sf):
+    _, nodes = _page_nodes(spark, sf)
+    return nodes.select("page_id", "i", "raw", "text")
+
+
+def q_xml_escape_roundtrip(spark, sf):
+    from ..functions.text import xml_escape
+    _, nodes = _page_nodes(spark, sf)
+    return nodes.select("page_id", "i", "raw", "text", xml_escape("text").alias("reescaped"))
+
+
+def q_markup_replace(spark, sf):
+    from ..operators.markup import node_replacements, rewrite_nodes
+    from ..sources.markup import PARAGRAPH_NODE
+    pages, nodes = _page_nodes(spark, sf)
+    units = nodes.select(F.col("page_id").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text",
+                         F.lit("web page").alias("context"))
+    res = batch_translate(units, MockTranslator(), MOCK_SETTINGS, work_dir(spark), "markup")
+    new = node_replacements(nodes, ["page_id"], res.translations, F.col("page_id"))
+    return rewrite_nodes(pages.select("page_id", "html"), ["page_id"], "html", PARAGRAPH_NODE, new)
+
+
+def string_table_parts(spark, sf):
+    """A string-table part per benchmark item: sentences as entries, odd ones rich."""
+    from ..functions.text import xml_escape
+    from .fixtures import table, to_jp
+    b = table(spark, sf, "benchmark")
+    sent = F.split(to_jp("text"), r"\. ", -1)
+
+    def entry(s, k):
+        before = F.substring_index(s, " ", 1)
+        after = F.substring(s, F.length(before) + 2, 1 << 30)
+        rich = F.concat(F.lit("<si><r><t>"), xml_escape(before), F.lit('</t></r><r><rPr/><t xml:space="preserve">'),
+                        xml_escape(after), F.lit('</t></r><rPh sb="0" eb="1"><t>ふりがな</t></rPh></si>'))
+        plain = F.concat(F.lit("<si><t>"), xml_escape(s), F.lit("</t></si>"))
+        return F.when(k % 2 == 1, rich).otherwise(plain)
+    return b.select("item_id", F.concat(F.lit("<sst>"), F.array_join(F.transform(sent, entry), ""),
+                                        F.lit("</sst>")).alias("xml"))
+
+
+def q_string_table_entries(spark, sf):
+    from ..sources.markup import string_table_entries
+    e = string_table_entries(string_table_parts(spark, sf), "xml", ["item_id"])
+    return e.select("item_id", "i", "is_rich", "text")
+
+
+def _tabs(spark, sf):
+    from .fixtures import table
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", "p_name", "p_type", "p_size", "p_brand",
+                    F.concat("p_brand", F.lit("#"), (F.col("p_partkey") / 16).cast("bigint").cast("string")).alias("wb"),
+                    F.concat("p_name", F.lit("表")).alias("jp"))
+
+
+def q_sheet_ref_patch(spark, sf):
+    from ..operators.markup import sheet_ref_patch
+    from .fixtures import mock_en
+    t = _tabs(spark, sf)
+    xml = (t.groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "jp"))).alias("s"))
+           .select("wb", F.concat(F.lit("<f>"), F.array_join(F.transform("s", lambda x: F.concat(
+               F.lit("'"), x["jp"], F.lit("'!A1+"), x["jp"], F.lit("!B2"))), "+"), F.lit("</f>")).alias("xml")))
+    m = (t.groupBy("wb", "jp").agg(F.min("p_partkey").alias("pos"))
+         .groupBy("wb").agg(F.collect_list(F.struct("jp", mock_en("jp").alias("en"), "pos")).alias("m")))
+    return xml.join(m, "wb").select("wb", sheet_ref_patch("xml", "m").alias("xml"))
+
+
+def _tab_raw():
+    return F.concat(F.upper("p_name"), F.lit(": "), "p_type", F.lit(" ["), F.col("p_size").cast("string"),
+                    F.lit("]/"), "p_brand")
+
+
+def q_tab_name_sanitize(spark, sf):
+    from ..functions.text import sanitize_tab_name
+    t = _tabs(spark, sf)
+    return t.select("p_partkey", _tab_raw().alias("raw"), sanitize_tab_name(_tab_raw()).alias("tab"))
+
+
+def q_tab_name_unique(spark, sf):
+    from ..operators.markup import unique_tab_names
+    t = _tabs(spark, sf).select("wb", F.col("p_partkey").alias("pos"),
+                                F.concat("jp", F.col("p_partkey").cast("string")).alias("name"),
+                                F.upper("p_name").alias("name_en"))
+    return unique_tab_names(t, ["wb"]).select("wb", F.col("pos").alias("p_partkey"), "tab_en")
+
+
+# --- corpus --------------------------------------------------------------------------
+
+FAIL_MARKER = "失敗"
+
+
+def _corpus(spark, sf, kind):
+    key = (spark.sparkContext.applicationId, sf, "corpus-" + kind)
+    if key not in _RUNS:
+        from .corpus import translate_corpus
+        f = jp_files(spark, sf)
+        if kind == "quarantine":
+            f = f.withColumn("text", F.when(F.col("doc_id") % 20 == 0,
+                                            F.concat("text", F.lit("\n" + FAIL_MARKER))).otherwise(F.col("text")))
+            tr = ScriptedFaultTranslator(fail_marker=FAIL_MARKER, faults=False)
+        else:
+            tr = MockTranslator()
+        _RUNS[key] = translate_corpus(f.drop("doc_id"), ROOT_NAME, tr, MOCK_SETTINGS, work_dir(spark))
+    return _RUNS[key]
+
+
+def q_translate_corpus(spark, sf):
+    return _corpus(spark, sf, "mock").files.select("path", "path_out", "status", "text")
+
+
+def q_quarantine_split(spark, sf):
+    return _corpus(spark, sf, "quarantine").files.select("path", "path_out", "status", "text")
+
+
 QUERIES = {
     "lines_explode": q_lines_explode,
     "filter_script": q_filter_script,
@@ -292,4 +492,18 @@ QUERIES = {
     "path_parts": q_path_parts,
     "route_by_ext": q_route_by_ext,
     "translate_columns": q_translate_columns,
+    "csv_cells": q_csv_cells,
+    "csv_rebuild": q_csv_rebuild,
+    "layout_lines": q_layout_lines,
+    "page_limit": q_page_limit,
+    "layout_style": q_layout_style,
+    "markup_text_nodes": q_markup_text_nodes,
+    "xml_escape_roundtrip": q_xml_escape_roundtrip,
+    "markup_replace": q_markup_replace,
+    "string_table_entries": q_string_table_entries,
+    "sheet_ref_patch": q_sheet_ref_patch,
+    "tab_name_sanitize": q_tab_name_sanitize,
+    "tab_name_unique": q_tab_name_unique,
+    "translate_corpus": q_translate_corpus,
+    "quarantine_split": q_quarantine_split,
 }

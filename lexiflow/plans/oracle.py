@@ -253,3 +253,179 @@ SELECT conv_id, turn,
        CASE WHEN {translatable('text')} THEN {mock('text')} ELSE text END AS text
 FROM cv
 """
+
+
+# --- csv ------------------------------------------------------------------------
+
+def _q(x: str) -> str:
+    return f"""(CASE WHEN regexp_matches({x}, '[,"\\r\\n]') THEN '"' || replace({x}, '"', '""') || '"' ELSE {x} END)"""
+
+
+def _tr(x: str) -> str:
+    return f"(CASE WHEN {translatable(x)} THEN {mock(x)} ELSE {x} END)"
+
+
+_CONV = f"""
+cv AS (
+  SELECT conv_id, turn, translate(role, '{_A}', '{_J}') AS role, translate(text, '{_A}', '{_J}') AS text,
+         'conv/' || CAST(conv_id AS VARCHAR) || '.csv' AS path,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS BIGINT) AS row
+  FROM conversations)
+"""
+SQL["csv_cells"] = with_(_CONV) + """
+SELECT DISTINCT path, CAST(0 AS BIGINT) AS row, CAST(h.col AS INTEGER) AS col, h.text
+FROM cv, (VALUES (0, '番号'), (1, '役割'), (2, '本文')) h(col, text)
+UNION ALL SELECT path, row, 0, CAST(turn AS VARCHAR) FROM cv
+UNION ALL SELECT path, row, 1, role FROM cv
+UNION ALL SELECT path, row, 2, text FROM cv
+UNION ALL SELECT path, row, 3, '済' FROM cv WHERE role = 'assistant'
+"""
+_HEADER_LINE = " || ',' || ".join(_q(_tr(f"'{h}'")) for h in ("番号", "役割", "本文"))
+_ROW_LINE = (f"{_q(_tr('CAST(turn AS VARCHAR)'))} || ',' || {_q(_tr('role'))} || ',' || {_q(_tr('text'))}"
+             f" || CASE WHEN role = 'assistant' THEN ',' || {_q(_tr(chr(39) + '済' + chr(39)))} ELSE '' END")
+SQL["csv_rebuild"] = with_(_CONV) + f"""
+SELECT path, {_HEADER_LINE} || chr(13) || chr(10) || chr(13) || chr(10)
+             || string_agg({_ROW_LINE} || chr(13) || chr(10), '' ORDER BY turn) AS text
+FROM cv GROUP BY path
+"""
+
+# --- layout ---------------------------------------------------------------------
+
+_WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+_SPANS = r"""
+w AS (
+  SELECT doc_id, ord, unnest(regexp_extract_all(text, '\S+\s*', 0)) AS word,
+         generate_subscripts(regexp_extract_all(text, '\S+\s*', 0), 1) - 1 AS span
+  FROM lines_e),
+sp AS (
+  SELECT CAST(doc_id AS VARCHAR) AS path, CAST(ord // 20 AS INTEGER) AS page,
+         CAST((ord % 20) // 5 AS INTEGER) AS block, CAST(ord % 5 AS INTEGER) AS line, span,
+         CASE WHEN (ord % 20) // 5 = 3 AND (ord // 20) % 3 = 2 THEN 1 ELSE 0 END AS block_type, word AS text,
+         8.0::DOUBLE + length(word) % 4 AS size, CAST((length(word) * 4099) % 16777216 AS INTEGER) AS color,
+         span * 10.0::DOUBLE AS x0, (ord % 5) * 12.0::DOUBLE AS y0,
+         span * 10.0::DOUBLE + length(word) * 5.0::DOUBLE AS x1, (ord % 5) * 12.0::DOUBLE + 10.0::DOUBLE AS y1
+  FROM w),
+tl AS (SELECT * FROM sp WHERE block_type = 0),
+sz AS (SELECT path, page, block, line, size, count(*) AS c FROM tl GROUP BY ALL),
+dom AS (
+  SELECT path, page, block, line, size FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, page, block, line ORDER BY c DESC, size ASC) AS r FROM sz)
+  WHERE r = 1),
+"""
+_SPANS += f"""
+agg AS (
+  SELECT path, page, block, line, {_strip("string_agg(text, '' ORDER BY span)")} AS text,
+         arg_min(color, span) AS color, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+  FROM tl GROUP BY ALL),
+ll AS (
+  SELECT a.path, a.page, a.block, a.line, a.text, d.size, a.color, a.x0, a.y0, a.x1, a.y1
+  FROM agg a JOIN dom d USING (path, page, block, line) WHERE a.text <> '')
+"""
+SQL["layout_lines"] = with_(DOC_CTES, _SPANS) + "SELECT * FROM ll"
+SQL["page_limit"] = with_(DOC_CTES, _SPANS) + "SELECT path, count(*) AS n_lines FROM ll WHERE page < 2 GROUP BY path"
+SQL["layout_style"] = with_(DOC_CTES, _SPANS) + f"""
+SELECT path, page, block, line, greatest(size - 1.0::DOUBLE, 6.0::DOUBLE) AS font_size,
+       printf('#%02x%02x%02x', (color >> 16) & 255, (color >> 8) & 255, color & 255) AS color_hex,
+       '<p style="font-family: sans-serif; font-size: ' || CAST(greatest(size - 1.0::DOUBLE, 6.0::DOUBLE) AS VARCHAR)
+       || 'pt; color: ' || printf('#%02x%02x%02x', (color >> 16) & 255, (color >> 8) & 255, color & 255)
+       || '; margin: 0; padding: 0;">' || {_tr('text')} || '</p>' AS html
+FROM ll
+"""
+
+# --- markup ------------------------------------------------------------------------
+
+_P = r"(<p(?:\s[^>]*)?>)([^<]*)(</p>)"
+
+
+def _unesc(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), "
+            f"'&quot;', '\"'), '&apos;', '''')")
+
+
+def _esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_PAGES = f"""
+pg AS (SELECT page_id, translate(html, '{_A}', '{_J}') AS h FROM pages),
+nodes AS (
+  SELECT page_id, unnest(regexp_extract_all(h, '{_P}', 2)) AS raw,
+         CAST(generate_subscripts(regexp_extract_all(h, '{_P}', 2), 1) - 1 AS INTEGER) AS i
+  FROM pg)
+"""
+SQL["markup_text_nodes"] = with_(_PAGES) + f"SELECT page_id, i, raw, {_unesc('raw')} AS text FROM nodes"
+SQL["xml_escape_roundtrip"] = with_(_PAGES) + (
+    f"SELECT page_id, i, raw, {_unesc('raw')} AS text, {_esc(_unesc('raw'))} AS reescaped FROM nodes")
+SQL["markup_replace"] = with_(_PAGES) + f"""
+SELECT page_id,
+       CASE WHEN len(list_filter(raws, lambda r: {translatable(_unesc('r'))})) > 0
+            THEN pieces[1] || array_to_string(list_transform(range(1, len(raws) + 1), lambda k:
+                   opens[k] || {_esc(_tr(_unesc('raws[k]')))} || closes[k] || pieces[k + 1]), '')
+            ELSE h END AS html
+FROM (SELECT page_id, h, regexp_split_to_array(h, '{_P}') AS pieces,
+             regexp_extract_all(h, '{_P}', 1) AS opens, regexp_extract_all(h, '{_P}', 2) AS raws,
+             regexp_extract_all(h, '{_P}', 3) AS closes FROM pg)
+"""
+SQL["string_table_entries"] = f"""
+WITH b AS (SELECT item_id, string_split(translate(text, '{_A}', '{_J}'), '. ') AS ss FROM benchmark),
+e AS (SELECT item_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM b)
+SELECT item_id, CAST(i AS INTEGER) AS i, i % 2 = 1 AS is_rich,
+       CASE WHEN i % 2 = 1 THEN split_part(s, ' ', 1) || substr(s, length(split_part(s, ' ', 1)) + 2) || 'ふりがな'
+            ELSE s END AS text
+FROM e
+"""
+_TABS = """
+t AS (SELECT p_partkey, p_name, p_type, p_size, p_brand,
+             p_brand || '#' || CAST(p_partkey // 16 AS VARCHAR) AS wb, p_name || '表' AS jp FROM part)
+"""
+SQL["sheet_ref_patch"] = with_(_TABS) + f"""
+, x AS (SELECT wb, '<f>' || string_agg('''' || jp || '''!A1+' || jp || '!B2', '+' ORDER BY p_partkey) || '</f>' AS xml
+       FROM t GROUP BY wb),
+m AS (SELECT wb, list(struct_pack(k := -length(jp), pos := pos, jp := jp, en := {mock('jp')})) AS m
+      FROM (SELECT wb, jp, min(p_partkey) AS pos FROM t GROUP BY wb, jp) GROUP BY wb)
+SELECT x.wb, list_reduce(list_sort(m.m), lambda acc, e:
+         replace(replace(acc, '''' || e.jp || '''!', '''' || e.en || '''!'), e.jp || '!', '''' || e.en || '''!'),
+         x.xml) AS xml
+FROM x JOIN m USING (wb)
+"""
+_RAW_TAB = "upper(p_name) || ': ' || p_type || ' [' || CAST(p_size AS VARCHAR) || ']/' || p_brand"
+SQL["tab_name_sanitize"] = f"""
+SELECT p_partkey, {_RAW_TAB} AS raw,
+       regexp_replace(substr({_strip(f"translate({_RAW_TAB}, '\\/?*[]:', '-------')")}, 1, 31), '[{_WS}]+$', '', 'g') AS tab
+FROM part
+"""
+
+# --- corpus --------------------------------------------------------------------------
+
+_FILE_LINES = f"""
+fl AS (
+  SELECT path, unnest(string_split(jp2, chr(10))) AS text, generate_subscripts(string_split(jp2, chr(10)), 1) AS i,
+         len(string_split(jp2, chr(10))) AS nl
+  FROM files2),
+tx AS (
+  SELECT path, string_agg({_tr('text')} || CASE WHEN i < nl THEN chr(10) ELSE '' END, '' ORDER BY i) AS text
+  FROM fl GROUP BY path)
+"""
+
+
+def _corpus_sql(marker: bool) -> str:
+    jp2 = "jp || CASE WHEN doc_id % 20 = 0 THEN chr(10) || '失敗' ELSE '' END" if marker else "jp"
+    failed = "doc_id % 20 = 0" if marker else "false"
+    return with_(FILES, f"files2 AS (SELECT *, {jp2} AS jp2 FROM files)", _FILE_LINES) + f"""
+SELECT f.path,
+       CASE WHEN {failed} THEN source || '/' || {_FOLDER_EN} || '/' || name
+            ELSE source || '/' || {_FOLDER_EN} || '/' || {_STEM_EN} || suffix END AS path_out,
+       CASE WHEN {failed} THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN {failed} THEN jp2 ELSE tx.text END AS text
+FROM files2 f JOIN tx USING (path)
+"""
+
+
+SQL["translate_corpus"] = _corpus_sql(False)
+SQL["quarantine_split"] = _corpus_sql(True)
