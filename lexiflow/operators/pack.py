@@ -28,6 +28,8 @@ pass; no task ever holds more than ``M`` units.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,17 +54,26 @@ def py_pack(ests: list[int], budget: int, max_strings: int) -> list[int]:
 
 
 class _Greedy:
-    """Chunk starts of one segment, from any start position."""
+    """Chunk starts of one segment, from any start position.
+
+    Plain lists and ``bisect``: segments are usually a few dozen units, where
+    per-call numpy overhead would dominate.
+    """
 
-    def __init__(self, ests: np.ndarray, budget: int, max_strings: int):
+    def __init__(self, ests, budget: int, max_strings: int):
         self.n = len(ests)
-        self.P = np.concatenate([[0], np.cumsum(ests, dtype=np.int64)])
+        P = [0] * (self.n + 1)
+        acc = 0
+        for i, e in enumerate(ests):
+            acc += int(e)
+            P[i + 1] = acc
+        self.P = P
         self.B = budget
         self.K = max_strings
 
     def next_start(self, p: int) -> int:
         # first k with P[k] > P[p] + B; unit k-1 is the first that no longer fits
-        k = int(np.searchsorted(self.P, self.P[p] + self.B, side="right"))
+        k = bisect_right(self.P, self.P[p] + self.B)
         return max(p + 1, min(k - 1, p + self.K))
 
     def starts_from(self, p: int) -> list[int]:
@@ -108,34 +119,31 @@ def _assign_schema(scope_type) -> T.StructType:
     ])
 
 
-def iter_groups(batches, keys: list[str]):
+def iter_groups(batches, keys: list[str], cols: list[str]):
     """Complete groups of a stream of pandas batches sorted by ``keys``.
 
-    A group may span Arrow batches; its head is carried to the next batch.
-    Memory is one batch plus one group.
+    Yields ``dict[col -> list]`` per group.  A group may span Arrow batches;
+    its head is carried to the next batch.  Memory is one batch plus one group.
     """
-    carry = None
+    carry: dict | None = None
     for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        kv = [pdf[k].to_numpy() for k in keys]
-        change = np.zeros(len(pdf), dtype=bool)
-        change[0] = True
-        for a in kv:
-            change[1:] |= a[1:] != a[:-1]
-        starts = np.flatnonzero(change)
-        for i in range(len(starts) - 1):
-            yield pdf.iloc[starts[i]:starts[i + 1]]
-        carry = pdf.iloc[starts[-1]:]
-    if carry is not None and len(carry):
+        data = {c: pdf[c].tolist() for c in cols}
+        if carry is not None:
+            data = {c: carry[c] + data[c] for c in cols}
+        n = len(data[cols[0]])
+        kv = [data[k] for k in keys]
+        starts = [0] + [i for i in range(1, n) if any(a[i] != a[i - 1] for a in kv)]
+        for a, b in zip(starts, starts[1:]):
+            yield {c: data[c][a:b] for c in cols}
+        carry = {c: data[c][starts[-1]:] for c in cols}
+    if carry is not None and carry[cols[0]]:
         yield carry
 
 
-def _summarize(g: pd.DataFrame, B: int, K: int) -> tuple:
-    ests = g["est"].to_numpy(dtype=np.int64)
-    ords = g["ord"].to_numpy(dtype=np.int64)
+def _summarize(g: dict, B: int, K: int) -> tuple:
+    ests, ords = g["est"], g["ord"]
     gr = _Greedy(ests, B, K)
     n = gr.n
     info: dict[int, tuple[int, int]] = {}  # start -> (chunks from here, last start)
@@ -155,11 +163,14 @@ def _summarize(g: pd.DataFrame, B: int, K: int) -> tuple:
         chunks.append(c)
         last_ord.append(int(ords[last]))
         exit_cnt.append(n - last)
-        exit_budget.append(int(gr.P[n] - gr.P[last]))
-    return (g["scope"].iloc[0], int(g["seg"].iloc[0]), n, int(gr.P[n]), ests[:K].tolist(),
+        exit_budget.append(gr.P[n] - gr.P[last])
+    return (g["scope"][0], int(g["seg"][0]), n, gr.P[n], [int(e) for e in ests[:K]],
             chunks, last_ord, exit_cnt, exit_budget)
 
 
+_STOP_AT = None  # profiling hook
+
+
 def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Assign chunks to deduplicated units.
 
@@ -179,12 +190,14 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     sch_sum = _summary_schema(scope_type)
 
     def summarize(batches):
-        rows = [_summarize(g, B, K) for g in iter_groups(batches, ["scope", "seg"])]
+        rows = [_summarize(g, B, K) for g in iter_groups(batches, ["scope", "seg"], ["scope", "seg", "ord", "est"])]
         if rows:
             yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
 
     summaries = (seg.repartition("scope", "seg").sortWithinPartitions("scope", "seg", "ord")
                  .mapInPandas(summarize, sch_sum))
+    if _STOP_AT == "summaries":
+        return summaries
 
     def stitch(batches):
         rows = []
@@ -212,6 +225,8 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     entries = (summaries.repartition("scope").sortWithinPartitions("scope", "seg")
                .mapInPandas(stitch, _entry_schema(scope_type)))
+    if _STOP_AT == "entries":
+        return entries
 
     # entry row (kind 0) first, then the segment's units (kind 1), in one sorted stream
     tagged = (seg.select("scope", "seg", F.lit(1).alias("kind"), "ord", "est",
@@ -222,34 +237,39 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     out_cols = ["scope", "ord", "chunk_id", "chunk_no", "pos"]
 
     def assign(batches):
-        for g in iter_groups(batches, ["scope", "seg"]):
-            e = g.iloc[0]
-            u = g.iloc[1:]
-            if u.empty:
+        cols = ["scope", "seg", "kind", "ord", "est", "entry_b", "open_id", "open_cnt", "chunks_before"]
+        acc = {c: [] for c in out_cols}
+        for g in iter_groups(batches, ["scope", "seg"], cols):
+            n = len(g["ord"]) - 1          # row 0 is the entry row
+            if n <= 0:
                 continue
-            ests = u["est"].to_numpy(dtype=np.int64)
-            ords = u["ord"].to_numpy(dtype=np.int64)
+            ests, ords = g["est"][1:], g["ord"][1:]
             gr = _Greedy(ests, B, K)
-            n = gr.n
-            b = min(int(e["entry_b"]), n)
-            chunk_id = np.empty(n, dtype=np.int64)
-            chunk_no = np.empty(n, dtype=np.int32)
-            pos = np.empty(n, dtype=np.int32)
-            k = int(e["chunks_before"])
+            b = min(int(g["entry_b"][0]), n)
+            chunk_id, chunk_no, pos = [0] * n, [0] * n, [0] * n
+            k = int(g["chunks_before"][0])
             if b > 0:
-                chunk_id[:b] = int(e["open_id"])
-                chunk_no[:b] = k
-                pos[:b] = int(e["open_cnt"]) + np.arange(1, b + 1)
+                oid, oc = int(g["open_id"][0]), int(g["open_cnt"][0])
+                for j in range(b):
+                    chunk_id[j], chunk_no[j], pos[j] = oid, k, oc + j + 1
             p = b
             while p < n:
                 k += 1
                 q = min(gr.next_start(p), n)
-                chunk_id[p:q] = ords[p]
-                chunk_no[p:q] = k
-                pos[p:q] = np.arange(1, q - p + 1)
+                first = int(ords[p])
+                for j in range(p, q):
+                    chunk_id[j], chunk_no[j], pos[j] = first, k, j - p + 1
                 p = q
-            yield pd.DataFrame({"scope": u["scope"].to_numpy(), "ord": ords,
-                                "chunk_id": chunk_id, "chunk_no": chunk_no, "pos": pos}, columns=out_cols)
+            acc["scope"] += g["scope"][1:]
+            acc["ord"] += ords
+            acc["chunk_id"] += chunk_id
+            acc["chunk_no"] += chunk_no
+            acc["pos"] += pos
+            if len(acc["ord"]) >= 10_000:   # one Arrow batch per ~10k rows, not per group
+                yield pd.DataFrame(acc, columns=out_cols)
+                acc = {c: [] for c in out_cols}
+        if acc["ord"]:
+            yield pd.DataFrame(acc, columns=out_cols)
 
     return (tagged.repartition("scope", "seg").sortWithinPartitions("scope", "seg", "kind", "ord")
             .mapInPandas(assign, _assign_schema(scope_type)))

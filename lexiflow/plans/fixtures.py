@@ -16,8 +16,13 @@ from ..functions.text import document_context
 from ..models import FIXTURE_ACCENTS, MOCK_DST, MOCK_SRC
 
 
+TABLE_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id"], "pages": ["page_id"],
+              "part": ["p_partkey"], "benchmark": ["item_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    from ..sources.tables import read_table
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"), TABLE_KEYS.get(name))
 
 
 def to_jp(c) -> F.Column:
