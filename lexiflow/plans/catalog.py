@@ -102,13 +102,15 @@ def q_union_units(spark, sf):
 # --- packing ---------------------------------------------------------------
 
 def q_chunk_pack(spark, sf):
-    u = dedup_units(jp_lines(spark, sf), SMALL)
-    return _doc(pack_chunks(u.select("scope", "ord", "est"), SMALL))
+    # the packer reads its input twice (summary pass, assign pass): hand it a written table
+    u = work_dir(spark).materialize(dedup_units(jp_lines(spark, sf), SMALL).select("scope", "ord", "est"), "pack_in")
+    return _doc(pack_chunks(u, SMALL))
 
 
 def q_chunk_positions(spark, sf):
-    u = dedup_units(jp_lines(spark, sf), DEFAULT)
-    p = pack_chunks(u.select("scope", "ord", "est"), DEFAULT)
+    u = work_dir(spark).materialize(dedup_units(jp_lines(spark, sf), DEFAULT).select("scope", "ord", "est"),
+                                    "pack_in")
+    p = pack_chunks(u, DEFAULT)
     return _doc(p.select("scope", "ord", "chunk_no", "pos"))
 
 
@@ -333,10 +335,12 @@ def q_page_limit(spark, sf):
 
 def q_layout_style(spark, sf):
     from ..operators.layout import layout_lines, layout_style, layout_units
-    lines = layout_lines(spans(spark, sf))
+    w = work_dir(spark)
+    # layout lines come out of a shuffle and are read twice (dedup, apply): write them once
+    lines = w.materialize(layout_lines(spans(spark, sf)), "layout_lines")
     units = layout_units(lines, F.concat(F.lit("Document '"), F.col("path"), F.lit(".pdf'")))
     res = batch_translate(units.select("scope", "ord", "text", "context"), MockTranslator(), MOCK_SETTINGS,
-                          work_dir(spark), "layout")
+                          w, "layout")
     return layout_style(apply_translations(units, res.translations))
 
 
