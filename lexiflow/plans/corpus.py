@@ -80,8 +80,9 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
         "path",
         F.when(F.col("failed"), orig_path).otherwise(F.col("path_en")).alias("path_out"),
         "handler",
-        F.when(F.col("failed"), "error").when(F.col("handler") == "copy", "copied").otherwise("ok").alias("status"),
-        F.when(F.col("failed") | (F.col("handler") == "copy") | F.col("text").isNull(), F.col("original"))
+        F.when(F.col("failed"), "error").when(F.col("handler").isin("lines", "csv"), "ok")
+        .otherwise(F.col("handler")).alias("status"),
+        F.when(F.col("failed") | ~F.col("handler").isin("lines", "csv") | F.col("text").isNull(), F.col("original"))
         .otherwise(F.col("text")).alias("text"))
     name_errors = (folders.filter(F.col("how") == "error").select(F.col("dir").alias("path"),
                                                                   F.lit("folder_name").alias("stage"),
