@@ -69,10 +69,24 @@ def missing_positions(zipped: DataFrame) -> DataFrame:
 
 
 def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
-                    work: WorkDir | None = None, name: str = "batch") -> BatchResult:
-    """T1 over a units table (``scope, ord, text, context``)."""
+                    work: WorkDir | None = None, name: str = "batch",
+                    memory: DataFrame | None = None, memory_key: tuple[str, ...] = ("context", "text")) -> BatchResult:
+    """T1 over a units table (``scope, ord, text, context``).
+
+    ``memory`` (optional): stored translations (``context, text, text_en``).
+    Unique units found there are answered from it (``how = 'memory'``) and
+    never reach the model; only new strings are packed and sent.
+    """
     work = work or work_dir(units.sparkSession)
-    uu = work.materialize(dedup_units(units, settings), f"{name}/unique_units")
+    uu_all = work.materialize(dedup_units(units, settings), f"{name}/unique_units")
+    known = None
+    uu = uu_all
+    if memory is not None:
+        mem = memory.select(*memory_key, "text_en").dropDuplicates(list(memory_key))
+        known = (uu_all.join(mem, list(memory_key))
+                 .select("scope", "context", "text", "text_en", F.lit("memory").alias("how")))
+        uu = work.materialize(uu_all.join(mem.select(*memory_key), list(memory_key), "left_anti"),
+                              f"{name}/new_units")
     assignments = pack_chunks(uu.select("scope", "ord", "est"), settings)
     chunks = assemble_chunks(uu, assignments)
     responses = work.materialize(call_chunks(chunks, translator, settings), f"{name}/responses")
@@ -92,9 +106,11 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     from_singles = (singles.filter(F.col("status") == "ok")
                     .join(uu.select("scope", "text", "context"), ["scope", "text"])
                     .select("scope", "context", "text", "text_en", F.lit("single").alias("how")))
-    translations = (from_chunks.unionByName(from_singles)
-                    .join(errors.select("scope").distinct(), "scope", "left_anti"))
-    return BatchResult(uu, assignments, chunks, responses, singles, translations, errors)
+    translations = from_chunks.unionByName(from_singles)
+    if known is not None:
+        translations = translations.unionByName(known)
+    translations = translations.join(errors.select("scope").distinct(), "scope", "left_anti")
+    return BatchResult(uu_all, assignments, chunks, responses, singles, translations, errors)
 
 
 def batch_stats(result: BatchResult) -> DataFrame:

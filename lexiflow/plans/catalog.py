@@ -466,6 +466,35 @@ def q_quarantine_split(spark, sf):
     return _corpus(spark, sf, "quarantine").files.select("path", "path_out", "status", "text")
 
 
+# --- memory and streaming (beyond parity) ----------------------------------------------
+
+def q_memory_translate(spark, sf):
+    """Re-translate the whole corpus against the memory of a first run: no model call."""
+    from ..operators.memory import append_memory, read_memory
+    lines, first = _run(spark, sf, "mock")
+    w = work_dir(spark)
+    mem = w.table("memory")
+    append_memory(first.translations, mem, "r1")
+    res = batch_translate(lines, MockTranslator(), MOCK_SETTINGS, w, "memory_rerun",
+                          memory=read_memory(spark, mem))
+    return _doc(res.translations.select("scope", "text", "text_en", "how"))
+
+
+def q_stream_translate_documents(spark, sf):
+    """The documents arrive as files; a stream translates them batch by batch
+    against a growing memory.  Same result as ``translate_documents``."""
+    from ..streaming.incremental import translate_stream
+    w = work_dir(spark)
+    src = w.table("stream_src")
+    jp_documents(spark, sf).select("doc_id", "text", "context").repartition(4, "doc_id") \
+        .write.mode("overwrite").parquet(src)
+    q = translate_stream(spark, src, MockTranslator(), w.table("stream_out"), w.table("stream_memory"),
+                         MOCK_SETTINGS, checkpoint=w.table("stream_ckpt"), glob="*.parquet",
+                         max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(w.table("stream_out")).select("doc_id", "text")
+
+
 QUERIES = {
     "lines_explode": q_lines_explode,
     "filter_script": q_filter_script,
@@ -510,4 +539,6 @@ QUERIES = {
     "tab_name_unique": q_tab_name_unique,
     "translate_corpus": q_translate_corpus,
     "quarantine_split": q_quarantine_split,
+    "memory_translate": q_memory_translate,
+    "stream_translate_documents": q_stream_translate_documents,
 }

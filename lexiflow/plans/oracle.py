@@ -429,3 +429,6 @@ FROM files2 f JOIN tx USING (path)
 
 SQL["translate_corpus"] = _corpus_sql(False)
 SQL["quarantine_split"] = _corpus_sql(True)
+
+SQL["memory_translate"] = with_(DOC_CTES) + f"SELECT doc_id, text, {mock('text')} AS text_en, 'memory' AS how FROM uq"
+SQL["stream_translate_documents"] = SQL["translate_documents"]
