@@ -86,3 +86,46 @@ def translate_folder(spark: SparkSession, src: str, dst: str, translator, settin
                 .select("path", F.lit("layout").alias("stage"), F.lit("pdf decoding not available; copied").alias("error")))
     errors = corpus.errors.unionByName(pres.errors).unionByName(pdf_note)
     return FolderResult(written, corpus, errors)
+
+
+@dataclass
+class EstimateResult:
+    breakdown: DataFrame   # path, name, ext, jp_chars (largest first)
+    totals: DataFrame      # one row: chars, name calls, tokens, dollars, nothing_to_do
+
+
+def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
+                    work: WorkDir | None = None) -> EstimateResult:
+    """T11 on a folder: no model call, one pass over the supported files.
+
+    Uses the run's own unit sources (charset detection included, Q13) and
+    counts every occurrence (Q12).  Name calls: distinct source-script
+    folder names and file stems over the tree, plus every source-script
+    ``name="..."`` of each workbook part without dedup (Q15).
+    """
+    from ..functions.script import has_script
+    from ..operators.estimate import breakdown, corpus_estimate, file_char_totals, name_calls
+    from ..operators.routing import is_supported
+    from ..sources.csv_cells import csv_cells
+    from ..sources.text import explode_lines
+    from .packages import package_units, prepare_parts, scope_path
+
+    work = work or work_dir(spark)
+    entries = list_tree(spark, src, work)
+    files = files_of(entries).withColumn("handler", handler_of("ext"))
+    blobs = work.materialize(read_bytes(files.filter(is_supported("ext")), src), "estimate/bytes")
+    texts = decode_files(blobs.filter(F.col("handler").isin("lines", "csv")).select("path", "content")) \
+        .join(blobs.select("path", "handler"), "path")
+    u_lines = explode_lines(texts.filter(F.col("handler") == "lines"), "text", keep=["path"]).select("path", "text")
+    u_csv = csv_cells(texts.filter(F.col("handler") == "csv").select("path", "text")) \
+        .filter(F.col("col") >= 0).select("path", "text")
+    pk = blobs.filter(F.col("handler").isin("docx", "xlsx")).select("path", "ext", F.lit("").alias("context"))
+    p, _ = prepare_parts(pk, archive_parts(blobs.join(pk.select("path"), "path", "left_semi")), work)
+    pu = package_units(p, settings)
+    u_pk = pu.units.filter(~F.col("scope").endswith("\u0001tabs")).select(scope_path("scope").alias("path"), "text")
+    units = u_lines.unionByName(u_csv).unionByName(u_pk)
+    tabs = (p.filter(F.col("kind") == "workbook")
+            .select(F.explode(F.regexp_extract_all("xml", F.lit(r'name="([^"]+)"'), 1)).alias("name")))
+    calls = name_calls(folders_of(entries), files, tabs, settings)
+    totals = file_char_totals(units, settings)
+    return EstimateResult(breakdown(files, totals), corpus_estimate(units, calls, settings))

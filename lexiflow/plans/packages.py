@@ -100,10 +100,8 @@ def py_rewrite_paragraphs(xml: str, tmap: dict[str, str]) -> str:
     return _WP.sub(para, xml)
 
 
-def translate_packages(packages: DataFrame, parts: DataFrame, translator, settings: Settings = DEFAULT,
-                       work: WorkDir | None = None) -> PackageResult:
-    """``packages``: ``path, ext, context``; ``parts``: S6 output for those paths."""
-    work = work or work_dir(parts.sparkSession)
+def prepare_parts(packages: DataFrame, parts: DataFrame, work: WorkDir) -> tuple[DataFrame, DataFrame]:
+    """Part rows with ``kind`` (R9 + drawing discovery) and decoded ``xml``; unreadable packages apart."""
     bad = parts.filter(F.col("part").isNull()).select("path", F.lit("read").alias("stage"), "error")
     p = (parts.filter(F.col("part").isNotNull())
          .join(packages.select("path", "ext", "context"), "path")
@@ -117,11 +115,22 @@ def translate_packages(packages: DataFrame, parts: DataFrame, translator, settin
     xml_kinds = ["content_types", "string_table", "workbook", "styles", "sheet", "docprops", "drawing", "docx_body"]
     p = work.materialize(p.withColumn("xml", F.when(F.col("kind").isin(*xml_kinds), F.decode("data", "UTF-8"))),
                          "packages/parts")
+    return p, bad
+
 
+@dataclass
+class PackageUnits:
+    units: DataFrame   # scope, ord, text, context
+    tabs: DataFrame    # path, context, i, raw, name
+    sheet: DataFrame   # sheet strings (S10)
+    drawing: DataFrame # drawing nodes (S11)
+
+
+def package_units(p: DataFrame, settings: Settings = DEFAULT) -> PackageUnits:
+    """Units of every part kind; scope = part (or the workbook's tab list)."""
     def of(kind):
         return p.filter(F.col("kind") == kind)
 
-    # --- units of every part kind -------------------------------------------------
     ctx = F.col("context")
     tabs = tab_names(of("workbook"), "xml", ["path", "context"])
     u_tabs = tabs.select(_scope("path", F.lit("tabs")).alias("scope"), F.col("i").cast("bigint").alias("ord"),
@@ -143,6 +152,25 @@ def translate_packages(packages: DataFrame, parts: DataFrame, translator, settin
                      .alias("text")))
     u_dx = paras.select(_scope("path", "part").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text", ctx)
     units = u_tabs.unionByName(u_sst).unionByName(u_ss).unionByName(u_dn).unionByName(u_dx)
+    return PackageUnits(units, tabs, ss, dn)
+
+
+def scope_path(scope) -> F.Column:
+    """The package path of a part scope."""
+    return F.split(scope, SCOPE_SEP).getItem(0)
+
+
+def translate_packages(packages: DataFrame, parts: DataFrame, translator, settings: Settings = DEFAULT,
+                       work: WorkDir | None = None) -> PackageResult:
+    """``packages``: ``path, ext, context``; ``parts``: S6 output for those paths."""
+    work = work or work_dir(parts.sparkSession)
+    p, bad = prepare_parts(packages, parts, work)
+
+    def of(kind):
+        return p.filter(F.col("kind") == kind)
+
+    pu = package_units(p, settings)
+    units, tabs, ss, dn = pu.units, pu.tabs, pu.sheet, pu.drawing
     batch = batch_translate(units, translator, settings, work, "packages/content")
     tr = batch.translations
 
@@ -188,6 +216,5 @@ def translate_packages(packages: DataFrame, parts: DataFrame, translator, settin
            .select("path", "ord", "part",
                    F.when(F.col("new_xml").isNotNull(), F.encode("new_xml", "UTF-8")).otherwise(F.col("data"))
                    .alias("data")))
-    errors = bad.unionByName(batch.errors.select(F.split("scope", SCOPE_SEP).getItem(0).alias("path"),
-                                                 "stage", "error"))
+    errors = bad.unionByName(batch.errors.select(scope_path("scope").alias("path"), "stage", "error"))
     return PackageResult(out, batch, errors)

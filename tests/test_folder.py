@@ -112,3 +112,20 @@ def test_overwrite_guard(spark, tree):
     (dst / "x").write_text("keep")
     with pytest.raises(FileExistsError):
         translate_folder(spark, str(src), str(dst), MockTranslator(), S)
+
+
+def test_estimate_folder(spark, tree):
+    from lexiflow.plans.folder import estimate_folder
+    src, _ = tree
+    est = estimate_folder(spark, str(src), S)
+    rows = {r.name: r.jp_chars for r in est.breakdown.collect()}
+    # by hand: txt 一行日本 + 日本 + 最後語 = 4 + 2 + 3; md 見出し文書 = 5; csv 番号 本文 日本語 = 2+2+3
+    assert rows["資料.txt"] == 9 and rows["文書.md"] == 5 and rows["表.csv"] == 7
+    # xlsx: tabs are names, not content; string table 報告 + 資料し, sheet 文書 + 採用, drawing 表求
+    assert rows["book.xlsx"] == 2 + 3 + 2 + 2 + 2
+    assert rows["doc.docx"] == 3
+    t = est.totals.first()
+    # names: folders 日本 報告 空, stems 資料 文書 表 (日本 counted once), + one source-script tab
+    assert t.name_calls == 6 + 1
+    assert t.total_chars == 9 + 5 + 7 + 11 + 3
+    assert t.est_input_tokens == int(35 * 1.4) + 7 * 300
