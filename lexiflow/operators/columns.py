@@ -29,14 +29,21 @@ def translate_columns(df: DataFrame, cols: list[str], translator, order_by: list
                       work: WorkDir | None = None, name: str = "columns") -> ColumnsResult:
     """Translate ``cols`` of ``df``; ``order_by`` gives the row order.
 
-    Rows get a BIGINT order key from a global sort (range partitioning, so a
-    skewed key is split by sampling) and ``monotonically_increasing_id``; the
-    keyed table is written once, so the key is stable for the join back.
+    A single integral ``order_by`` column is the row key itself (it must be
+    unique).  Otherwise rows get a BIGINT key from a global sort (range
+    partitioning, so a skewed key is split by sampling) and
+    ``monotonically_increasing_id``; that keyed table is written once, so the
+    key is stable for the join back.
     """
     work = work or work_dir(df.sparkSession)
     n = len(cols)
-    keyed = work.materialize(
-        df.orderBy(*order_by).withColumn("__row", F.monotonically_increasing_id()), f"{name}/keyed")
+    integral = ("tinyint", "smallint", "int", "bigint")
+    if len(order_by) == 1 and dict(df.dtypes).get(order_by[0]) in integral:
+        # one integral key already orders the rows: no global sort, no extra write
+        keyed = df.withColumn("__row", F.col(order_by[0]).cast("bigint"))
+    else:
+        keyed = work.materialize(
+            df.orderBy(*order_by).withColumn("__row", F.monotonically_increasing_id()), f"{name}/keyed")
     scope = (F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope_cols])
              if scope_cols else F.lit("table"))
     cells = keyed.select(

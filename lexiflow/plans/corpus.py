@@ -45,7 +45,8 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
                      work: WorkDir | None = None) -> CorpusResult:
     """``files``: ``path, rel_dir, name, stem, suffix, ext, text`` (decoded text)."""
     work = work or work_dir(files.sparkSession)
-    meta = files.drop("text")
+    # metadata is read by every stage: write it once (small); the text is scanned only for content
+    meta = work.materialize(files.drop("text"), "corpus/meta")
     folders = work.materialize(translate_folders(meta, root_name, translator, settings, work), "corpus/folders")
     dirs = translate_dir_paths(folders, root_name)
     named = work.materialize(translate_file_names(meta, dirs, translator, settings, work), "corpus/files")

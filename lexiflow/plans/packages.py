@@ -211,10 +211,12 @@ def translate_packages(packages: DataFrame, parts: DataFrame, translator, settin
     rewritten = (sheets.unionByName(drawings_x).unionByName(sst_x).unionByName(body_x).unionByName(wb_x)
                  .unionByName(app_x).unionByName(styles_x).unionByName(ct_x))
 
-    out = (p.filter(F.col("kind") != "drop").select("path", "ord", "part", "data")
+    out = (p.filter(F.col("kind") != "drop").select("path", "ord", "part", "data", "xml", "date_time", "compress_type")
            .join(rewritten.select("path", "part", F.col("xml").alias("new_xml")), key, "left")
            .select("path", "ord", "part",
                    F.when(F.col("new_xml").isNotNull(), F.encode("new_xml", "UTF-8")).otherwise(F.col("data"))
-                   .alias("data")))
+                   .alias("data"),
+                   (F.col("new_xml").isNotNull() & (F.col("new_xml") != F.col("xml"))).alias("changed"),
+                   "date_time", "compress_type"))
     errors = bad.unionByName(batch.errors.select(scope_path("scope").alias("path"), "stage", "error"))
     return PackageResult(out, batch, errors)

@@ -85,11 +85,12 @@ PACK_SCHEMA = T.StructType([
 
 
 def write_packages(parts: DataFrame, dst_root: str) -> DataFrame:
-    """K3: parts (``path, path_out, ord, part, data, changed``) -> one zip per package.
+    """K3: parts (``path, path_out, ord, part, data, changed, date_time,
+    compress_type``) -> one zip per package.
 
-    Members keep their order; rewritten members are deflated, untouched
-    ones are copied with their original metadata where possible.  One group
-    is one package, bounded by that package.
+    Members keep their order; rewritten members get fresh metadata and are
+    deflated, untouched ones keep their timestamp and compression.  One
+    group is one package, bounded by that package.
     """
     dst_root = os.path.abspath(dst_root)
 
@@ -101,9 +102,14 @@ def write_packages(parts: DataFrame, dst_root: str) -> DataFrame:
         try:
             os.makedirs(os.path.dirname(target), exist_ok=True)
             with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-                for part, data in zip(pdf["part"], pdf["data"]):
-                    info = zipfile.ZipInfo(part)
-                    info.compress_type = zipfile.ZIP_DEFLATED
+                for part, data, changed, dt, ct in zip(pdf["part"], pdf["data"], pdf["changed"],
+                                                       pdf["date_time"], pdf["compress_type"]):
+                    if changed or dt is None:
+                        info = zipfile.ZipInfo(part)
+                        info.compress_type = zipfile.ZIP_DEFLATED
+                    else:
+                        info = zipfile.ZipInfo(part, date_time=tuple(int(x) for x in dt))
+                        info.compress_type = int(ct)
                     z.writestr(info, bytes(data))
             os.replace(tmp, target)
             return pd.DataFrame([(path, out, os.path.getsize(target), None)], columns=PACK_SCHEMA.fieldNames())
@@ -112,4 +118,5 @@ def write_packages(parts: DataFrame, dst_root: str) -> DataFrame:
                 os.remove(tmp)
             return pd.DataFrame([(path, out, 0, f"{type(exc).__name__}: {exc}")], columns=PACK_SCHEMA.fieldNames())
 
-    return parts.select("path", "path_out", "ord", "part", "data").groupBy("path").applyInPandas(run, PACK_SCHEMA)
+    return (parts.select("path", "path_out", "ord", "part", "data", "changed", "date_time", "compress_type")
+            .groupBy("path").applyInPandas(run, PACK_SCHEMA))

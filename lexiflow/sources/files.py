@@ -114,6 +114,8 @@ PART_SCHEMA = T.StructType([
     T.StructField("part", T.StringType()),
     T.StructField("data", T.BinaryType()),
     T.StructField("error", T.StringType()),
+    T.StructField("date_time", T.ArrayType(T.IntegerType())),
+    T.StructField("compress_type", T.IntegerType()),
 ])
 
 
@@ -130,9 +132,10 @@ def archive_parts(packages: DataFrame, content_col: str = "content") -> DataFram
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
                         for i, info in enumerate(z.infolist()):
-                            out.append((path, i, info.filename, z.read(info.filename), None))
+                            out.append((path, i, info.filename, z.read(info.filename), None,
+                                        list(info.date_time), info.compress_type))
                 except Exception as exc:  # noqa: BLE001
-                    out.append((path, -1, None, None, f"{type(exc).__name__}: {exc}"))
+                    out.append((path, -1, None, None, f"{type(exc).__name__}: {exc}", None, None))
             yield pd.DataFrame(out, columns=PART_SCHEMA.fieldNames())
 
     return packages.select("path", content_col).mapInPandas(run, PART_SCHEMA)

@@ -100,6 +100,11 @@ def test_translate_folder(spark, tree):
         drawing = z.read("xl/drawings/drawing1.xml").decode()
         assert m("表求").replace("<", "&lt;").replace(">", "&gt;") in drawing and 'typeface="Arial"' in drawing
         assert 'val="Arial"' in z.read("xl/styles.xml").decode()
+        # untouched members keep their timestamp; rewritten ones are fresh
+        with zipfile.ZipFile(src / "book.xlsx") as zs:
+            assert z.getinfo("xl/worksheets/_rels/sheet1.xml.rels").date_time == \
+                zs.getinfo("xl/worksheets/_rels/sheet1.xml.rels").date_time
+        assert z.getinfo("xl/workbook.xml").compress_type == zipfile.ZIP_DEFLATED
     with zipfile.ZipFile(dst / "doc.docx") as z:
         body = z.read("word/document.xml").decode()
         assert "<w:t>" + m("日本語").replace("<", "&lt;").replace(">", "&gt;") + "</w:t>" in body
