@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..session import WorkDir, work_dir
+from ..functions.script import is_translatable
 from .batch import BatchResult, batch_translate
 
 
@@ -54,8 +55,15 @@ def translate_columns(df: DataFrame, cols: list[str], translator, order_by: list
     batch = batch_translate(cells, translator, settings, work, name)
     t = batch.translations.select("scope", "text", "text_en")
     out = keyed.withColumn("__scope", scope)
+    # rows without any translatable cell skip the joins entirely
+    needs = None
+    for c in cols:
+        e = F.coalesce(is_translatable(F.col(c).cast("string"), settings.profile), F.lit(False))
+        needs = e if needs is None else (needs | e)
+    todo, rest = out.filter(needs), out.filter(~needs)
     for c in cols:
         tc = t.select(F.col("scope").alias("__scope"), F.col("text").alias(c), F.col("text_en").alias(f"__en_{c}"))
-        out = (out.join(tc, ["__scope", c], "left")
-               .withColumn(c, F.coalesce(F.col(f"__en_{c}"), F.col(c))).drop(f"__en_{c}"))
+        todo = (todo.join(tc, ["__scope", c], "left")
+                .withColumn(c, F.coalesce(F.col(f"__en_{c}"), F.col(c))).drop(f"__en_{c}"))
+    out = todo.unionByName(rest)
     return ColumnsResult(out.drop("__row", "__scope").select(*df.columns), batch)

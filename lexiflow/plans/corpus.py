@@ -72,19 +72,20 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
 
     failed = batch.errors.select(F.col("scope").alias("path"), "stage", "error")
     bad = failed.select("path").distinct().withColumn("failed", F.lit(True))
-    out = (src.select("path", "handler", F.col("text").alias("original"))
-           .join(named.select("path", "name", "dir_en", "path_en"), "path")
+    # the original text is fetched again only for failed files (K7); others carry the rebuilt text
+    originals = src.select("path", F.col("text").alias("original")).join(bad.select("path"), "path", "left_semi")
+    out = (named.select("path", "name", "dir_en", "path_en", handler_of("ext").alias("handler"))
            .join(rebuilt, "path", "left")
-           .join(bad, "path", "left"))
+           .join(bad, "path", "left")
+           .join(originals, "path", "left"))
     orig_path = F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")), F.col("name"))
+    is_text = F.col("handler").isin("lines", "csv")
     out = out.select(
         "path",
         F.when(F.col("failed"), orig_path).otherwise(F.col("path_en")).alias("path_out"),
         "handler",
-        F.when(F.col("failed"), "error").when(F.col("handler").isin("lines", "csv"), "ok")
-        .otherwise(F.col("handler")).alias("status"),
-        F.when(F.col("failed") | ~F.col("handler").isin("lines", "csv") | F.col("text").isNull(), F.col("original"))
-        .otherwise(F.col("text")).alias("text"))
+        F.when(F.col("failed"), "error").when(is_text, "ok").otherwise(F.col("handler")).alias("status"),
+        F.when(F.col("failed"), F.col("original")).when(is_text, F.col("text")).alias("text"))
     name_errors = (folders.filter(F.col("how") == "error").select(F.col("dir").alias("path"),
                                                                   F.lit("folder_name").alias("stage"),
                                                                   F.lit("name call failed").alias("error")))
