@@ -76,7 +76,7 @@ class Settings:
     price_output_per_m: float = 15.00
     overhead_factor: float = 1.3
     # execution knobs (not semantics)
-    pack_segment_units: int = 50_000   # max units one packing task holds
+    pack_segment_units: int = 200_000  # max units one packing group holds (numbers only)
     call_partitions: int | None = None  # tasks for the model stage; None = default parallelism
     call_batch_rows: int = 4            # Arrow batch size in the model stage
     # behaviour options (defaults reproduce the reference)

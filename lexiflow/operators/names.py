@@ -22,8 +22,8 @@ def folder_table(files: DataFrame, root_name: str) -> DataFrame:
     """Every folder that holds a file, and all its ancestors.
 
     ``files`` has ``rel_dir`` ('' at the top, parts joined by '/').  Output:
-    ``dir, name, level (1 = top), parent_name, context``.  Empty folders come
-    from the listing (S1) as rows with ``rel_dir`` set and a null ``name``.
+    ``dir, name, level (1 = top), parent_name, context``.  Folders without
+    files are passed in as ``rel_dir`` rows by the folder job.
     """
     dirs = files.select("rel_dir").filter(F.col("rel_dir") != "").distinct()
     parts = dirs.select(F.split("rel_dir", "/").alias("p"))
@@ -58,11 +58,12 @@ def translate_names(names: DataFrame, translator, settings: Settings, work: Work
 
 
 def translate_folders(files: DataFrame, root_name: str, translator, settings: Settings = DEFAULT,
-                      work: WorkDir | None = None) -> DataFrame:
-    """Stage A: ``dir, name, level, context, name_en, how``."""
+                      work: WorkDir | None = None, table: str = "names/folders") -> DataFrame:
+    """Stage A: ``dir, name, level, context, name_en, how``.  The calls are
+    written to ``table`` in the work folder (one table per stage)."""
     work = work or work_dir(files.sparkSession)
     folders = folder_table(files, root_name)
-    names = translate_names(folders, translator, settings, work, "names/folders")
+    names = translate_names(folders, translator, settings, work, table)
     return folders.join(names.select("name", "context", "name_en", "how"), ["name", "context"], "left")
 
 
@@ -84,7 +85,7 @@ def translate_dir_paths(folders_en: DataFrame, root_name: str) -> DataFrame:
 
 
 def translate_file_names(files: DataFrame, dir_paths: DataFrame, translator, settings: Settings = DEFAULT,
-                         work: WorkDir | None = None) -> DataFrame:
+                         work: WorkDir | None = None, table: str = "names/files") -> DataFrame:
     """Stage B: files + ``folder_context, stem_en, name_en, path_en``.
 
     Two files whose translated paths collide (Q11) get ``_2``, ``_3``... on
@@ -94,7 +95,7 @@ def translate_file_names(files: DataFrame, dir_paths: DataFrame, translator, set
     f = files.join(dir_paths, "rel_dir", "left")
     f = f.withColumn("name_context", file_name_context("folder_context"))
     names = translate_names(f.select(F.col("stem").alias("name"), F.col("name_context").alias("context")),
-                            translator, settings, work, "names/files")
+                            translator, settings, work, table)
     f = (f.join(names.select(F.col("name").alias("stem"), F.col("context").alias("name_context"),
                              F.col("name_en").alias("stem_en0")), ["stem", "name_context"], "left")
          .withColumn("stem_en0", F.coalesce("stem_en0", "stem")))

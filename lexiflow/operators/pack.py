@@ -190,7 +190,12 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     sch_sum = _summary_schema(scope_type)
 
     def summarize(batches):
-        rows = [_summarize(g, B, K) for g in iter_groups(batches, ["scope", "seg"], ["scope", "seg", "ord", "est"])]
+        rows = []
+        for g in iter_groups(batches, ["scope", "seg"], ["scope", "seg", "ord", "est"]):
+            rows.append(_summarize(g, B, K))
+            if len(rows) >= 10_000:      # stream out: memory is one batch, not one partition
+                yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
+                rows = []
         if rows:
             yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
 
@@ -199,10 +204,15 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     if _STOP_AT == "summaries":
         return summaries
 
+    entry_cols = ["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before"]
+
     def stitch(batches):
-        rows = []
+        # a sequential fold over each scope's segment rows, in seg order; the
+        # state is O(1) and rows stream out per batch, so a scope with millions
+        # of segments is a long stream, never a group held in memory
         scope, state, started = object(), None, 0
         for pdf in batches:
+            rows = []
             for r in pdf.itertuples(index=False):
                 if r.scope != scope:
                     scope, state, started = r.scope, None, 0
@@ -220,8 +230,8 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
                     state = (int(r.cand_exit_cnt[b]), int(r.cand_exit_budget[b]), int(r.cand_last_ord[b]))
                 else:
                     state = (state[0] + n, state[1] + int(r.total_est), state[2])
-        if rows:
-            yield pd.DataFrame(rows, columns=["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before"])
+            if rows:
+                yield pd.DataFrame(rows, columns=entry_cols)
 
     entries = (summaries.repartition("scope").sortWithinPartitions("scope", "seg")
                .mapInPandas(stitch, _entry_schema(scope_type)))

@@ -39,6 +39,7 @@ class CorpusResult:
     folders: DataFrame      # stage A output
     batch: BatchResult
     errors: DataFrame       # path, stage, error
+    name_calls: DataFrame   # one row per name call made (stages A and B), with tokens
 
 
 def translate_corpus(files: DataFrame, root_name: str, translator, settings: Settings = DEFAULT,
@@ -89,7 +90,15 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
     name_errors = (folders.filter(F.col("how") == "error").select(F.col("dir").alias("path"),
                                                                   F.lit("folder_name").alias("stage"),
                                                                   F.lit("name call failed").alias("error")))
-    return CorpusResult(out, named, folders, batch, failed.unionByName(name_errors))
+    spark = files.sparkSession
+    calls = (spark.read.parquet(work.table("names/folders")).unionByName(spark.read.parquet(work.table("names/files"))))
+    return CorpusResult(out, named, folders, batch, failed.unionByName(name_errors), calls)
+
+
+def corpus_usage(result: CorpusResult, settings: Settings = DEFAULT) -> DataFrame:
+    """A8 for a whole run: content chunks, single fallbacks and every name call."""
+    from ..operators.estimate import usage_totals
+    return usage_totals(result.batch, result.name_calls.select("input_tokens", "output_tokens"), settings=settings)
 
 
 def error_summary(result: CorpusResult) -> DataFrame:

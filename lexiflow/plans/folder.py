@@ -74,7 +74,7 @@ def translate_folder(spark: SparkSession, src: str, dst: str, translator, settin
     empty_en = None
     if not dirs.isEmpty():
         ef = dirs.select(F.col("dir").alias("rel_dir"))
-        f_en = translate_folders(ef, root_name, translator, settings, work)
+        f_en = translate_folders(ef, root_name, translator, settings, work, table="names/empty_folders")
         empty_en = translate_dir_paths(f_en, root_name).filter(F.col("rel_dir") != "")
 
     written = write_files(text_out.unionByName(plain_copy).unionByName(pk_bad), dst)

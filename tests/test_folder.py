@@ -134,3 +134,17 @@ def test_estimate_folder(spark, tree):
     assert t.name_calls == 6 + 1
     assert t.total_chars == 9 + 5 + 7 + 11 + 3
     assert t.est_input_tokens == int(35 * 1.4) + 7 * 300
+
+
+def test_corpus_usage_counts_names_and_content(spark, tree):
+    from lexiflow.plans.corpus import corpus_usage
+    src, dst = tree
+    res = translate_folder(spark, str(src), str(dst), MockTranslator(), S)
+    u = corpus_usage(res.corpus).first()
+    # mock usage: input = characters sent, output = characters returned (+4 per answer)
+    calls = res.corpus.name_calls.filter("status = 'ok'").collect()
+    names_in = sum(len(r.name) for r in calls)
+    content = res.corpus.batch.responses.agg({"input_tokens": "sum"}).first()[0]
+    assert u.input_tokens == names_in + content
+    assert u.output_tokens > u.input_tokens
+    assert abs(u.cost_usd - (u.input_tokens * 3 + u.output_tokens * 15) / 1e6) < 1e-12
