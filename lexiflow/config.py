@@ -78,7 +78,7 @@ class Settings:
     # execution knobs (not semantics)
     pack_segment_units: int = 200_000  # max units one packing group holds (numbers only)
     call_partitions: int | None = None  # tasks for the model stage; None = default parallelism
-    call_batch_rows: int = 4            # Arrow batch size in the model stage
+    call_batch_rows: int = 64           # Arrow batch size in the model stage (rows = calls)
     # behaviour options (defaults reproduce the reference)
     reject_blank: bool = False          # Q6: refuse a reply whose items are blank
     strip_phonetic: bool = False        # Q3: leave ruby text out of the string sent

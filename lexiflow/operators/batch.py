@@ -3,7 +3,7 @@
 ::
 
     units --F1/F2--> A1 dedup --C2 est--> [unique_units]            (written)
-      --W1 pack--> assignments --join text, collect per chunk--> chunks
+      --W1 pack--> assignments --join text, collect per chunk--> [chunks]   (written)
       --T2 model stage--> [responses]                                (written, paid)
       --J3 zip--> chunk translations ; missing positions (J2)
       --T3 model stage--> [singles]                                  (written, paid)
@@ -88,14 +88,17 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
         uu = work.materialize(uu_all.join(mem.select(*memory_key), list(memory_key), "left_anti"),
                               f"{name}/new_units")
     assignments = pack_chunks(uu.select("scope", "ord", "est"), settings)
-    chunks = assemble_chunks(uu, assignments)
-    responses = work.materialize(call_chunks(chunks, translator, settings), f"{name}/responses")
+    # the paid stage's exact input is written first: packing runs with normal Arrow
+    # batches, and a retried model stage re-reads fixed chunks
+    chunks = work.materialize(assemble_chunks(uu, assignments), f"{name}/chunks")
+    call_conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}
+    responses = work.materialize(call_chunks(chunks, translator, settings), f"{name}/responses", call_conf)
 
     zipped = zip_responses(responses)
     chunk_errors = (responses.filter(F.col("status") == "error")
                     .select("scope", F.lit("chunk").alias("stage"), "error"))
     missing = missing_positions(zipped).join(chunk_errors.select("scope"), "scope", "left_anti")
-    singles = work.materialize(call_singles(missing, translator, settings), f"{name}/singles")
+    singles = work.materialize(call_singles(missing, translator, settings), f"{name}/singles", call_conf)
     single_errors = (singles.filter(F.col("status") == "error")
                      .select("scope", F.lit("single").alias("stage"), "error"))
     errors = chunk_errors.unionByName(single_errors)

@@ -46,7 +46,8 @@ def translate_names(names: DataFrame, translator, settings: Settings, work: Work
     ``how`` ('model' | 'kept' | 'error'), tokens and ``error``.
     """
     todo = names.select("name", "context").filter(_needs_call("name", settings)).distinct()
-    called = work.materialize(call_names(todo, translator, settings), table)
+    called = work.materialize(call_names(todo, translator, settings), table,
+                              {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows})
     kept = (names.select("name", "context").filter(~_needs_call("name", settings)).distinct()
             .select("name", "context", F.col("name").alias("name_en"), F.lit("kept").alias("how"),
                     F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),

@@ -64,10 +64,23 @@ class WorkDir:
     def table(self, name: str) -> str:
         return os.path.join(self.path, name)
 
-    def materialize(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a Parquet table and return a DataFrame reading it."""
+    def materialize(self, df: DataFrame, name: str, conf: dict | None = None) -> DataFrame:
+        """Write ``df`` as a Parquet table and return a DataFrame reading it.
+
+        ``conf``: session settings that apply to this write only (restored after).
+        """
         p = self.table(name)
-        df.write.mode("overwrite").parquet(p)
+        old = {k: self.spark.conf.get(k, None) for k in (conf or {})}
+        try:
+            for k, v in (conf or {}).items():
+                self.spark.conf.set(k, str(v))
+            df.write.mode("overwrite").parquet(p)
+        finally:
+            for k, v in old.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         return self.spark.read.parquet(p)
 
     def exists(self, name: str) -> bool:
