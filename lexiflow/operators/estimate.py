@@ -41,31 +41,19 @@ def name_calls(folder_names: DataFrame, stems: DataFrame, tab_names: DataFrame |
                settings: Settings = DEFAULT) -> DataFrame:
     """A4: distinct source-script folder names and file stems (one shared set),
     plus every source-script tab name without dedup.  One row: ``name_calls``.
+
+    One aggregation over a tagged union (no join between the two counts).
     """
-    names = (folder_names.select(F.col("name").alias("n"))
-             .unionByName(stems.select(F.col("stem").alias("n")))
-             .filter(has_script("n", settings.profile)))
-    distinct = names.agg(F.countDistinct("n").alias("k"))
-    if tab_names is None:
-        return distinct.select(F.col("k").cast("bigint").alias("name_calls"))
-    tabs = tab_names.filter(has_script("name", settings.profile)).agg(F.count(F.lit(1)).alias("t"))
-    return distinct.crossJoin(tabs).select((F.col("k") + F.col("t")).cast("bigint").alias("name_calls"))
+    names = (folder_names.select(F.col("name").alias("n"), F.lit(0).alias("tab"))
+             .unionByName(stems.select(F.col("stem").alias("n"), F.lit(0).alias("tab"))))
+    if tab_names is not None:
+        names = names.unionByName(tab_names.select(F.col("name").alias("n"), F.lit(1).alias("tab")))
+    names = names.filter(has_script("n", settings.profile))
+    return names.agg((F.countDistinct(F.when(F.col("tab") == 0, F.col("n")))
+                      + F.count(F.when(F.col("tab") == 1, F.lit(1)))).cast("bigint").alias("name_calls"))
 
 
-def corpus_estimate(units: DataFrame, name_calls: DataFrame | int | None = None,
-                    settings: Settings = DEFAULT) -> DataFrame:
-    """A5 + C14: one row with totals, token estimates and dollars.
-
-    ``nothing_to_do`` is true for a corpus without source-script content or
-    names (the reference prints a message and stops there).
-    """
-    total = units.select(script_char_count("text", settings.profile).alias("c")).agg(
-        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("total_chars"))
-    if isinstance(name_calls, DataFrame):
-        total = total.crossJoin(name_calls.select("name_calls"))
-    else:
-        total = total.withColumn("name_calls", F.lit(int(name_calls or 0)).cast("bigint"))
-    s = settings
+def _estimate_columns(total: DataFrame, s: Settings) -> DataFrame:
     return (total
             .withColumn("est_input_tokens", est_input_tokens("total_chars", "name_calls", s))
             .withColumn("est_output_tokens", est_output_tokens("total_chars", "name_calls", s))
@@ -76,6 +64,28 @@ def corpus_estimate(units: DataFrame, name_calls: DataFrame | int | None = None,
             .withColumn("nothing_to_do", (F.col("total_chars") == 0) & (F.col("name_calls") == 0)))
 
 
+def corpus_estimate(units: DataFrame, name_calls: DataFrame | int | None = None,
+                    settings: Settings = DEFAULT) -> DataFrame:
+    """A5 + C14: one row with totals, token estimates and dollars.
+
+    ``nothing_to_do`` is true for a corpus without source-script content or
+    names (the reference prints a message and stops there).  The character
+    total and the name-call count come out of one aggregation over a tagged
+    union, so no join is needed.
+    """
+    chars = units.select(script_char_count("text", settings.profile).cast("bigint").alias("c"),
+                         F.lit(None).cast("bigint").alias("k"))
+    if isinstance(name_calls, DataFrame):
+        chars = chars.unionByName(name_calls.select(F.lit(None).cast("bigint").alias("c"),
+                                                    F.col("name_calls").cast("bigint").alias("k")))
+        k = F.coalesce(F.max("k"), F.lit(0))
+    else:
+        k = F.lit(int(name_calls or 0))
+    total = chars.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("total_chars"),
+                      k.cast("bigint").alias("name_calls"))
+    return _estimate_columns(total, settings)
+
+
 def usage_totals(*results, settings: Settings = DEFAULT) -> DataFrame:
     """Tokens and dollars actually used, summed over model-stage tables.
 
@@ -94,3 +104,33 @@ def usage_totals(*results, settings: Settings = DEFAULT) -> DataFrame:
     agg = u.agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("bigint").alias("input_tokens"),
                 F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("bigint").alias("output_tokens"))
     return agg.withColumn("cost_usd", cost_usd("input_tokens", "output_tokens", settings))
+
+
+def usage_report(units: DataFrame, *results, name_calls: DataFrame | int | None = None,
+                 settings: Settings = DEFAULT) -> DataFrame:
+    """The estimate of a corpus next to the usage of its run, one row.
+
+    Estimate inputs and usage rows are one tagged union and one aggregation.
+    """
+    parts = [units.select(script_char_count("text", settings.profile).cast("bigint").alias("c"),
+                          F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("i"),
+                          F.lit(None).cast("bigint").alias("o"))]
+    if isinstance(name_calls, DataFrame):
+        parts.append(name_calls.select(F.lit(None).cast("bigint").alias("c"), F.col("name_calls").cast("bigint").alias("k"),
+                                       F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("bigint").alias("o")))
+    for r in results:
+        frames = [r] if isinstance(r, DataFrame) else [r.responses, r.singles]
+        for f in frames:
+            parts.append(f.select(F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("k"),
+                                  F.col("input_tokens").cast("bigint").alias("i"),
+                                  F.col("output_tokens").cast("bigint").alias("o")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    k = F.coalesce(F.max("k"), F.lit(0)) if isinstance(name_calls, DataFrame) else F.lit(int(name_calls or 0))
+    agg = u.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("total_chars"),
+                k.cast("bigint").alias("name_calls"),
+                F.coalesce(F.sum("i"), F.lit(0)).cast("bigint").alias("input_tokens"),
+                F.coalesce(F.sum("o"), F.lit(0)).cast("bigint").alias("output_tokens"))
+    return (_estimate_columns(agg, settings)
+            .withColumn("cost_usd", cost_usd("input_tokens", "output_tokens", settings)))

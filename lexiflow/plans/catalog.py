@@ -174,12 +174,9 @@ def q_passthrough_docs(spark, sf):
 
 def q_usage_report(spark, sf):
     """The run's actual usage next to the estimate of the same corpus."""
-    from ..operators.estimate import usage_totals, corpus_estimate
+    from ..operators.estimate import usage_report
     lines, res = _run(spark, sf, "mock")
-    est = corpus_estimate(lines.select(F.col("scope").cast("string").alias("path"), "text"),
-                          name_calls=None)
-    act = usage_totals(res)
-    return est.crossJoin(act)
+    return usage_report(lines.select(F.col("scope").cast("string").alias("path"), "text"), res)
 
 
 # --- estimate, names, routing, columns ---------------------------------------
