@@ -492,6 +492,122 @@ def q_stream_translate_documents(spark, sf):
     return spark.read.parquet(w.table("stream_out")).select("doc_id", "text")
 
 
+# --- package parts as rows (S7 S12 S13 J5 J6 R4 R7 K4 C10) -----------------------------
+
+def workbook_parts(spark, sf):
+    """A workbook part per ``wb`` of ``part``: one <sheet> per part, in key order."""
+    from ..operators.markup import attr_escape
+    t = _tabs(spark, sf).withColumn("tab", F.concat("jp", F.col("p_partkey").cast("string")))
+    return (t.groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "tab"))).alias("s"))
+            .select("wb", F.concat(F.lit("<workbook><sheets>"), F.array_join(F.transform("s", lambda x: F.concat(
+                F.lit('<sheet name="'), attr_escape(x["tab"]), F.lit('" sheetId="'), x["p_partkey"].cast("string"),
+                F.lit('"/>'))), ""), F.lit("</sheets></workbook>")).alias("xml")))
+
+
+def q_workbook_rename(spark, sf):
+    """S12 -> T1 (scope = workbook) -> C11 + W4 -> R7 over the whole part table."""
+    from ..operators.markup import rename_tabs, unique_tab_names
+    from ..sources.markup import tab_names
+    wbs = workbook_parts(spark, sf)
+    tabs = tab_names(wbs, "xml", ["wb"])
+    res = batch_translate(tabs.select(F.col("wb").alias("scope"), F.col("i").cast("bigint").alias("ord"),
+                                      F.col("name").alias("text"), F.lit("workbook").alias("context")),
+                          MockTranslator(), MOCK_SETTINGS, work_dir(spark), "workbook")
+    tr = res.translations.select(F.col("scope").alias("wb"), F.col("text").alias("name"), F.col("text_en").alias("name_en"))
+    uniq = unique_tab_names(tabs.join(tr, ["wb", "name"], "left").select("wb", F.col("i").alias("pos"), "name",
+                                                                           "name_en"), ["wb"])
+    m = (uniq.filter(F.col("tab_en").isNotNull()).groupBy("wb")
+         .agg(F.collect_list(F.struct(F.col("name").alias("jp"), F.col("tab_en").alias("en"))).alias("m")))
+    return wbs.join(m, "wb", "left").select("wb", F.when(F.col("m").isNotNull(), rename_tabs("xml", "m"))
+                                            .otherwise(F.col("xml")).alias("xml"))
+
+
+def q_string_table_rewrite(spark, sf):
+    """S9 -> T1 (scope = part) -> R4 (+ R8 font rule) on every benchmark part."""
+    from ..operators.markup import fonts_string_table, py_rewrite_string_table
+    from ..sources.markup import string_table_entries
+    from .packages import _apply_python, _map_per_scope
+    parts = string_table_parts(spark, sf)
+    e = string_table_entries(parts, "xml", ["item_id"])
+    scope = F.concat_ws("\u0001", F.col("item_id").cast("string"), F.lit("xl/sharedStrings.xml"))
+    res = batch_translate(e.select(scope.alias("scope"), F.col("i").cast("bigint").alias("ord"), "text",
+                                   F.lit("book").alias("context")), MockTranslator(), MOCK_SETTINGS,
+                          work_dir(spark), "sst")
+    rows = parts.select(F.col("item_id").cast("string").alias("path"), F.lit("xl/sharedStrings.xml").alias("part"), "xml")
+    out = _apply_python(rows, _map_per_scope(res.translations), py_rewrite_string_table)
+    return out.select(F.col("path").cast("bigint").alias("item_id"), fonts_string_table("xml").alias("xml"))
+
+
+def docx_parts(spark, sf):
+    """A word body per document: one paragraph per line, split into two runs at
+    the first space; blank lines become runless paragraphs."""
+    from ..functions.text import xml_escape
+    lines = jp_lines(spark, sf)
+    before = F.substring_index("text", " ", 1)
+    after = F.substring(F.col("text"), F.length(before) + 1, 1 << 30)
+    para = F.when(F.col("text") == "", F.lit("<w:p><w:pPr/></w:p>")).otherwise(F.concat(
+        F.lit("<w:p><w:r><w:t>"), xml_escape(before), F.lit('</w:t></w:r><w:r><w:t xml:space="preserve">'),
+        xml_escape(after), F.lit("</w:t></w:r></w:p>")))
+    return (lines.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("ord", para.alias("p")))).alias("s"))
+            .select(F.col("scope").alias("doc_id"),
+                    F.concat(F.lit("<w:body>"), F.array_join(F.col("s.p"), ""), F.lit("</w:body>")).alias("xml")))
+
+
+def q_docx_paragraphs(spark, sf):
+    """Paragraph texts of every body, runs joined, in order."""
+    from ..functions.text import xml_unescape
+    from .packages import W_PARA, W_T
+    d = docx_parts(spark, sf)
+    p = d.select("doc_id", F.posexplode(F.regexp_extract_all("xml", F.lit(W_PARA), 0)).alias("i", "p"))
+    return p.select("doc_id", "i", F.array_join(F.transform(F.regexp_extract_all("p", F.lit(W_T), 1), xml_unescape),
+                                                "").alias("text"))
+
+
+def q_docx_rewrite(spark, sf):
+    """S7 -> T1 (scope = body) -> K4 on every document body."""
+    from .packages import _apply_python, py_rewrite_paragraphs
+    from .packages import _map_per_scope
+    paras = q_docx_paragraphs(spark, sf)
+    scope = F.concat_ws("\u0001", F.col("doc_id").cast("string"), F.lit("word/document.xml"))
+    res = batch_translate(paras.select(scope.alias("scope"), F.col("i").cast("bigint").alias("ord"), "text",
+                                       F.lit("document").alias("context")), MockTranslator(), MOCK_SETTINGS,
+                          work_dir(spark), "docx")
+    rows = docx_parts(spark, sf).select(F.col("doc_id").cast("string").alias("path"),
+                                        F.lit("word/document.xml").alias("part"), "xml")
+    out = _apply_python(rows, _map_per_scope(res.translations), py_rewrite_paragraphs)
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "xml")
+
+
+def q_drawing_discovery(spark, sf):
+    """S13 + J5: per page a package whose sheet rels name a drawing target, every
+    third one none (standard-folder fallback); only existing parts count."""
+    from ..sources.markup import DRAWING_REL, drawing_parts
+    from .fixtures import table
+    pg = table(spark, sf, "pages").select("page_id")
+    path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".xlsx"))
+    rel = F.concat(F.lit('<Relationships><Relationship Type="' + DRAWING_REL + '" Target="../drawings/d'),
+                   F.col("page_id").cast("string"), F.lit('.xml"/></Relationships>'))
+    has_rel = F.col("page_id") % 3 != 0
+    rows = (pg.select(path.alias("path"), F.lit("xl/worksheets/_rels/sheet1.xml.rels").alias("part"),
+                      F.encode(rel, "UTF-8").alias("data"), has_rel.alias("keep"))
+            .unionByName(pg.select(path.alias("path"), F.concat(F.lit("xl/drawings/d"), F.col("page_id").cast("string"),
+                                                                F.lit(".xml")).alias("part"),
+                                   F.encode(F.lit("<x/>"), "UTF-8").alias("data"), F.lit(True).alias("keep")))
+            .unionByName(pg.select(path.alias("path"), F.lit("xl/drawings/extra.xml").alias("part"),
+                                   F.encode(F.lit("<x/>"), "UTF-8").alias("data"), F.lit(True).alias("keep"))))
+    return drawing_parts(rows.filter("keep").drop("keep"))
+
+
+def q_name_clean(spark, sf):
+    """C10 on quoted model answers derived from every benchmark text."""
+    from ..functions.text import clean_name
+    from .fixtures import table
+    b = table(spark, sf, "benchmark")
+    w = F.regexp_extract("text", r"^\S+", 0)
+    raw = F.concat(F.lit(" \"'"), w, F.lit("'\"\n"))
+    return b.select("item_id", raw.alias("raw"), clean_name(raw).alias("name"))
+
+
 QUERIES = {
     "lines_explode": q_lines_explode,
     "filter_script": q_filter_script,
@@ -538,4 +654,10 @@ QUERIES = {
     "quarantine_split": q_quarantine_split,
     "memory_translate": q_memory_translate,
     "stream_translate_documents": q_stream_translate_documents,
+    "workbook_rename": q_workbook_rename,
+    "string_table_rewrite": q_string_table_rewrite,
+    "docx_paragraphs": q_docx_paragraphs,
+    "docx_rewrite": q_docx_rewrite,
+    "drawing_discovery": q_drawing_discovery,
+    "name_clean": q_name_clean,
 }

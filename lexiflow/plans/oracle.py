@@ -432,3 +432,49 @@ SQL["quarantine_split"] = _corpus_sql(True)
 
 SQL["memory_translate"] = with_(DOC_CTES) + f"SELECT doc_id, text, {mock('text')} AS text_en, 'memory' AS how FROM uq"
 SQL["stream_translate_documents"] = SQL["translate_documents"]
+
+
+# --- package parts as rows ---------------------------------------------------------
+
+SQL["workbook_rename"] = with_(_TABS) + f"""
+SELECT wb, '<workbook><sheets>' || string_agg('<sheet name="' || {mock("jp || CAST(p_partkey AS VARCHAR)")}
+       || '" sheetId="' || CAST(p_partkey AS VARCHAR) || '"/>', '' ORDER BY p_partkey) || '</sheets></workbook>' AS xml
+FROM t GROUP BY wb
+"""
+
+_BEFORE = "split_part(ss[k], ' ', 1)"
+_AFTER = f"substr(ss[k], length({_BEFORE}) + 2)"
+SQL["string_table_rewrite"] = f"""
+WITH b AS (SELECT item_id, string_split(translate(text, '{_A}', '{_J}'), '. ') AS ss FROM benchmark)
+SELECT item_id, '<sst>' || array_to_string(list_transform(range(1, len(ss) + 1), lambda k:
+         CASE WHEN (k - 1) % 2 = 1
+              THEN '<si><r><t>' || {_esc(mock(_BEFORE + " || " + _AFTER + " || 'ふりがな'"))}
+                   || '</t></r><r><rPr/><t xml:space="preserve"></t></r></si>'
+              WHEN {translatable('ss[k]')} THEN '<si><t>' || {_esc(mock('ss[k]'))} || '</t></si>'
+              ELSE '<si><t>' || {_esc('ss[k]')} || '</t></si>' END), '') || '</sst>' AS xml
+FROM b
+"""
+SQL["docx_paragraphs"] = with_(DOC_CTES) + "SELECT doc_id, CAST(ord AS INTEGER) AS i, text FROM lines_e"
+_B = "split_part(text, ' ', 1)"
+_DOCX_AFTER = _esc(f"substr(text, length({_B}) + 1)")
+SQL["docx_rewrite"] = with_(DOC_CTES) + f"""
+SELECT doc_id, '<w:body>' || string_agg(
+         CASE WHEN text = '' THEN '<w:p><w:pPr/></w:p>'
+              WHEN tr THEN '<w:p><w:r><w:t>' || {_esc(mock('text'))}
+                           || '</w:t></w:r><w:r><w:t xml:space="preserve"></w:t></w:r></w:p>'
+              ELSE '<w:p><w:r><w:t>' || {_esc(_B)} || '</w:t></w:r><w:r><w:t xml:space="preserve">'
+                   || {_DOCX_AFTER} || '</w:t></w:r></w:p>' END,
+         '' ORDER BY ord) || '</w:body>' AS xml
+FROM lines_e GROUP BY doc_id
+"""
+SQL["drawing_discovery"] = """
+SELECT 'p' || CAST(page_id AS VARCHAR) || '.xlsx' AS path, 'xl/drawings/d' || CAST(page_id AS VARCHAR) || '.xml' AS part
+FROM pages
+UNION ALL
+SELECT 'p' || CAST(page_id AS VARCHAR) || '.xlsx', 'xl/drawings/extra.xml' FROM pages WHERE page_id % 3 = 0
+"""
+_RAW_NAME = "' \"''' || regexp_extract(text, '^\\S+', 0) || '''\"' || chr(10)"
+SQL["name_clean"] = f"""
+SELECT item_id, raw, regexp_replace({_strip('raw')}, '^[\"'']+|[\"'']+$', '', 'g') AS name
+FROM (SELECT item_id, {_RAW_NAME} AS raw FROM benchmark)
+"""
