@@ -3,7 +3,7 @@
 ::
 
     units --F1/F2--> A1 dedup --C2 est--> [unique_units]            (written)
-      --W1 pack--> assignments --join text, collect per chunk--> [chunks]   (written)
+      --W1 pack (carrying text)--> [chunks]                          (written)
       --T2 model stage--> [responses]                                (written, paid)
       --J3 zip--> chunk translations ; missing positions (J2)
       --T3 model stage--> [singles]                                  (written, paid)
@@ -25,7 +25,7 @@ from ..config import DEFAULT, Settings
 from ..session import WorkDir, work_dir
 from .call import call_chunks, call_singles
 from .dedup import dedup_units
-from .pack import pack_chunks
+from .pack import pack_chunk_rows, pack_chunks  # noqa: F401  (pack_chunks: assignments only)
 
 
 @dataclass
@@ -49,6 +49,12 @@ def assemble_chunks(unique_units: DataFrame, assignments: DataFrame) -> DataFram
             .select("scope", "chunk_id", "chunk_no", "context", F.col("its.text").alias("items")))
 
 
+def chunk_assignments(chunks: DataFrame) -> DataFrame:
+    """W2 from chunk rows: ``scope, ord, chunk_id, chunk_no, pos`` (narrow)."""
+    return (chunks.select("scope", "chunk_id", "chunk_no", F.posexplode("ords").alias("i", "ord"))
+            .select("scope", "ord", "chunk_id", "chunk_no", (F.col("i") + 1).alias("pos")))
+
+
 def zip_responses(responses: DataFrame) -> DataFrame:
     """I-th input with i-th accepted output, one row per position."""
     return (responses
@@ -87,10 +93,12 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                  .select("scope", "context", "text", "text_en", F.lit("memory").alias("how")))
         uu = work.materialize(uu_all.join(mem.select(*memory_key), list(memory_key), "left_anti"),
                               f"{name}/new_units")
-    assignments = pack_chunks(uu.select("scope", "ord", "est"), settings)
-    # the paid stage's exact input is written first: packing runs with normal Arrow
-    # batches, and a retried model stage re-reads fixed chunks
-    chunks = work.materialize(assemble_chunks(uu, assignments), f"{name}/chunks")
+    # packing carries the text, so chunks come out assembled (no join back to the
+    # texts); the paid stage's exact input is written first: packing runs with
+    # normal Arrow batches, and a retried model stage re-reads fixed chunks
+    chunks = work.materialize(pack_chunk_rows(uu.select("scope", "ord", "est", "text", "context"), settings),
+                              f"{name}/chunks")
+    assignments = chunk_assignments(chunks)
     call_conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}
     responses = work.materialize(call_chunks(chunks, translator, settings), f"{name}/responses", call_conf)
 

@@ -170,23 +170,25 @@ def _summarize(g: dict, B: int, K: int) -> tuple:
 
 _STOP_AT = None  # profiling hook
 
+ENTRY_COLS = ["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before", "is_last"]
 
-def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Assign chunks to deduplicated units.
 
-    ``units`` needs ``scope`` (any type), ``ord`` (BIGINT, unique in the
-    scope) and ``est`` (INT).  Returns ``scope, ord, chunk_id, chunk_no, pos``.
+def _segments(units: DataFrame, settings: Settings, extra: list[str] | None = None) -> DataFrame:
+    M = settings.pack_segment_units
+    return units.select(
+        "scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"),
+        F.floor(F.col("ord") / F.lit(M)).cast("bigint").alias("seg"), *(extra or []))
 
-    Each pass is ``repartition`` by key + ``sortWithinPartitions`` + one
-    ``mapInPandas`` that walks the sorted groups of its partition, so Python
-    is entered once per Arrow batch, not once per group.
+
+def _entries(seg: DataFrame, settings: Settings) -> DataFrame:
+    """Passes 1 and 2: segment summaries, then the per-scope stitch.
+
+    One entry row per segment: first boundary ``entry_b``, the open chunk
+    carried in (``open_id``, ``open_cnt``), chunks started before, and
+    whether the segment is the scope's last.
     """
-    B, K, M = settings.chunk_token_budget, settings.chunk_max_strings, settings.pack_segment_units
-    scope_type = units.schema["scope"].dataType
-    seg = units.select(
-        "scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"),
-        F.floor(F.col("ord") / F.lit(M)).cast("bigint").alias("seg"),
-    )
+    B, K = settings.chunk_token_budget, settings.chunk_max_strings
+    scope_type = seg.schema["scope"].dataType
     sch_sum = _summary_schema(scope_type)
 
     def summarize(batches):
@@ -199,22 +201,24 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
 
-    summaries = (seg.repartition("scope", "seg").sortWithinPartitions("scope", "seg", "ord")
-                 .mapInPandas(summarize, sch_sum))
+    summaries = (seg.select("scope", "seg", "ord", "est").repartition("scope", "seg")
+                 .sortWithinPartitions("scope", "seg", "ord").mapInPandas(summarize, sch_sum))
     if _STOP_AT == "summaries":
         return summaries
 
-    entry_cols = ["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before"]
-
     def stitch(batches):
         # a sequential fold over each scope's segment rows, in seg order; the
         # state is O(1) and rows stream out per batch, so a scope with millions
-        # of segments is a long stream, never a group held in memory
-        scope, state, started = object(), None, 0
+        # of segments is a long stream, never a group held in memory.  A row is
+        # emitted once the next one is seen, to know the scope's last segment.
+        scope, state, started, pending = object(), None, 0, None
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                if r.scope != scope:
+                new_scope = r.scope != scope
+                if pending is not None:
+                    rows.append(pending + (new_scope,))
+                if new_scope:
                     scope, state, started = r.scope, None, 0
                 n = int(r.n)
                 if state is None:
@@ -224,62 +228,142 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
                     head = np.cumsum(np.asarray(r.head_est, dtype=np.int64))
                     b = max(0, min(K - c, int(np.searchsorted(head, B - bc, side="right"))))
                     open_cnt = c
-                rows.append((r.scope, int(r.seg), b, open_id, open_cnt, started))
+                pending = (r.scope, int(r.seg), b, open_id, open_cnt, started)
                 if b < n:
                     started += int(r.cand_chunks[b])
                     state = (int(r.cand_exit_cnt[b]), int(r.cand_exit_budget[b]), int(r.cand_last_ord[b]))
                 else:
                     state = (state[0] + n, state[1] + int(r.total_est), state[2])
             if rows:
-                yield pd.DataFrame(rows, columns=entry_cols)
+                yield pd.DataFrame(rows, columns=ENTRY_COLS)
+        if pending is not None:
+            yield pd.DataFrame([pending + (True,)], columns=ENTRY_COLS)
+
+    schema = _entry_schema(scope_type).add(T.StructField("is_last", T.BooleanType()))
+    return (summaries.repartition("scope").sortWithinPartitions("scope", "seg")
+            .mapInPandas(stitch, schema))
+
+
+def _tagged(seg: DataFrame, entries: DataFrame, unit_cols: list[str]) -> DataFrame:
+    """Entry row (kind 0) first, then the segment's units (kind 1), one sorted stream."""
+    utypes = dict(seg.dtypes)
+    units = seg.select("scope", "seg", F.lit(1).alias("kind"), "ord", "est", *unit_cols,
+                       *[F.lit(None).cast("bigint").alias(c) for c in ("entry_b", "open_id", "open_cnt", "chunks_before")],
+                       F.lit(None).cast("boolean").alias("is_last"))
+    ents = entries.select("scope", "seg", F.lit(0).alias("kind"),
+                          F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("est"),
+                          *[F.lit(None).cast(utypes[c]).alias(c) for c in unit_cols],
+                          "entry_b", "open_id", "open_cnt", "chunks_before", "is_last")
+    return (units.unionByName(ents).repartition("scope", "seg")
+            .sortWithinPartitions("scope", "seg", "kind", "ord"))
+
+
+def _walk(g: dict, B: int, K: int):
+    """Chunk pieces of one segment group (row 0 = entry row).
+
+    Yields ``(lo, hi, chunk_id, chunk_no, first_pos, is_head)`` over unit
+    indices ``[lo, hi)`` of the group's units.
+    """
+    n = len(g["ord"]) - 1
+    if n <= 0:
+        return
+    ests, ords = g["est"][1:], g["ord"][1:]
+    gr = _Greedy(ests, B, K)
+    b = min(int(g["entry_b"][0]), n)
+    k = int(g["chunks_before"][0])
+    if b > 0:
+        yield 0, b, int(g["open_id"][0]), k, int(g["open_cnt"][0]) + 1, True
+    p = b
+    while p < n:
+        k += 1
+        q = min(gr.next_start(p), n)
+        yield p, q, int(ords[p]), k, 1, False
+        p = q
 
-    entries = (summaries.repartition("scope").sortWithinPartitions("scope", "seg")
-               .mapInPandas(stitch, _entry_schema(scope_type)))
-    if _STOP_AT == "entries":
-        return entries
 
-    # entry row (kind 0) first, then the segment's units (kind 1), in one sorted stream
-    tagged = (seg.select("scope", "seg", F.lit(1).alias("kind"), "ord", "est",
-                         *[F.lit(None).cast("bigint").alias(c) for c in ("entry_b", "open_id", "open_cnt", "chunks_before")])
-              .unionByName(entries.select("scope", "seg", F.lit(0).alias("kind"),
-                                          F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("est"),
-                                          "entry_b", "open_id", "open_cnt", "chunks_before")))
+def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Assign chunks to deduplicated units.
+
+    ``units`` needs ``scope`` (any type), ``ord`` (BIGINT, unique in the
+    scope) and ``est`` (INT).  Returns ``scope, ord, chunk_id, chunk_no, pos``.
+
+    Each pass is ``repartition`` by key + ``sortWithinPartitions`` + one
+    ``mapInPandas`` that walks the sorted groups of its partition, so Python
+    is entered once per Arrow batch, not once per group.
+    """
+    B, K = settings.chunk_token_budget, settings.chunk_max_strings
+    scope_type = units.schema["scope"].dataType
+    seg = _segments(units, settings)
+    entries = _entries(seg, settings)
+    if _STOP_AT in ("summaries", "entries"):
+        return entries
     out_cols = ["scope", "ord", "chunk_id", "chunk_no", "pos"]
+    cols = ["scope", "seg", "kind", "ord", "est", "entry_b", "open_id", "open_cnt", "chunks_before"]
 
     def assign(batches):
-        cols = ["scope", "seg", "kind", "ord", "est", "entry_b", "open_id", "open_cnt", "chunks_before"]
         acc = {c: [] for c in out_cols}
         for g in iter_groups(batches, ["scope", "seg"], cols):
-            n = len(g["ord"]) - 1          # row 0 is the entry row
-            if n <= 0:
-                continue
-            ests, ords = g["est"][1:], g["ord"][1:]
-            gr = _Greedy(ests, B, K)
-            b = min(int(g["entry_b"][0]), n)
-            chunk_id, chunk_no, pos = [0] * n, [0] * n, [0] * n
-            k = int(g["chunks_before"][0])
-            if b > 0:
-                oid, oc = int(g["open_id"][0]), int(g["open_cnt"][0])
-                for j in range(b):
-                    chunk_id[j], chunk_no[j], pos[j] = oid, k, oc + j + 1
-            p = b
-            while p < n:
-                k += 1
-                q = min(gr.next_start(p), n)
-                first = int(ords[p])
-                for j in range(p, q):
-                    chunk_id[j], chunk_no[j], pos[j] = first, k, j - p + 1
-                p = q
-            acc["scope"] += g["scope"][1:]
-            acc["ord"] += ords
-            acc["chunk_id"] += chunk_id
-            acc["chunk_no"] += chunk_no
-            acc["pos"] += pos
+            ords = g["ord"][1:]
+            for lo, hi, cid, cno, first, _ in _walk(g, B, K):
+                acc["scope"] += g["scope"][1 + lo:1 + hi]
+                acc["ord"] += ords[lo:hi]
+                acc["chunk_id"] += [cid] * (hi - lo)
+                acc["chunk_no"] += [cno] * (hi - lo)
+                acc["pos"] += list(range(first, first + hi - lo))
             if len(acc["ord"]) >= 10_000:   # one Arrow batch per ~10k rows, not per group
                 yield pd.DataFrame(acc, columns=out_cols)
                 acc = {c: [] for c in out_cols}
         if acc["ord"]:
             yield pd.DataFrame(acc, columns=out_cols)
 
-    return (tagged.repartition("scope", "seg").sortWithinPartitions("scope", "seg", "kind", "ord")
-            .mapInPandas(assign, _assign_schema(scope_type)))
+    return _tagged(seg, entries, []).mapInPandas(assign, _assign_schema(scope_type))
+
+
+def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Pack and assemble in one pass: chunk rows with their texts.
+
+    ``units``: ``scope, ord, est, text, context``.  Returns ``scope,
+    chunk_id, chunk_no, context, ords ARRAY<BIGINT>, items ARRAY<STRING>``.
+
+    The assign pass carries the text, so a chunk lying inside one segment
+    leaves it complete; only pieces that may cross a segment boundary (the
+    head continuing an open chunk, the last chunk of a segment that is not
+    its scope's last) meet again in a small ``groupBy``.  An ordinary
+    document is one segment, so its chunks never shuffle a second time.
+    """
+    B, K = settings.chunk_token_budget, settings.chunk_max_strings
+    scope_type = units.schema["scope"].dataType
+    seg = _segments(units, settings, ["text", "context"])
+    entries = _entries(seg, settings)
+    schema = T.StructType([
+        T.StructField("scope", scope_type), T.StructField("chunk_id", T.LongType()),
+        T.StructField("chunk_no", T.IntegerType()), T.StructField("context", T.StringType()),
+        T.StructField("first_pos", T.IntegerType()), T.StructField("ords", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())), T.StructField("open", T.BooleanType())])
+    cols = ["scope", "seg", "kind", "ord", "est", "text", "context", "entry_b", "open_id", "open_cnt",
+            "chunks_before", "is_last"]
+
+    def assign(batches):
+        rows = []
+        for g in iter_groups(batches, ["scope", "seg"], cols):
+            n = len(g["ord"]) - 1
+            last_seg = bool(g["is_last"][0])
+            ords, texts, ctx = g["ord"][1:], g["text"][1:], (g["context"][1] if n > 0 else None)
+            for lo, hi, cid, cno, first, head in _walk(g, B, K):
+                is_open = head or (hi == n and not last_seg)
+                rows.append((g["scope"][0], cid, cno, ctx, first, ords[lo:hi], texts[lo:hi], is_open))
+            if len(rows) >= 2_000:
+                yield pd.DataFrame(rows, columns=schema.fieldNames())
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
+
+    pieces = _tagged(seg, entries, ["text", "context"]).mapInPandas(assign, schema)
+    done = pieces.filter(~F.col("open")).select("scope", "chunk_id", "chunk_no", "context", "ords", "items")
+    merged = (pieces.filter(F.col("open"))
+              .groupBy("scope", "chunk_id")
+              .agg(F.min("chunk_no").alias("chunk_no"), F.min("context").alias("context"),
+                   F.array_sort(F.collect_list(F.struct("first_pos", "ords", "items"))).alias("p"))
+              .select("scope", "chunk_id", "chunk_no", "context",
+                      F.flatten(F.col("p.ords")).alias("ords"), F.flatten(F.col("p.items")).alias("items")))
+    return done.unionByName(merged)

@@ -59,3 +59,24 @@ def test_split_packing_equals_sequential(spark, seg_units):
     for r in pack_chunks(df, s).collect():
         first = [o for (sc, o), (c, p) in expect.items() if sc == r.scope and c == r.chunk_no and p == 1]
         assert first == [r.chunk_id]
+
+
+@pytest.mark.parametrize("seg_units", [1, 4, 50_000])
+def test_chunk_rows_equal_assignments(spark, seg_units):
+    from pyspark.sql import functions as F
+    from lexiflow.operators.pack import pack_chunk_rows
+    rnd = random.Random(10 + seg_units)
+    rows = []
+    for scope in range(9):
+        for o in sorted(rnd.sample(range(0, 300), rnd.randint(1, 60))):
+            rows.append((scope, o, rnd.choice([15, 16, 40, 90, 310]), f"t{scope}-{o}", f"c{scope}"))
+    s = DEFAULT.with_(chunk_token_budget=300, chunk_max_strings=8, pack_segment_units=seg_units)
+    df = spark.createDataFrame(rows, "scope long, ord long, est int, text string, context string")
+    asg = {(r.scope, r.ord): (r.chunk_id, r.chunk_no, r.pos) for r in pack_chunks(df, s).collect()}
+    got = {}
+    for r in pack_chunk_rows(df, s).collect():
+        assert r.context == f"c{r.scope}" and len(r.items) <= 8
+        for i, (o, t) in enumerate(zip(r.ords, r.items)):
+            assert t == f"t{r.scope}-{o}"
+            got[(r.scope, o)] = (r.chunk_id, r.chunk_no, i + 1)
+    assert got == asg
