@@ -6,25 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.script import is_translatable
 
 
 def apply_translations(units: DataFrame, translations: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """J1 + F9: every occurrence looks up ``(scope, text)``; no match keeps the original.
 
-    Only units that can have a translation (source script, not blank) take
-    part in the join; all other rows (English lines, blank lines, the most
-    common values of a column) pass through without a shuffle, so neither
-    their volume nor their hot keys reach the join.  The join is a left
-    equi-join, many-to-one: AQE broadcasts the translation side when its
-    measured size is small and uses sort-merge otherwise, splitting skewed
-    keys.  Adds ``text_out`` and ``how`` (null = untouched).
+    One left equi-join, many-to-one, over a single evaluation of the units
+    (a second pass just to route non-candidates around the join costs a
+    re-scan or a re-parse, measured slower).  AQE broadcasts the translation
+    side when its measured size is small, uses sort-merge otherwise, and
+    splits a hot key (a column's most common value, say) on the large side.
+    Adds ``text_out`` and ``how`` (null = untouched).
     """
     t = translations.select("scope", "text", "text_en", "how")
-    cand = is_translatable("text", settings.profile)
-    hit = units.filter(cand).join(t, ["scope", "text"], "left")
-    rest = units.filter(~cand | F.col("text").isNull()).withColumn("text_en", F.lit(None).cast("string")) \
-        .withColumn("how", F.lit(None).cast("string"))
-    return (hit.unionByName(rest)
+    return (units.join(t, ["scope", "text"], "left")
             .withColumn("text_out", F.coalesce(F.col("text_en"), F.col("text")))
             .drop("text_en"))
