@@ -54,10 +54,38 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexiflow`` importable in Python workers, once per application.
+
+    The package is zipped into the shared checkpoint folder and registered
+    with ``addPyFile``, so executors get it whatever their working folder
+    (a cluster may also install it; then this only adds a redundant copy).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    dest = os.path.join(checkpoint_root(spark), f"lexiflow-pkg-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(dest, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(dest)
+    _SHIPPED.add(sc.applicationId)
+
+
 class WorkDir:
     """One run's folder under the checkpoint root; stages are Parquet tables."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
+        ship_package(spark)
         self.spark = spark
         self.path = path or os.path.join(checkpoint_root(spark), "lexiflow-" + uuid.uuid4().hex[:12])
 

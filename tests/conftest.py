@@ -11,8 +11,9 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from lexiflow.session import build_session
+    from lexiflow.session import build_session, ship_package
     s = build_session(app="lexiflow-tests", master="local[*]", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()
