@@ -115,7 +115,6 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                    .select("scope", "context", "text", "text_en",
                            F.when(F.col("status") == "ok", "chunk").otherwise("partial").alias("how")))
     from_singles = (singles.filter(F.col("status") == "ok")
-                    .join(uu.select("scope", "text", "context"), ["scope", "text"])
                     .select("scope", "context", "text", "text_en", F.lit("single").alias("how")))
     translations = from_chunks.unionByName(from_singles)
     if known is not None:

@@ -149,11 +149,12 @@ def call_chunks(chunks: DataFrame, translator, settings: Settings = DEFAULT) ->
 def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT) -> DataFrame:
     """One call per missing string (``scope, text, context``).
 
-    Output: ``scope, text, text_en, status, input_tokens, output_tokens, error``.
+    Output: ``scope, context, text, text_en, status, input_tokens, output_tokens, error``.
     """
     scope_type = missing.schema["scope"].dataType
     schema = T.StructType([
         T.StructField("scope", scope_type),
+        T.StructField("context", T.StringType()),
         T.StructField("text", T.StringType()),
         T.StructField("text_en", T.StringType()),
         T.StructField("status", T.StringType()),
@@ -168,9 +169,9 @@ def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT) -
             for r in pdf.itertuples(index=False):
                 try:
                     out, i, o = translate_text(translator, r.text, r.context or "", settings)
-                    rows.append((r.scope, r.text, out, "ok", i, o, None))
+                    rows.append((r.scope, r.context, r.text, out, "ok", i, o, None))
                 except Exception as exc:  # noqa: BLE001
-                    rows.append((r.scope, r.text, None, "error", 0, 0, f"{type(exc).__name__}: {exc}"))
+                    rows.append((r.scope, r.context, r.text, None, "error", 0, 0, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     n = _call_partitions(missing, settings)

@@ -148,3 +148,20 @@ def test_corpus_usage_counts_names_and_content(spark, tree):
     assert u.input_tokens == names_in + content
     assert u.output_tokens > u.input_tokens
     assert abs(u.cost_usd - (u.input_tokens * 3 + u.output_tokens * 15) / 1e6) < 1e-12
+
+
+def test_name_collisions_get_suffixes(spark):
+    """Q11: two files translating to the same path get _2, _3 (in path order)."""
+    from lexiflow.operators.names import translate_dir_paths, translate_file_names, translate_folders
+    from lexiflow.session import work_dir
+    rows = [("日.txt", "", "日.txt", "日", ".txt"), ("日.TXT", "", "日.TXT", "日", ".TXT"),
+            ("x/本.md", "x", "本.md", "本", ".md"), ("x/本.md2", "x", "本.md2", "本", ".md2")]
+    files = spark.createDataFrame(rows, "path string, rel_dir string, name string, stem string, suffix string")
+    w = work_dir(spark)
+    folders = translate_folders(files, "root", MockTranslator(), S, w)
+    named = translate_file_names(files, translate_dir_paths(folders, "root"), MockTranslator(), S, w)
+    got = {r.path: r.path_en for r in named.collect()}
+    m = mock_translate
+    # ".txt" and ".TXT" collide case-insensitively; the later path gets _2
+    assert got["日.TXT"] == m("日") + ".TXT" and got["日.txt"] == m("日") + "_2.txt"
+    assert got["x/本.md"] == f"x/{m('本')}.md" and got["x/本.md2"] == f"x/{m('本')}.md2"
