@@ -168,8 +168,6 @@ def _summarize(g: dict, B: int, K: int) -> tuple:
             chunks, last_ord, exit_cnt, exit_budget)
 
 
-_STOP_AT = None  # profiling hook
-
 ENTRY_COLS = ["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before", "is_last"]
 
 
@@ -203,8 +201,6 @@ def _entries(seg: DataFrame, settings: Settings) -> DataFrame:
 
     summaries = (seg.select("scope", "seg", "ord", "est").repartition("scope", "seg")
                  .sortWithinPartitions("scope", "seg", "ord").mapInPandas(summarize, sch_sum))
-    if _STOP_AT == "summaries":
-        return summaries
 
     def stitch(batches):
         # a sequential fold over each scope's segment rows, in seg order; the
@@ -295,8 +291,6 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     scope_type = units.schema["scope"].dataType
     seg = _segments(units, settings)
     entries = _entries(seg, settings)
-    if _STOP_AT in ("summaries", "entries"):
-        return entries
     out_cols = ["scope", "ord", "chunk_id", "chunk_no", "pos"]
     cols = ["scope", "seg", "kind", "ord", "est", "entry_b", "open_id", "open_cnt", "chunks_before"]
 

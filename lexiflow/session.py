@@ -60,9 +60,11 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``lexiflow`` importable in Python workers, once per application.
 
-    The package is zipped into the shared checkpoint folder and registered
-    with ``addPyFile``, so executors get it whatever their working folder
-    (a cluster may also install it; then this only adds a redundant copy).
+    The package is zipped and registered with ``addPyFile``, which serves the
+    file from the driver to every executor, whatever their working folder (a
+    cluster may also install the package; then this adds a redundant copy).
+    The zip goes to the shared checkpoint folder when that is a mounted
+    path, else to the driver's own temp folder (``addPyFile`` ships it).
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
@@ -70,7 +72,12 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    dest = os.path.join(checkpoint_root(spark), f"lexiflow-pkg-{uuid.uuid4().hex[:8]}.zip")
+    base = checkpoint_root(spark)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    if not (base.startswith("/") and os.path.isdir(base)):
+        base = tempfile.mkdtemp(prefix="lexiflow-pkg-")
+    dest = os.path.join(base, f"lexiflow-pkg-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(dest, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, names in os.walk(pkg):
             for n in names:
