@@ -160,8 +160,9 @@ def q_translate_lines(spark, sf):
 
 
 def q_translate_documents(spark, sf):
+    from ..operators.rebuild import apply_and_rebuild
     lines, res = _run(spark, sf, "mock")
-    return _doc(rebuild_text(apply_translations(lines, res.translations), "scope", "text_out", "text"))
+    return _doc(apply_and_rebuild(lines, res.translations, "scope", "text"))
 
 
 def q_passthrough_docs(spark, sf):

@@ -25,7 +25,7 @@ from ..functions.text import document_context
 from ..operators.apply import apply_translations
 from ..operators.batch import BatchResult, batch_translate
 from ..operators.names import translate_dir_paths, translate_file_names, translate_folders
-from ..operators.rebuild import csv_text, rebuild_csv_rows, rebuild_text
+from ..operators.rebuild import apply_and_rebuild, csv_text, rebuild_csv_rows
 from ..operators.routing import handler_of
 from ..session import WorkDir, work_dir
 from ..sources.csv_cells import cell_units, csv_cells
@@ -64,7 +64,8 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
              .unionByName(cell_u.select("scope", "ord", "text", "context")))
     batch = batch_translate(units, translator, settings, work, "corpus/content")
 
-    text_out = rebuild_text(apply_translations(lines, batch.translations), "path", "text_out", "text")
+    text_out = apply_and_rebuild(lines.withColumn("scope", F.col("path")), batch.translations, "scope", "text") \
+        .withColumnRenamed("scope", "path")
     cell_all = cells.withColumn("scope", F.col("path"))
     csv_out = (rebuild_csv_rows(apply_translations(cell_all, batch.translations).withColumn(
         "text_out", F.coalesce("text_out", "text")), "path")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..operators.apply import apply_translations
 from ..operators.batch import BatchResult, batch_translate
-from ..operators.rebuild import rebuild_text
+from ..operators.rebuild import apply_and_rebuild
 from ..session import WorkDir, work_dir
 from ..sources.text import explode_lines
 
@@ -42,8 +42,8 @@ def translate_documents(docs: DataFrame, translator, settings: Settings = DEFAUL
     work = work or work_dir(docs.sparkSession)
     lines = document_lines(docs, scope, text, context)
     batch = batch_translate(lines, translator, settings, work, name)
-    applied = apply_translations(lines, batch.translations)
-    rebuilt = rebuild_text(applied, "scope", "text_out", "text")
+    applied = apply_translations(lines, batch.translations)   # line-level view (lazy)
+    rebuilt = apply_and_rebuild(lines, batch.translations, "scope", "text")
     failed = batch.errors.select("scope").distinct().withColumn("failed", F.lit(True))
     # a document with an empty text has no line; it comes back empty (narrow, no join)
     scope_c = F.col(scope) if isinstance(scope, str) else scope

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
-from ..operators.apply import apply_translations
 from ..operators.batch import batch_translate
 from ..operators.memory import append_memory, read_memory
-from ..operators.rebuild import rebuild_text
+from ..operators.rebuild import apply_and_rebuild
 from ..session import WorkDir, checkpoint_root
 from ..sources.text import explode_lines
 
@@ -40,7 +39,7 @@ def translate_batch(batch: DataFrame, batch_id: int, translator, settings: Setti
     lines = explode_lines(docs.select(F.col("doc_id").alias("scope"), "context", "text"), "text",
                           keep=["scope", "context"])
     res = batch_translate(lines, translator, settings, work, "t1", memory=read_memory(spark, memory_path))
-    out = rebuild_text(apply_translations(lines, res.translations), "scope", "text_out", "text")
+    out = apply_and_rebuild(lines, res.translations, "scope", "text")
     empty = docs.filter(F.length("text") == 0).select(F.col("doc_id").alias("scope"), F.lit("").alias("text"))
     (out.unionByName(empty).withColumnRenamed("scope", "doc_id")
      .write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}")))
