@@ -165,3 +165,17 @@ def test_name_collisions_get_suffixes(spark):
     # ".txt" and ".TXT" collide case-insensitively; the later path gets _2
     assert got["日.TXT"] == m("日") + ".TXT" and got["日.txt"] == m("日") + "_2.txt"
     assert got["x/本.md"] == f"x/{m('本')}.md" and got["x/本.md2"] == f"x/{m('本')}.md2"
+
+
+def test_overwrite_mode_and_empty_estimate(spark, tree, tmp_path):
+    from lexiflow.plans.folder import estimate_folder
+    src, dst = tree
+    dst.mkdir()
+    (dst / "old").write_text("x")
+    res = translate_folder(spark, str(src), str(dst), MockTranslator(), S, mode="overwrite")
+    assert res.written.filter("error is not null").count() == 0
+    empty = tmp_path / "empty_src"
+    (empty / "only_english").mkdir(parents=True)
+    (empty / "only_english" / "notes.txt").write_text("plain words only\n")
+    t = estimate_folder(spark, str(empty), S).totals.first()
+    assert t.nothing_to_do and t.total_chars == 0 and t.name_calls == 0
