@@ -9,10 +9,9 @@ tables, so queries that look at different sides of one run share it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings
+from ..config import DEFAULT
 from ..functions.prompt import prompt_body
 from ..functions.script import est_tokens, has_script, is_nonblank, script_char_count
 from ..models import MockTranslator, ScriptedFaultTranslator
@@ -20,7 +19,6 @@ from ..operators.apply import apply_translations
 from ..operators.batch import batch_stats, batch_translate, missing_positions, zip_responses
 from ..operators.dedup import dedup_units, union_units
 from ..operators.pack import pack_chunks
-from ..operators.rebuild import rebuild_text
 from ..session import work_dir
 from ..sources.text import explode_lines
 from .fixtures import ROOT_NAME, jp_conversations, jp_documents, jp_files

@@ -103,7 +103,6 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     folder names and file stems over the tree, plus every source-script
     ``name="..."`` of each workbook part without dedup (Q15).
     """
-    from ..functions.script import has_script
     from ..operators.estimate import breakdown, corpus_estimate, file_char_totals, name_calls
     from ..operators.routing import is_supported
     from ..sources.csv_cells import csv_cells

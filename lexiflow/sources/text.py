@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import line_body, line_ending
-
 # Line terminators of Python's ``str.splitlines`` once CR and CRLF are
 # already turned into LF: LF, VT, FF, FS, GS, RS, NEL, LS, PS.
 LINE_TERMINATORS = r"\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
