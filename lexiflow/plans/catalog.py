@@ -553,13 +553,10 @@ def docx_parts(spark, sf):
 
 
 def q_docx_paragraphs(spark, sf):
-    """Paragraph texts of every body, runs joined, in order."""
-    from ..functions.text import xml_unescape
-    from .packages import W_PARA, W_T
-    d = docx_parts(spark, sf)
-    p = d.select("doc_id", F.posexplode(F.regexp_extract_all("xml", F.lit(W_PARA), 0)).alias("i", "p"))
-    return p.select("doc_id", "i", F.array_join(F.transform(F.regexp_extract_all("p", F.lit(W_T), 1), xml_unescape),
-                                                "").alias("text"))
+    """Paragraph texts of every body, runs joined, body before tables."""
+    from .packages import docx_paragraphs
+    return docx_paragraphs(docx_parts(spark, sf), ["doc_id"]).select("doc_id", F.col("i").cast("int").alias("i"),
+                                                                      "text")
 
 
 def q_docx_rewrite(spark, sf):

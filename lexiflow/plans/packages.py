@@ -36,6 +36,7 @@ from ..sources.markup import (CACHED_STR, DRAWING_NODE, INLINE_STR, drawing_part
 DOCX_BODY = "word/document.xml"
 W_PARA = r"(?s)<w:p[ >].*?</w:p>"
 W_T = r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>"
+W_TBL = r"(?s)<w:tbl>.*?</w:tbl>"
 
 
 @dataclass
@@ -145,16 +146,27 @@ def package_units(p: DataFrame, settings: Settings = DEFAULT) -> PackageUnits:
                                                     F.col("i").cast("bigint").alias("ord"), "text", ctx))
     dn = text_nodes(of("drawing"), "xml", DRAWING_NODE, ["path", "part", "context"])
     u_dn = dn.select(_scope("path", "part").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text", ctx)
-    paras = (of("docx_body").select("path", "part", "context",
-                                    F.posexplode(F.regexp_extract_all("xml", F.lit(W_PARA), 0)).alias("i", "p"))
-             .select("path", "part", "context", "i",
-                     F.array_join(F.transform(F.regexp_extract_all("p", F.lit(W_T), 1), xml_unescape), "")
-                     .alias("text")))
+    paras = docx_paragraphs(of("docx_body"), ["path", "part", "context"])
     u_dx = paras.select(_scope("path", "part").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text", ctx)
     units = u_tabs.unionByName(u_sst).unionByName(u_ss).unionByName(u_dn).unionByName(u_dx)
     return PackageUnits(units, tabs, ss, dn)
 
 
+def docx_paragraphs(bodies: DataFrame, keep: list[str]) -> DataFrame:
+    """Body paragraphs first, then the paragraphs inside tables, each in
+    document order; ``i`` ranks them (table paragraphs from ``1 << 40``).
+    A paragraph's text is its run texts joined, unescaped."""
+    outside = F.regexp_replace("xml", W_TBL, "")
+    inside = F.array_join(F.regexp_extract_all("xml", F.lit(W_TBL), 0), "")
+
+    def paras(src, rank):
+        return (bodies.select(*keep, F.posexplode(F.regexp_extract_all(src, F.lit(W_PARA), 0)).alias("i", "p"))
+                .select(*keep, (F.col("i").cast("bigint") + F.lit(rank << 40)).alias("i"), "p"))
+    both = paras(outside, 0).unionByName(paras(inside, 1))
+    return both.select(*keep, "i", F.array_join(F.transform(F.regexp_extract_all("p", F.lit(W_T), 1), xml_unescape),
+                                                "").alias("text"))
+
+
 def scope_path(scope) -> F.Column:
     """The package path of a part scope."""
     return F.split(scope, SCOPE_SEP).getItem(0)

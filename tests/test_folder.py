@@ -38,6 +38,7 @@ def _docx() -> bytes:
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("word/document.xml", "<w:body><w:p><w:r><w:t>日本</w:t></w:r><w:r><w:t>語</w:t></w:r></w:p>"
+                                        "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>表の中</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
                                         "<w:p><w:pPr/></w:p><w:p><w:r><w:t>English</w:t></w:r></w:p></w:body>")
     return buf.getvalue()
 
@@ -109,6 +110,7 @@ def test_translate_folder(spark, tree):
         body = z.read("word/document.xml").decode()
         assert "<w:t>" + m("日本語").replace("<", "&lt;").replace(">", "&gt;") + "</w:t>" in body
         assert "<w:t></w:t>" in body and "<w:t>English</w:t>" in body
+        assert "<w:t>" + m("表の中").replace("<", "&lt;").replace(">", "&gt;") + "</w:t>" in body
 
 
 def test_overwrite_guard(spark, tree):
@@ -128,12 +130,12 @@ def test_estimate_folder(spark, tree):
     assert rows["資料.txt"] == 9 and rows["文書.md"] == 5 and rows["表.csv"] == 7
     # xlsx: tabs are names, not content; string table 報告 + 資料し, sheet 文書 + 採用, drawing 表求
     assert rows["book.xlsx"] == 2 + 3 + 2 + 2 + 2
-    assert rows["doc.docx"] == 3
+    assert rows["doc.docx"] == 3 + 3
     t = est.totals.first()
     # names: folders 日本 報告 空, stems 資料 文書 表 (日本 counted once), + one source-script tab
     assert t.name_calls == 6 + 1
-    assert t.total_chars == 9 + 5 + 7 + 11 + 3
-    assert t.est_input_tokens == int(35 * 1.4) + 7 * 300
+    assert t.total_chars == 9 + 5 + 7 + 11 + 6
+    assert t.est_input_tokens == int(38 * 1.4) + 7 * 300
 
 
 def test_corpus_usage_counts_names_and_content(spark, tree):
