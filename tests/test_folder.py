@@ -181,3 +181,23 @@ def test_overwrite_mode_and_empty_estimate(spark, tree, tmp_path):
     (empty / "only_english" / "notes.txt").write_text("plain words only\n")
     t = estimate_folder(spark, str(empty), S).totals.first()
     assert t.nothing_to_do and t.total_chars == 0 and t.name_calls == 0
+
+
+def test_failing_file_is_isolated(spark, tmp_path):
+    """A content failure affects only its file, which is copied under its
+    original name into the translated folder; the others are translated."""
+    from lexiflow.models import ScriptedFaultTranslator
+    src = tmp_path / "src"
+    (src / "日本").mkdir(parents=True)
+    (src / "日本" / "報告.txt").write_text("良い 日本\n", encoding="utf-8")
+    (src / "日本" / "資料.txt").write_text("失敗 する 行\n日本\n", encoding="utf-8")
+    dst = tmp_path / "out"
+    tr = ScriptedFaultTranslator(fail_marker="失敗", faults=False)
+    res = translate_folder(spark, str(src), str(dst), tr, S)
+    m = mock_translate
+    assert (dst / m("日本") / (m("報告") + ".txt")).read_text("utf-8") == m("良い 日本") + "\n"
+    # failed file: original bytes, original name, inside the translated folder
+    assert (dst / m("日本") / "資料.txt").read_text("utf-8") == "失敗 する 行\n日本\n"
+    assert not (dst / m("日本") / (m("資料") + ".txt")).exists()
+    errs = res.errors.collect()
+    assert [e.path for e in errs] == ["日本/資料.txt"] and "失敗" in errs[0].error
