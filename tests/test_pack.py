@@ -80,3 +80,20 @@ def test_chunk_rows_equal_assignments(spark, seg_units):
             assert t == f"t{r.scope}-{o}"
             got[(r.scope, o)] = (r.chunk_id, r.chunk_no, i + 1)
     assert got == asg
+
+
+def test_split_packing_property(spark):
+    """Hypothesis: any units, any segment size -> same chunks as sequential next-fit."""
+    from hypothesis import given, settings as hsettings, strategies as st
+
+    @hsettings(max_examples=12, deadline=None)
+    @given(st.lists(st.integers(15, 400), min_size=1, max_size=40), st.integers(1, 9),
+           st.integers(100, 700), st.integers(1, 6))
+    def check(ests, seg, budget, k):
+        rows = [(0, i * 3, e) for i, e in enumerate(ests)]
+        s = DEFAULT.with_(chunk_token_budget=budget, chunk_max_strings=k, pack_segment_units=seg)
+        df = spark.createDataFrame(rows, "scope long, ord long, est int")
+        got = [r.chunk_no - 1 for r in sorted(pack_chunks(df, s).collect(), key=lambda r: r.ord)]
+        assert got == py_pack(ests, budget, k)
+
+    check()
