@@ -106,7 +106,11 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     chunk_errors = (responses.filter(F.col("status") == "error")
                     .select("scope", F.lit("chunk").alias("stage"), "error"))
     missing = missing_positions(zipped).join(chunk_errors.select("scope"), "scope", "left_anti")
-    singles = work.materialize(call_singles(missing, translator, settings), f"{name}/singles", call_conf)
+    single_stage = call_singles(missing, translator, settings)
+    if missing.isEmpty():   # nothing to fall back on: no model stage, no write
+        singles = units.sparkSession.createDataFrame([], single_stage.schema)
+    else:
+        singles = work.materialize(single_stage, f"{name}/singles", call_conf)
     single_errors = (singles.filter(F.col("status") == "error")
                      .select("scope", F.lit("single").alias("stage"), "error"))
     errors = chunk_errors.unionByName(single_errors)

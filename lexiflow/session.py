@@ -116,7 +116,8 @@ class WorkDir:
                     self.spark.conf.unset(k)
                 else:
                     self.spark.conf.set(k, v)
-        return self.spark.read.parquet(p)
+        # the schema is known: no footer inference on read-back
+        return self.spark.read.schema(df.schema).parquet(p)
 
     def exists(self, name: str) -> bool:
         p = self.table(name)
