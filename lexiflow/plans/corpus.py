@@ -48,7 +48,9 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
     work = work or work_dir(files.sparkSession)
     # metadata is read by every stage: write it once (small); the text is scanned only for content
     meta = work.materialize(files.drop("text"), "corpus/meta")
-    folders = work.materialize(translate_folders(meta, root_name, translator, settings, work), "corpus/folders")
+    # stage A's model calls are written inside translate_folders; the folder rows
+    # around them are a cheap recomputation from written inputs
+    folders = translate_folders(meta, root_name, translator, settings, work)
     dirs = translate_dir_paths(folders, root_name)
     named = work.materialize(translate_file_names(meta, dirs, translator, settings, work), "corpus/files")
 
