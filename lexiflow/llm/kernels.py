@@ -103,13 +103,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the number of the first word of each row (rows + 1)."""
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the number of the first word of each row (rows + 1).
+
+    ``apart``: which of the 256 bytes separate words.
+    """
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    inside = ~_WS[buf]
+    inside = ~apart[buf]
     first = np.zeros(n + 1, bool)
     first[off] = True                     # a row starts here (or the buffer ends)
     start = inside.copy()

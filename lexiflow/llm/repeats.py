@@ -18,8 +18,8 @@ compares the windows of one bucket.
 3. *Buckets.*  Windows are compared exactly and each gets the smallest id.
 4. *Rows.*  Spans go back to their rows (the second join, on the same exchange).
 
-Rows are told apart by id and hash of the text: rows equal in both have equal
-results.  A null id ranks after every other id.  Null text counts as empty.
+Rows are told apart by id and a 32-bit hash of the text: rows equal in both have
+equal results.  A null id ranks after every other id.  Null text counts as empty.
 """
 
 from __future__ import annotations
@@ -122,6 +122,7 @@ def _entries(unit: Unit, buckets: int):
             many = rows[g] > 1
             one = many & new
             dest = (h % np.uint64(buckets)).astype(np.int64)
+            short = (h >> np.uint64(32)).astype(np.uint32)   # within a bucket these bits tell minimisers apart well enough
             # addresses of minimisers that are known to be shared go anywhere; those that may be, to their bucket
             lone = np.flatnonzero(~many)
             lone = lone[np.argsort(dest[lone], kind="stable")]
@@ -134,7 +135,7 @@ def _entries(unit: Unit, buckets: int):
                 i, m = lone[cuts[b]: cuts[b + 1]], mark[mcut[b]: mcut[b + 1]]
                 if len(i) or len(m):
                     out_b.append(b)
-                    out_p.append(pack(h[i], ids[i], th[i], start[i], h[m], rows[g[m]].astype(np.uint32)))
+                    out_p.append(pack(short[i], ids[i], th[i], start[i], short[m], rows[g[m]].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array([False] * len(out_b)),
                                               pa.array(out_p, pa.binary())], ["b", "known", "p"])
             i = np.flatnonzero(many)
@@ -190,7 +191,7 @@ def _shared(hot: int):
                 for b in _by_row(ids, th, start):
                     yield _kind(b, 0)
                 continue
-            got = [unpack(p, np.uint64, np.int64, np.int64, np.uint32, np.uint64, np.uint32) for p in blobs]
+            got = [unpack(p, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32) for p in blobs]
             h, ids, th, start, mark, rows = (_join(got, i) for i in range(6))
             o = np.lexsort((th, ids, h))
             h, ids, th, start = h[o], ids[o], th[o], start[o]
@@ -210,7 +211,7 @@ def _shared(hot: int):
             very = total > hot
             if very.any():
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array(
-                    [key[very].tobytes() + total[very].tobytes()], pa.binary()), pa.array([1], pa.int8())], schema=_SHARED)
+                    [key[very].astype(np.int64).tobytes() + total[very].tobytes()], pa.binary()), pa.array([1], pa.int8())], schema=_SHARED)
     return run
 
 
@@ -247,7 +248,7 @@ def _fragments(unit: Unit, buckets: int, hot):
         i = np.searchsorted(row * (1 << 32) + start, want_row * (1 << 32) + want)
         i = np.unique(i)
         row, start, size, h = row[i], start[i], size[i], h[i]
-        very = np.isin(h, hot.value)
+        very = np.isin(h >> np.uint64(32), hot.value)
         if very.any():
             n = np.where(very, size, 1)
             start = K.ranges(start, n)
@@ -292,7 +293,7 @@ def _fragments(unit: Unit, buckets: int, hot):
                 j = i[cuts[b]: cuts[b + 1]]
                 if len(j):
                     out_b.append(b)
-                    out_p.append(pack(h[j], ids[j], th[j], start[j], size[j], ln[j], byte[K.ranges(at[j], ln[j])]))
+                    out_p.append(pack((h[j] >> np.uint64(32)).astype(np.uint32), ids[j], th[j], start[j], size[j], ln[j], byte[K.ranges(at[j], ln[j])]))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array([False] * len(out_b)),
                                               pa.array(out_p, pa.binary())], ["b", "known", "p"])
     return run
@@ -319,7 +320,7 @@ def _solve(unit: Unit):
             if known:
                 yield from _by_row(*unpack(blobs[0], np.int64, np.int64, np.uint32, np.uint32))
                 continue
-            got = [unpack(p, np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint8) for p in blobs]
+            got = [unpack(p, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint8) for p in blobs]
             h, ids, th, start, size, ln, byte = (_join(got, i) for i in range(7))
             del got
             with np.errstate(over="ignore"):
@@ -375,7 +376,7 @@ def _dealt(df: DataFrame, n: int) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the row key; the text as it is."""
     return docs.withColumns({ID: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)),
-                             TH: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+                             TH: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(0xFFFFFFFF)})
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
@@ -389,7 +390,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> D
     shared = written(_dealt(entries, n).mapInArrow(_shared(unit.hot), f"{ID} long, {TH} long, r binary, k byte"), "shared")
     top = (shared.where("k = 1").select("r").mapInArrow(_hot_list, "h long, n long")
            .orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").toPandas())
-    hot = spark.sparkContext.broadcast(np.sort(top["h"].to_numpy(np.int64).view(np.uint64)))
+    hot = spark.sparkContext.broadcast(np.sort(top["h"].to_numpy(np.int64).astype(np.uint64)))
     of_row = shared.where("k = 0").groupBy(ID, TH).agg(F.collect_list("r").alias("r"))
     cut = rows.join(of_row, [ID, TH]).select(ID, TH, "t", "r").mapInArrow(_fragments(unit, buckets, hot), blob)
     spans = _dealt(cut, n).mapInArrow(_solve(unit), f"{ID} long, {TH} long, r binary")
