@@ -107,44 +107,47 @@ def _entries(unit: Unit, buckets: int):
         row, start, _, h, *_ = _find_runs(unit, buf, off)
         return part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], start, h, len(buf) + 64 * part.num_rows
 
-    def run(batches):
-        salt = 0
-        for got in _chunks(unit, batches, "t", take):
-            ids, th, start, h = (_join(got, i) for i in range(4))
-            if not len(h):
-                continue
-            o = np.lexsort((start, th, ids, h))
-            ids, th, start, h = ids[o], th[o], start[o].astype(np.uint32), h[o]
-            new = np.append(True, h[1:] != h[:-1])
-            doc = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])) | new
-            g = np.cumsum(new) - 1
-            rows = np.bincount(g, doc)                  # rows of the chunk that hold it
-            many = rows[g] > 1
-            one = many & new
-            dest = (h % np.uint64(buckets)).astype(np.int64)
-            short = (h >> np.uint64(32)).astype(np.uint32)   # within a bucket these bits tell minimisers apart well enough
-            # addresses of minimisers that are known to be shared go anywhere; those that may be, to their bucket
-            lone = np.flatnonzero(~many)
-            lone = lone[np.argsort(dest[lone], kind="stable")]
-            mark = np.flatnonzero(one)
-            mark = mark[np.argsort(dest[mark], kind="stable")]
-            cuts = np.searchsorted(dest[lone], np.arange(buckets + 1))
-            mcut = np.searchsorted(dest[mark], np.arange(buckets + 1))
-            out_b, out_p = [], []
-            for b in range(buckets):
-                i, m = lone[cuts[b]: cuts[b + 1]], mark[mcut[b]: mcut[b + 1]]
-                if len(i) or len(m):
-                    out_b.append(b)
-                    out_p.append(pack(short[i], ids[i], th[i], start[i], short[m], rows[g[m]].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array([False] * len(out_b)),
-                                              pa.array(out_p, pa.binary())], ["b", "known", "p"])
-            i = np.flatnonzero(many)
-            for at in range(0, len(i), 1 << 16):
-                j, salt = i[at: at + (1 << 16)], salt + 1
-                to = int((int(h[j[0]]) >> 17) + salt) % buckets
-                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([True]), pa.array(
-                    [pack(ids[j], th[j], start[j])], pa.binary())], ["b", "known", "p"])
-    return run
+    return lambda batches: _send(_chunks(unit, batches, "t", take), buckets)
+
+
+def _send(chunks: Iterator[list], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of (id, th, start, hash) -> (bucket, known, payload): every hash of a chunk once, to its bucket."""
+    salt = 0
+    for got in chunks:
+        ids, th, start, h = (_join(got, i) for i in range(4))
+        if not len(h):
+            continue
+        o = np.lexsort((start, th, ids, h))
+        ids, th, start, h = ids[o], th[o], start[o].astype(np.uint32), h[o]
+        new = np.append(True, h[1:] != h[:-1])
+        doc = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])) | new
+        g = np.cumsum(new) - 1
+        rows = np.bincount(g, doc)                  # rows of the chunk that hold it
+        many = rows[g] > 1
+        one = many & new
+        dest = (h % np.uint64(buckets)).astype(np.int64)
+        short = (h >> np.uint64(32)).astype(np.uint32)   # within a bucket these bits tell minimisers apart well enough
+        # addresses of minimisers that are known to be shared go anywhere; those that may be, to their bucket
+        lone = np.flatnonzero(~many)
+        lone = lone[np.argsort(dest[lone], kind="stable")]
+        mark = np.flatnonzero(one)
+        mark = mark[np.argsort(dest[mark], kind="stable")]
+        cuts = np.searchsorted(dest[lone], np.arange(buckets + 1))
+        mcut = np.searchsorted(dest[mark], np.arange(buckets + 1))
+        out_b, out_p = [], []
+        for b in range(buckets):
+            i, m = lone[cuts[b]: cuts[b + 1]], mark[mcut[b]: mcut[b + 1]]
+            if len(i) or len(m):
+                out_b.append(b)
+                out_p.append(pack(short[i], ids[i], th[i], start[i], short[m], rows[g[m]].astype(np.uint32)))
+        yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array([False] * len(out_b)),
+                                          pa.array(out_p, pa.binary())], ["b", "known", "p"])
+        i = np.flatnonzero(many)
+        for at in range(0, len(i), 1 << 16):
+            j, salt = i[at: at + (1 << 16)], salt + 1
+            to = int((int(h[j[0]]) >> 17) + salt) % buckets
+            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([True]), pa.array(
+                [pack(ids[j], th[j], start[j])], pa.binary())], ["b", "known", "p"])
 
 
 _ADDRESS = pa.schema([(ID, pa.int64()), (TH, pa.int64()), ("r", pa.binary())])
@@ -230,15 +233,16 @@ def _hot_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.frombuffer(x, np.int64, n, 8 * n))], ["h", "n"])
 
 
-def _fragments(unit: Unit, buckets: int, hot):
+def _fragments(unit: Unit, buckets: int, hot, text: str):
     """Task: rows with their shared runs -> fragments by bucket, and spans settled here.
 
     ``hot``: broadcast of the sorted hot minimisers; their runs are cut into single windows.
     """
     def take(part):
-        buf, off = K.utf8(part.column(2))
+        own_id, own_th, own_text, blobs = (part.column(part.schema.get_field_index(c)) for c in (ID, TH, text, "__lf_r"))
+        buf, off = K.utf8(own_text)
         row, start, size, h, first, tab, s = _find_runs(unit, buf, off)
-        blobs = part.column(3).to_pylist()
+        blobs = blobs.to_pylist()
         want_row, want = [], []
         for r, lists in enumerate(blobs):
             for x in lists:
@@ -262,12 +266,12 @@ def _fragments(unit: Unit, buckets: int, hot):
         fh = K.span_hash(s, frm, to)
         h = np.where(very, K.mix(fh), h)
         byte = buf[K.ranges(frm, to - frm)]
-        return (part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], start.astype(np.uint32),
+        return (own_id.to_numpy()[row], own_th.to_numpy()[row], start.astype(np.uint32),
                 size.astype(np.uint32), h, fh, (to - frm).astype(np.int64), byte, len(byte) + 64 * len(row))
 
     def run(batches):
         salt = 0
-        for got in _chunks(unit, batches, "t", take):
+        for got in _chunks(unit, batches, text, take):
             ids, th, start, size, h, fh, ln, byte = (_join(got, i) for i in range(8))
             if not len(h):
                 continue
@@ -379,27 +383,47 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                              TH: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(0xFFFFFFFF)})
 
 
-def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
-    """(ID, TH, spans): blobs of the spans, in units, that repeat a row with a smaller id."""
+def with_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
+    """All rows and columns of ``docs`` with ID, TH and ``__lf_spans``: blobs of the spans, in
+    units, that repeat a row with a smaller id (null where nothing repeats).
+
+    Both joins read the same columns of the same rows, so one exchange of the texts serves both.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = 4 * n
-    rows = keyed(docs, id_col, text_col).select(ID, TH, F.col(text_col).alias("t"))
+    rows = keyed(docs, id_col, text_col)
     blob = "b int, known boolean, p binary"
-    entries = rows.mapInArrow(_entries(unit, buckets), blob)
+    entries = rows.select(ID, TH, F.col(text_col).alias("t")).mapInArrow(_entries(unit, buckets), blob)
     shared = written(_dealt(entries, n).mapInArrow(_shared(unit.hot), f"{ID} long, {TH} long, r binary, k byte"), "shared")
     top = (shared.where("k = 1").select("r").mapInArrow(_hot_list, "h long, n long")
            .orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").toPandas())
     hot = spark.sparkContext.broadcast(np.sort(top["h"].to_numpy(np.int64).astype(np.uint64)))
-    of_row = shared.where("k = 0").groupBy(ID, TH).agg(F.collect_list("r").alias("r"))
-    cut = rows.join(of_row, [ID, TH]).select(ID, TH, "t", "r").mapInArrow(_fragments(unit, buckets, hot), blob)
-    spans = _dealt(cut, n).mapInArrow(_solve(unit), f"{ID} long, {TH} long, r binary")
-    return spans.groupBy(ID, TH).agg(F.collect_list("r").alias("__lf_spans"))
+    of_row = shared.where("k = 0").groupBy(ID, TH).agg(F.collect_list("r").alias("__lf_r"))
+    cut = rows.join(of_row, [ID, TH]).mapInArrow(_fragments(unit, buckets, hot, text_col), blob)
+    spans = (_dealt(cut, n).mapInArrow(_solve(unit), f"{ID} long, {TH} long, r binary")
+             .groupBy(ID, TH).agg(F.collect_list("r").alias("__lf_spans")))
+    return rows.join(spans, [ID, TH], "left")
 
 
-def with_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
-    """All rows and columns of ``docs`` with ID, TH and ``__lf_spans`` (null where nothing repeats)."""
-    return keyed(docs, id_col, text_col).join(repeated_spans(docs, unit, id_col, text_col), [ID, TH], "left")
+def shared_values(rows: DataFrame, values: Callable) -> DataFrame:
+    """(node, held): how many of a row's values another row holds too; rows with none are absent.
+
+    ``rows``: node and one more column; ``values(batch)``: (node, 0, place, 64-bit value) of a batch.
+    """
+    spark = rows.sparkSession
+    n = partitions(spark)
+
+    def run(batches):
+        def chunks():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 8192):
+                    yield [values(batch.slice(at, 8192))]
+        yield from _send(chunks(), 4 * n)
+    found = _dealt(rows.mapInArrow(run, "b int, known boolean, p binary"), n).mapInArrow(
+        _shared(2**31), f"{ID} long, {TH} long, r binary, k byte")
+    return (found.where("k = 0").groupBy(F.col(ID).alias("node"))
+            .agg((F.sum(F.length("r")) / 4).cast("long").alias("held")))
 
 
 def spans_of(blobs) -> tuple[np.ndarray, np.ndarray]:
