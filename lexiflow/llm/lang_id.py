@@ -108,7 +108,7 @@ class Model:
             ctx.append(u)
             total.append(np.bincount(inv, n))
         most = np.sort(np.concatenate(total))[::-1]
-        least = most[min(room, len(most) - 1)] if len(most) else 0
+        least = most[room] if len(most) > room else 0
         two = ctx[0][total[0] > least]
         three = ctx[1][total[1] > least]
         # a kept context of 3 bytes has its suffix of 2 kept too, as that is at least as frequent
