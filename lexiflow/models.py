@@ -128,6 +128,15 @@ class ScriptedFaultTranslator:
         return ModelReply(json.dumps(out, ensure_ascii=False), i, o)
 
 
+class ThrottleByLength:
+    """Throttles a batch call ``length of its first string % 4`` times, then answers correctly."""
+
+    def __call__(self, req: ModelRequest) -> ModelReply:
+        if req.kind == "batch" and req.call_attempt < len(req.items[0]) % 4:
+            raise Throttled(f"throttled try {req.call_attempt + 1}")
+        return MockTranslator()(req)
+
+
 class ThrottlingTranslator:
     """Throttles the first ``n`` tries of every call, then delegates."""
 

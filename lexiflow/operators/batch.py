@@ -25,7 +25,7 @@ from ..config import DEFAULT, Settings
 from ..session import WorkDir, work_dir
 from .call import call_chunks, call_singles
 from .dedup import dedup_units
-from .pack import pack_chunk_rows, pack_chunks  # noqa: F401  (pack_chunks: assignments only)
+from .pack import pack_chunk_rows, with_segments
 
 
 @dataclass
@@ -39,16 +39,6 @@ class BatchResult:
     errors: DataFrame         # scope, stage, error
 
 
-def assemble_chunks(unique_units: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Chunk rows: items ordered by ``pos``; at most ``max_strings`` per row."""
-    return (assignments.join(unique_units.select("scope", "ord", "text", "context"), ["scope", "ord"])
-            .groupBy("scope", "chunk_id")
-            .agg(F.min("chunk_no").alias("chunk_no"),
-                 F.min("context").alias("context"),
-                 F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("its"))
-            .select("scope", "chunk_id", "chunk_no", "context", F.col("its.text").alias("items")))
-
-
 def chunk_assignments(chunks: DataFrame) -> DataFrame:
     """W2 from chunk rows: ``scope, ord, chunk_id, chunk_no, pos`` (narrow)."""
     return (chunks.select("scope", "chunk_id", "chunk_no", F.posexplode("ords").alias("i", "ord"))
@@ -76,27 +66,32 @@ def missing_positions(zipped: DataFrame) -> DataFrame:
 
 def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                     work: WorkDir | None = None, name: str = "batch",
-                    memory: DataFrame | None = None, memory_key: tuple[str, ...] = ("context", "text")) -> BatchResult:
+                    memory: DataFrame | None = None, memory_key: tuple[str, ...] = ("context", "text"),
+                    isolate: str = "scope") -> BatchResult:
     """T1 over a units table (``scope, ord, text, context``).
 
     ``memory`` (optional): stored translations (``context, text, text_en``).
     Unique units found there are answered from it (``how = 'memory'``) and
     never reach the model; only new strings are packed and sent.
+
+    ``isolate``: what a failed call takes with it. ``scope``: all translations of its scope
+    (the caller's unit is a file, copied as a whole).  ``chunk``: only its own strings.
     """
     work = work or work_dir(units.sparkSession)
-    uu_all = work.materialize(dedup_units(units, settings), f"{name}/unique_units")
+    uu_all = work.materialize(with_segments(dedup_units(units, settings), settings), f"{name}/unique_units")
     known = None
     uu = uu_all
     if memory is not None:
-        mem = memory.select(*memory_key, "text_en").dropDuplicates(list(memory_key))
+        # several answers for one key: the least, so that runs agree
+        mem = memory.groupBy(*memory_key).agg(F.min("text_en").alias("text_en"))
         known = (uu_all.join(mem, list(memory_key))
                  .select("scope", "context", "text", "text_en", F.lit("memory").alias("how")))
-        uu = work.materialize(uu_all.join(mem.select(*memory_key), list(memory_key), "left_anti"),
-                              f"{name}/new_units")
+        uu = work.materialize(with_segments(uu_all.drop("seg").join(mem.select(*memory_key), list(memory_key), "left_anti"),
+                                            settings), f"{name}/new_units")
     # packing carries the text, so chunks come out assembled (no join back to the
     # texts); the paid stage's exact input is written first: packing runs with
     # normal Arrow batches, and a retried model stage re-reads fixed chunks
-    chunks = work.materialize(pack_chunk_rows(uu.select("scope", "ord", "est", "text", "context"), settings),
+    chunks = work.materialize(pack_chunk_rows(uu.select("scope", "ord", "est", "text", "context", "seg"), settings),
                               f"{name}/chunks")
     assignments = chunk_assignments(chunks)
     call_conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}
@@ -105,7 +100,9 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     zipped = zip_responses(responses)
     chunk_errors = (responses.filter(F.col("status") == "error")
                     .select("scope", F.lit("chunk").alias("stage"), "error"))
-    missing = missing_positions(zipped).join(chunk_errors.select("scope"), "scope", "left_anti")
+    missing = missing_positions(zipped)
+    if isolate == "scope":   # a scope that is lost anyway pays for no fallback
+        missing = missing.join(chunk_errors.select("scope").distinct(), "scope", "left_anti")
     single_stage = call_singles(missing, translator, settings)
     if missing.isEmpty():   # nothing to fall back on: no model stage, no write
         singles = units.sparkSession.createDataFrame([], single_stage.schema)
@@ -123,7 +120,8 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     translations = from_chunks.unionByName(from_singles)
     if known is not None:
         translations = translations.unionByName(known)
-    translations = translations.join(errors.select("scope").distinct(), "scope", "left_anti")
+    if isolate == "scope":
+        translations = translations.join(errors.select("scope").distinct(), "scope", "left_anti")
     return BatchResult(uu_all, assignments, chunks, responses, singles, translations, errors)
 
 

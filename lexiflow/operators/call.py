@@ -10,13 +10,16 @@ over-count on task retries).
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
+from ..functions.script import is_nonblank
 from ..functions.prompt import batch_prompt, name_prompt, parse_array, single_prompt
 from ..functions.text import py_clean_name
 from ..models import ModelCallFailed, ModelRequest, Throttled
@@ -46,40 +49,86 @@ class ChunkOutcome:
     error: str | None
 
 
+@dataclass
+class Reply:
+    """One attempt at a chunk: its parsed items (None = unusable) or its error, and its cost."""
+
+    items: list | None
+    input_tokens: int = 0
+    output_tokens: int = 0
+    error: str | None = None
+
+    def fits(self, n: int, reject_blank: bool) -> bool:
+        """Exactly ``n`` items; with ``reject_blank`` (Q6) none of them blank."""
+        return self.items is not None and len(self.items) == n and not (
+            reject_blank and any(not x.strip() for x in self.items))
+
+
+def chunk_replies(translator, items: list[str], context: str, settings: Settings = DEFAULT) -> Iterator[Reply]:
+    """The attempts at a chunk, lazily: the caller stops when one satisfies it."""
+    prompt = batch_prompt(items, context)
+    for number in range(settings.chunk_attempts):
+        req = ModelRequest("batch", prompt, tuple(items), context, number, 0, settings.text_reply_cap)
+        try:
+            rep = invoke(translator, req, settings)
+        except Exception as exc:  # noqa: BLE001 - any model failure isolates the scope
+            yield Reply(None, error=f"{type(exc).__name__}: {exc}")
+            return
+        yield Reply(parse_array(rep.text), rep.input_tokens, rep.output_tokens)
+
+
+def fill_positions(reply: list[str] | None, n: int) -> list:
+    """A partial reply by position: cut to ``n``, blank items left missing."""
+    said = [x if x.strip() else None for x in (reply or [])[:n]]
+    return said + [None] * (n - len(said))
+
+
 def translate_chunk(translator, items: list[str], context: str, settings: Settings = DEFAULT) -> ChunkOutcome:
-    """Up to N attempts; accepted only with exactly n items.
+    """Attempts until a reply fits; else the longest reply, the earliest of equals."""
+    n, seen, whole = len(items), [], None
+    for reply in chunk_replies(translator, items, context, settings):
+        seen.append(reply)
+        if reply.fits(n, settings.reject_blank):
+            whole = reply.items
+            break
+    cost = sum(r.input_tokens for r in seen), sum(r.output_tokens for r in seen)
+    error = next((r.error for r in seen if r.error), None)
+    if error:
+        return ChunkOutcome(len(seen), [None] * n, "error", *cost, error)
+    if whole is not None:
+        return ChunkOutcome(len(seen), list(whole), "ok", *cost, None)
+    out = fill_positions(max((r.items for r in seen), key=lambda x: len(x or []), default=None), n)
+    return ChunkOutcome(len(seen), out, "partial" if any(out) else "failed", *cost, None)
+
+
+def parse_replies(replies: DataFrame, text_col: str = "reply", out_col: str = "items") -> DataFrame:
+    """C9 over a table of raw replies: adds ``items ARRAY<STRING>``, null where the reply is unusable."""
+    schema = T.StructType([*replies.schema.fields, T.StructField(out_col, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{out_col: [parse_array(x) for x in pdf[text_col]]})
+    return replies.mapInPandas(run, schema)
+
 
-    Otherwise the first longest non-empty reply is kept (W3), cut to n, with
-    blank items left missing.  ``reject_blank`` (Q6) also refuses full
-    replies that contain blank items.
+def best_partial(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """W3 over a table of attempts: ``keys..., attempt, n, items`` (null items = unusable reply).
+
+    One row per key: ``attempts, status, out_items`` by the rule of :func:`translate_chunk`:
+    the first reply of exactly ``n`` items wins, else the longest (the earliest of
+    equals), cut to ``n`` with blank items missing.  One partial aggregation.
     """
-    n = len(items)
-    prompt = batch_prompt(items, context)
-    best, tin, tout = None, 0, 0
-    attempt = 0
-    try:
-        for attempt in range(settings.chunk_attempts):
-            rep = invoke(translator, ModelRequest("batch", prompt, tuple(items), context, attempt,
-                                                  0, settings.text_reply_cap), settings)
-            tin += rep.input_tokens
-            tout += rep.output_tokens
-            data = parse_array(rep.text)
-            ok = data is not None and len(data) == n
-            if ok and settings.reject_blank and any(not s.strip() for s in data):
-                ok = False
-            if ok:
-                return ChunkOutcome(attempt + 1, list(data), "ok", tin, tout, None)
-            if data and (best is None or len(data) > len(best)):
-                best = data
-    except Exception as exc:  # noqa: BLE001 - any model failure isolates the scope
-        return ChunkOutcome(attempt + 1, [None] * n, "error", tin, tout, f"{type(exc).__name__}: {exc}")
-    out = [None] * n
-    if best:
-        for i in range(min(len(best), n)):
-            if best[i].strip():
-                out[i] = best[i]
-    status = "partial" if any(x is not None for x in out) else "failed"
-    return ChunkOutcome(settings.chunk_attempts, out, status, tin, tout, None)
+    size = F.coalesce(F.size("items"), F.lit(-1))
+    whole = size == F.col("n")
+    best = F.max_by(F.struct("items", "attempt"), F.struct(whole, F.when(whole, -F.col("attempt")).otherwise(size),
+                                                            -F.col("attempt")))
+    got = attempts.groupBy(*keys, "n").agg(best.alias("b"), F.max("attempt").alias("last"), F.max(whole).alias("ok"))
+    cut = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.try_element_at(F.coalesce("b.items", F.array().cast("array<string>")), i))
+    out = F.when(F.col("ok"), cut).otherwise(F.transform(cut, lambda x: F.when(is_nonblank(x), x)))
+    return (got.withColumn("out_items", out)
+            .select(*keys, F.when(F.col("ok"), F.col("b.attempt")).otherwise(F.col("last")).alias("attempts"),
+                    F.when(F.col("ok"), "ok").when(F.exists("out_items", lambda x: x.isNotNull()), "partial")
+                    .otherwise("failed").alias("status"), "out_items"))
 
 
 def translate_text(translator, text: str, context: str, settings: Settings = DEFAULT):

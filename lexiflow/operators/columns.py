@@ -2,8 +2,9 @@
 
 The rule is the CSV one: every cell is one unit, all cells of the table form
 one dedup scope (unless ``scope_cols`` splits it), order = row order then
-column order.  The table-wide scope is the hot-scope case the split packer
-exists for.  Other columns never go through Python.
+column order.  Only cells that are translatable leave the table, only their
+distinct strings are ordered and packed, and one join brings the answers
+back; other columns never go through Python.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.script import is_translatable
 from ..session import WorkDir, work_dir
 from .batch import BatchResult, batch_translate
 
@@ -26,36 +28,35 @@ class ColumnsResult:
 
 def translate_columns(df: DataFrame, cols: list[str], translator, order_by: list[str],
                       settings: Settings = DEFAULT, context: str = "", scope_cols: list[str] | None = None,
-                      work: WorkDir | None = None, name: str = "columns") -> ColumnsResult:
-    """Translate ``cols`` of ``df``; ``order_by`` gives the row order.
-
-    A single integral ``order_by`` column is the row key itself (it must be
-    unique).  Otherwise rows get a BIGINT key from a global sort (range
-    partitioning, so a skewed key is split by sampling) and
-    ``monotonically_increasing_id``; that keyed table is written once, so the
-    key is stable for the join back.
+                      work: WorkDir | None = None, name: str = "columns", status_col: str | None = None) -> ColumnsResult:
+    """Translate ``cols`` of ``df``; ``order_by`` gives the row order (any types, ties allowed).
+
+    A failed call leaves its own strings as they are, no others.  ``status_col`` adds a
+    column: ``none`` (nothing to translate in the row), ``ok``, or ``kept`` (a cell kept its original).
+    Rows are numbered as the table is written once, which no order or key width can
+    overflow; the packing order of the distinct strings is that of their first cells.
+    Scopes are compared as structs, so a null is a value of its own.
     """
     work = work or work_dir(df.sparkSession)
-    n = len(cols)
-    integral = ("tinyint", "smallint", "int", "bigint")
-    if len(order_by) == 1 and dict(df.dtypes).get(order_by[0]) in integral:
-        # one integral key already orders the rows: no global sort, no extra write
-        keyed = df.withColumn("__row", F.col(order_by[0]).cast("bigint"))
-    else:
-        keyed = work.materialize(
-            df.orderBy(*order_by).withColumn("__row", F.monotonically_increasing_id()), f"{name}/keyed")
-    scope = (F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope_cols])
+    keyed = work.materialize(df.withColumn("__uid", F.monotonically_increasing_id()), f"{name}/keyed")
+    scope = (F.to_json(F.struct(*[F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(scope_cols)]))
              if scope_cols else F.lit("table"))
-    cells = keyed.select(
-        scope.alias("scope"), F.lit(context).alias("context"), "__row",
-        F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("col_idx", "text"),
-    ).select("scope", "context", (F.col("__row") * F.lit(n) + F.col("col_idx")).alias("ord"), "text")
-    cells = cells.filter(F.col("text").isNotNull())
-    batch = batch_translate(cells, translator, settings, work, name)
+    cells = (keyed.select("__uid", scope.alias("scope"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)]).alias("__k"),
+                          F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("col", "text"))
+             .filter(F.col("text").isNotNull() & is_translatable("text", settings.profile)))
+    first = cells.groupBy("scope", "text").agg(F.min(F.struct("__k", "col")).alias("__at"))
+    ordered = work.materialize(first.orderBy("scope", "__at", "text").select(
+        "scope", "text", F.lit(context).alias("context"), F.monotonically_increasing_id().alias("ord")), f"{name}/ordered")
+    batch = batch_translate(ordered, translator, settings, work, name, isolate="chunk")
     t = batch.translations.select("scope", "text", "text_en")
-    out = keyed.withColumn("__scope", scope)
-    for c in cols:
-        tc = t.select(F.col("scope").alias("__scope"), F.col("text").alias(c), F.col("text_en").alias(f"__en_{c}"))
-        out = (out.join(tc, ["__scope", c], "left")
-               .withColumn(c, F.coalesce(F.col(f"__en_{c}"), F.col(c))).drop(f"__en_{c}"))
-    return ColumnsResult(out.drop("__row", "__scope").select(*df.columns), batch)
+    news = (cells.select("__uid", "col", "scope", "text").join(t, ["scope", "text"], "left")
+            .groupBy("__uid").agg(F.map_from_entries(F.collect_list(F.struct("col", "text_en"))).alias("__new")))
+    out = keyed.join(news, "__uid", "left")
+    for i, c in enumerate(cols):
+        out = out.withColumn(c, F.coalesce(F.try_element_at("__new", F.lit(i)), F.col(c)))
+    keep = [*df.columns]
+    if status_col:
+        out = out.withColumn(status_col, F.when(F.col("__new").isNull(), "none").when(
+            F.exists(F.map_values("__new"), lambda x: x.isNull()), "kept").otherwise("ok"))
+        keep.append(status_col)
+    return ColumnsResult(out.select(*keep), batch)

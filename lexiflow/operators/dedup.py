@@ -9,7 +9,7 @@ from ..config import DEFAULT, Settings
 from ..functions.script import est_tokens, is_translatable
 
 # A2: the source rank becomes the high bits of the order key.
-RANK_SHIFT = 40
+RANK_SHIFT = 62
 
 
 def select_translatable(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -36,7 +36,7 @@ def dedup_units(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def union_units(first: DataFrame, second: DataFrame) -> DataFrame:
     """A2: ``first`` then ``second`` as one ordered source (before A1).
 
-    Order key = ``rank << 40 | ord``; ``ord`` must stay below 2**40.
+    Order key = ``rank << 62 | ord``, for two sources whose ``ord`` is below 2**62.
     """
     def ranked(df, rank):
         return df.withColumn("ord", F.col("ord") + F.lit(rank << RANK_SHIFT))

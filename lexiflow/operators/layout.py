@@ -53,7 +53,7 @@ def layout_units(lines: DataFrame, context=None) -> DataFrame:
     return lines.select(
         F.concat_ws("#", "path", F.col("page").cast("string")).alias("scope"),
         *LINE_KEYS,
-        (F.col("block").cast("bigint") * F.lit(1 << 20) + F.col("line")).alias("ord"),
+        (F.shiftleft(F.col("block").cast("bigint"), 31) + F.col("line")).alias("ord"),
         "text", page_context(ctx, F.col("page")).alias("context"), "size", "color",
         "x0", "y0", "x1", "y1")
 

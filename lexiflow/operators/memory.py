@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +23,21 @@ MEMORY_SCHEMA = T.StructType([
 ])
 
 
-def read_memory(spark: SparkSession, path: str) -> DataFrame:
-    """The memory table, or an empty one when nothing was stored yet."""
-    if path.startswith("/") and not os.path.isdir(path):
-        return spark.createDataFrame([], MEMORY_SCHEMA)
+def read_memory(spark: SparkSession, path: str, except_run: str | None = None) -> DataFrame:
+    """The memory table, or an empty one when nothing was stored yet.
+
+    ``except_run``: leaves that run's own rows out, so that a replayed run learns, and
+    writes, the same rows again.  Spark itself looks the path up, on any file system.
+    """
     try:
-        return spark.read.schema(MEMORY_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - an empty folder has no files yet
+        got = spark.read.schema(T.StructType([*MEMORY_SCHEMA.fields, T.StructField("run", T.StringType())])).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MEMORY_SCHEMA)
+    if except_run is not None:
+        got = got.filter(~F.col("run").eqNullSafe(F.lit(except_run)))
+    return got.drop("run")
 
 
 def learned(translations: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ distinct folder, not per file, then joined to files on ``rel_dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -52,20 +52,24 @@ def translate_names(names: DataFrame, translator, settings: Settings, work: Work
             .select("name", "context", F.col("name").alias("name_en"), F.lit("kept").alias("how"),
                     F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
                     F.lit(None).cast("string").alias("error")))
-    model = called.select("name", "context", "name_en",
+    model = called.select("name", "context", safe_name(F.col("name_en"), F.col("name")).alias("name_en"),
                           F.when(F.col("status") == "ok", "model").otherwise("error").alias("how"),
                           "input_tokens", "output_tokens", "error")
     return model.unionByName(kept)
 
 
 def translate_folders(files: DataFrame, root_name: str, translator, settings: Settings = DEFAULT,
-                      work: WorkDir | None = None, table: str = "names/folders") -> DataFrame:
-    """Stage A: ``dir, name, level, context, name_en, how``.  The calls are
-    written to ``table`` in the work folder (one table per stage)."""
+                      work: WorkDir | None = None, table: str = "names/folders",
+                      more_dirs: DataFrame | None = None) -> DataFrame:
+    """Stage A: ``dir, name, level, context, name_en, how, name_error``.  The calls are
+    written to ``table`` in the work folder (one table per stage).  ``more_dirs``: folders
+    without files (``rel_dir``), named in the same stage, so no ancestor is asked for twice."""
     work = work or work_dir(files.sparkSession)
-    folders = folder_table(files, root_name)
+    dirs = files.select("rel_dir") if more_dirs is None else files.select("rel_dir").unionByName(more_dirs.select("rel_dir"))
+    folders = folder_table(dirs, root_name)
     names = translate_names(folders, translator, settings, work, table)
-    return folders.join(names.select("name", "context", "name_en", "how"), ["name", "context"], "left")
+    return folders.join(names.select("name", "context", "name_en", "how", F.col("error").alias("name_error")),
+                        ["name", "context"], "left")
 
 
 def translate_dir_paths(folders_en: DataFrame, root_name: str) -> DataFrame:
@@ -87,10 +91,10 @@ def translate_dir_paths(folders_en: DataFrame, root_name: str) -> DataFrame:
 
 def translate_file_names(files: DataFrame, dir_paths: DataFrame, translator, settings: Settings = DEFAULT,
                          work: WorkDir | None = None, table: str = "names/files") -> DataFrame:
-    """Stage B: files + ``folder_context, stem_en, name_en, path_en``.
+    """Stage B: files + ``folder_context, stem_en, name_en, path_en, how, name_error``.
 
-    Two files whose translated paths collide (Q11) get ``_2``, ``_3``... on
-    the stem, in path order.
+    ``path_en`` is unique over these files (:func:`unique_paths`); a job that lets some
+    files keep their names makes the final paths unique over all of them.
     """
     work = work or work_dir(files.sparkSession)
     f = files.join(dir_paths, "rel_dir", "left")
@@ -98,14 +102,42 @@ def translate_file_names(files: DataFrame, dir_paths: DataFrame, translator, set
     names = translate_names(f.select(F.col("stem").alias("name"), F.col("name_context").alias("context")),
                             translator, settings, work, table)
     f = (f.join(names.select(F.col("name").alias("stem"), F.col("context").alias("name_context"),
-                             F.col("name_en").alias("stem_en0")), ["stem", "name_context"], "left")
+                             F.col("name_en").alias("stem_en0"), "how", F.col("error").alias("name_error")),
+                ["stem", "name_context"], "left")
          .withColumn("stem_en0", F.coalesce("stem_en0", "stem")))
-    target = F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")), F.concat("stem_en0", "suffix"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("__target").orderBy("path")
-    f = f.withColumn("__target", F.lower(target)).withColumn("__dup", F.row_number().over(w))
-    f = f.withColumn("stem_en", F.when(F.col("__dup") == 1, F.col("stem_en0"))
-                     .otherwise(F.concat("stem_en0", F.lit("_"), F.col("__dup").cast("string"))))
+    f = f.withColumnRenamed("stem_en0", "stem_en")
     f = f.withColumn("name_en", F.concat("stem_en", "suffix"))
-    f = f.withColumn("path_en", F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")), F.col("name_en")))
-    return f.drop("__target", "__dup", "stem_en0")
+    return f.join(unique_paths(f.select("path", "dir_en", F.col("stem_en").alias("stem"), "suffix"))
+                  .withColumnRenamed("path_out", "path_en"), "path")
+
+
+def safe_name(name, original) -> F.Column:
+    """A model's answer as one path step: separators and control characters become '-', and
+    an answer that is empty, ``.`` or ``..`` leaves the original name."""
+    n = F.regexp_replace(name, r"[/\\\x00-\x1F]", "-")
+    return F.when(n.isNull() | F.trim(n).isin("", ".", ".."), original).otherwise(n)
+
+
+def unique_paths(files: DataFrame) -> DataFrame:
+    """Q11 over final names: ``path, dir_en, stem, suffix`` -> ``path, path_out``, no two alike whatever the case.
+
+    The first path of a name keeps it; the others take ``_2``, ``_3``..., passing over numbers that
+    another file of the folder has by its own name.  A name with a given number has one base only,
+    so given names can't meet.  One window per colliding name; folders are never groups.
+    """
+    low = [F.lower("dir_en").alias("d"), F.lower("stem").alias("s"), F.lower("suffix").alias("x")]
+    f = files.select("path", "dir_en", "stem", "suffix", *low)
+    w = Window.partitionBy("d", "s", "x").orderBy("path")
+    f = f.withColumn("k", F.row_number().over(w))
+    # names that look numbered, by the base they would be numbers of
+    m = r"^(.*)_([1-9][0-9]{0,8})$"
+    taken = (f.where(F.col("s").rlike(m)).select("d", F.regexp_extract("s", m, 1).alias("s"), "x",
+                                                 F.regexp_extract("s", m, 2).cast("int").alias("n"))
+             .groupBy("d", "s", "x").agg(F.collect_set("n").alias("taken")))
+    again = f.where("k > 1").join(taken, ["d", "s", "x"], "left")
+    free = F.array_except(F.sequence(F.lit(2), F.col("k") + F.coalesce(F.size("taken"), F.lit(0))),
+                          F.coalesce("taken", F.array().cast("array<int>")))
+    named = again.withColumn("stem", F.concat("stem", F.lit("_"), F.element_at(free, F.col("k") - 1).cast("string")))
+    both = f.where("k = 1").select("path", "dir_en", "stem", "suffix").unionByName(named.select("path", "dir_en", "stem", "suffix"))
+    return both.select("path", F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")),
+                                           F.concat("stem", F.coalesce("suffix", F.lit("")))).alias("path_out"))

@@ -11,8 +11,10 @@ Next-fit is a running sum with reset, so it is not a window function, and a
 scope can be arbitrarily large (one table translated as one scope).  The
 packing is therefore exact *and* split:
 
-1. units are cut into segments ``(scope, floor(ord / M))`` of at most ``M``
-   units, hash-partitioned on that key and sorted within partitions;
+1. units are range-partitioned and sorted by ``(scope, ord)`` and written with a
+   running number; segments are ``(scope, floor(number / M))``, so they hold up to
+   ``M`` consecutive units however sparse ``ord`` is (a CSV cell's row and column,
+   a key of 2**62), and are hash-partitioned on that key;
 2. pass 1: per segment, the greedy is run from every possible first chunk
    boundary ``b`` (at most ``max_strings`` of them, since an open chunk must
    close within that many units); runs that meet share their tail, so the
@@ -37,20 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
-
-
-def py_pack(ests: list[int], budget: int, max_strings: int) -> list[int]:
-    """Plain sequential next-fit: chunk index (0-based) of every unit."""
-    out, cur, total, k = [], 0, 0, -1
-    for e in ests:
-        if cur and (total + e > budget or cur >= max_strings):
-            cur, total = 0, 0
-        if cur == 0:
-            k += 1
-        out.append(k)
-        cur += 1
-        total += e
-    return out
+from ..session import work_dir
 
 
 class _Greedy:
@@ -171,11 +160,22 @@ def _summarize(g: dict, B: int, K: int) -> tuple:
 ENTRY_COLS = ["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before", "is_last"]
 
 
+def with_segments(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``units`` with ``seg``: at most ``M`` consecutive units of a scope in ``ord`` order.
+
+    To be written before it is packed: the number comes from the position in the
+    sorted partitions, and both packing passes must see the same one.
+    """
+    return (units.repartitionByRange("scope", "ord").sortWithinPartitions("scope", "ord")
+            .withColumn("seg", F.floor(F.monotonically_increasing_id() / F.lit(settings.pack_segment_units)).cast("bigint")))
+
+
 def _segments(units: DataFrame, settings: Settings, extra: list[str] | None = None) -> DataFrame:
-    M = settings.pack_segment_units
-    return units.select(
-        "scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"),
-        F.floor(F.col("ord") / F.lit(M)).cast("bigint").alias("seg"), *(extra or []))
+    if "seg" not in units.columns:
+        units = work_dir(units.sparkSession).materialize(
+            with_segments(units.select("scope", "ord", "est", *(extra or [])), settings), "segments")
+    return units.select("scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"),
+                        "seg", *(extra or []))
 
 
 def _entries(seg: DataFrame, settings: Settings) -> DataFrame:

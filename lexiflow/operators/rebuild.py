@@ -59,22 +59,18 @@ def csv_text(rows) -> "F.Column":
 
 def apply_and_rebuild(lines: DataFrame, translations: DataFrame, key: str = "scope",
                       out_col: str = "text") -> DataFrame:
-    """J1 + F9 + R1 for whole documents in one shuffle of the lines.
-
-    Lines are grouped by document once; translations are grouped by document
-    into a small map (bounded by that document's unique lines); the two
-    aggregates are both hash-partitioned on the key, so joining them adds no
-    exchange.  Each line then looks itself up in its document's map.  Compared
-    with a line-level join on ``(scope, text)`` followed by a regroup, every
-    line crosses the network once instead of twice, and no ``(scope, text)``
-    key can be hot.
+    """J1 + F9 + R1 for whole documents: one join by ``(scope, text)``, one ordered aggregate.
+
+    Cost is linear in the lines (a per-document map is searched once per line and entry).
+    Where the session lets a join be satisfied by a partitioning on part of its keys
+    (``spark.sql.requireAllClusterKeysForCoPartition=false``, as :func:`build_session`
+    sets it), both sides are dealt by the document and the regroup needs no second
+    exchange of the lines; else Spark adds that exchange.
     """
-    docs = (lines.groupBy(F.col(key).alias("scope"))
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "text", "ending"))).alias("__l")))
-    maps = (translations.groupBy("scope")
-            .agg(F.map_from_entries(F.collect_list(F.struct("text", "text_en"))).alias("__m")))
-    j = docs.join(maps, "scope", "left")
-    body = F.array_join(F.transform("__l", lambda x: F.concat(
-        F.coalesce(F.when(F.col("__m").isNotNull(), F.element_at(F.col("__m"), x["text"])), x["text"]),
-        x["ending"])), "")
-    return j.select(F.col("scope").alias(key), body.alias(out_col))
+    spark = lines.sparkSession
+    own = lines.select(F.col(key).alias("scope"), "ord", "text", "ending")
+    t = translations.select("scope", "text", "text_en")
+    if spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "false":
+        own, t = own.repartition("scope"), t.repartition("scope")
+    out = own.join(t, ["scope", "text"], "left").select("scope", "ord", F.coalesce("text_en", "text").alias("text_out"), "ending")
+    return rebuild_text(out, "scope", "text_out", out_col).withColumnRenamed("scope", key)

@@ -91,7 +91,7 @@ def q_union_units(spark, sf):
         x = c.filter(F.col("role") == role).select(F.col("conv_id").alias("scope"), "turn", "text",
                                                    F.lit("").alias("context"))
         x = explode_lines(x, "text", keep=["scope", "turn", "context"])
-        return x.select("scope", (F.col("turn") * 100000 + F.col("ord")).alias("ord"), "text", "context")
+        return x.select("scope", (F.shiftleft(F.col("turn").cast("bigint"), 31) + F.col("ord")).alias("ord"), "text", "context")
 
     u = dedup_units(union_units(lines_of("user"), lines_of("assistant")))
     return u.select(F.col("scope").alias("conv_id"), "text", "ord")
@@ -283,7 +283,7 @@ def csv_files(spark, sf):
 
 def q_csv_cells(spark, sf):
     from ..sources.csv_cells import csv_cells
-    return csv_cells(csv_files(spark, sf)).filter(F.col("col") >= 0)
+    return csv_cells(csv_files(spark, sf)).filter(F.col("col") >= 0).drop("n")
 
 
 def q_csv_rebuild(spark, sf):
@@ -380,7 +380,7 @@ def string_table_parts(spark, sf):
 
     def entry(s, k):
         before = F.substring_index(s, " ", 1)
-        after = F.substring(s, F.length(before) + 2, 1 << 30)
+        after = F.substr(s, F.length(before) + 2)
         rich = F.concat(F.lit("<si><r><t>"), xml_escape(before), F.lit('</t></r><r><rPr/><t xml:space="preserve">'),
                         xml_escape(after), F.lit('</t></r><rPh sb="0" eb="1"><t>ふりがな</t></rPh></si>'))
         plain = F.concat(F.lit("<si><t>"), xml_escape(s), F.lit("</t></si>"))
@@ -427,10 +427,14 @@ def q_tab_name_sanitize(spark, sf):
 
 
 def q_tab_name_unique(spark, sf):
+    """Every translation collides with its neighbours', and every fifth tab is an untranslated ``<first word>_2``."""
     from ..operators.markup import unique_tab_names
-    t = _tabs(spark, sf).select("wb", F.col("p_partkey").alias("pos"),
-                                F.concat("jp", F.col("p_partkey").cast("string")).alias("name"),
-                                F.upper("p_name").alias("name_en"))
+    t = _tabs(spark, sf)
+    word = F.upper(F.substring_index("p_name", " ", 1))
+    kept = F.col("p_partkey") % 5 == 0
+    t = t.select("wb", F.col("p_partkey").alias("pos"),
+                 F.when(kept, F.concat(word, F.lit("_2"))).otherwise(F.concat("jp", F.col("p_partkey").cast("string"))).alias("name"),
+                 F.when(~kept, F.when(F.col("p_partkey") % 2 == 0, word).otherwise(F.lower(word))).alias("name_en"))
     return unique_tab_names(t, ["wb"]).select("wb", F.col("pos").alias("p_partkey"), "tab_en")
 
 
@@ -523,18 +527,16 @@ def q_workbook_rename(spark, sf):
 
 def q_string_table_rewrite(spark, sf):
     """S9 -> T1 (scope = part) -> R4 (+ R8 font rule) on every benchmark part."""
-    from ..operators.markup import fonts_string_table, py_rewrite_string_table
+    from ..operators.markup import fonts_string_table, rewrite_string_table
     from ..sources.markup import string_table_entries
-    from .packages import _apply_python, _map_per_scope
     parts = string_table_parts(spark, sf)
     e = string_table_entries(parts, "xml", ["item_id"])
     scope = F.concat_ws("\u0001", F.col("item_id").cast("string"), F.lit("xl/sharedStrings.xml"))
     res = batch_translate(e.select(scope.alias("scope"), F.col("i").cast("bigint").alias("ord"), "text",
                                    F.lit("book").alias("context")), MockTranslator(), MOCK_SETTINGS,
                           work_dir(spark), "sst")
-    rows = parts.select(F.col("item_id").cast("string").alias("path"), F.lit("xl/sharedStrings.xml").alias("part"), "xml")
-    out = _apply_python(rows, _map_per_scope(res.translations), py_rewrite_string_table)
-    return out.select(F.col("path").cast("bigint").alias("item_id"), fonts_string_table("xml").alias("xml"))
+    out = rewrite_string_table(parts, ["item_id"], "xml", res.translations, scope)
+    return out.select("item_id", fonts_string_table("xml").alias("xml"))
 
 
 def docx_parts(spark, sf):
@@ -543,7 +545,7 @@ def docx_parts(spark, sf):
     from ..functions.text import xml_escape
     lines = jp_lines(spark, sf)
     before = F.substring_index("text", " ", 1)
-    after = F.substring(F.col("text"), F.length(before) + 1, 1 << 30)
+    after = F.substr(F.col("text"), F.length(before) + 1)
     para = F.when(F.col("text") == "", F.lit("<w:p><w:pPr/></w:p>")).otherwise(F.concat(
         F.lit("<w:p><w:r><w:t>"), xml_escape(before), F.lit('</w:t></w:r><w:r><w:t xml:space="preserve">'),
         xml_escape(after), F.lit("</w:t></w:r></w:p>")))
@@ -575,33 +577,191 @@ def q_docx_rewrite(spark, sf):
 
 
 def q_drawing_discovery(spark, sf):
-    """S13 + J5: per page a package whose sheet rels name a drawing target, every
-    third one none (standard-folder fallback); only existing parts count."""
+    """S13 + J5: per page a package whose sheet rels are made of the page's own links, each a
+    drawing target (``../drawings/<link>.xml``); every second link's part exists.
+    Every third page has no rels (standard-folder fallback).  Only existing parts count."""
     from ..sources.markup import DRAWING_REL, drawing_parts
     from .fixtures import table
-    pg = table(spark, sf, "pages").select("page_id")
+    pg = table(spark, sf, "pages")
     path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".xlsx"))
-    rel = F.concat(F.lit('<Relationships><Relationship Type="' + DRAWING_REL + '" Target="../drawings/d'),
-                   F.col("page_id").cast("string"), F.lit('.xml"/></Relationships>'))
-    has_rel = F.col("page_id") % 3 != 0
-    rows = (pg.select(path.alias("path"), F.lit("xl/worksheets/_rels/sheet1.xml.rels").alias("part"),
-                      F.encode(rel, "UTF-8").alias("data"), has_rel.alias("keep"))
-            .unionByName(pg.select(path.alias("path"), F.concat(F.lit("xl/drawings/d"), F.col("page_id").cast("string"),
-                                                                F.lit(".xml")).alias("part"),
-                                   F.encode(F.lit("<x/>"), "UTF-8").alias("data"), F.lit(True).alias("keep")))
-            .unionByName(pg.select(path.alias("path"), F.lit("xl/drawings/extra.xml").alias("part"),
-                                   F.encode(F.lit("<x/>"), "UTF-8").alias("data"), F.lit(True).alias("keep"))))
-    return drawing_parts(rows.filter("keep").drop("keep"))
+    links = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)
+    rel = F.concat(F.lit("<Relationships>"), F.array_join(F.transform(links, lambda x: F.concat(
+        F.lit('<Relationship Type="' + DRAWING_REL + '" Target="./../sheets/../drawings/'), x, F.lit('.xml"/>'))), ""),
+        F.lit("</Relationships>"))
+    pg = pg.select("page_id", path.alias("path"), links.alias("links"), rel.alias("rel"))
+    empty = F.encode(F.lit("<x/>"), "UTF-8").alias("data")
+    at = pg.select("path", F.posexplode("links").alias("i", "l"))
+    rows = (pg.filter(F.col("page_id") % 3 != 0).select("path", F.lit("xl/worksheets/_rels/sheet1.xml.rels").alias("part"),
+                                                        F.encode("rel", "UTF-8").alias("data"))
+            .unionByName(at.filter(F.col("i") % 2 == 0).select("path", F.concat(F.lit("xl/drawings/"), "l", F.lit(".xml")).alias("part"),
+                                                               empty).distinct())
+            .unionByName(pg.select("path", F.lit("xl/drawings/extra#.xml").alias("part"), empty)))
+    return drawing_parts(rows)
 
 
 def q_name_clean(spark, sf):
-    """C10 on quoted model answers derived from every benchmark text."""
+    """C10 on quoted model answers made of every whole benchmark text."""
     from ..functions.text import clean_name
     from .fixtures import table
-    b = table(spark, sf, "benchmark")
-    w = F.regexp_extract("text", r"^\S+", 0)
-    raw = F.concat(F.lit(" \"'"), w, F.lit("'\"\n"))
-    return b.select("item_id", raw.alias("raw"), clean_name(raw).alias("name"))
+    raw = F.concat(F.lit(" \"'"), "text", F.lit("'\"\n"))
+    return table(spark, sf, "benchmark").select("item_id", raw.alias("raw"), clean_name(raw).alias("name"))
+
+
+# --- model replies as tables (C9 W3 T6 A9) ----------------------------------------------
+
+def q_parse_responses(spark, sf):
+    """C9 on raw replies made of every conversation text: fenced, wrapped, not JSON, not all strings, unclosed, empty."""
+    from ..operators.call import parse_replies
+    from .fixtures import table
+    c = table(spark, sf, "conversations")
+    one, two = F.to_json(F.array("text")), F.to_json(F.array("text", F.lit("b")))
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    reply = (F.when(kind == 0, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Sure: "), two, F.lit(" done")))
+             .when(kind == 2, F.lit("none")).when(kind == 3, F.lit('[1, "x"]')).when(kind == 4, F.substr(two, F.lit(1), F.length(two) - 1))
+             .otherwise(F.lit("[]")))
+    got = parse_replies(c.select("conv_id", "turn", reply.alias("reply")))
+    return got.select("conv_id", "turn", F.size("items").alias("n_items"), F.try_element_at("items", F.lit(1)).alias("first"))
+
+
+def q_best_partial(spark, sf):
+    """W3 over attempts of unequal length with blank items, made of every document's words."""
+    from ..operators.call import best_partial
+    d = jp_documents(spark, sf).select("doc_id", F.split("text", " ").alias("w")).withColumn("n", F.size("w"))
+    a = d.select("doc_id", "n", "w", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
+    size = F.greatest(F.lit(0), F.col("n") - 2 + ((F.col("doc_id") * 7 + F.col("attempt") * 5) % 4).cast("int"))
+    items = F.transform(F.slice(F.concat("w", F.array(F.lit("more"))), F.lit(1), size),
+                        lambda x, i: F.when((i + F.col("doc_id")) % 5 == 0, F.lit(" ")).otherwise(x))
+    got = best_partial(a.select("doc_id", "attempt", "n", items.alias("items")), ["doc_id"])
+    return got.select("doc_id", "attempts", "status", F.array_join(F.transform("out_items", lambda x: F.coalesce(x, F.lit("?"))), "|").alias("out"))
+
+
+def q_throttled_outcomes(spark, sf):
+    """T6 through T2: a call throttled up to twice is answered, three times fails its chunk."""
+    key = (spark.sparkContext.applicationId, sf, "throttle")
+    if key not in _RUNS:
+        from ..models import ThrottleByLength
+        _RUNS[key] = batch_translate(jp_lines(spark, sf), ThrottleByLength(), SMALL, work_dir(spark), "throttle")
+    r = _RUNS[key].responses
+    return _doc(r.select("scope", "chunk_id", "attempts", "status", "input_tokens", "output_tokens"))
+
+
+def q_error_summary(spark, sf):
+    """Failed files by stage of the quarantine run."""
+    from .corpus import error_summary
+    return error_summary(_corpus(spark, sf, "quarantine").errors)
+
+
+# --- sheets, drawings, part rules (S10 S11 R6 R8 R9) --------------------------------------
+
+def sheet_parts(spark, sf):
+    """A sheet per workbook of ``part``: inline strings and cached formula strings, in key order."""
+    from ..functions.text import xml_escape
+    t = _tabs(spark, sf)
+    cell = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<c t="inlineStr"><is><t>'), xml_escape("jp"), F.lit("</t></is></c>"))).otherwise(
+        F.concat(F.lit('<c r="A1" t="str"><f>1&lt;2</f><v>'), xml_escape("jp"), F.lit("</v></c>")))
+    return (t.groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("p_partkey", cell.alias("c")))).alias("s"))
+            .select("wb", F.concat(F.lit("<sheetData>"), F.array_join(F.col("s.c"), ""), F.lit("</sheetData>")).alias("xml")))
+
+
+def q_sheet_strings(spark, sf):
+    from ..sources.markup import sheet_strings
+    return sheet_strings(sheet_parts(spark, sf), "xml", ["wb"]).select("wb", "kind", "i", "text")
+
+
+def q_sheet_rewrite(spark, sf):
+    """S10 -> T1 (scope = sheet) -> R6 on both node patterns."""
+    from ..operators.markup import node_replacements, rewrite_nodes
+    from ..sources.markup import CACHED_STR, INLINE_STR, sheet_strings
+    parts = sheet_parts(spark, sf)
+    ss = sheet_strings(parts, "xml", ["wb"])
+    u = union_units(*[ss.filter(F.col("kind") == k).select(F.col("wb").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text",
+                                                           F.lit("sheet").alias("context")) for k in ("inline", "cached")])
+    res = batch_translate(u, MockTranslator(), MOCK_SETTINGS, work_dir(spark), "sheets")
+    for kind, pattern in (("inline", INLINE_STR), ("cached", CACHED_STR)):
+        new = node_replacements(ss.filter(F.col("kind") == kind), ["wb"], res.translations, F.col("wb"))
+        parts = rewrite_nodes(parts, ["wb"], "xml", pattern, new)
+    return parts
+
+
+def q_drawing_rewrite(spark, sf):
+    """S11 -> T1 -> R3 on drawing nodes, and R8's font and autofit rules."""
+    from ..functions.text import xml_escape
+    from ..operators.markup import fonts_drawing, node_replacements, rewrite_nodes
+    from ..sources.markup import DRAWING_NODE, text_nodes
+    t = _tabs(spark, sf)
+    node = F.concat(F.lit('<a:p><a:noAutofit/><a:latin typeface="'), xml_escape("p_brand"), F.lit('"/><a:t>'), xml_escape("jp"), F.lit("</a:t></a:p>"))
+    parts = (t.groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))).alias("s"))
+             .select("wb", F.array_join(F.col("s.n"), "").alias("xml")))
+    nodes = text_nodes(parts, "xml", DRAWING_NODE, ["wb"])
+    res = batch_translate(nodes.select(F.col("wb").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text", F.lit("drawing").alias("context")),
+                          MockTranslator(), MOCK_SETTINGS, work_dir(spark), "drawings")
+    new = node_replacements(nodes, ["wb"], res.translations, F.col("wb"))
+    return rewrite_nodes(parts, ["wb"], "xml", DRAWING_NODE, new).select("wb", fonts_drawing("xml").alias("xml"))
+
+
+MEMBERS = ["xl/calcChain.xml", "[Content_Types].xml", "xl/sharedStrings.xml", "xl/workbook.xml", "xl/styles.xml", "xl/worksheets/s.xml",
+           "xl/worksheets/_rels/s.xml.rels", "docProps/app.xml", "xl/media/i.png"]
+
+
+def q_part_rules(spark, sf):
+    """R9 dispatch and the R8 rules for styles and content types, a member per part."""
+    from ..operators.markup import drop_calc_chain_type, fonts_styles, part_kind
+    t = _tabs(spark, sf)
+    t = t.withColumn("part", F.element_at(F.array(*[F.lit(m) for m in MEMBERS]), (F.col("p_partkey") % 9 + 1).cast("int")))
+    t = t.withColumn("kind", part_kind("part"))
+    styles = F.concat(F.lit('<font><name val="'), "p_brand", F.lit('"/><scheme val="minor"/></font>'))
+    types = F.concat(F.lit('<Types><Override PartName="/xl/calcChain.xml" ContentType="'), "p_brand", F.lit('"/> <Override PartName="/x"/></Types>'))
+    return t.select("p_partkey", "part", "kind", F.when(F.col("kind") == "styles", fonts_styles(styles)).when(
+        F.col("kind") == "content_types", drop_calc_chain_type(types)).alias("xml"))
+
+
+# --- unique paths, packing of cells, columns, csv files --------------------------------------
+
+def q_path_unique(spark, sf):
+    """Q11: colliding names, some with an own number, in every case."""
+    from ..operators.names import unique_paths
+    from .fixtures import table
+    d = table(spark, sf, "documents")
+    stem = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("Name")).otherwise(F.lit("name")), (F.col("doc_id") % 4).cast("string"),
+                    F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("_"), (F.col("doc_id") % 5 + 2).cast("string"))).otherwise(F.lit("")))
+    return unique_paths(d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("source").alias("dir_en"),
+                                 stem.alias("stem"), F.lit(".txt").alias("suffix")))
+
+
+def q_csv_pack(spark, sf):
+    """W1 over CSV cells: far-apart rows and columns are consecutive units."""
+    from ..sources.csv_cells import cell_units, csv_cells
+    u = dedup_units(cell_units(csv_cells(csv_files(spark, sf))), SMALL)
+    return pack_chunks(work_dir(spark).materialize(u.select("scope", "ord", "est"), "csv_pack_in"), SMALL).withColumnRenamed("scope", "path")
+
+
+def q_columns_quarantine(spark, sf):
+    """T10 with refused chunks: only their strings stay original."""
+    from ..operators.columns import translate_columns
+    c = jp_conversations(spark, sf).withColumn("text", F.when((F.col("conv_id") % 25 == 3) & (F.col("turn") == 0),
+                                                              F.concat("text", F.lit(FAIL_MARKER))).otherwise(F.col("text")))
+    c = c.withColumn("key", F.col("conv_id") * (1 << 40) - F.lit(1 << 45) + F.col("turn"))
+    return translate_columns(c, ["role", "text"], ScriptedFaultTranslator(fail_marker=FAIL_MARKER, faults=False), ["key"], SMALL,
+                             context="conversation", work=work_dir(spark), name="columns_q", status_col="how").table.drop("key")
+
+
+def q_translate_corpus_csv(spark, sf):
+    """T8 on CSV files: names, cells, rebuild."""
+    from .corpus import translate_corpus
+    f = csv_files(spark, sf)
+    name = F.substring_index("path", "/", -1)
+    f = f.select("path", F.lit("conv").alias("rel_dir"), name.alias("name"), F.substring_index(name, ".", 1).alias("stem"),
+                 F.lit(".csv").alias("suffix"), F.lit(".csv").alias("ext"), "text")
+    return translate_corpus(f, ROOT_NAME, MockTranslator(), MOCK_SETTINGS, work_dir(spark)).files.select("path", "path_out", "status", "text")
+
+
+def q_translate_corpus_layout(spark, sf):
+    """T8 with a span table and a page limit: the layout lines of the run."""
+    from .corpus import translate_corpus
+    sp = work_dir(spark).materialize(spans(spark, sf), "spans")
+    f = sp.select("path").distinct().select("path", F.lit("").alias("rel_dir"), F.col("path").alias("name"), F.col("path").alias("stem"),
+                                            F.lit(".pdf").alias("suffix"), F.lit(".pdf").alias("ext"), F.lit(None).cast("string").alias("text"))
+    return translate_corpus(f, ROOT_NAME, MockTranslator(), MOCK_SETTINGS, work_dir(spark), sp, 2).layout
 
 
 QUERIES = {
@@ -656,4 +816,17 @@ QUERIES = {
     "docx_rewrite": q_docx_rewrite,
     "drawing_discovery": q_drawing_discovery,
     "name_clean": q_name_clean,
+    "parse_responses": q_parse_responses,
+    "best_partial": q_best_partial,
+    "throttled_outcomes": q_throttled_outcomes,
+    "error_summary": q_error_summary,
+    "sheet_strings": q_sheet_strings,
+    "sheet_rewrite": q_sheet_rewrite,
+    "drawing_rewrite": q_drawing_rewrite,
+    "part_rules": q_part_rules,
+    "path_unique": q_path_unique,
+    "csv_pack": q_csv_pack,
+    "columns_quarantine": q_columns_quarantine,
+    "translate_corpus_csv": q_translate_corpus_csv,
+    "translate_corpus_layout": q_translate_corpus_layout,
 }

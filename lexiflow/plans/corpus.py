@@ -24,11 +24,12 @@ from ..config import DEFAULT, Settings
 from ..functions.text import document_context
 from ..operators.apply import apply_translations
 from ..operators.batch import BatchResult, batch_translate
-from ..operators.names import translate_dir_paths, translate_file_names, translate_folders
+from ..operators.layout import layout_lines, layout_style, layout_units
+from ..operators.names import translate_dir_paths, translate_file_names, translate_folders, unique_paths
 from ..operators.rebuild import apply_and_rebuild, csv_text, rebuild_csv_rows
 from ..operators.routing import handler_of
 from ..session import WorkDir, work_dir
-from ..sources.csv_cells import cell_units, csv_cells
+from ..sources.csv_cells import cell_units, csv_cells, csv_errors
 from ..sources.text import explode_lines
 
 
@@ -40,17 +41,26 @@ class CorpusResult:
     batch: BatchResult
     errors: DataFrame       # path, stage, error
     name_calls: DataFrame   # one row per name call made (stages A and B), with tokens
+    failed: DataFrame       # path (distinct) of the files whose content stage failed
+    layout: DataFrame | None = None   # styled lines of the span table, when one was given
 
 
 def translate_corpus(files: DataFrame, root_name: str, translator, settings: Settings = DEFAULT,
-                     work: WorkDir | None = None) -> CorpusResult:
-    """``files``: ``path, rel_dir, name, stem, suffix, ext, text`` (decoded text)."""
+                     work: WorkDir | None = None, spans: DataFrame | None = None, max_pages: int | None = None,
+                     input_errors: DataFrame | None = None, more_dirs: DataFrame | None = None) -> CorpusResult:
+    """``files``: ``path, rel_dir, name, stem, suffix, ext, text`` (decoded text).
+
+    ``spans``: the layout path's span table (S8); its lines, ``max_pages`` pages of each file, are
+    translated with the rest and come back as ``layout`` (styled lines).
+    ``input_errors``: ``path, stage, error`` of files that could not be read; they count as failed.
+    ``more_dirs``: folders without files (``rel_dir``).
+    """
     work = work or work_dir(files.sparkSession)
     # metadata is read by every stage: write it once (small); the text is scanned only for content
     meta = work.materialize(files.drop("text"), "corpus/meta")
     # stage A's model calls are written inside translate_folders; the folder rows
     # around them are a cheap recomputation from written inputs
-    folders = translate_folders(meta, root_name, translator, settings, work)
+    folders = translate_folders(meta, root_name, translator, settings, work, more_dirs=more_dirs)
     dirs = translate_dir_paths(folders, root_name)
     named = work.materialize(translate_file_names(meta, dirs, translator, settings, work), "corpus/files")
 
@@ -60,42 +70,64 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
 
     lines = explode_lines(src.filter(F.col("handler") == "lines").select("path", "context", "text"),
                           "text", keep=["path", "context"]).withColumn("scope", F.col("path"))
-    cells = csv_cells(src.filter(F.col("handler") == "csv").select("path", "text"))
-    cell_u = cell_units(cells).drop("context").join(src.select("path", "context"), "path")
+    # the parse is read by the units, the errors and the rebuild: written once
+    cells = work.materialize(csv_cells(src.filter(F.col("handler") == "csv").select("path", "text")), "corpus/cells")
+    bad_csv = csv_errors(cells)
+    cell_u = (cell_units(cells).drop("context").join(src.select("path", "context"), "path")
+              .join(bad_csv.select("path"), "path", "left_anti"))
     units = (lines.select("scope", "ord", "text", "context")
              .unionByName(cell_u.select("scope", "ord", "text", "context")))
+    lay = None
+    if spans is not None:
+        ctx = named.select("path", document_context("name_en", "folder_context").alias("__ctx"))
+        laid = layout_lines(spans, max_pages=max_pages).join(ctx, "path")
+        lay = work.materialize(layout_units(laid, F.col("__ctx")), "corpus/layout")
+        units = units.unionByName(lay.select("scope", "ord", "text", "context"))
     batch = batch_translate(units, translator, settings, work, "corpus/content")
 
     text_out = apply_and_rebuild(lines.withColumn("scope", F.col("path")), batch.translations, "scope", "text") \
         .withColumnRenamed("scope", "path")
-    cell_all = cells.withColumn("scope", F.col("path"))
+    cell_all = cells.join(bad_csv.select("path"), "path", "left_anti").withColumn("scope", F.col("path"))
     csv_out = (rebuild_csv_rows(apply_translations(cell_all, batch.translations).withColumn(
         "text_out", F.coalesce("text_out", "text")), "path")
         .select("path", csv_text("rows").alias("text")))
     rebuilt = text_out.unionByName(csv_out)
 
-    failed = batch.errors.select(F.col("scope").alias("path"), "stage", "error")
-    bad = failed.select("path").distinct().withColumn("failed", F.lit(True))
+    # a layout scope is path#page
+    of = F.col("scope") if spans is None else F.regexp_replace("scope", r"#\d+$", "")
+    failed = batch.errors.select(of.alias("path"), "stage", "error").unionByName(bad_csv)
+    if input_errors is not None:
+        failed = failed.unionByName(input_errors.select("path", "stage", "error"))
+    bad = work.materialize(failed.select("path").distinct().withColumn("failed", F.lit(True)), "corpus/failed")
     # the original text is fetched again only for failed files (K7); others carry the rebuilt text
     originals = src.select("path", F.col("text").alias("original")).join(bad.select("path"), "path", "left_semi")
-    out = (named.select("path", "name", "dir_en", "path_en", handler_of("ext").alias("handler"))
+    out = (named.select("path", handler_of("ext").alias("handler"))
            .join(rebuilt, "path", "left")
            .join(bad, "path", "left")
-           .join(originals, "path", "left"))
-    orig_path = F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")), F.col("name"))
+           .join(originals, "path", "left")
+           .join(final_paths(named, bad), "path"))
     is_text = F.col("handler").isin("lines", "csv")
     out = out.select(
-        "path",
-        F.when(F.col("failed"), orig_path).otherwise(F.col("path_en")).alias("path_out"),
-        "handler",
+        "path", "path_out", "handler",
         F.when(F.col("failed"), "error").when(is_text, "ok").otherwise(F.col("handler")).alias("status"),
-        F.when(F.col("failed"), F.col("original")).when(is_text, F.col("text")).alias("text"))
-    name_errors = (folders.filter(F.col("how") == "error").select(F.col("dir").alias("path"),
-                                                                  F.lit("folder_name").alias("stage"),
-                                                                  F.lit("name call failed").alias("error")))
+        F.when(F.col("failed"), F.col("original")).when(is_text, F.coalesce("text", F.lit(""))).alias("text"))
+    name_errors = (folders.filter(F.col("how") == "error").select(F.col("dir").alias("path"), F.lit("folder_name").alias("stage"),
+                                                                  F.col("name_error").alias("error"))
+                   .unionByName(named.filter(F.col("how") == "error").select("path", F.lit("file_name").alias("stage"),
+                                                                             F.col("name_error").alias("error"))))
     spark = files.sparkSession
     calls = (spark.read.parquet(work.table("names/folders")).unionByName(spark.read.parquet(work.table("names/files"))))
-    return CorpusResult(out, named, folders, batch, failed.unionByName(name_errors), calls)
+    layout = None if lay is None else layout_style(apply_translations(lay, batch.translations))
+    return CorpusResult(out, named, folders, batch, failed.unionByName(name_errors), calls, bad, layout)
+
+
+def final_paths(named: DataFrame, failed: DataFrame) -> DataFrame:
+    """``path, path_out`` of all files: failed ones keep their own names in the translated
+    folder (K7), and no two outputs share a path."""
+    f = named.select("path", "dir_en", "stem", "stem_en", "suffix").join(
+        failed.select("path").distinct().withColumn("__bad", F.lit(True)), "path", "left")
+    return unique_paths(f.select("path", "dir_en", F.when(F.col("__bad"), F.col("stem")).otherwise(F.col("stem_en")).alias("stem"),
+                                 "suffix"))
 
 
 def corpus_usage(result: CorpusResult, settings: Settings = DEFAULT) -> DataFrame:
@@ -104,6 +136,6 @@ def corpus_usage(result: CorpusResult, settings: Settings = DEFAULT) -> DataFram
     return usage_totals(result.batch, result.name_calls.select("input_tokens", "output_tokens"), settings=settings)
 
 
-def error_summary(result: CorpusResult) -> DataFrame:
-    """Number of failed files per stage; the messages stay in ``errors``."""
-    return result.errors.groupBy("stage").agg(F.countDistinct("path").alias("n_files"))
+def error_summary(errors: DataFrame) -> DataFrame:
+    """Number of failed files per stage; the messages stay in the error rows."""
+    return errors.groupBy("stage").agg(F.countDistinct("path").alias("n_files"))

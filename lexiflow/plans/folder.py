@@ -4,8 +4,9 @@ listing (S1) -> bytes (read once, written) -> routing (F4) -> text decode (S3)
 -> names and text contents (:func:`translate_corpus`) -> packages
 (:func:`translate_packages`) -> writers (K1-K3, K5-K7) and empty folders.
 A file whose content stage fails is copied under its original name into the
-translated folder (K7).  PDF decoding is not rebuilt, so ``.pdf`` files are
-copied and reported; their layout work runs on a ``spans`` table instead.
+translated folder (K7); one that can't be listed, read or written is an error row
+and never an empty output.  PDF decoding is not rebuilt, so ``.pdf`` files are
+copied and reported; their layout work runs on a ``spans`` table.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from ..functions.text import document_context
 from ..operators.routing import handler_of
 from ..session import WorkDir, work_dir
 from ..sinks.files import check_target, make_dirs, write_files, write_packages
-from ..sources.files import archive_parts, files_of, folders_of, list_tree, read_bytes
+from ..sources.files import archive_parts, files_of, folders_of, list_tree, listing_errors, read_bytes
 from ..sources.text import decode_files
-from .corpus import CorpusResult, translate_corpus
-from .packages import translate_packages
+from ..operators.names import translate_dir_paths
+from .corpus import CorpusResult, final_paths, translate_corpus
+from .packages import PackageResult, translate_packages
 
 
 @dataclass
@@ -32,60 +34,76 @@ class FolderResult:
     written: DataFrame      # path_out, bytes, error (one row per file or folder written)
     corpus: CorpusResult
     errors: DataFrame       # path, stage, error
+    packages: PackageResult
+
+
+def folder_usage(result: FolderResult, settings: Settings = DEFAULT) -> DataFrame:
+    """A8 for a whole folder: text and package chunks, single fallbacks and every name call."""
+    from ..operators.estimate import usage_totals
+    return usage_totals(result.corpus.batch, result.packages.batch,
+                        result.corpus.name_calls.select("input_tokens", "output_tokens"), settings=settings)
 
 
 def translate_folder(spark: SparkSession, src: str, dst: str, translator, settings: Settings = DEFAULT,
-                     mode: str = "errorifexists", work: WorkDir | None = None) -> FolderResult:
+                     mode: str = "errorifexists", work: WorkDir | None = None, spans: DataFrame | None = None,
+                     max_pages: int | None = None) -> FolderResult:
+    """``spans``, ``max_pages``: the layout path, see :func:`translate_corpus`."""
     check_target(dst, mode)
     work = work or work_dir(spark)
     root_name = os.path.basename(os.path.abspath(src))
     entries = list_tree(spark, src, work)
     files = files_of(entries)
     blobs = work.materialize(read_bytes(files, src).withColumn("handler", handler_of("ext")), "folder/bytes")
-    texts = decode_files(blobs.filter(F.col("handler").isin("lines", "csv")).select("path", "content"))
-    meta = blobs.select("path", "rel_dir", "name", "stem", "suffix", "ext").join(
-        texts.select("path", "text"), "path", "left")
-    corpus = translate_corpus(meta, root_name, translator, settings, work)
-
-    # text outputs (and failed files, copied under their original name)
-    text_out = corpus.files.filter(F.col("handler").isin("lines", "csv") & (F.col("status") == "ok")) \
-        .select("path_out", F.encode("text", "UTF-8").alias("data"))
-    plain_copy = (corpus.files.filter((F.col("status") == "error") | F.col("handler").isin("copy", "layout"))
-                  .select("path", "path_out").join(blobs.select("path", F.col("content").alias("data")), "path")
-                  .select("path_out", "data"))
+    unread = blobs.filter(F.col("read_error").isNotNull()).select("path", F.lit("read").alias("stage"),
+                                                                  F.col("read_error").alias("error"))
+    # charset detection is the slowest step and its result is read several times: written once
+    texts = work.materialize(decode_files(blobs.filter(F.col("handler").isin("lines", "csv") & F.col("read_error").isNull())
+                                          .select("path", "content")).select("path", "text"), "folder/texts")
+    meta = blobs.select("path", "rel_dir", "name", "stem", "suffix", "ext").join(texts, "path", "left")
+    corpus = translate_corpus(meta, root_name, translator, settings, work, spans, max_pages, unread,
+                              folders_of(entries).select(F.col("path").alias("rel_dir")))
 
     # packages
-    named = corpus.names.select("path", "name", "dir_en", "path_en", "folder_context", "name_en")
-    pk = (blobs.filter(F.col("handler").isin("docx", "xlsx")).select("path", "ext", "content")
-          .join(named, "path")
+    named = corpus.names.select("path", "name", "dir_en", "folder_context", "name_en", "stem", "stem_en", "suffix")
+    pk = (blobs.filter(F.col("handler").isin("docx", "xlsx") & F.col("read_error").isNull()).select("path", "ext", "content")
+          .join(named.select("path", "folder_context", "name_en"), "path")
           .withColumn("context", document_context("name_en", "folder_context")))
     parts = archive_parts(pk.select("path", "content"))
     pres = translate_packages(pk.select("path", "ext", "context"), parts, translator, settings, work)
-    bad_pk = pres.errors.select("path").distinct()
-    pk_ok = pres.parts.join(bad_pk, "path", "left_anti").join(named.select("path", F.col("path_en").alias("path_out")),
-                                                              "path")
-    pk_bad = (pk.join(bad_pk, "path", "left_semi")
-              .select(F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")), F.col("name")).alias("path_out"),
-                      F.col("content").alias("data")))
-
-    dirs = (folders_of(entries).select(F.col("path").alias("dir"))
-            .join(corpus.folders.select("dir"), "dir", "left_anti"))  # folders without files
-    from ..operators.names import translate_dir_paths, translate_folders
-    empty_en = None
-    if not dirs.isEmpty():
-        ef = dirs.select(F.col("dir").alias("rel_dir"))
-        f_en = translate_folders(ef, root_name, translator, settings, work, table="names/empty_folders")
-        empty_en = translate_dir_paths(f_en, root_name).filter(F.col("rel_dir") != "")
-
-    written = write_files(text_out.unionByName(plain_copy).unionByName(pk_bad), dst)
-    written = written.unionByName(write_packages(pk_ok, dst).select("path_out", "bytes", "error"))
-    if empty_en is not None:
-        written = written.unionByName(make_dirs(empty_en.select(F.col("dir_en").alias("dir_out")), dst))
+    bad_pk = work.materialize(pres.errors.select("path").distinct(), "folder/bad_packages")
+    # one uniqueness pass over every output, failed files under their own names included
+    failed = corpus.failed.select("path").unionByName(bad_pk)
+    paths = work.materialize(final_paths(corpus.names, failed), "folder/paths")
+
+    text_out = (corpus.files.filter(F.col("handler").isin("lines", "csv") & (F.col("status") == "ok"))
+                .select("path", F.encode("text", "UTF-8").alias("data")))
+    built_in = F.col("handler").isin("lines", "csv", "docx", "xlsx")
+    # copies: other handlers, and every file whose content stage failed; never a file that could not be read
+    copies = (blobs.filter(F.col("read_error").isNull()).select("path", "handler", F.col("content").alias("data"))
+              .join(failed.distinct().withColumn("__bad", F.lit(True)), "path", "left")
+              .filter(F.col("__bad") | ~built_in).select("path", "data"))
+    written = write_files(text_out.unionByName(copies).join(paths, "path").select("path_out", "data"), dst)
+    pk_ok = pres.parts.join(bad_pk, "path", "left_anti").join(paths, "path")
+    packed = work.materialize(write_packages(pk_ok, dst), "folder/packages")
+    lost = packed.filter(F.col("error").isNotNull())
+    # a package that can't be written goes out as it came (K7)
+    rescue = write_files(lost.select("path", "path_out").join(blobs.select("path", F.col("content").alias("data")), "path")
+                         .select("path_out", "data"), dst)
+    dirs = (translate_dir_paths(corpus.folders, root_name).filter(F.col("rel_dir") != "")
+            .select(F.col("dir_en").alias("dir_out")))
+    written = (written.unionByName(packed.filter(F.col("error").isNull()).select("path_out", "bytes", "error"))
+               .unionByName(rescue).unionByName(make_dirs(dirs, dst)))
     written = work.materialize(written, "folder/written")
-    pdf_note = (corpus.files.filter(F.col("handler") == "layout")
-                .select("path", F.lit("layout").alias("stage"), F.lit("pdf decoding not available; copied").alias("error")))
-    errors = corpus.errors.unionByName(pres.errors).unionByName(pdf_note)
-    return FolderResult(written, corpus, errors)
+    note = (corpus.files.filter(F.col("handler") == "layout")
+            .select("path", F.lit("layout").alias("stage"), F.lit("pdf decoding not available; copied").alias("error")))
+    if spans is not None:
+        note = note.join(spans.select("path").distinct(), "path", "left_anti")
+    unwritten = (written.filter(F.col("error").isNotNull()).join(paths, "path_out")
+                 .select("path", F.lit("write").alias("stage"), "error")
+                 .unionByName(lost.select("path", F.lit("write").alias("stage"), "error")))
+    errors = (corpus.errors.unionByName(pres.errors).unionByName(listing_errors(entries)).unionByName(unwritten)
+              .unionByName(note))
+    return FolderResult(written, corpus, errors, pres)
 
 
 @dataclass
@@ -94,8 +112,8 @@ class EstimateResult:
     totals: DataFrame      # one row: chars, name calls, tokens, dollars, nothing_to_do
 
 
-def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
-                    work: WorkDir | None = None) -> EstimateResult:
+def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT, work: WorkDir | None = None,
+                    spans: DataFrame | None = None, max_pages: int | None = None) -> EstimateResult:
     """T11 on a folder: no model call, one pass over the supported files.
 
     Uses the run's own unit sources (charset detection included, Q13) and
@@ -112,7 +130,8 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     work = work or work_dir(spark)
     entries = list_tree(spark, src, work)
     files = files_of(entries).withColumn("handler", handler_of("ext"))
-    blobs = work.materialize(read_bytes(files.filter(is_supported("ext")), src), "estimate/bytes")
+    read = F.col("handler").isin("lines", "csv", "docx", "xlsx")      # no other file's bytes are looked at
+    blobs = work.materialize(read_bytes(files.filter(is_supported("ext") & read), src), "estimate/bytes")
     texts = decode_files(blobs.filter(F.col("handler").isin("lines", "csv")).select("path", "content")) \
         .join(blobs.select("path", "handler"), "path")
     u_lines = explode_lines(texts.filter(F.col("handler") == "lines"), "text", keep=["path"]).select("path", "text")
@@ -123,6 +142,9 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     pu = package_units(p, settings)
     u_pk = pu.units.filter(~F.col("scope").endswith("\u0001tabs")).select(scope_path("scope").alias("path"), "text")
     units = u_lines.unionByName(u_csv).unionByName(u_pk)
+    if spans is not None:   # the layout lines that the run would read, within the page limit (Q16)
+        from ..operators.layout import layout_lines
+        units = units.unionByName(layout_lines(spans, max_pages=max_pages).select("path", "text"))
     tabs = (p.filter(F.col("kind") == "workbook")
             .select(F.explode(F.regexp_extract_all("xml", F.lit(r'name="([^"]+)"'), 1)).alias("name")))
     calls = name_calls(folders_of(entries), files, tabs, settings)

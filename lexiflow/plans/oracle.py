@@ -110,7 +110,7 @@ cl AS (
          generate_subscripts(string_split(jp, chr(10)), 1) - 1 AS lo
   FROM cv WHERE role IN ('user', 'assistant') AND jp <> '')
 SELECT conv_id, text,
-       min(CAST(turn * 100000 + lo + CASE WHEN role = 'assistant' THEN 1099511627776 ELSE 0 END AS BIGINT)) AS ord
+       min(CAST(CAST(turn AS BIGINT) * 2147483648 + lo + CASE WHEN role = 'assistant' THEN 4611686018427387904 ELSE 0 END AS BIGINT)) AS ord
 FROM cl WHERE {translatable('text')}
 GROUP BY conv_id, text
 """
@@ -468,26 +468,138 @@ SELECT doc_id, '<w:body>' || string_agg(
 FROM lines_e GROUP BY doc_id
 """
 SQL["drawing_discovery"] = """
-SELECT 'p' || CAST(page_id AS VARCHAR) || '.xlsx' AS path, 'xl/drawings/d' || CAST(page_id AS VARCHAR) || '.xml' AS part
-FROM pages
+WITH l AS (
+  SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS link,
+         generate_subscripts(regexp_extract_all(html, 'href="/([^"]*)"', 1), 1) - 1 AS i
+  FROM pages)
+SELECT DISTINCT 'p' || CAST(page_id AS VARCHAR) || '.xlsx' AS path, 'xl/drawings/' || link || '.xml' AS part
+FROM l WHERE i % 2 = 0
 UNION ALL
-SELECT 'p' || CAST(page_id AS VARCHAR) || '.xlsx', 'xl/drawings/extra.xml' FROM pages WHERE page_id % 3 = 0
+SELECT 'p' || CAST(page_id AS VARCHAR) || '.xlsx', 'xl/drawings/extra#.xml' FROM pages p
+WHERE page_id % 3 = 0 OR NOT EXISTS (SELECT 1 FROM l WHERE l.page_id = p.page_id)
 """
-_RAW_NAME = "' \"''' || regexp_extract(text, '^\\S+', 0) || '''\"' || chr(10)"
 SQL["name_clean"] = f"""
 SELECT item_id, raw, regexp_replace({_strip('raw')}, '^[\"'']+|[\"'']+$', '', 'g') AS name
-FROM (SELECT item_id, {_RAW_NAME} AS raw FROM benchmark)
+FROM (SELECT item_id, ' "' || chr(39) || text || chr(39) || '"' || chr(10) AS raw FROM benchmark)
 """
 
-# W4 on this input: names come from upper(p_name) and none ends in "_<k>", so the
-# sequential rule reduces to X, X_2, X_3 ... by position among equal names
-# (case-insensitive) of a workbook.  The general rule is unit-tested.
+# W4 by recursion over a workbook's tabs: the first name of the series that is not taken
 SQL["tab_name_unique"] = with_(_TABS) + """
-, r AS (SELECT wb, p_partkey, upper(p_name) AS x,
-               row_number() OVER (PARTITION BY wb, lower(upper(p_name)) ORDER BY p_partkey) AS k
-        FROM t)
-SELECT wb, p_partkey,
-       CASE WHEN k = 1 THEN x ELSE substr(x, 1, 31 - length('_' || CAST(k AS VARCHAR))) || '_' || CAST(k AS VARCHAR) END
-         AS tab_en
-FROM r
+, w AS (SELECT wb, p_partkey, upper(split_part(p_name, ' ', 1)) AS word, p_partkey % 5 = 0 AS kept FROM t),
+n AS (SELECT wb, p_partkey, kept, CASE WHEN p_partkey % 2 = 0 THEN word ELSE lower(word) END AS base, lower(word) || '_2' AS own,
+             row_number() OVER (PARTITION BY wb ORDER BY p_partkey) AS rn FROM w),
+s AS (SELECT wb, list(own) FILTER (WHERE kept) AS taken FROM n GROUP BY wb),
+r(wb, rn, p_partkey, taken, tab_en) AS (
+  SELECT wb, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), coalesce(taken, CAST([] AS VARCHAR[])), CAST(NULL AS VARCHAR) FROM s
+  UNION ALL
+  SELECT n.wb, n.rn, n.p_partkey, CASE WHEN n.kept THEN r.taken ELSE list_append(r.taken, lower(c.name)) END,
+         CASE WHEN n.kept THEN NULL ELSE c.name END
+  FROM r JOIN n ON n.wb = r.wb AND n.rn = r.rn + 1,
+       LATERAL (SELECT list_filter(list_transform(range(1, 40), lambda k: CASE WHEN k = 1 THEN n.base ELSE n.base || '_' || CAST(k AS VARCHAR) END),
+                                   lambda x: NOT list_contains(r.taken, lower(x)))[1] AS name) c)
+SELECT wb, p_partkey, tab_en FROM r WHERE rn > 0
+"""
+
+# --- model replies as tables -----------------------------------------------------------
+SQL["parse_responses"] = """
+SELECT conv_id, turn, CAST(CASE (conv_id + turn) % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 0 END AS INTEGER) AS n_items,
+       CASE WHEN (conv_id + turn) % 6 IN (0, 1) THEN text END AS first
+FROM conversations
+"""
+SQL["best_partial"] = with_(DOC_CTES) + """
+, d AS (SELECT doc_id, string_split(jp, ' ') AS w, len(string_split(jp, ' ')) AS n FROM docs),
+a AS (SELECT doc_id, n, a, greatest(0, n - 2 + (doc_id * 7 + a * 5) % 4) AS l FROM d, range(1, 4) x(a)),
+b AS (SELECT doc_id, coalesce(min(a) FILTER (WHERE l = n), 3) AS attempts, count(*) FILTER (WHERE l = n) > 0 AS ok,
+             least(max(l), max(n)) AS l FROM a GROUP BY doc_id),
+o AS (SELECT d.doc_id, b.attempts, b.ok, list_transform(range(1, n + 1), lambda i:
+               CASE WHEN NOT b.ok AND i > b.l THEN '?' WHEN (i - 1 + d.doc_id) % 5 = 0 THEN CASE WHEN b.ok THEN ' ' ELSE '?' END
+                    WHEN NOT b.ok AND NOT regexp_matches(w[i], 'NONBLANK') THEN '?' ELSE w[i] END) AS out
+      FROM d JOIN b USING (doc_id))
+SELECT doc_id, CAST(attempts AS INTEGER) AS attempts,
+       CASE WHEN ok THEN 'ok' WHEN len(list_filter(out, lambda x: x <> '?')) > 0 THEN 'partial' ELSE 'failed' END AS status,
+       array_to_string(out, '|') AS out
+FROM o
+""".replace("NONBLANK", NONBLANK)
+SQL["throttled_outcomes"] = with_(DOC_CTES, pack_ctes(300, 8)) + """
+, c AS (SELECT doc_id, chunk_id, sum(length(text)) AS i, sum(length(text) + 4) AS o,
+               max(CASE WHEN pos = 1 THEN length(text) END) % 4 = 3 AS bad
+        FROM packed GROUP BY doc_id, chunk_id)
+SELECT doc_id, chunk_id, CAST(1 AS INTEGER) AS attempts, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status,
+       CAST(CASE WHEN bad THEN 0 ELSE i END AS BIGINT) AS input_tokens, CAST(CASE WHEN bad THEN 0 ELSE o END AS BIGINT) AS output_tokens
+FROM c
+"""
+SQL["error_summary"] = "SELECT 'chunk' AS stage, count(*) AS n_files FROM documents WHERE doc_id % 20 = 0 HAVING count(*) > 0"
+
+# --- sheets, drawings, part rules ---------------------------------------------------------
+SQL["sheet_strings"] = with_(_TABS) + """
+SELECT wb, CASE WHEN p_partkey % 2 = 0 THEN 'inline' ELSE 'cached' END AS kind,
+       CAST(row_number() OVER (PARTITION BY wb, p_partkey % 2 ORDER BY p_partkey) - 1 AS INTEGER) AS i, jp AS text
+FROM t
+"""
+SQL["sheet_rewrite"] = with_(_TABS) + f"""
+SELECT wb, '<sheetData>' || string_agg(CASE WHEN p_partkey % 2 = 0
+           THEN '<c t="inlineStr"><is><t>' || {_esc(_tr('jp'))} || '</t></is></c>'
+           ELSE '<c r="A1" t="str"><f>1&lt;2</f><v>' || {_esc(_tr('jp'))} || '</v></c>' END, '' ORDER BY p_partkey) || '</sheetData>' AS xml
+FROM t GROUP BY wb
 """
+SQL["drawing_rewrite"] = with_(_TABS) + f"""
+SELECT wb, string_agg('<a:p><a:normAutofit/><a:latin typeface="Arial"/><a:t>' || {_esc(_tr('jp'))} || '</a:t></a:p>', '' ORDER BY p_partkey) AS xml
+FROM t GROUP BY wb
+"""
+SQL["part_rules"] = with_(_TABS) + """
+SELECT p_partkey,
+       ['xl/calcChain.xml', '[Content_Types].xml', 'xl/sharedStrings.xml', 'xl/workbook.xml', 'xl/styles.xml', 'xl/worksheets/s.xml',
+        'xl/worksheets/_rels/s.xml.rels', 'docProps/app.xml', 'xl/media/i.png'][CAST(p_partkey % 9 + 1 AS INTEGER)] AS part,
+       ['drop', 'content_types', 'string_table', 'workbook', 'styles', 'sheet', 'other', 'docprops', 'other'][CAST(p_partkey % 9 + 1 AS INTEGER)] AS kind,
+       CASE p_partkey % 9 WHEN 4 THEN '<font><name val="Arial"/><scheme val="none"/></font>'
+                          WHEN 1 THEN '<Types><Override PartName="/x"/></Types>' END AS xml
+FROM t
+"""
+
+# --- unique paths, cells, columns, csv files ------------------------------------------------
+SQL["path_unique"] = r"""
+WITH d AS (
+  SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, source AS dir,
+         CASE WHEN doc_id % 3 = 0 THEN 'Name' ELSE 'name' END || CAST(doc_id % 4 AS VARCHAR)
+         || CASE WHEN doc_id % 7 = 0 THEN '_' || CAST(doc_id % 5 + 2 AS VARCHAR) ELSE '' END AS stem
+  FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY lower(dir), lower(stem) ORDER BY path) AS k FROM d),
+own AS (SELECT lower(dir) AS dir, regexp_extract(lower(stem), '^(.*)_([1-9][0-9]*)$', 1) AS stem,
+               list(DISTINCT CAST(regexp_extract(lower(stem), '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT)) AS taken
+        FROM d WHERE regexp_matches(lower(stem), '^(.*)_([1-9][0-9]*)$') GROUP BY ALL)
+SELECT k.path, k.dir || '/' || k.stem || CASE WHEN k.k = 1 THEN '' ELSE '_' || CAST(list_filter(
+         range(2, k.k + 1 + coalesce(len(own.taken), 0)), lambda n: NOT list_contains(coalesce(own.taken, CAST([] AS BIGINT[])), n))[k.k - 1] AS VARCHAR) END
+       || '.txt' AS path_out
+FROM k LEFT JOIN own ON own.dir = lower(k.dir) AND own.stem = lower(k.stem)
+"""
+_CELLS = f"""
+cn AS (SELECT *, 4 + coalesce(sum(CASE WHEN role = 'assistant' THEN 4 ELSE 3 END)
+                               OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n0 FROM cv),
+cells AS (
+  SELECT DISTINCT conv_id, h.n, h.text FROM cv, (VALUES (0, '番号'), (1, '役割'), (2, '本文')) h(n, text)
+  UNION ALL SELECT conv_id, n0, CAST(turn AS VARCHAR) FROM cn
+  UNION ALL SELECT conv_id, n0 + 1, role FROM cn
+  UNION ALL SELECT conv_id, n0 + 2, text FROM cn
+  UNION ALL SELECT conv_id, n0 + 3, '済' FROM cn WHERE role = 'assistant'),
+uq AS (SELECT conv_id AS doc_id, text, CAST(min(n) AS BIGINT) AS ord, {est('text')} AS est FROM cells
+       WHERE {translatable('text')} GROUP BY conv_id, text)
+"""
+SQL["csv_pack"] = with_(_CONV, _CELLS, pack_ctes(300, 8)) + (
+    "SELECT 'conv/' || CAST(doc_id AS VARCHAR) || '.csv' AS path, ord, chunk_id, chunk_no, pos FROM packed")
+SQL["columns_quarantine"] = with_(f"""
+q AS (
+  SELECT conv_id, turn, translate(role, '{_A}', '{_J}') AS role,
+         translate(text, '{_A}', '{_J}') || CASE WHEN conv_id % 25 = 3 AND turn = 0 THEN '失敗' ELSE '' END AS text
+  FROM conversations),
+c AS (SELECT conv_id, turn, 0 AS col, role AS text FROM q UNION ALL SELECT conv_id, turn, 1, text FROM q),
+f AS (SELECT text, min((conv_id, turn, col)) AS p FROM c WHERE {translatable('text')} GROUP BY text),
+uq AS (SELECT 0 AS doc_id, text, row_number() OVER (ORDER BY p) AS ord, {est('text')} AS est FROM f)""", pack_ctes(300, 8)) + f"""
+, bad AS (SELECT DISTINCT chunk_id FROM packed WHERE contains(text, '失敗')),
+en AS (SELECT text, {mock('text')} AS en FROM packed WHERE chunk_id NOT IN (SELECT chunk_id FROM bad))
+SELECT q.conv_id, q.turn, coalesce(r.en, q.role) AS role, coalesce(x.en, q.text) AS text,
+       CASE WHEN NOT {translatable('q.role')} AND NOT {translatable('q.text')} THEN 'none'
+            WHEN ({translatable('q.role')} AND r.en IS NULL) OR ({translatable('q.text')} AND x.en IS NULL) THEN 'kept' ELSE 'ok' END AS how
+FROM q LEFT JOIN en r ON r.text = q.role LEFT JOIN en x ON x.text = q.text
+"""
+SQL["translate_corpus_csv"] = f"SELECT path, path AS path_out, 'ok' AS status, text FROM ({SQL['csv_rebuild']})"
+SQL["translate_corpus_layout"] = f"SELECT * FROM ({SQL['layout_style']}) WHERE page < 2"

@@ -4,8 +4,8 @@ Parts are rows (S6).  Units from every part kind of every package go to
 *one* ``batch_translate`` whose scope is the part (string table, each sheet,
 each drawing, the workbook's tab list, the document body), as the original
 translates part by part.  Rewrites are native where the markup allows
-(R3/R6 node replacement, R5/R7 folds, R8 regex rules) and per-part Python
-otherwise (R4 rich string table, K4 paragraphs), bounded by one part.
+(R3/R4/R6 node replacement, R5/R7 folds, R8 regex rules) and per-part Python
+for K4 paragraphs, bounded by one part.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from ..functions.text import py_xml_escape, py_xml_unescape, xml_unescape
 from ..operators.batch import BatchResult, batch_translate
 from ..operators.dedup import union_units
 from ..operators.markup import (drop_calc_chain_type, fonts_drawing, fonts_string_table, fonts_styles,
-                                node_replacements, part_kind, patch_docprops, py_rewrite_string_table,
-                                rename_tabs, rewrite_nodes, sheet_ref_patch, unique_tab_names)
+                                node_replacements, part_kind, patch_docprops, rename_tabs,
+                                rewrite_nodes, rewrite_string_table, sheet_ref_patch, unique_tab_names)
 from ..session import WorkDir, work_dir
-from ..sources.markup import (CACHED_STR, DRAWING_NODE, INLINE_STR, drawing_parts, sheet_strings,
+from ..sources.markup import (CACHED_STR, DRAWING_NODE, INLINE_STR, decoded, drawing_parts, sheet_strings,
                               string_table_entries, tab_names, text_nodes)
 
 # ---------------------------------------------------------------------------
@@ -36,7 +36,9 @@ from ..sources.markup import (CACHED_STR, DRAWING_NODE, INLINE_STR, drawing_part
 DOCX_BODY = "word/document.xml"
 W_PARA = r"(?s)<w:p[ >].*?</w:p>"
 W_T = r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>"
-W_TBL = r"(?s)<w:tbl>.*?</w:tbl>"
+W_TBL_OPEN, W_TBL_CLOSE = r"<w:tbl>", r"</w:tbl>"
+# what a run's text is made of: text, tab (not a tab stop's definition, which has attributes), break
+W_PIECE = W_T + r"|<w:tab/>|<w:(?:br|cr)(?:\s[^>]*)?/>"
 
 
 @dataclass
@@ -77,28 +79,30 @@ def _apply_python(parts: DataFrame, maps: DataFrame, fn) -> DataFrame:
 
 
 _WP = re.compile(W_PARA)
-_WT = re.compile(W_T)
+_PIECE = re.compile(W_PIECE)
+
+
+def _piece_text(m) -> str:
+    if m.group(1) is not None:
+        return py_xml_unescape(m.group(1))
+    return "\t" if m.group(0).startswith("<w:tab") else "\n"
+
+
+def rewrite_paragraph(p: str, tmap: dict[str, str]) -> str:
+    """K4: the first text node of a translated paragraph takes the whole translation; the other
+    texts are emptied and the tabs and breaks among them go, as the translation has its own."""
+    pieces = list(_PIECE.finditer(p))
+    new = tmap.get("".join(map(_piece_text, pieces)))
+    texts = [m for m in pieces if m.group(1) is not None]
+    if new is None or not texts:
+        return p
+    put = {m.start(): p[m.start():m.start(1)] + (py_xml_escape(new) if m is texts[0] else "") + "</w:t>" for m in texts}
+    return _PIECE.sub(lambda m: put.get(m.start(), ""), p)
 
 
 def py_rewrite_paragraphs(xml: str, tmap: dict[str, str]) -> str:
-    """K4: a translated paragraph keeps its first run's text node with the whole
-    translation and empties the others; runless paragraphs are untouched."""
-    def para(m):
-        p = m.group(0)
-        ts = list(_WT.finditer(p))
-        if not ts:
-            return p
-        text = "".join(py_xml_unescape(t.group(1)) for t in ts)
-        if not text.strip() or text not in tmap:
-            return p
-        buf, pos = [], 0
-        for k, t in enumerate(ts):
-            buf.append(p[pos:t.start(1)])
-            buf.append(py_xml_escape(tmap[text]) if k == 0 else "")
-            pos = t.end(1)
-        buf.append(p[pos:])
-        return "".join(buf)
-    return _WP.sub(para, xml)
+    """K4 over a body: paragraphs without a translation stay as they are."""
+    return _WP.sub(lambda m: rewrite_paragraph(m.group(0), tmap), xml)
 
 
 def prepare_parts(packages: DataFrame, parts: DataFrame, work: WorkDir) -> tuple[DataFrame, DataFrame]:
@@ -114,9 +118,12 @@ def prepare_parts(packages: DataFrame, parts: DataFrame, work: WorkDir) -> tuple
                      .when((F.col("kind") == "other") & F.col("is_drawing"), "drawing").otherwise(F.col("kind")))
          .drop("is_drawing"))
     xml_kinds = ["content_types", "string_table", "workbook", "styles", "sheet", "docprops", "drawing", "docx_body"]
-    p = work.materialize(p.withColumn("xml", F.when(F.col("kind").isin(*xml_kinds), F.decode("data", "UTF-8"))),
-                         "packages/parts")
-    return p, bad
+    p = work.materialize(p.withColumn("xml", F.when(F.col("kind").isin(*xml_kinds), decoded("data"))), "packages/parts")
+    # a part that is not valid UTF-8 makes its package an error, not the job
+    broken = (p.filter(F.col("kind").isin(*xml_kinds) & F.col("xml").isNull() & F.col("data").isNotNull())
+              .select("path", F.lit("parse").alias("stage"), F.concat(F.col("part"), F.lit(": not valid UTF-8")).alias("error")))
+    ok = p.join(broken.select("path").distinct(), "path", "left_anti")
+    return ok, bad.unionByName(broken)
 
 
 @dataclass
@@ -154,17 +161,25 @@ def package_units(p: DataFrame, settings: Settings = DEFAULT) -> PackageUnits:
 
 def docx_paragraphs(bodies: DataFrame, keep: list[str]) -> DataFrame:
     """Body paragraphs first, then the paragraphs inside tables, each in
-    document order; ``i`` ranks them (table paragraphs from ``1 << 40``).
-    A paragraph's text is its run texts joined, unescaped."""
-    outside = F.regexp_replace("xml", W_TBL, "")
-    inside = F.array_join(F.regexp_extract_all("xml", F.lit(W_TBL), 0), "")
-
-    def paras(src, rank):
-        return (bodies.select(*keep, F.posexplode(F.regexp_extract_all(src, F.lit(W_PARA), 0)).alias("i", "p"))
-                .select(*keep, (F.col("i").cast("bigint") + F.lit(rank << 40)).alias("i"), "p"))
-    both = paras(outside, 0).unionByName(paras(inside, 1))
-    return both.select(*keep, "i", F.array_join(F.transform(F.regexp_extract_all("p", F.lit(W_T), 1), xml_unescape),
-                                                "").alias("text"))
+    document order; ``i`` numbers them.  A paragraph's text is its run texts joined, unescaped,
+    a tab element as a tab and a break as a newline."""
+    xml = F.col("xml")
+    paras = F.regexp_extract_all(xml, F.lit(W_PARA), 0)
+    # how many tables are open where each paragraph starts: opened minus closed in the text before it, summed up
+    before = F.slice(F.split(xml, W_PARA, -1), F.lit(1), F.size(paras))
+    depth = F.aggregate(before, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(
+        F.element_at(acc, -1) + F.size(F.regexp_extract_all(t, F.lit(W_TBL_OPEN), 0)) - F.size(F.regexp_extract_all(t, F.lit(W_TBL_CLOSE), 0)))))
+    zipped = F.arrays_zip(paras.alias("p"), F.slice(depth, F.lit(2), F.size(paras)).alias("d"))
+    ordered = F.concat(F.filter(zipped, lambda z: z["d"] <= 0), F.filter(zipped, lambda z: z["d"] > 0))
+    ex = bodies.select(*keep, F.posexplode(ordered).alias("i", "z"))
+    return ex.select(*keep, F.col("i").cast("bigint").alias("i"), paragraph_text(F.col("z.p")).alias("text"))
+
+
+def paragraph_text(p) -> F.Column:
+    """The run texts of a ``<w:p>``: text, tab and break elements in order."""
+    return F.array_join(F.transform(F.regexp_extract_all(p, F.lit(W_PIECE), 0), lambda x: F.when(
+        x.startswith("<w:t>") | x.startswith("<w:t "), xml_unescape(F.regexp_extract(x, W_T, 1))).when(
+        x.startswith("<w:tab"), F.lit("\t")).otherwise(F.lit("\n"))), "")
 
 
 def scope_path(scope) -> F.Column:
@@ -192,8 +207,8 @@ def translate_packages(packages: DataFrame, parts: DataFrame, translator, settin
                     ["scope", "name"], "left").drop("scope"))
     uniq = unique_tab_names(tab_tr.select("path", F.col("i").alias("pos"), "name", "name_en"), ["path"], settings)
     tab_map = (uniq.filter(F.col("tab_en").isNotNull())
-               .groupBy("path").agg(F.collect_list(F.struct(F.col("name").alias("jp"), F.col("tab_en").alias("en"),
-                                                            "pos")).alias("tab_map")))
+               .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("name").alias("jp"),
+                                                                         F.col("tab_en").alias("en")))).alias("tab_map")))
 
     # --- rewrites --------------------------------------------------------------------
     key = ["path", "part"]
@@ -210,7 +225,8 @@ def translate_packages(packages: DataFrame, parts: DataFrame, translator, settin
     drawings_x = rewrite_nodes(of("drawing").select("path", "part", "xml"), key, "xml", DRAWING_NODE, dnew) \
         .withColumn("xml", fonts_drawing("xml"))
     maps = _map_per_scope(tr)
-    sst_x = _apply_python(of("string_table"), maps, py_rewrite_string_table).withColumn("xml", fonts_string_table("xml"))
+    sst_x = (rewrite_string_table(of("string_table").select("path", "part", "xml"), key, "xml", tr, scope_col)
+             .withColumn("xml", fonts_string_table("xml")))
     body_x = _apply_python(of("docx_body"), maps, py_rewrite_paragraphs)
     wb_x = (of("workbook").select("path", "part", "xml").join(tab_map, "path", "left")
             .withColumn("xml", F.when(F.col("tab_map").isNotNull(), rename_tabs("xml", "tab_map"))

@@ -28,16 +28,31 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("is_dir", T.BooleanType()),
     T.StructField("is_link", T.BooleanType()),
     T.StructField("length", T.LongType()),
+    T.StructField("error", T.StringType()),
 ])
+#: folders that one listing task takes on
+DIRS_PER_TASK = 200
 
 
-def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None, max_depth: int = 256) -> DataFrame:
-    """Every entry under ``root``: ``path, rel_dir, name, is_dir, is_link, length``.
+def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None) -> DataFrame:
+    """Every entry under ``root``: ``path, rel_dir, name, is_dir, is_link, length, error``.
 
-    ``path`` and ``rel_dir`` are relative to ``root`` with '/' separators.
+    ``path`` and ``rel_dir`` are relative to ``root`` with '/' separators.  An entry
+    whose state can't be read (a dangling link, say) is a file of length 0 with
+    ``error``; a folder that can't be listed has ``error`` and no entries.  Levels are
+    listed until one is empty, however deep.
     """
     work = work or work_dir(spark)
     root = os.path.abspath(root)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no such folder: {root}")
+
+    def entry(rel, e):
+        try:
+            is_dir = e.is_dir(follow_symlinks=True)
+            return rel, e.name, is_dir, e.is_symlink(), 0 if is_dir else e.stat(follow_symlinks=True).st_size, None
+        except OSError as exc:
+            return rel, e.name, False, e.is_symlink(), 0, f"{type(exc).__name__}: {exc}"
 
     def scan(batches):
         for pdf in batches:
@@ -46,44 +61,44 @@ def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None, max_d
                 full = os.path.join(root, rel) if rel else root
                 try:
                     with os.scandir(full) as it:
-                        for e in it:
-                            is_link = e.is_symlink()
-                            is_dir = e.is_dir(follow_symlinks=True)
-                            size = 0 if is_dir else e.stat(follow_symlinks=True).st_size
-                            out.append((rel, e.name, is_dir, is_link, size))
-                except OSError:
-                    continue
+                        out += [entry(rel, e) for e in it]
+                except OSError as exc:   # the folder's own row is in the level above; this one carries the reason
+                    out.append((rel, None, True, False, 0, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(out, columns=ENTRY_SCHEMA.fieldNames())
 
-    level = spark.createDataFrame([("",)], "rel string")
-    levels = []
-    for depth in range(max_depth):
-        n_tasks = max(1, min(spark.sparkContext.defaultParallelism, 1 + depth * 4))
-        found = work.materialize(level.repartition(n_tasks).mapInPandas(scan, ENTRY_SCHEMA), f"listing/level{depth}")
-        levels.append(found)
+    level, n_dirs, depth = spark.createDataFrame([("",)], "rel string"), 1, 0
+    while n_dirs:
+        n_tasks = -(-n_dirs // DIRS_PER_TASK)
+        found = work.materialize(level.repartition(n_tasks).mapInPandas(scan, ENTRY_SCHEMA), f"listing/level={depth}")
         # descend into real folders only (a symlinked folder is listed, not followed)
-        nxt = found.filter(F.col("is_dir") & ~F.col("is_link")).select(
+        level = found.filter(F.col("is_dir") & ~F.col("is_link") & F.col("name").isNotNull()).select(
             F.concat_ws("/", F.when(F.col("rel_dir") != "", F.col("rel_dir")), F.col("name")).alias("rel"))
-        if nxt.isEmpty():
-            break
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
+        n_dirs, depth = level.count(), depth + 1
+    # one table for all levels, however many there are
+    out = spark.read.schema(ENTRY_SCHEMA).parquet(work.table("listing"))
     return out.select(F.concat_ws("/", F.when(F.col("rel_dir") != "", F.col("rel_dir")), F.col("name")).alias("path"),
-                      "rel_dir", "name", "is_dir", "is_link", "length")
+                      "rel_dir", "name", "is_dir", "is_link", "length", "error")
+
+
+def listing_errors(entries: DataFrame) -> DataFrame:
+    """``path, stage, error`` of what the listing could not read."""
+    return entries.filter(F.col("error").isNotNull()).select("path", F.lit("list").alias("stage"), "error")
 
 
 def files_of(entries: DataFrame) -> DataFrame:
     """Files of a listing with C5 parts: ``path, rel_dir, name, stem, suffix, ext, length``."""
-    return (entries.filter(~F.col("is_dir"))
+    return (entries.filter(~F.col("is_dir") & F.col("name").isNotNull())
             .select("path", "rel_dir", "name", name_stem("name").alias("stem"),
                     name_suffix("name").alias("suffix"), name_ext("name").alias("ext"), "length"))
 
 
 def folders_of(entries: DataFrame) -> DataFrame:
     """Folders (including empty ones): ``path, rel_dir, name``."""
-    return entries.filter(F.col("is_dir")).select("path", "rel_dir", "name")
+    return entries.filter(F.col("is_dir") & F.col("name").isNotNull()).select("path", "rel_dir", "name")
+
+
+#: bytes that leave a reading task at once, and that one task reads
+READ_BYTES, READ_TASK_BYTES = 8 << 20, 256 << 20
 
 
 def read_bytes(files: DataFrame, root: str) -> DataFrame:
@@ -94,18 +109,26 @@ def read_bytes(files: DataFrame, root: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            data, errs = [], []
-            for p in pdf["path"]:
+            at, data, errs, size = 0, [], [], 0
+            for i, p in enumerate(pdf["path"]):
                 try:
                     with open(os.path.join(root, p), "rb") as fh:
                         data.append(fh.read())
                     errs.append(None)
+                    size += len(data[-1])
                 except OSError as exc:
                     data.append(None)
                     errs.append(f"{type(exc).__name__}: {exc}")
-            yield pdf.assign(content=data, read_error=errs)
+                if size >= READ_BYTES:      # some MB leave at a time, however many paths a batch has
+                    yield pdf.iloc[at:i + 1].assign(content=data, read_error=errs)
+                    at, data, errs, size = i + 1, [], [], 0
+            if at < len(pdf):
+                yield pdf.iloc[at:].assign(content=data, read_error=errs)
 
-    return files.mapInPandas(run, schema)
+    # listing tables are small and would be read by few tasks: tasks follow the bytes to read
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(1, -(-int(total) // READ_TASK_BYTES), min(files.sparkSession.sparkContext.defaultParallelism, 1 + int(total) // READ_BYTES))
+    return files.repartition(n, "path").mapInPandas(run, schema)
 
 
 PART_SCHEMA = T.StructType([
@@ -127,15 +150,15 @@ def archive_parts(packages: DataFrame, content_col: str = "content") -> DataFram
     """
     def run(batches):
         for pdf in batches:
-            out = []
             for path, blob in zip(pdf["path"], pdf[content_col]):
+                out = []           # one package at a time
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
                         for i, info in enumerate(z.infolist()):
                             out.append((path, i, info.filename, z.read(info.filename), None,
                                         list(info.date_time), info.compress_type))
                 except Exception as exc:  # noqa: BLE001
-                    out.append((path, -1, None, None, f"{type(exc).__name__}: {exc}", None, None))
-            yield pd.DataFrame(out, columns=PART_SCHEMA.fieldNames())
+                    out = [(path, -1, None, None, f"{type(exc).__name__}: {exc}", None, None)]
+                yield pd.DataFrame(out, columns=PART_SCHEMA.fieldNames())
 
     return packages.select("path", content_col).mapInPandas(run, PART_SCHEMA)

@@ -25,6 +25,7 @@ from ..functions.text import xml_unescape
 DRAWING_NODE = r"(<\w+:t(?:\s[^>]*)?>)([^<]*)(</\w+:t>)"
 PARAGRAPH_NODE = r"(<p(?:\s[^>]*)?>)([^<]*)(</p>)"
 SI_ENTRY = r"(?s)<si>(.*?)</si>"
+SI_NODE = r"(<si>)([\s\S]*?)(</si>)"
 T_NODE = r"<t(?:\s[^>]*)?>([^<]*)</t>"
 RICH_RUN = r"(?s)<r\b[^>]*>.*?</r>"
 INLINE_STR = r"(?s)(<is><t>)(.*?)(</t></is>)"
@@ -44,10 +45,11 @@ def text_nodes(parts: DataFrame, xml_col: str, pattern: str = DRAWING_NODE, keep
 
 
 def string_table_entries(parts: DataFrame, xml_col: str, keep: list[str] | None = None,
-                         strip_phonetic: bool = False) -> DataFrame:
+                         strip_phonetic: bool = False, keep_all: bool = False) -> DataFrame:
     """Each ``<si>``; rich = all ``<t>`` joined (ruby included, Q3), plain = first ``<t>``.
 
-    Output ``keep..., i, is_rich, raw, text``; entries without any ``<t>`` are dropped.
+    Output ``keep..., i, is_rich, raw, text``; entries without any ``<t>`` are dropped, or kept
+    with null texts (``keep_all``, which also adds ``inner``).
     """
     keep = keep or []
     ex = parts.select(*keep, F.posexplode(F.regexp_extract_all(F.col(xml_col), F.lit(SI_ENTRY), 1))
@@ -59,6 +61,9 @@ def string_table_entries(parts: DataFrame, xml_col: str, keep: list[str] | None
     raw = F.when(rich, F.array_join(F.regexp_extract_all(inner, F.lit(T_NODE), 1), "")).otherwise(
         F.regexp_extract(inner, T_NODE, 1))
     has_t = F.col("inner").rlike(T_NODE)
+    if keep_all:
+        return (ex.select(*keep, "i", "inner", rich.alias("is_rich"), F.when(has_t, raw).alias("raw"))
+                .withColumn("text", xml_unescape("raw")))
     return (ex.filter(has_t)
             .select(*keep, "i", rich.alias("is_rich"), raw.alias("raw"))
             .withColumn("text", xml_unescape("raw")))
@@ -81,6 +86,23 @@ def tab_names(parts: DataFrame, xml_col: str, keep: list[str] | None = None) ->
     return text_nodes(parts, xml_col, SHEET_NAME, keep).withColumnRenamed("text", "name")
 
 
+def resolve_path(steps) -> F.Column:
+    """A path's steps without ``.``, empty steps and ``x/..`` pairs: one fold, however many there are."""
+    empty = F.array().cast("array<string>")
+
+    def go(done, step):
+        return (F.when((step == "") | (step == "."), done)
+                .when(step == "..", F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done))
+                .otherwise(F.concat(done, F.array(step))))
+    return F.aggregate(steps, empty, go)
+
+
+def decoded(data) -> F.Column:
+    """Bytes as UTF-8 text, null where they are not valid UTF-8 (``decode`` would end the job)."""
+    c = F.col(data) if isinstance(data, str) else data
+    return F.try_validate_utf8(c.cast("string"))
+
+
 def drawing_parts(parts: DataFrame) -> DataFrame:
     """Drawing parts of each package.
 
@@ -91,15 +113,12 @@ def drawing_parts(parts: DataFrame) -> DataFrame:
     """
     rels = parts.filter(F.col("part").startswith("xl/worksheets/_rels/") & F.col("part").endswith(".rels"))
     pat = 'Type="' + DRAWING_REL.replace(".", r"\.") + r'"[^>]*Target="([^"]+)"'
-    targets = rels.select("path", F.explode(F.regexp_extract_all(F.decode("data", "UTF-8"), F.lit(pat), 1))
+    targets = rels.select("path", F.explode(F.regexp_extract_all(decoded("data"), F.lit(pat), 1))
                           .alias("target"))
-    # posix normpath of "xl/worksheets/" + target: collapse "x/../" pairs and "./"
-    joined = F.concat(F.lit("xl/worksheets/"), F.col("target"))
-    norm = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(4):
-        norm = F.regexp_replace(norm, r"(?<![^/])(?!\.\./)[^/]+/\.\./", "")
-    norm = F.regexp_replace(norm, r"^/+", "")
-    found_all = targets.select("path", norm.alias("part")).distinct()
+    # a target is relative to xl/worksheets/, or to the package when it starts with "/"
+    steps = F.split(F.when(F.col("target").startswith("/"), F.col("target"))
+                    .otherwise(F.concat(F.lit("xl/worksheets/"), F.col("target"))), "/")
+    found_all = targets.select("path", F.array_join(resolve_path(steps), "/").alias("part")).distinct()
     found = found_all.join(parts.select("path", "part"), ["path", "part"], "left_semi")
     # the fallback applies only to packages whose rels name no drawing at all
     fallback = (parts.filter(F.col("part").startswith("xl/drawings/") & F.col("part").endswith(".xml"))

@@ -5,8 +5,9 @@ New document files arriving in a folder are translated batch by batch with
 translation memory, so a string already translated in an earlier batch is
 never paid for again.  State lives in the memory table, not in the stream,
 so no watermark is needed.  Every write is keyed by the batch id with
-``overwrite``, which makes a replayed batch idempotent (exactly-once output
-on top of the stream's checkpoint).
+``overwrite``, and a batch reads the memory without its own run, so a replayed
+batch asks, answers and stores the same again (exactly-once output on top of
+the stream's checkpoint).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def translate_batch(batch: DataFrame, batch_id: int, translator, settings: Setti
     docs = work.materialize(batch, "docs")
     lines = explode_lines(docs.select(F.col("doc_id").alias("scope"), "context", "text"), "text",
                           keep=["scope", "context"])
-    res = batch_translate(lines, translator, settings, work, "t1", memory=read_memory(spark, memory_path))
+    res = batch_translate(lines, translator, settings, work, "t1", memory=read_memory(spark, memory_path, except_run=f"b{batch_id}"))
     out = apply_and_rebuild(lines, res.translations, "scope", "text")
     empty = docs.filter(F.length("text") == 0).select(F.col("doc_id").alias("scope"), F.lit("").alias("text"))
     (out.unionByName(empty).withColumnRenamed("scope", "doc_id")

@@ -87,3 +87,33 @@ def test_single_fallback_blank_keeps_original():
             return ModelReply("   ", 1, 1)
     assert translate_text(Blank(), "日本", "", S)[0] == "日本"
     assert translate_text(MockTranslator(), "  ", "", S)[0] == "  "
+
+
+def test_best_partial_of_a_table_equals_the_task(spark):
+    """W3 as an aggregation: unequal partials, blank items, a full reply after a longer wrong one."""
+    import random
+    from lexiflow.operators.call import best_partial
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for k in range(60):
+        n = rnd.randint(1, 4)
+        replies = []
+        for a in range(1, 4):
+            items = rnd.choice([None, [], [rnd.choice(["a", "b", " ", ""]) for _ in range(rnd.randint(1, 6))]])
+            replies.append(items)
+            rows.append((k, a, n, items))
+            if items is not None and len(items) == n:
+                break
+
+        class Seq:
+            def __init__(self):
+                self.left = iter(replies)
+
+            def __call__(self, req):
+                import json
+                x = next(self.left)
+                return ModelReply("no" if x is None else json.dumps(x), 0, 0)
+        o = translate_chunk(Seq(), [f"x{i}" for i in range(n)], "", S)
+        want[k] = (o.attempts, o.status, o.out_items)
+    df = spark.createDataFrame(rows, "k int, attempt int, n int, items array<string>")
+    assert {r.k: (r.attempts, r.status, r.out_items) for r in best_partial(df, ["k"]).collect()} == want

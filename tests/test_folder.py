@@ -139,15 +139,19 @@ def test_estimate_folder(spark, tree):
 
 
 def test_corpus_usage_counts_names_and_content(spark, tree):
-    from lexiflow.plans.corpus import corpus_usage
+    from lexiflow.plans.folder import folder_usage
     src, dst = tree
     res = translate_folder(spark, str(src), str(dst), MockTranslator(), S)
-    u = corpus_usage(res.corpus).first()
+    u = folder_usage(res).first()
     # mock usage: input = characters sent, output = characters returned (+4 per answer)
     calls = res.corpus.name_calls.filter("status = 'ok'").collect()
     names_in = sum(len(r.name) for r in calls)
-    content = res.corpus.batch.responses.agg({"input_tokens": "sum"}).first()[0]
+    content = sum(b.responses.agg({"input_tokens": "sum"}).first()[0] for b in (res.corpus.batch, res.packages.batch))
+    assert res.packages.batch.responses.count() > 0
     assert u.input_tokens == names_in + content
+    # every folder name is asked for once, those of empty folders in the same stage
+    asked = [(r.name, r.context) for r in calls]
+    assert len(asked) == len(set(asked)) and "空" in [n for n, _ in asked]
     assert u.output_tokens > u.input_tokens
     assert abs(u.cost_usd - (u.input_tokens * 3 + u.output_tokens * 15) / 1e6) < 1e-12
 
@@ -201,3 +205,60 @@ def test_failing_file_is_isolated(spark, tmp_path):
     assert not (dst / m("日本") / (m("資料") + ".txt")).exists()
     errs = res.errors.collect()
     assert [e.path for e in errs] == ["日本/資料.txt"] and "失敗" in errs[0].error
+
+
+def test_final_names_are_unique_and_safe(spark):
+    from lexiflow.operators.names import safe_name, unique_paths
+    rows = [("1", "d", "R", ".txt"), ("2", "D", "r", ".TXT"), ("3", "d", "R_2", ".txt"), ("4", "d", "R", ".md"), ("5", "", "R", ".txt"),
+            ("6", "d", "R", ".txt"), ("7", "d", "R_2", ".txt"), ("8", "d", "noext", "")]
+    got = {r.path: r.path_out for r in unique_paths(spark.createDataFrame(rows, "path string, dir_en string, stem string, suffix string")).collect()}
+    assert len({p.lower() for p in got.values()}) == len(rows)
+    assert got == {"1": "d/R.txt", "2": "D/r_3.TXT", "3": "d/R_2.txt", "4": "d/R.md", "5": "R.txt", "6": "d/R_4.txt", "7": "d/R_2_2.txt", "8": "d/noext"}
+    df = spark.createDataFrame([("../x/y",), ("..",), ("",), ("a\\b\n",), (None,), ("ok.",)], "n string")
+    from pyspark.sql import functions as F
+    assert [r.s for r in df.select(safe_name(F.col("n"), F.lit("O")).alias("s")).collect()] == ["..-x-y", "O", "O", "a-b-", "O", "ok."]
+
+
+def test_what_cannot_be_read_or_parsed_is_an_error_row(spark, tmp_path):
+    """A dangling link, a bad XML byte, a huge CSV field and deep folders beside good files."""
+    src = tmp_path / "src"
+    deep = src
+    for i in range(60):
+        deep = deep / f"d{i}"
+    deep.mkdir(parents=True)
+    (deep / "日.txt").write_text("日本\n", encoding="utf-8")
+    os.symlink(src / "nowhere", src / "gone.txt")
+    for i in range(20):
+        (src / f"良{i}.txt").write_text("日本\n", encoding="utf-8")
+    (src / "大.csv").write_text("日本," + "あ" * 200_000 + "\n", encoding="utf-8")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/sharedStrings.xml", b"<sst><si><t>\xff\xfe</t></si></sst>")
+    (src / "悪.xlsx").write_bytes(buf.getvalue())
+    dst = tmp_path / "out"
+    res = translate_folder(spark, str(src), str(dst), MockTranslator(), S)
+    m = mock_translate
+    errors = {(r.path, r.stage) for r in res.errors.collect()}
+    assert ("gone.txt", "list") in errors and ("gone.txt", "read") in errors and ("悪.xlsx", "parse") in errors
+    assert {p for p, _ in errors} == {"gone.txt", "悪.xlsx"}
+    assert not (dst / "gone.txt").exists()
+    assert (dst / "悪.xlsx").read_bytes() == buf.getvalue()
+    for i in range(20):
+        assert (dst / f"{m(f'良{i}')}.txt").read_text("utf-8") == m("日本") + "\n"
+    out = deep.relative_to(src)
+    assert (dst / out / f"{m('日')}.txt").read_text("utf-8") == m("日本") + "\n"
+    assert (dst / f"{m('大')}.csv").read_text("utf-8").startswith(m("日本") + "," + m("あ" * 200_000))
+    with pytest.raises(FileNotFoundError):
+        translate_folder(spark, str(tmp_path / "missing"), str(tmp_path / "o2"), MockTranslator(), S)
+
+
+def test_word_text_with_tabs_breaks_and_nested_tables(spark):
+    from lexiflow.plans.packages import docx_paragraphs, py_rewrite_paragraphs
+    xml = ('<w:body><w:p><w:r><w:tabs><w:tab w:val="left"/></w:tabs><w:t>日</w:t><w:tab/><w:t>本</w:t><w:br/><w:t>語</w:t></w:r></w:p>'
+           '<w:tbl><w:p><w:t>外</w:t></w:p><w:tbl><w:p><w:t>内</w:t></w:p></w:tbl><w:p><w:t>外2</w:t></w:p></w:tbl><w:p><w:t>後</w:t></w:p></w:body>')
+    df = spark.createDataFrame([(1, xml)], "id int, xml string")
+    got = [(r.i, r.text) for r in docx_paragraphs(df, ["id"]).orderBy("i").collect()]
+    assert got == [(0, "日\t本\n語"), (1, "後"), (2, "外"), (3, "内"), (4, "外2")]
+    out = py_rewrite_paragraphs(xml, {"日\t本\n語": "Japanese <x>", "後": "after"})
+    assert '<w:tab w:val="left"/></w:tabs><w:t>Japanese &lt;x&gt;</w:t><w:t></w:t><w:t></w:t></w:r>' in out
+    assert "<w:t>after</w:t>" in out and "<w:t>外</w:t>" in out

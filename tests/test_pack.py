@@ -5,11 +5,22 @@ import random
 import pytest
 
 from lexiflow.config import DEFAULT
-from lexiflow.operators.pack import _Greedy, py_pack, pack_chunks
+from lexiflow.operators.pack import _Greedy, pack_chunks
+
+
+def next_fit(ests, budget, most):
+    """Chunk of every unit, checked as a property: a unit joins the open chunk exactly when it fits."""
+    chunks = []
+    for e in ests:
+        if chunks and len(chunks[-1]) < most and sum(chunks[-1]) + e <= budget:
+            chunks[-1].append(e)
+        else:
+            chunks.append([e])
+    return [i for i, c in enumerate(chunks) for _ in c]
 
 
 def _expected(ests, B, K):
-    idx = py_pack(ests, B, K)
+    idx = next_fit(ests, B, K)
     out, pos, prev = [], 0, None
     for i, k in enumerate(idx):
         pos = pos + 1 if k == prev else 1
@@ -20,11 +31,11 @@ def _expected(ests, B, K):
 
 def test_worked_examples():
     # 81 short strings -> chunks of 80 and 1
-    assert py_pack([20] * 81, 6000, 80).count(0) == 80
+    assert next_fit([20] * 81, 6000, 80).count(0) == 80
     # one string estimated at 7,000, then a short one -> two chunks
-    assert py_pack([7000, 20], 6000, 80) == [0, 1]
+    assert next_fit([7000, 20], 6000, 80) == [0, 1]
     # oversize string in the middle gets its own chunk
-    assert py_pack([10, 7000, 10], 6000, 80) == [0, 1, 2]
+    assert next_fit([10, 7000, 10], 6000, 80) == [0, 1, 2]
 
 
 def test_greedy_matches_loop():
@@ -35,7 +46,7 @@ def test_greedy_matches_loop():
         B, K = rnd.choice([(300, 8), (500, 3), (6000, 80)])
         g = _Greedy(__import__("numpy").array(ests), B, K)
         starts = g.starts_from(0)
-        idx = py_pack(ests, B, K)
+        idx = next_fit(ests, B, K)
         assert starts == [i for i in range(n) if i == 0 or idx[i] != idx[i - 1]]
 
 
@@ -94,6 +105,20 @@ def test_split_packing_property(spark):
         s = DEFAULT.with_(chunk_token_budget=budget, chunk_max_strings=k, pack_segment_units=seg)
         df = spark.createDataFrame(rows, "scope long, ord long, est int")
         got = [r.chunk_no - 1 for r in sorted(pack_chunks(df, s).collect(), key=lambda r: r.ord)]
-        assert got == py_pack(ests, budget, k)
+        assert got == next_fit(ests, budget, k)
 
     check()
+
+
+def test_sparse_orders_make_dense_segments(spark):
+    """Cells far apart, negative and near 2**62 are consecutive units of few segments."""
+    from pyspark.sql import functions as F
+    from lexiflow.operators.pack import with_segments
+    rows = [(s, o, 20) for s in ("a", "b") for o in [-(2**62), -5, *[(r << 20) + c for r in range(500) for c in range(2)], 2**62]]
+    df = spark.createDataFrame(rows, "scope string, ord long, est int")
+    seg = with_segments(df, DEFAULT).groupBy("scope").agg(F.countDistinct("seg").alias("n")).collect()
+    assert all(r.n <= spark.sparkContext.defaultParallelism for r in seg)
+    got = {(r.scope, r.ord): r.chunk_no for r in pack_chunks(df, DEFAULT.with_(chunk_max_strings=80)).collect()}
+    orders = sorted({o for _, o, _ in rows})
+    for s in ("a", "b"):
+        assert [got[s, o] - 1 for o in orders] == next_fit([20] * len(orders), 6000, 80)

@@ -39,3 +39,14 @@ def test_stream_reuses_memory(spark, tmp_path):
     # the shared line was learned once, by the first batch only
     assert learned.filter(F.col("text") == "共通 行").count() == 1
     assert read_memory(spark, mem).count() == 3
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from lexiflow.streaming.incremental import translate_batch
+    mem, out, work = str(tmp_path / "mem"), str(tmp_path / "out"), str(tmp_path / "work")
+    docs = spark.createDataFrame([(1, "日本\n語 行", "c")], DOC_SCHEMA)
+    for _ in range(2):
+        translate_batch(docs, 0, MockTranslator(), S, mem, out, work)
+        assert read_memory(spark, mem).count() == 2
+        assert [r.text for r in spark.read.parquet(out).collect()] == [f"{mock_translate('日本')}\n{mock_translate('語 行')}"]
+    assert read_memory(spark, mem, except_run="b0").count() == 0
