@@ -77,7 +77,9 @@ class Settings:
     overhead_factor: float = 1.3
     # execution knobs (not semantics)
     pack_segment_units: int = 200_000  # max units one packing group holds (numbers only)
-    call_partitions: int | None = None  # tasks for the model stage; None = default parallelism
+    call_partitions: int | None = None  # tasks of a model stage; None = by the number of calls
+    calls_per_task: int = 100           # what a lost task pays again at most
+    calls_per_wave: int = 100_000       # calls written together; a lost driver pays one wave again
     call_batch_rows: int = 64           # Arrow batch size in the model stage (rows = calls)
     # behaviour options (defaults reproduce the reference)
     reject_blank: bool = False          # Q6: refuse a reply whose items are blank

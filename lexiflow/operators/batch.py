@@ -9,9 +9,9 @@
       --T3 model stage--> [singles]                                  (written, paid)
       --> translations(scope, context, text, text_en, how)
 
-Every model stage is written to the shared work folder before anything joins
-it, so re-planning or a lost executor never calls the model twice for the
-same chunk.
+Every model stage is written to the shared work folder, in waves, before
+anything joins it: re-planning never calls the model again, a lost executor
+repeats the calls of its running tasks, a lost driver those of one wave.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                               f"{name}/chunks")
     assignments = chunk_assignments(chunks)
     call_conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}
-    responses = work.materialize(call_chunks(chunks, translator, settings), f"{name}/responses", call_conf)
+    responses = work.paid(chunks, lambda c: call_chunks(c, translator, settings), f"{name}/responses", ["scope", "chunk_id"],
+                          settings.calls_per_wave, call_conf)
 
     zipped = zip_responses(responses)
     chunk_errors = (responses.filter(F.col("status") == "error")
@@ -103,11 +104,9 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     missing = missing_positions(zipped)
     if isolate == "scope":   # a scope that is lost anyway pays for no fallback
         missing = missing.join(chunk_errors.select("scope").distinct(), "scope", "left_anti")
-    single_stage = call_singles(missing, translator, settings)
-    if missing.isEmpty():   # nothing to fall back on: no model stage, no write
-        singles = units.sparkSession.createDataFrame([], single_stage.schema)
-    else:
-        singles = work.materialize(single_stage, f"{name}/singles", call_conf)
+    # (with nothing missing this is one empty wave)
+    singles = work.paid(missing, lambda m: call_singles(m, translator, settings), f"{name}/singles", ["scope", "text"],
+                        settings.calls_per_wave, call_conf)
     single_errors = (singles.filter(F.col("status") == "error")
                      .select("scope", F.lit("single").alias("stage"), "error"))
     errors = chunk_errors.unionByName(single_errors)

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CKPT_KEY = "spark.checkpoint.dir"
 
@@ -90,40 +91,63 @@ def ship_package(spark: SparkSession) -> None:
 
 
 class WorkDir:
-    """One run's folder under the checkpoint root; stages are Parquet tables."""
+    """One run's folder under the checkpoint root; stages are Parquet tables.
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    With a ``path`` of its own and ``resume``, a run that was interrupted goes on: tables
+    and waves of paid calls that were completely written are read, not made again.  A new
+    input needs a new path.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, resume: bool = False):
         ship_package(spark)
         self.spark = spark
         self.path = path or os.path.join(checkpoint_root(spark), "lexiflow-" + uuid.uuid4().hex[:12])
+        self.resume = resume and path is not None
 
     def table(self, name: str) -> str:
         return os.path.join(self.path, name)
 
+    def exists(self, name: str) -> bool:
+        """Whether the table was completely written, on any file system Spark can reach."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.table(name), "_SUCCESS"))
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def materialize(self, df: DataFrame, name: str, conf: dict | None = None) -> DataFrame:
         """Write ``df`` as a Parquet table and return a DataFrame reading it.
 
         ``conf``: session settings that apply to this write only (restored after).
         """
         p = self.table(name)
-        old = {k: self.spark.conf.get(k, None) for k in (conf or {})}
-        try:
-            for k, v in (conf or {}).items():
-                self.spark.conf.set(k, str(v))
-            df.write.mode("overwrite").parquet(p)
-        finally:
-            for k, v in old.items():
-                if v is None:
-                    self.spark.conf.unset(k)
-                else:
-                    self.spark.conf.set(k, v)
+        if not (self.resume and self.exists(name)):
+            old = {k: self.spark.conf.get(k, None) for k in (conf or {})}
+            try:
+                for k, v in (conf or {}).items():
+                    self.spark.conf.set(k, str(v))
+                df.write.mode("overwrite").parquet(p)
+            finally:
+                for k, v in old.items():
+                    if v is None:
+                        self.spark.conf.unset(k)
+                    else:
+                        self.spark.conf.set(k, v)
         # the schema is known: no footer inference on read-back
         return self.spark.read.schema(df.schema).parquet(p)
 
-    def exists(self, name: str) -> bool:
-        p = self.table(name)
-        return p.startswith("/") and os.path.exists(os.path.join(p, "_SUCCESS"))
+    def paid(self, todo: DataFrame, call, name: str, key: list[str], calls_per_wave: int,
+             conf: dict | None = None) -> DataFrame:
+        """The rows of ``call(todo)``, made and written in waves of about ``calls_per_wave`` rows.
+
+        What a lost driver leaves behind is whole waves; with ``resume`` only the others are paid for.
+        Rows go to waves by a hash of ``key``, so a rerun cuts the same waves.
+        """
+        if self.spark.sparkContext.getConf().get("spark.speculation", "false") == "true":
+            raise RuntimeError("spark.speculation must be off for paid calls: a speculative task would pay again")
+        waves = max(1, -(-todo.count() // calls_per_wave))
+        for k in range(waves):
+            part = todo if waves == 1 else todo.where(F.pmod(F.xxhash64(*key), F.lit(waves)) == k)
+            schema = self.materialize(call(part), f"{name}/wave={k}", conf).schema
+        return self.spark.read.schema(schema).parquet(self.table(name)).select(*schema.fieldNames())
 
 
-def work_dir(spark: SparkSession, path: str | None = None) -> WorkDir:
-    return WorkDir(spark, path)
+def work_dir(spark: SparkSession, path: str | None = None, resume: bool = False) -> WorkDir:
+    return WorkDir(spark, path, resume)

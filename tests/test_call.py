@@ -117,3 +117,45 @@ def test_best_partial_of_a_table_equals_the_task(spark):
         want[k] = (o.attempts, o.status, o.out_items)
     df = spark.createDataFrame(rows, "k int, attempt int, n int, items array<string>")
     assert {r.k: (r.attempts, r.status, r.out_items) for r in best_partial(df, ["k"]).collect()} == want
+
+
+def test_an_interrupted_run_pays_no_wave_twice(spark, tmp_path, monkeypatch):
+    from lexiflow.operators.batch import batch_translate
+    from lexiflow.session import WorkDir, work_dir
+    class Counting:
+        """Notes every call as a file (tasks are other processes)."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def __call__(self, req):
+            import os
+            import uuid
+            if req.kind == "batch":
+                open(os.path.join(self.folder, uuid.uuid4().hex), "w").write(req.items[0])
+            return MockTranslator()(req)
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    s = S.with_(chunk_max_strings=1, calls_per_wave=8, calls_per_task=2)
+    units = spark.createDataFrame([(i % 5, i, f"日{i}", "c") for i in range(40)], "scope int, ord long, text string, context string")
+    plain, done = WorkDir.materialize, []
+
+    def interrupted(self, df, name, conf=None):
+        if "/responses/" in name:
+            if len(done) == 3:
+                raise KeyboardInterrupt("driver lost")
+            done.append(name)
+        return plain(self, df, name, conf)
+    monkeypatch.setattr(WorkDir, "materialize", interrupted)
+    path = str(tmp_path / "work")
+    with pytest.raises(KeyboardInterrupt):
+        batch_translate(units, Counting(str(calls)), s, work_dir(spark, path, resume=True))
+    first = len(list(calls.iterdir()))
+    assert 0 < first < 40
+    monkeypatch.setattr(WorkDir, "materialize", plain)
+    res = batch_translate(units, Counting(str(calls)), s, work_dir(spark, path, resume=True))
+    assert {r.text: r.text_en for r in res.translations.collect()} == {f"日{i}": mock_translate(f"日{i}") for i in range(40)}
+    assert len(list(calls.iterdir())) == 40
+    batch_translate(units, Counting(str(calls)), s, work_dir(spark, path, resume=True)).translations.count()
+    assert len(list(calls.iterdir())) == 40
