@@ -6,12 +6,12 @@ so a passage that holds every term of an item scores 1 on it, whatever its lengt
 Every document is cut into passages of 2L terms, one starting every L terms, with L the
 longest item: any copy of an item lies in one passage whole.
 
-A passage's bound on a block of items is the sum of its terms' largest weights in that
-block.  Passages whose every block stays under ``SCORE`` end there (one numpy pass);
-the others run block-max WAND: cursors over the postings, a pivot where the sum of upper
-bounds reaches the threshold, the blocks' maxima before any scoring, and jumps
-past blocks that can't reach it.  All items at or above the threshold come back.
-Then question and answer (an item's first three quarters, and the rest) are verified apart: a share
+Block-max WAND runs for all passages of a slice at once.  A passage whose terms' upper
+bounds don't sum to ``SCORE`` has no pivot and ends there.  For the others the bound on
+a block of items is the sum of the terms' largest weights in that block; postings of blocks
+that stay under the threshold are never read, and those of the others are scored
+exactly.  Items are ordered by length, so the weights of a block, and its maxima, are
+alike.  All items at or above the threshold come back.  Then question and answer (an item's first three quarters, and the rest) are verified apart: a share
 ``OVERLAP`` of the 3-term runs of each must lie in the passage.
 
 The index of one pass takes at most ``INDEX_BYTES`` of item text (checked); a larger
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from lexiflow.llm import kernels as K
 from lexiflow.llm.common import partitions, written
 
-INDEX_BYTES, LEAST_TERMS, BLOCK = 32 << 20, 5, 16
+#: item text of one index, the terms an item has at least, items of a block at least, blocks at most
+INDEX_BYTES, LEAST_TERMS, BLOCK, MAX_BLOCKS = 4 << 20, 5, 8, 64
 SCORE, OVERLAP, RUN = 0.6, 0.6, 3
 K1, B = 1.2, 0.75
 _APART = np.ones(256, bool)
@@ -65,7 +66,9 @@ class Index:
     item: np.ndarray          # place of the item, ascending within a term
     weight: np.ndarray
     upper: np.ndarray         # largest weight of each term
+    size: int                 # items of a block
     block: np.ndarray         # terms x blocks: largest weight
+    place: np.ndarray         # term * items + item of every posting
     ids: list                 # item id by place
     question: list[np.ndarray]
     answer: list[np.ndarray]
@@ -91,50 +94,46 @@ def build(ids: list, texts: list) -> Index | None:
     w /= np.bincount(item, w, len(own))[item]
     upper = np.zeros(len(vocab))
     np.maximum.at(upper, term, w)
-    block = np.zeros((len(vocab), -(-len(own) // BLOCK)))
-    np.maximum.at(block, (term, item // BLOCK), w)
+    each = max(BLOCK, -(-len(own) // MAX_BLOCKS))
+    block = np.zeros((len(vocab), -(-len(own) // each)), np.float32)
+    np.maximum.at(block, (term, item // each), w)
     cut = [len(x) - max(RUN, len(x) - len(x) * 3 // 4) for x in own]          # the answer has RUN terms at least
-    return Index(vocab, np.searchsorted(term, np.arange(len(vocab) + 1)), item, w, upper, block, ids,
+    return Index(vocab, np.searchsorted(term, np.arange(len(vocab) + 1)), item, w, upper, each, block, pair, ids,
                  [np.unique(_runs_of(x[:max(RUN, c)])) for x, c in zip(own, cut)],
                  [np.unique(_runs_of(x[c:])) for x, c in zip(own, cut)], int(size.max()))
 
 
-def wand(ix: Index, query: np.ndarray, least: float = SCORE) -> list[tuple[int, float]]:
-    """(item, score) of all items that score ``least`` or more for the distinct terms ``query``; block-max WAND."""
-    end = len(ix.ids)
-    cursors = [[int(ix.item[ix.start[t]]), int(ix.start[t]), int(ix.start[t + 1]), int(t)] for t in query]
-    found = []
-    while cursors:
-        cursors.sort(key=lambda c: c[0])
-        bound, pivot = 0.0, -1
-        for i, c in enumerate(cursors):
-            bound += ix.upper[c[3]]
-            if bound >= least - 1e-9:
-                pivot = i
-                break
-        if pivot < 0:
-            break
-        item = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-            pivot += 1
-        b = item // BLOCK
-        near = sum(ix.block[c[3], b] for c in cursors[: pivot + 1])
-        if near < least - 1e-9:
-            # no item of this block up to the next cursor can reach it
-            to = min((b + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end)
-        elif cursors[0][0] == item:
-            score = sum(float(ix.weight[c[1]]) for c in cursors[: pivot + 1])
-            if score >= least - 1e-9:
-                found.append((item, score))
-            to = item + 1
-        else:
-            to = item
-        for c in cursors[: pivot + 1]:
-            if c[0] < to:
-                c[1] += int(np.searchsorted(ix.item[c[1]: c[2]], to))
-                c[0] = int(ix.item[c[1]]) if c[1] < c[2] else end
-        cursors = [c for c in cursors if c[0] < end]
-    return found
+def wand(ix: Index, query: np.ndarray, term: np.ndarray, least: float = SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score) of all items that score ``least`` or more; block-max WAND over many queries.
+
+    ``query`` (ascending) and ``term``: the distinct terms of each query.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(query):
+        return none
+    cut = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    size = np.diff(np.append(cut, len(query)))
+    keep = np.repeat(np.add.reduceat(ix.upper[term], cut) >= least - 1e-6, size)
+    query, term = query[keep], term[keep]
+    if not len(query):
+        return none
+    cut = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    size = np.diff(np.append(cut, len(query)))
+    bound = np.add.reduceat(ix.block[term], cut, axis=0)
+    q, b = np.nonzero(bound >= least - 1e-4)
+    # postings of each (query, block) that is left
+    t = term[K.ranges(cut[q], size[q])]
+    of = np.repeat(np.arange(len(q)), size[q])
+    sel = ix.block[t, b[of]] > 0
+    t, of = t[sel], of[sel]
+    n = len(ix.ids)
+    lo = np.searchsorted(ix.place, t * n + b[of] * ix.size)
+    hi = np.searchsorted(ix.place, t * n + np.minimum((b[of] + 1) * ix.size, n))
+    post = K.ranges(lo, hi - lo)
+    cell = np.repeat(of, hi - lo) * ix.size + ix.item[post] % ix.size
+    score = np.bincount(cell, ix.weight[post], len(q) * ix.size)
+    hit = np.flatnonzero(score >= least - 1e-9)
+    return query[cut[q[hit // ix.size]]], b[hit // ix.size] * ix.size + hit % ix.size, score[hit]
 
 
 def search(ix: Index, h: np.ndarray, first: np.ndarray) -> list[dict[int, float]]:
@@ -153,31 +152,12 @@ def search(ix: Index, h: np.ndarray, first: np.ndarray) -> list[dict[int, float]
     v = len(ix.vocab)
     own = np.concatenate([base[row] + np.minimum(k, passages[row] - 1), base[row] + np.maximum(np.minimum(k, passages[row]) - 1, 0)])
     pair = np.unique(own * v + np.concatenate([at[hit], at[hit]]))
-    if not len(pair):
-        return out
-    passage, term = pair // v, pair % v
-    cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    fine = np.add.reduceat(ix.upper[term], cut) >= SCORE - 1e-9
-    of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(term))))
-    sel = fine[of]
-    if not sel.any():
-        return out
-    passage, term = passage[sel], term[sel]
-    cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    bound = np.add.reduceat(ix.block[term], cut, axis=0).max(1)
-    stop = np.append(cut[1:], len(term))
-    owner = np.searchsorted(base, passage[cut], "right") - 1
-    for i in np.flatnonzero(bound >= SCORE - 1e-9):
-        r = int(owner[i])
-        got = wand(ix, term[cut[i]: stop[i]])
-        if not got:
-            continue
-        a = int(first[r] + (passage[cut[i]] - base[r]) * step)
+    for p, item, score in zip(*(x.tolist() for x in wand(ix, pair // v, pair % v))):
+        r = int(np.searchsorted(base, p, "right")) - 1
+        a = int(first[r] + (p - base[r]) * step)
         have = _runs_of(h[a: min(a + 2 * step, int(first[r + 1]))])
-        for item, score in got:
-            q, ans = ix.question[item], ix.answer[item]
-            if np.isin(q, have).mean() >= OVERLAP and np.isin(ans, have).mean() >= OVERLAP:
-                out[r][item] = max(score, out[r].get(item, 0.0))
+        if np.isin(ix.question[item], have).mean() >= OVERLAP and np.isin(ix.answer[item], have).mean() >= OVERLAP:
+            out[r][item] = max(score, out[r].get(item, 0.0))
     return out
 
 

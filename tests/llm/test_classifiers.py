@@ -197,22 +197,27 @@ def words_of(t):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", low)
 
 
-def test_wand_returns_all_above_the_threshold():
+def test_wand_returns_all_above_the_threshold(monkeypatch):
+    import pyarrow as pa
     r = random.Random(5)
     vocab = [f"t{i}" for i in range(120)]
     items = [" ".join(r.choice(vocab[: r.choice([20, 120])]) for _ in range(r.randint(5, 30))) for _ in range(150)]
-    ix = decontaminate.build(list(range(150)), items)
-    for _ in range(200):
-        q = set(r.sample(vocab, r.randint(1, 60))) | set(r.choice(items).split()[: r.randint(0, 30)])
-        import pyarrow as pa
-        h, _ = decontaminate.terms(*decontaminate.K.utf8(pa.array([" ".join(q)])))
-        query = np.unique(np.searchsorted(ix.vocab, h[np.isin(h, ix.vocab)]))
-        want = {}
-        for t in query:
-            for p in range(ix.start[t], ix.start[t + 1]):
-                want[int(ix.item[p])] = want.get(int(ix.item[p]), 0) + ix.weight[p]
-        got = dict(decontaminate.wand(ix, query, 0.5))
-        assert got == pytest.approx({i: s for i, s in want.items() if s >= 0.5})
+    for blocks in (64, 7):
+        monkeypatch.setattr(decontaminate, "MAX_BLOCKS", blocks)
+        ix = decontaminate.build(list(range(150)), items)
+        queries, want = [], {}
+        for k in range(200):
+            q = set(r.sample(vocab, r.randint(1, 60))) | set(r.choice(items).split()[: r.randint(0, 30)])
+            h, _ = decontaminate.terms(*decontaminate.K.utf8(pa.array([" ".join(q)])))
+            query = np.unique(np.searchsorted(ix.vocab, h[np.isin(h, ix.vocab)]))
+            queries += [(k, t) for t in query]
+            score = {}
+            for t in query:
+                for p in range(ix.start[t], ix.start[t + 1]):
+                    score[int(ix.item[p])] = score.get(int(ix.item[p]), 0) + ix.weight[p]
+            want.update({(k, i): s for i, s in score.items() if s >= 0.5})
+        got = {(int(q), int(i)): s for q, i, s in zip(*decontaminate.wand(ix, *np.array(queries).T, 0.5))}
+        assert got == pytest.approx(want) and want
 
 
 @pytest.mark.parametrize("index_bytes", [1 << 20, 400])
