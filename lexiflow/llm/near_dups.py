@@ -9,16 +9,20 @@ words, the whole sequence as one).  Documents link at
 2. *Signatures.*  ``HASHES`` = 64 minima.  A pair at similarity 0.75 differs in 16
    of them on average; in more than ``DISTANCE`` = 31 of 64 with a chance of about
    1e-5.  Such a pair needs 33 equal minima, so a class of which fewer than 33 are
-   held by any other class has no partner and goes no further.
+   held by any other class has no partner and goes no further.  The others get a
+   longer b-bit signature, 2 bits of each of ``PLACES`` = 2048 minima, in which a pair at 0.75
+   differs in 384 places on average and in more than ``DIFFER`` = 463 with a chance of about 5e-6.
 3. *Multi-index join.*  The signature is split into 16 chunks of 4.  At distance 31
    at most, one chunk has at most floor(31 / 16) = 1 error, so two classes within
    the distance share a key (chunk, the place of the error, the other three).  All
    four error places of each chunk are enumerated: 64 keys, no pair missed.
-4. *Links.*  In each key, every class is first compared with the least one: linear in
-   any group.  Pairs within the distance (on 16-bit signatures) are confirmed on the
-   sets, and components are formed.  Then only keys whose classes still lie in
-   different components are compared in full, across components, in tiles of bounded
-   size, each pair in the first key that it shares.  So a group of many copies costs no
+4. *Links.*  In each key, every class is first compared with the least one, then, where a
+   key still holds several components, with one that a hash picks, another in each
+   key: linear in any group, and a class meets up to 64 others of its group.  Pairs
+   within both distances are confirmed on the sets, and components
+   are formed after every round.  Then only keys whose classes still lie in different
+   components are compared in full, across components, in tiles of bounded size, each
+   pair in the first key that it shares.  So a group of many near copies costs few
    pairs, and no link between components is lost.
 5. *Components* by hooking and shortcutting on written tables (rounds grow with the
    logarithm of the longest chain); nothing is collected.
@@ -41,11 +45,24 @@ from lexiflow.llm.common import LAST_ID, partitions, written
 from lexiflow.llm.repeats import ID, TH, keyed, shared_values
 
 SHINGLE, HASHES, CHUNKS, DISTANCE = 5, 64, 16, 31
+#: places of the b-bit signature (2 bits each), and in how many a linked pair may differ
+PLACES, DIFFER = 2048, 463
 #: classes of one key that one tile compares with one another
 TILE = 2048
+#: rounds of stars before the comparison in full
+ROUNDS = 3
 _RNG = np.random.Generator(np.random.PCG64(23))
-_MUL = _RNG.integers(1, 2**63, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(1, 2**63, HASHES).astype(np.uint64)
+_MUL = _RNG.integers(1, 2**63, PLACES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(1, 2**63, PLACES).astype(np.uint64)
+
+
+def _minima(flat: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Least value of each set (they start at ``at``) under the k-th hash function."""
+    h = flat * _MUL[k]
+    h ^= h >> np.uint64(32)
+    h += _ADD[k]
+    h *= _MUL[(k + 1) % PLACES]
+    return np.minimum.reduceat(h, at)
 
 
 def _row_shingles(part, column: int):
@@ -84,24 +101,27 @@ def _signatures(batches):
                     f1[some] = np.add.reduceat(flat, at)
                     f2[some] = np.add.reduceat(K.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
                     for k in range(HASHES):
-                        h = flat * _MUL[k]
-                        h ^= h >> np.uint64(32)
-                        h += _ADD[k]
-                        h *= _MUL[(k + 1) % HASHES]
-                        sig[some, k] = np.minimum.reduceat(h, at)
+                        sig[some, k] = _minima(flat, at, k)
             blobs = [sig[i].tobytes() if n[i] else None for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(f1.view(np.int64)),
                                               pa.array(f2.view(np.int64)), pa.array(blobs, pa.binary())], schema=schema)
 
 
 def _sets(batches):
-    """(id, th, text) -> id and its sorted shingle hashes."""
+    """(id, text) -> id, its sorted shingle hashes, its b-bit signature."""
     for batch in batches:
         for part in K.slices(batch, "t", 1 << 20):
-            sets = [x.view(np.int64) for x in _row_shingles(part, 1)]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(
-                pa.array(off), pa.array(np.concatenate(sets)))], ["id", "set"])
+            sets = list(_row_shingles(part, 1))
+            flat = np.concatenate(sets)
+            size = np.array([len(x) for x in sets], np.int64)
+            at = np.cumsum(size) - size                   # classes have no empty sets
+            bits = np.zeros((len(sets), PLACES // 4), np.uint8)
+            with np.errstate(over="ignore"):
+                for k in range(PLACES):
+                    bits[:, k // 4] |= ((_minima(flat, at, k) >> np.uint64(20)) & np.uint64(3)).astype(np.uint8) << np.uint8(2 * (k % 4))
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)).astype(np.int32)), pa.array(flat.view(np.int64))),
+                pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "set", "bits"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -112,7 +132,7 @@ def _values(batch):
     """The 64 (place, minimum) values of each class, for the count of holders."""
     sig = _matrix(batch.column(1))
     with np.errstate(over="ignore"):
-        h = K.mix(sig + _ADD).ravel()
+        h = K.mix(sig + _ADD[:HASHES]).ravel()
     m = len(sig)
     return np.repeat(batch.column(0).to_numpy(), HASHES), np.zeros(m * HASHES, np.int64), np.tile(np.arange(HASHES), m), h
 
@@ -142,22 +162,26 @@ def _keys(batches):
                 batch.column(0).to_numpy(), len(_KEYS)))], ["key", "id"])
 
 
-def _short(sig: np.ndarray) -> np.ndarray:
-    """The b-bit signature: the low 16 bits of each minimum."""
-    return (sig & np.uint64(0xFFFF)).astype(np.uint16)
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PLACES // 32)
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places two b-bit signatures differ."""
+    z = x ^ y
+    return np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
 
 
 def _close(batches):
-    """(a, b, sig a, sig b) -> the pairs within the distance."""
+    """(a, b, bits a, bits b) -> the pairs within the distance."""
     for batch in batches:
         if batch.num_rows:
-            d = (_short(_matrix(batch.column(2))) != _short(_matrix(batch.column(3)))).sum(1)
-            ok = pa.array(d <= DISTANCE)
+            ok = pa.array(_differ(_bits(batch.column(2)), _bits(batch.column(3))) <= DIFFER)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
 def _tiles(batches):
-    """Rows (key, tile, id, n, label, sig, block, first block), sorted by key and tile -> pairs across labels.
+    """Rows (key, tile, id, n, label, sig, bits, block, lo), sorted by key and tile -> close pairs across labels.
 
     A pair is given only by the first key that it shares.
     """
@@ -168,7 +192,7 @@ def _tiles(batches):
         block, first = t.column("block").to_numpy(), t.column("lo")[0].as_py()
         own = t.column("tile")[0].as_py()
         sig = _matrix(t.column("sig"))
-        keys, short = _key_matrix(sig), _short(sig)
+        keys, bits, short = _key_matrix(sig), _bits(t.column("bits")), (sig & np.uint64(0xFFFF)).astype(np.uint16)
         left = np.flatnonzero(block == first)
         # a tile of one block compares the block with itself; else the first block with the second
         right = left if own == first * 1_000_003 + first else np.flatnonzero(block != first)
@@ -179,6 +203,7 @@ def _tiles(batches):
             if not len(j):
                 continue
             j = j[(short[j] != short[i]).sum(1) <= DISTANCE]
+            j = j[_differ(bits[j], bits[i]) <= DIFFER]
             if not len(j):
                 continue
             same = keys[j] == keys[i]
@@ -228,6 +253,13 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "components") ->
     return nodes.join(f.select("id", F.col("g").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) within the distance of b-bit signatures."""
+    own = sets.select("id", "bits")
+    return (pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+            .mapInArrow(_close, "a long, b long"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -252,25 +284,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     alive = written(classes.join(enough, "node").select(F.col("node").alias("id"), "n", "sig", F.col("id").alias("doc"), "th"), "alive")
     wanted = alive.select(F.col("doc").alias(ID), F.col("th").alias(TH), "id").dropDuplicates([ID, TH])
     sets = written(rows.join(wanted, [ID, TH]).dropDuplicates(["id"]).select("id", "t").mapInArrow(
-        _sets, "id long, set array<long>"), "sets")
+        _sets, "id long, set array<long>, bits binary"), "sets")
     keys = written(alive.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
-    # star: every class of a key against its least
-    least = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    star = keys.withColumnRenamed("id", "b").join(least, "key").where("a <> b").select("a", "b").distinct()
-    sig = alive.select("id", "sig")
-    star = (star.join(sig.toDF("b", "sb"), "b").join(sig.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-            .mapInArrow(_close, "a long, b long"))
-    links = written(_confirmed(star, sets), "links")
-    label = written(components(alive.select("id"), links), "labels")
+    # stars: every class of a key against its least; then, where a key holds several components, against one
+    # that a hash picks, another in every key and round
+    links, label = None, alive.select("id", F.col("id").alias("label"))
+    for seed in range(ROUNDS):
+        k = keys.join(label, "id") if seed else keys.withColumn("label", F.col("id"))
+        order = F.xxhash64("id", "key", F.lit(seed)) if seed else F.col("id")
+        centre = (k.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "label")).alias("c"), F.min("label").alias("lo"),
+                                       F.max("label").alias("hi")).where("lo <> hi").select("key", "c"))
+        star = (k.join(centre, "key").where("label <> c.label")
+                .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
+        got = _confirmed(_near(star, sets), sets)
+        links = written(got if links is None else links.unionAll(got), "links")
+        label = written(components(alive.select("id"), links), "labels")
     # keys that still hold several components
     spread = (keys.join(label, "id").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                         F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", "c"))
-    m = (keys.join(spread, "key").join(label, "id").join(alive.select("id", "n", "sig"), "id")
+    m = (keys.join(spread, "key").join(label, "id").join(alive.select("id", "n", "sig"), "id").join(sets.select("id", "bits"), "id")
          .withColumn("blocks", F.ceil(F.col("c") / TILE).cast("int"))
          .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other"))
          .withColumn("tile", F.col("lo") * 1_000_003 + F.greatest("block", "other"))
-         .select("key", "tile", "id", "n", "label", "sig", "block", "lo"))
+         .select("key", "tile", "id", "n", "label", "sig", "bits", "block", "lo"))
     across = (m.repartition(partitions(spark), "key", "tile").sortWithinPartitions("key", "tile")
               .mapInArrow(_tiles, "a long, b long").distinct())
     more = written(_confirmed(across, sets), "links")
