@@ -49,7 +49,7 @@ class Unit:
     gram: int
     solve: Callable      # (bytes, prefix hash, place, length, windows, key) of fragments -> a label of each window
     #: bytes of text that a task gathers before it sends, and bytes that one numpy pass covers; limits of memory only
-    chunk: int = 16 << 20
+    chunk: int = 8 << 20
     piece: int = 1 << 20
     #: from this number of holders on, a minimiser is dealt by windows; only the bucket changes, never the result
     hot: int = 2000
