@@ -7,7 +7,8 @@ Public API (U3), imported lazily so that ``import lexiflow`` stays cheap:
 * ``translate_documents``                     - a table of documents, line by line
 * ``translate_columns``                       - chosen string columns of any DataFrame
 * ``batch_translate``                         - the core operator on a units table
-* ``corpus_estimate`` / ``usage_totals``      - cost before, usage after
+* ``call_names`` / ``call_singles``           - names, and free texts, of a DataFrame, one call each
+* ``corpus_estimate`` / ``usage_totals``      - cost before, usage after (``folder_usage``, ``corpus_usage``: a whole run)
 * ``translate_stream``                        - incremental corpora with a translation memory
 * ``Settings``, ``ScriptProfile``, ``ModelRequest``, ``ModelReply``, ``Throttled``
 """
@@ -23,6 +24,10 @@ _EXPORTS = {
     "batch_translate": "lexiflow.operators.batch",
     "corpus_estimate": "lexiflow.operators.estimate",
     "usage_totals": "lexiflow.operators.estimate",
+    "folder_usage": "lexiflow.plans.folder",
+    "corpus_usage": "lexiflow.plans.corpus",
+    "call_names": "lexiflow.operators.call",
+    "call_singles": "lexiflow.operators.call",
     "translate_stream": "lexiflow.streaming.incremental",
     "Settings": "lexiflow.config",
     "ScriptProfile": "lexiflow.config",
