@@ -35,6 +35,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator run; they go when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{checkpoint_root(spark).rstrip('/')}/lexiflow-llm/scratch-{uuid.uuid4().hex[:12]}"
+        self.n = 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

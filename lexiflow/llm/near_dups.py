@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm import kernels as K
-from lexiflow.llm.common import LAST_ID, partitions, written
+from lexiflow.llm.common import LAST_ID, Scratch, partitions, written
 from lexiflow.llm.repeats import ID, TH, keyed, shared_values
 
 SHINGLE, HASHES, CHUNKS, DISTANCE = 5, 64, 16, 31
@@ -228,15 +228,15 @@ def _tiles(batches):
         yield from solve(got)
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, label): the least id that each id reaches over ``edges`` (a, b); written tables, few rounds.
+def components(nodes: DataFrame, edges: DataFrame, written) -> DataFrame:
+    """(id, label): the least id that each id reaches over ``edges`` (a, b); tables by ``written(df, name)``, few rounds.
 
     Each round hooks the parent of a node, and the node itself, to the least grandparent
     among its neighbours, and shortcuts; it ends when no grandparent changes.
     """
-    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), name + "-edges")
+    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     linked = both.select(F.col("a").alias("id")).distinct()
-    f = written(linked.select("id", F.col("id").alias("f"), F.col("id").alias("g")), name)
+    f = written(linked.select("id", F.col("id").alias("f"), F.col("id").alias("g")), "parents")
     while True:
         near = (both.join(f.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
                 .join(f.withColumnRenamed("id", "a"), "a"))
@@ -244,9 +244,9 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "components") ->
                  .groupBy("id").agg(F.min("m").alias("m")))
         step = f.join(hooks, "id", "left").select("id", F.least("f", "m").alias("f"), F.col("g").alias("was"))
         # both tables below read this one, so it is written
-        step = written(step, name + "-step")
+        step = written(step, "step")
         new = step.join(step.select(F.col("id").alias("f"), F.col("f").alias("g")), "f").select("id", "f", "g", "was")
-        new = written(new, name)
+        new = written(new, "parents")
         f = new.select("id", "f", "g")
         if new.where("g <> was").limit(1).count() == 0:
             break
@@ -271,21 +271,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(ID, TH, n, component): one row per row of ``docs``; the component is null where the set is empty or the id null."""
     spark = docs.sparkSession
+    tmp = Scratch(spark)
     rows = keyed(docs, id_col, text_col).select(ID, TH, F.col(text_col).alias("t"))
-    sigs = written(rows.mapInArrow(_signatures, f"{ID} long, {TH} long, n long, f1 long, f2 long, sig binary"), "signatures")
+    sigs = tmp.written(rows.mapInArrow(_signatures, f"{ID} long, {TH} long, n long, f1 long, f2 long, sig binary"), "signatures")
     print_of = ["n", "f1", "f2"]
     named = sigs.where((F.col("n") > 0) & (F.col(ID) < LAST_ID))
     # two classes can have one id (rows with the same id), so a class has a number of its own, made as it is written
-    classes = written(named.groupBy(*print_of).agg(F.min_by(F.struct(ID, TH, "sig"), F.struct(ID, TH)).alias("x")).select(
+    classes = tmp.written(named.groupBy(*print_of).agg(F.min_by(F.struct(ID, TH, "sig"), F.struct(ID, TH)).alias("x")).select(
         F.monotonically_increasing_id().alias("node"), F.col(f"x.{ID}").alias("id"), *print_of,
         F.col(f"x.{TH}").alias("th"), F.col("x.sig").alias("sig")), "classes")
     held = shared_values(classes.select("node", "sig"), _values)
     enough = held.where(F.col("held") >= HASHES - DISTANCE).select("node")
-    alive = written(classes.join(enough, "node").select(F.col("node").alias("id"), "n", "sig", F.col("id").alias("doc"), "th"), "alive")
+    alive = tmp.written(classes.join(enough, "node").select(F.col("node").alias("id"), "n", "sig", F.col("id").alias("doc"), "th"), "alive")
     wanted = alive.select(F.col("doc").alias(ID), F.col("th").alias(TH), "id").dropDuplicates([ID, TH])
-    sets = written(rows.join(wanted, [ID, TH]).dropDuplicates(["id"]).select("id", "t").mapInArrow(
+    sets = tmp.written(rows.join(wanted, [ID, TH]).dropDuplicates(["id"]).select("id", "t").mapInArrow(
         _sets, "id long, set array<long>, bits binary"), "sets")
-    keys = written(alive.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
+    keys = tmp.written(alive.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
     # stars: every class of a key against its least; then, where a key holds several components, against one
     # that a hash picks, another in every key and round
     links, label = None, alive.select("id", F.col("id").alias("label"))
@@ -297,8 +298,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         star = (k.join(centre, "key").where("label <> c.label")
                 .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
         got = _confirmed(_near(star, sets), sets)
-        links = written(got if links is None else links.unionAll(got), "links")
-        label = written(components(alive.select("id"), links), "labels")
+        links = tmp.written(got if links is None else links.unionAll(got), "links")
+        label = tmp.written(components(alive.select("id"), links, tmp.written), "labels")
     # keys that still hold several components
     spread = (keys.join(label, "id").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                         F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", "c"))
@@ -310,15 +311,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
          .select("key", "tile", "id", "n", "label", "sig", "bits", "block", "lo"))
     across = (m.repartition(partitions(spark), "key", "tile").sortWithinPartitions("key", "tile")
               .mapInArrow(_tiles, "a long, b long").distinct())
-    more = written(_confirmed(across, sets), "links")
-    label = written(components(alive.select("id"), links.unionAll(more)), "labels")
+    more = tmp.written(_confirmed(across, sets), "links")
+    label = tmp.written(components(alive.select("id"), links.unionAll(more), tmp.written), "labels")
     # least document of each component, for every class
     of = label.join(alive.select("id", "doc"), "id")
     least = of.groupBy("label").agg(F.min("doc").alias("component"))
     of = label.join(least, "label").select(F.col("id").alias("node"), "component")
     every = classes.join(of, "node", "left").select(*print_of, F.coalesce("component", "id").alias("component"))
     got = sigs.drop("sig").join(every, print_of, "left")
-    return got.withColumn("component", F.when(F.col(ID) < LAST_ID, F.col("component")))
+    got = written(got.select(ID, TH, "n", F.when(F.col(ID) < LAST_ID, F.col("component")).alias("component")), "components")
+    tmp.drop()
+    return got
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
