@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import kernels as K
 
-MAX_GRAMS, MAX_CELLS = 400_000, 12_000_000
+MAX_GRAMS, MAX_CELLS = 200_000, 4_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -113,30 +113,34 @@ class Model:
         three = ctx[1][total[1] > least]
         # a kept context of 3 bytes has its suffix of 2 kept too, as that is at least as frequent
         base = 1 + a
-        cost = np.empty((k, base + len(two) + len(three), a), np.float64)
+        cost = np.empty((k, base + len(two) + len(three), a), np.float32)
         cost[:, 0] = self._code(root, np.full((k, a), 8.0))
-        for c in range(a):
-            cost[:, 1 + c] = self._code(one[:, c], cost[:, 0])
-        map2 = np.tile(np.arange(1, 1 + a, dtype=np.int32), (a, 1))            # [second last, last]
-        at2 = np.zeros((k, len(two), a))
-        hit = np.isin(two_key, two)
-        np.add.at(at2, (lang[hit], np.searchsorted(two, two_key[hit]), g[3][hit]), n[hit])
-        for i, c in enumerate(two):
-            cost[:, base + i] = self._code(at2[:, i], cost[:, 1 + c % a])
-            map2[c // a, c % a] = base + i
-        map3 = np.tile(map2.ravel(), a)
-        at3 = np.zeros((k, len(three), a))
-        hit = np.isin(three_key, three)
-        np.add.at(at3, (lang[hit], np.searchsorted(three, three_key[hit]), g[3][hit]), n[hit])
-        for i, c in enumerate(three):
-            cost[:, base + len(two) + i] = self._code(at3[:, i], cost[:, map2[(c // a) % a, c % a]])
-            map3[c] = base + len(two) + i
-        self.state, self.cost = map3, np.ascontiguousarray(cost.reshape(k, -1), np.float32)
+        cost[:, 1: base] = self._code(one, cost[:, :1])
+        map2 = np.tile(np.arange(1, 1 + a, dtype=np.int32), (a, 1)).ravel()       # by [second last, last]
+        self._fill(cost, base, two, two_key, lang, g[3], n, 1 + two % a)
+        map2[two] = base + np.arange(len(two))
+        map3 = np.tile(map2, a)
+        self._fill(cost, base + len(two), three, three_key, lang, g[3], n, map2[three % (a * a)])
+        map3[three] = base + len(two) + np.arange(len(three))
+        self.state, self.cost = map3, cost.reshape(k, -1)
+
+    def _fill(self, cost, at: int, contexts, key, lang, byte, n, shorter) -> None:
+        """Costs of the sorted ``contexts`` from state ``at`` on; ``shorter``: the state of each one's suffix."""
+        hit = np.flatnonzero(np.isin(key, contexts))
+        where = np.searchsorted(contexts, key[hit])
+        o = np.argsort(where, kind="stable")
+        hit, where = hit[o], where[o]
+        for i in range(0, len(contexts), 512):
+            m = min(512, len(contexts) - i)
+            lo, hi = np.searchsorted(where, [i, i + m])
+            count = np.zeros((cost.shape[0], m, self.size))
+            np.add.at(count, (lang[hit[lo:hi]], where[lo:hi] - i, byte[hit[lo:hi]]), n[hit[lo:hi]])
+            cost[:, at + i: at + i + m] = self._code(count, cost[:, shorter[i: i + m]])
 
     @staticmethod
     def _code(count: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Bits of each byte class after one context, for each language; ``below``: at the next shorter context."""
-        n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+        """Bits of each byte class (the last axis) after a context; ``below``: at the next shorter context."""
+        n, d = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             own = -np.log2(count / (n + d))
             escape = -np.log2(d / (n + d))
@@ -170,12 +174,13 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     d = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     got = (d.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toPandas())
-    if not len(got):
+           .orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow().combine_chunks())
+    if not got.num_rows:
         return None
-    langs = sorted(got["lang"].unique())
-    return Model(langs, np.searchsorted(langs, got["lang"].to_numpy(str)), got["gram"].to_numpy(np.int64),
-                 got["n"].to_numpy(np.float64))
+    names = pa.array(got.column("lang").combine_chunks()).dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()])
+    return Model(langs, place[names.indices.to_numpy()], got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64))
 
 
 def _predict(model):
