@@ -5,7 +5,8 @@
    frequent in toxic texts and rare in others are the lexicon.
 2. *Matching.*  A word matches a term exactly or by a stem, or, if it has five letters or more, at
    edit distance 1: the word's Levenshtein automaton walks the lexicon's trie, and a branch
-   ends where the automaton can't accept any more.  Forms that clean learning texts
+   ends where the automaton can't accept any more.  Inflections, whose stem is more than
+   twice as frequent, are matched by the stem.  Forms that clean learning texts
    use are words of their own, not misspellings.
 3. *Context.*  A match is seen in a window of ``WINDOW`` words on each side: inside quotation
    marks, near a word of reporting, near a word of address, near another match, near an
@@ -64,9 +65,10 @@ class Automaton:
                 cost = edits + (self.word[place] != letter)
                 if cost <= self.most:
                     best[place + 1] = min(best.get(place + 1, 99), cost)
-        for place in range(len(self.word)):             # letters of the word that are left out
-            if place in best and best[place] < self.most:
-                best[place + 1] = min(best.get(place + 1, 99), best[place] + 1)
+        if best:                                        # letters of the word that are left out
+            for place in range(min(best), min(max(best) + self.most, len(self.word))):
+                if best.get(place, 99) < self.most:
+                    best[place + 1] = min(best.get(place + 1, 99), best[place] + 1)
         return tuple(sorted(best.items()))
 
     def accepts(self, state: tuple) -> bool:
@@ -84,10 +86,16 @@ class Trie:
                 node = node.setdefault(letter, {})
             node[""] = i
 
-    def within(self, word: str, most: int = 1) -> list[int]:
-        """Numbers of the terms within ``most`` edits: the automaton intersected with the trie."""
+    def within(self, word: str, most: int = 1, head: str = "") -> list[int]:
+        """Numbers of the terms within ``most`` edits, of those that start with ``head``: the automaton
+        intersected with the trie."""
         automaton, found = Automaton(word, most), []
-        stack = [(self.root, automaton.start())]
+        node, state = self.root, automaton.start()
+        for letter in head:
+            node, state = node.get(letter), automaton.step(state, letter)
+            if not node or not state:
+                return []
+        stack = [(node, state)]
         while stack:
             node, state = stack.pop()
             if "" in node and automaton.accepts(state):
@@ -106,14 +114,21 @@ class Lexicon:
     word_weight: list[float]
     stems: dict[str, float]
     forms: set = field(default_factory=set)             # words of clean texts near a term
+    inflected: set = field(default_factory=set)         # words that a far more frequent stem stands for: no misspellings of these
 
     def __post_init__(self):
-        self.trie = Trie(self.words)
+        self.trie, self.back = Trie(self.words), Trie([w[::-1] for w in self.words])
         self.exact = dict(zip(self.words, self.word_weight))
-        # a word at distance 1 keeps the first or the second half of its term unchanged
-        self.heads = {w[: len(w) // 2] for w in self.words}
-        self.tails = {w[len(w) // 2:] for w in self.words}
-        self.half = sorted({len(x) for x in self.heads | self.tails} - {0})
+        # a word at distance 1 has the first or the second half of its term unchanged, and nearly its length,
+        # so the automaton walks only the branch of that half, forwards or backwards
+        self.halves: dict[int, tuple[set, set]] = {}
+        for w in self.words:
+            if len(w) >= FUZZY_LENGTH and w not in self.inflected:
+                for n in (len(w) - 1, len(w), len(w) + 1):
+                    heads, tails = self.halves.setdefault(n, (set(), set()))
+                    heads.add(w[: len(w) // 2])
+                    tails.add(w[len(w) // 2:])
+        self.sizes = {n: (sorted({len(x) for x in h}), sorted({len(x) for x in t})) for n, (h, t) in self.halves.items()}
 
     def judge(self, token: str) -> tuple[str, float, str] | None:
         """(kind, weight, form) of a token, or None."""
@@ -123,12 +138,25 @@ class Lexicon:
         best = max((self.stems[w[:n]] for n in STEMS if w[:n] in self.stems and len(w) >= n), default=None)
         if best is not None:
             return "stem", best, w
-        if len(w) >= FUZZY_LENGTH and w not in self.forms and any(w[:n] in self.heads or w[-n:] in self.tails for n in self.half):
-            near = [self.word_weight[i] for i in self.trie.within(w) if len(self.words[i]) >= FUZZY_LENGTH]
+        if len(w) >= FUZZY_LENGTH and w not in self.forms:
+            near = [self.word_weight[i] for i in self.near(w)]
             if near:
                 return "fuzzy", max(near), w
         return None
 
+    def near(self, w: str) -> set[int]:
+        """Terms of five letters or more at edit distance 1 at most."""
+        found: set[int] = set()
+        if len(w) in self.halves:
+            (heads, tails), (head_sizes, tail_sizes) = self.halves[len(w)], self.sizes[len(w)]
+            for n in head_sizes:
+                if w[:n] in heads:
+                    found.update(self.trie.within(w, 1, w[:n]))
+            for n in tail_sizes:
+                if w[-n:] in tails:
+                    found.update(self.back.within(w[::-1], 1, w[: -n - 1: -1]))
+        return {i for i in found if len(self.words[i]) >= FUZZY_LENGTH and self.words[i] not in self.inflected}
+
 
 class _Memo(dict):
     def __init__(self, lexicon: Lexicon):
@@ -260,7 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, rows, max_rows: in
     strong = sorted(((w, t) for t, w in odds.items() if w >= math.log(10)), key=lambda p: (-p[0], p[1]))[:MAX_TERMS]
     words = [(t[1:], w) for w, t in strong if t[0] == "w"]
     stems = {t[1:]: w for w, t in strong if t[0] == "p"}
-    lexicon = Lexicon([t for t, _ in words], [w for _, w in words], stems)
+    seen = {r.term: r.n for r in frequent}
+    inflected = {t for t, _ in words if any(2 * seen["w" + t] < seen.get("p" + t[:n], 0) for n in STEMS if t[:n] in stems)}
+    lexicon = Lexicon([t for t, _ in words], [w for _, w in words], stems, inflected=inflected)
     first = sample.mapInArrow(_describe(spark.sparkContext.broadcast(lexicon)), "y int, x array<double>, forms array<string>")
     forms = (first.where("y <> 1").select(F.explode("forms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
              .orderBy(F.desc("n"), "w").limit(MAX_FORMS).collect())

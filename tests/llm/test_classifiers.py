@@ -156,6 +156,12 @@ def test_halves_lose_no_term():
             for w in (t[:i] + "x" + t[i:], t[:i] + t[i + 1:], t[:i] + "x" + t[i + 1:]):
                 if w != t and len(w) >= 5:
                     assert lx.judge(w)[0] == "fuzzy", w
+    r = random.Random(8)
+    terms = sorted({"".join(r.choice("abc") for _ in range(r.randint(3, 9))) for _ in range(80)})
+    lx = toxicity.Lexicon(terms, [1.0] * len(terms), {})
+    for _ in range(400):
+        w = "".join(r.choice("abcd") for _ in range(r.randint(5, 10)))
+        assert lx.near(w) == {i for i, t in enumerate(terms) if len(t) >= 5 and distance(w, t) <= 1}, w
 
 
 def test_toxicity_cases(spark):
