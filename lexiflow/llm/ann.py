@@ -10,7 +10,9 @@
    (1 + ``EPSILON`` / sqrt(d))**2 is abandoned: the hypothesis that it is nearer is rejected.
    What reaches the last column is scored exactly: cosine of the given vectors in double precision.
 4. Every query probes ``probes`` lists, all their blocks; the best entries are merged, their
-   ids expanded, and the query's own id left out.
+   ids expanded, and the query's own id left out.  Without a given number it is measured: one
+   pass over all entries finds the exact neighbours of ``ASKED`` queries (all of them, if there are fewer),
+   and as many lists are probed as hold ``COVERED`` of these neighbours.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do vectors of another length than the most frequent; a null id takes no part; repeated rows (same id,
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import partitions, written
 
 SAMPLE, MAX_LISTS, BLOCK, COLUMNS, EPSILON = 20_000, 4096, 4096, 8, 2.1
+#: queries whose exact neighbours say how many lists are probed, and the share of these neighbours the lists hold
+ASKED, COVERED = 256, 0.97
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
@@ -92,6 +96,49 @@ def _unit(blobs: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return raw, (raw / big) / n[:, None], n * big[:, 0]
 
 
+def _exact(centroids, asked, dim: int, keep: int):
+    """(did, v) -> (query, score, list): the best entries of a task for each sampled query, its own left out."""
+    def run(batches):
+        own, q = asked.value
+        c = centroids.value
+        score, where = np.full((len(q), keep), -np.inf), np.zeros((len(q), keep), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            did = batch.column(0).to_numpy()
+            _, u, _ = _unit(batch.column(1).to_pylist(), dim)
+            for i in range(0, len(u), 4096):
+                x = u[i: i + 4096]
+                s = q @ x.T
+                s[own[:, None] == did[None, i: i + 4096]] = -np.inf
+                s = np.concatenate([score, s], axis=1)
+                at = np.concatenate([where, np.tile((x @ c.T).argmax(1), (len(q), 1))], axis=1)
+                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                score, where = np.take_along_axis(s, top, 1), np.take_along_axis(at, top, 1)
+        ok = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(ok)[0].astype(np.int32)), pa.array(score[ok]),
+                                          pa.array(where[ok].astype(np.int32))], ["q", "score", "list"])
+    return run
+
+
+def enough_probes(entry: DataFrame, asked: DataFrame, centroids, dim: int, k: int, seed: int) -> int:
+    """The least number of lists that hold ``COVERED`` of the exact ``k`` nearest entries of the sampled queries."""
+    some = (entry.join(asked.select("did").distinct(), "did", "left_semi").select("did", "v")
+            .orderBy(F.xxhash64("v", F.lit(seed))).limit(ASKED).toPandas())
+    if not len(some):
+        return 1
+    _, q, _ = _unit(some["v"].tolist(), dim)
+    sent = entry.sparkSession.sparkContext.broadcast((some["did"].to_numpy(), q))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "list")
+    true = (entry.select("did", "v").mapInArrow(_exact(centroids, sent, dim, k), "q int, score double, list int")
+            .withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "list").collect())   # ASKED * k rows at most
+    if not true:
+        return 1
+    turn = (-(q @ centroids.value.T)).argsort(1).argsort(1)      # place of each list in the order of probing
+    turns = sorted(int(turn[r.q, r.list]) for r in true)
+    return turns[math.ceil(COVERED * len(turns)) - 1] + 1
+
+
 def _assign(centroids, dim: int, probes: int):
     """(did, v, is query) -> (list, did, kind): an entry in its list (0), and a query in each probed list (1)."""
     def run(batches):
@@ -177,9 +224,12 @@ def _search(dim: int, keep: int, seed: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probes: int = 24, id_col: str = "vec_id",
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None = None, id_col: str = "vec_id",
             vector_col: str = "embedding", seed: int = 11) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id is divisible by ``every``.
+
+    ``probes``: lists that a query looks into; None: as many as the sampled queries need.
+    """
     spark = vectors.sparkSession
     n = partitions(spark)
     keep = k + 1
@@ -201,6 +251,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probes: int = 24, i
     lists = int(min(MAX_LISTS, max(1, math.sqrt(count))))
     _, u, _ = _unit(sample["v"].tolist(), dim)
     centroids = spark.sparkContext.broadcast(kmeans(u, lists))
+    if probes is None:
+        probes = enough_probes(entry, asked, centroids, dim, k, seed)
     flagged = entry.join(asked.select("did").distinct().withColumn("query", F.lit(True)), "did", "left").select(
         "did", "v", F.coalesce("query", F.lit(False)).alias("query"))
     placed = written(flagged.mapInArrow(_assign(centroids, dim, probes), "list int, did long, kind byte"), "placed")

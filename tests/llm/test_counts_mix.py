@@ -173,3 +173,25 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.limit(0)).collect() == []
     few = spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0, 2.1])], "vec_id long, embedding array<float>")
     assert [(x.query_id, x.rank, x.vec_id) for x in ann.nearest(few).collect()] == [(0, 1, 7)]
+
+
+def recall_of_default(spark, x, every=50):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got: dict = {}
+    for r in ann.nearest(df, every=every).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = total = 0
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -2
+        found += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+        total += 5
+    return found / total
+
+
+def test_nearest_default_keeps_its_recall(spark):
+    rng = np.random.default_rng(8)
+    assert recall_of_default(spark, rng.standard_normal((1_000, 64)).astype(np.float32)) >= 0.9
+    assert recall_of_default(spark, rng.standard_normal((8_000, 64)).astype(np.float32)) >= 0.9
