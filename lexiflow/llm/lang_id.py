@@ -9,11 +9,14 @@ Counts are frozen after learning, so the code length of a text is a sum over its
 bytes, and the language with the shortest code wins.
 
 Learning counts 4-byte strings over all learning rows (a map-side count, then
-one native aggregation).  The model is bounded: the ``MAX_GRAMS`` most frequent
-strings are kept, and trees have ``MAX_CELLS`` costs in all, contexts with the highest
-counts first.  Its size does not grow with the input, and it is broadcast.  Scoring is
+one native aggregation) into a written table; none is left out.  Strings of a language with the same
+byte before the last hold all that the costs after this byte need, so a tree can be cut there: where the trees of all
+languages have over ``MAX_CELLS`` costs or ``MAX_GRAMS`` strings, they are dealt into parts of whole languages, or
+of one language and some of these bytes.  Each part is counts for the workers, which make its
+costs; texts are scored against one part after the other, and code lengths are summed by text
+and language.  A part is never less than one such byte of one language.  Scoring is
 one gather of a precomputed cost per byte and language: a byte's history selects its
-state (the deepest kept context), and state and byte select the cost.
+state (the deepest context met in learning), and state and byte select the cost.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; without
 learning rows every text is ``und``; null ids and repeated rows are rows like others;
@@ -29,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm import kernels as K
+from lexiflow.llm.common import partitions, written
 
-MAX_GRAMS, MAX_CELLS = 200_000, 4_000_000
+#: strings and costs of one part
+MAX_GRAMS, MAX_CELLS = 1_000_000, 16_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -82,39 +87,33 @@ def _count(batches):
 
 
 class Model:
-    """Costs in bits by (language, state, byte class), and the state of each history."""
+    """Costs in bits by (language, state, byte class), and the state of each history, of one part.
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int = MAX_CELLS):
+    ``root``: how often each of the 256 bytes comes in each language; ``seen``: the bytes that any language has;
+    ``after``: the bytes after which this part has the costs (None: all).
+    """
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, root: np.ndarray, seen: np.ndarray,
+                 after: np.ndarray | None = None):
         self.langs = langs
-        seen = np.zeros(256, bool)
-        for s in (0, 8, 16, 24):
-            seen[(gram >> s) & 255] = True
-        seen[10] = True
         self.cls = np.zeros(256, np.int32)            # class 0: bytes that learning never met
         self.cls[seen] = np.arange(1, seen.sum() + 1)
         a = self.size = int(seen.sum()) + 1
+        self.own = None
+        if after is not None:
+            self.own = np.zeros(a, bool)
+            self.own[self.cls[after]] = True
         g = [self.cls[(gram >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
         k = len(langs)
-        room = max(cells // (a * k) - a * 2, 16)
-        root = np.zeros((k, a))
-        np.add.at(root, (lang, g[3]), n)
+        zero = np.zeros((k, a))
+        zero[:, self.cls[seen]] = root[:, seen]
         one = np.zeros((k, a, a))
         np.add.at(one, (lang, g[2], g[3]), n)
-        # kept contexts of 2 and 3 bytes: the most frequent over all languages
         two_key, three_key = g[1] * a + g[2], (g[0] * a + g[1]) * a + g[2]
-        ctx, total = [], []
-        for key in (two_key, three_key):
-            u, inv = np.unique(key, return_inverse=True)
-            ctx.append(u)
-            total.append(np.bincount(inv, n))
-        most = np.sort(np.concatenate(total))[::-1]
-        least = most[room] if len(most) > room else 0
-        two = ctx[0][total[0] > least]
-        three = ctx[1][total[1] > least]
-        # a kept context of 3 bytes has its suffix of 2 kept too, as that is at least as frequent
+        two, three = np.unique(two_key), np.unique(three_key)
         base = 1 + a
         cost = np.empty((k, base + len(two) + len(three), a), np.float32)
-        cost[:, 0] = self._code(root, np.full((k, a), 8.0))
+        cost[:, 0] = self._code(zero, np.full((k, a), 8.0))
         cost[:, 1: base] = self._code(one, cost[:, :1])
         map2 = np.tile(np.arange(1, 1 + a, dtype=np.int32), (a, 1)).ravel()       # by [second last, last]
         self._fill(cost, base, two, two_key, lang, g[3], n, 1 + two % a)
@@ -147,7 +146,7 @@ class Model:
         return np.where(n == 0, below, np.where(count > 0, own, escape + below))
 
     def bits(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Code length of each row in each language (rows x languages)."""
+        """Code length of each row in each language (rows x languages), as far as this part has it."""
         out = np.zeros((len(off) - 1, len(self.langs)))
         some = np.flatnonzero(np.diff(off) > 0)
         if not len(some):
@@ -155,6 +154,7 @@ class Model:
         a, pad = self.size, int(self.cls[10])
         c = self.cls[buf]
         p1 = _shift(c, off, pad)
+        other = None if self.own is None else np.flatnonzero(~self.own[p1])
         p2 = _shift(p1, off, pad)
         p3 = _shift(p2, off, pad)
         p3 *= a
@@ -165,41 +165,129 @@ class Model:
         at *= a
         at += c
         for i in range(len(self.langs)):
-            out[some, i] = np.add.reduceat(self.cost[i][at], off[some], dtype=np.float64)
+            bits = self.cost[i][at]
+            if other is not None:
+                bits[other] = 0
+            out[some, i] = np.add.reduceat(bits, off[some], dtype=np.float64)
         return out
 
 
-def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
+class Learned:
+    """The table of all counted strings, and how it is dealt into parts: (numbers of languages, bytes or None for all)."""
+
+    def __init__(self, counts: DataFrame, langs: list[str], root: np.ndarray, parts: list[tuple[list[int], list[int] | None]]):
+        self.counts, self.langs, self.root, self.parts = counts, langs, root, parts
+
+    def load(self, part) -> tuple:
+        """What ``Model`` takes, for one part."""
+        of, after = part
+        d = self.counts
+        if len(of) < len(self.langs):
+            d = d.where(F.col("lang").isin([self.langs[i] for i in of]))
+        if after is not None:
+            d = d.where(F.expr("(gram div 256) % 256").isin(after))
+        got = d.toArrow().combine_chunks()
+        names = pa.array(got.column("lang").combine_chunks()).dictionary_encode()
+        number = {self.langs[i]: j for j, i in enumerate(of)}
+        place = np.array([number[x] for x in names.dictionary.to_pylist()], np.int32)
+        seen = self.root.sum(0) > 0
+        seen[10] = True
+        return ([self.langs[i] for i in of], place[names.indices.to_numpy()], got.column("gram").to_numpy().astype(np.uint32),
+                got.column("n").to_numpy().astype(np.float64), self.root[of], seen, None if after is None else np.array(after))
+
+    def bits(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Code length of each row in each language (rows x languages), over all parts."""
+        out = np.zeros((len(off) - 1, len(self.langs)))
+        for part in self.parts:
+            out[:, part[0]] += Model(*self.load(part)).bits(buf, off)
+        return out
+
+
+def deal(units: dict[int, dict[int, tuple[int, int]]], size: int, whole: int, max_grams: int, max_cells: int) -> list:
+    """Parts of the trees: ``units`` has (contexts, strings) by language and byte, ``size`` byte classes, ``whole`` contexts over
+    all languages."""
+    k = len(units)
+    grams = {i: sum(g for _, g in u.values()) for i, u in units.items()}
+    contexts = {i: sum(c for c, _ in u.values()) for i, u in units.items()}
+    if whole * k * size <= max_cells and sum(grams.values()) <= max_grams:
+        return [(list(range(k)), None)]
+    parts: list = []
+    now, c, g = [], 0, 0
+    for i in range(k):
+        if contexts[i] * size > max_cells or grams[i] > max_grams:       # the language alone is too large
+            some, cc, gg = [], 0, 0
+            for b, (x, y) in sorted(units[i].items()):
+                if some and ((cc + x) * size > max_cells or gg + y > max_grams):
+                    parts.append(([i], some))
+                    some, cc, gg = [], 0, 0
+                some, cc, gg = [*some, b], cc + x, gg + y
+            rest = set(range(256)) - set(units[i])                       # bytes that nothing follows: the root's costs
+            parts.append(([i], sorted({*some, *rest})))
+            continue
+        if now and ((c + contexts[i]) * (len(now) + 1) * size > max_cells or g + grams[i] > max_grams):
+            parts.append((now, None))
+            now, c, g = [], 0, 0
+        now, c, g = [*now, i], c + contexts[i], g + grams[i]
+    return [*parts, (now, None)] if now else parts
+
+
+def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Learned | None:
     """Model of the languages of ``rows`` (rows with null language or text teach nothing)."""
     d = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    got = (d.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow().combine_chunks())
-    if not got.num_rows:
+    counts = written(d.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    found = counts.groupBy("lang", (F.col("gram") % 256).alias("b")).agg(F.sum("n").alias("n")).collect()     # 256 rows a language at most
+    if not found:
         return None
-    names = pa.array(got.column("lang").combine_chunks()).dictionary_encode()
-    langs = sorted(names.dictionary.to_pylist())
-    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()])
-    return Model(langs, place[names.indices.to_numpy()], got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64))
+    langs = sorted({r.lang for r in found})
+    number = {x: i for i, x in enumerate(langs)}
+    root = np.zeros((len(langs), 256))
+    for r in found:
+        root[number[r.lang], r.b] = r.n
+    contexts = counts.groupBy("lang", F.expr("gram div 256").alias("c")).agg(F.count(F.lit(1)).alias("g"))
+    units: dict = {i: {} for i in range(len(langs))}
+    for r in contexts.groupBy("lang", (F.col("c") % 256).alias("b")).agg(
+            F.count(F.lit(1)).alias("three"), F.countDistinct(F.col("c") % 65536).alias("two"), F.sum("g").alias("g")).collect():
+        units[number[r.lang]][r.b] = (r.three + r.two, r.g)
+    whole = contexts.select("c").distinct().agg(F.count(F.lit(1)), F.countDistinct(F.col("c") % 65536)).first()
+    seen = int((root.sum(0) > 0).sum()) + 2
+    return Learned(counts, langs, root, deal(units, seen, sum(whole), MAX_GRAMS, MAX_CELLS))
 
 
-def _predict(model):
+#: the part whose costs this worker has
+_READY: dict = {}
+
+
+def _ready(sent) -> Model | None:
+    """The model of a broadcast part, made once in a worker."""
+    if _READY.get("of") is not sent:
+        _READY.clear()
+        _READY.update(of=sent, model=None if sent.value is None else Model(*sent.value))
+    return _READY["model"]
+
+
+def _letters(column: pa.Array, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each row has a letter."""
+    size = np.diff(off)
+    letter = np.zeros(len(size), bool)
+    some = np.flatnonzero(size > 0)
+    if len(some):
+        letter[some] = np.logical_or.reduceat(_LETTER[buf], off[some])
+    for i in np.flatnonzero(~letter & (size > 0)):
+        letter[i] = any(ch.isalpha() for ch in column[i].as_py())
+    return letter
+
+
+def _predict(sent):
     def run(batches):
-        m = model.value
+        m = _ready(sent)
         for batch in batches:
             for part in K.slices(batch, "__lf_t", 1 << 20):
                 column = part.column(part.num_columns - 1)
                 buf, off = K.utf8(column)
-                size = np.diff(off)
-                letter = np.zeros(len(size), bool)
-                some = np.flatnonzero(size > 0)
-                if len(some):
-                    letter[some] = np.logical_or.reduceat(_LETTER[buf], off[some])
-                for i in np.flatnonzero(~letter & (size > 0)):
-                    letter[i] = any(ch.isalpha() for ch in column[i].as_py())
+                letter = _letters(column, buf, off)
                 if m is None:
-                    letter[:] = False
-                    names, score = np.full(len(size), "und", object), np.zeros(len(size))
+                    names, score = np.full(len(letter), "und", object), np.zeros(len(letter))
                 else:
                     bits = m.bits(buf, off)
                     best = bits.argmin(1)
@@ -211,9 +299,43 @@ def _predict(model):
     return run
 
 
-def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+def _lengths(sent, of: list[int]):
+    """(uid, text) -> (uid, language, bits) of the texts with a letter, for one part."""
+    def run(batches):
+        m = _ready(sent)
+        for batch in batches:
+            for part in K.slices(batch, "__lf_t", 1 << 20):
+                buf, off = K.utf8(part.column(1))
+                hit = np.flatnonzero(_letters(part.column(1), buf, off))
+                bits = m.bits(buf, off)[hit]
+                uid = part.column(0).to_numpy()[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, len(of))), pa.array(np.tile(np.array(of, np.int32), len(hit))),
+                                                  pa.array(bits.ravel())], ["__lf_uid", "i", "bits"])
+    return run
+
+
+def with_language(docs: DataFrame, model: Learned | None, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with __lf_lang and __lf_score (0 to 1: the share of the best code)."""
     spark = docs.sparkSession
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select("*", F.col(text_col).alias("__lf_t")).mapInArrow(
-        _predict(spark.sparkContext.broadcast(model)), f"{ddl}, __lf_lang string, __lf_score double")
+    if model is None or len(model.parts) == 1:
+        sent = spark.sparkContext.broadcast(None if model is None else model.load(model.parts[0]))
+        return docs.select("*", F.col(text_col).alias("__lf_t")).mapInArrow(_predict(sent), f"{ddl}, __lf_lang string, __lf_score double")
+    # rows get a number that lasts; one part at a time is with the driver and the workers
+    base = written(docs.withColumn("__lf_uid", F.monotonically_increasing_id()), "languages")
+    text = base.select("__lf_uid", F.col(text_col).alias("__lf_t"))
+    found = None
+    for number, part in enumerate(model.parts):
+        sent = spark.sparkContext.broadcast(model.load(part))
+        got = written(text.mapInArrow(_lengths(sent, part[0]), "__lf_uid long, i int, bits double").withColumn("p", F.lit(number)), "lengths")
+        sent.destroy()
+        found = got if found is None else found.unionAll(got)
+    one = found.repartition(partitions(spark), "__lf_uid").groupBy("__lf_uid", "i").agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("p", "bits"))), F.lit(0.0), lambda s, x: s + x["bits"]).alias("bits"))
+    best = one.groupBy("__lf_uid").agg(F.array_sort(F.collect_list(F.struct("bits", "i"))).alias("all"))
+    least = F.col("all")[0]["bits"]
+    names = F.array(*[F.lit(x) for x in model.langs])
+    best = best.select("__lf_uid", names[F.col("all")[0]["i"]].alias("__lf_lang"), (1.0 / F.aggregate(
+        "all", F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), -F.least(x["bits"] - least, F.lit(1000.0))))).alias("__lf_score"))
+    return (base.join(best, "__lf_uid", "left").drop("__lf_uid")
+            .withColumns({"__lf_lang": F.coalesce("__lf_lang", F.lit("und")), "__lf_score": F.coalesce("__lf_score", F.lit(0.0))}))

@@ -80,6 +80,33 @@ def test_language_cases(spark):
     assert lang_id.with_language(df.limit(0), m).collect() == []
 
 
+def test_a_hot_language_takes_nothing_from_a_rare_one(spark):
+    r = np.random.default_rng(5)
+    hot = ["".join(chr(97 + x) for x in r.integers(0, 26, 50_000)) for _ in range(40)]       # 450,000 strings, each more than once
+    rare = ["ⴰⵎⴰⵣⵉⵖ qa qu", "ⴰⴷⵔⴰⵔ qi"]
+    m = lang_id.learn(spark.createDataFrame([(t, "hot") for t in hot] + [(t, "rare") for t in rare], "text string, lang string").repartition(4))
+    assert m.langs == ["hot", "rare"]
+    for t in ["ⴰⴷⵔⴰⵔ qu", "qa qi"]:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        assert m.bits(buf, np.array([0, len(buf)]))[0, 1] == pytest.approx(bits_by_hand(rare, t), rel=1e-5)
+    got = lang_id.with_language(spark.createDataFrame([(rare[0],), (hot[0][:200],)], "text string"), m).collect()
+    assert {x.text: x["__lf_lang"] for x in got} == {rare[0]: "rare", hot[0][:200]: "hot"}
+
+
+@pytest.mark.parametrize("cells, grams", [(600, 10**6), (10**9, 60), (10**9, 150)])
+def test_parts_give_the_result_of_one_model(spark, monkeypatch, cells, grams):
+    r = random.Random(2)
+    letters = {"aa": "abc é", "bb": "cdx .", "cc": "aéxz "}
+    rows = [(i, "".join(r.choice(letters[k]) for _ in range(60)), k) for i, k in enumerate(sorted(letters) * 5)]
+    df = spark.createDataFrame(rows + [(None, None, "aa"), (3, "12", None), (4, "dxz", None)], "doc_id long, text string, lang string")
+    want = sorted((x.text or "", x["__lf_lang"], round(x["__lf_score"], 6)) for x in lang_id.with_language(df, lang_id.learn(df)).collect())
+    monkeypatch.setattr(lang_id, "MAX_CELLS", cells)
+    monkeypatch.setattr(lang_id, "MAX_GRAMS", grams)
+    m = lang_id.learn(df)
+    assert len(m.parts) > 1
+    assert sorted((x.text or "", x["__lf_lang"], round(x["__lf_score"], 6)) for x in lang_id.with_language(df, m).collect()) == want
+
+
 def auc(rows, label):
     s = sorted((r.score, r[label]) for r in rows)
     pos = sum(y for _, y in s)
