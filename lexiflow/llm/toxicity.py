@@ -5,8 +5,7 @@
    frequent in toxic texts and rare in others are the lexicon.
 2. *Matching.*  A word matches a term exactly or by a stem, or, if it has five letters or more, at
    edit distance 1: the word's Levenshtein automaton walks the lexicon's trie, and a branch
-   ends where the automaton can't accept any more.  Inflections, whose stem is more than
-   twice as frequent, are matched by the stem.  Forms that clean learning texts
+   ends where the automaton can't accept any more.  Forms that clean learning texts
    use are words of their own, not misspellings.
 3. *Context.*  A match is seen in a window of ``WINDOW`` words on each side: inside quotation
    marks, near a word of reporting, near a word of address, near another match, near an
@@ -114,7 +113,6 @@ class Lexicon:
     word_weight: list[float]
     stems: dict[str, float]
     forms: set = field(default_factory=set)             # words of clean texts near a term
-    inflected: set = field(default_factory=set)         # words that a far more frequent stem stands for: no misspellings of these
 
     def __post_init__(self):
         self.trie, self.back = Trie(self.words), Trie([w[::-1] for w in self.words])
@@ -123,7 +121,7 @@ class Lexicon:
         # so the automaton walks only the branch of that half, forwards or backwards
         self.halves: dict[int, tuple[set, set]] = {}
         for w in self.words:
-            if len(w) >= FUZZY_LENGTH and w not in self.inflected:
+            if len(w) >= FUZZY_LENGTH:
                 for n in (len(w) - 1, len(w), len(w) + 1):
                     heads, tails = self.halves.setdefault(n, (set(), set()))
                     heads.add(w[: len(w) // 2])
@@ -155,7 +153,7 @@ class Lexicon:
             for n in tail_sizes:
                 if w[-n:] in tails:
                     found.update(self.back.within(w[::-1], 1, w[: -n - 1: -1]))
-        return {i for i in found if len(self.words[i]) >= FUZZY_LENGTH and self.words[i] not in self.inflected}
+        return {i for i in found if len(self.words[i]) >= FUZZY_LENGTH}
 
 
 class _Memo(dict):
@@ -288,9 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, rows, max_rows: in
     strong = sorted(((w, t) for t, w in odds.items() if w >= math.log(10)), key=lambda p: (-p[0], p[1]))[:MAX_TERMS]
     words = [(t[1:], w) for w, t in strong if t[0] == "w"]
     stems = {t[1:]: w for w, t in strong if t[0] == "p"}
-    seen = {r.term: r.n for r in frequent}
-    inflected = {t for t, _ in words if any(2 * seen["w" + t] < seen.get("p" + t[:n], 0) for n in STEMS if t[:n] in stems)}
-    lexicon = Lexicon([t for t, _ in words], [w for _, w in words], stems, inflected=inflected)
+    lexicon = Lexicon([t for t, _ in words], [w for _, w in words], stems)
     first = sample.mapInArrow(_describe(spark.sparkContext.broadcast(lexicon)), "y int, x array<double>, forms array<string>")
     forms = (first.where("y <> 1").select(F.explode("forms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
              .orderBy(F.desc("n"), "w").limit(MAX_FORMS).collect())

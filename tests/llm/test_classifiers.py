@@ -217,6 +217,18 @@ def test_toxicity_cases(spark):
     assert toxicity.with_toxicity(df.limit(0), m).collect() == []
 
 
+def test_misspelled_inflections_match(spark):
+    forms = ["zork"] * 50 + ["zorking"] * 30 + ["zorker"] * 20
+    rows = [(i, f"you {w} number{i}") for i, w in enumerate(forms)] + [(1000 + i, f"plain words number{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows], "doc_id long, toxic int")
+    lx = toxicity.learn(df, lab, "toxic", F.lit(True)).lexicon
+    assert {"zork", "zorking", "zorker"} <= set(lx.words) and "zork" in lx.stems
+    assert lx.judge("zorked")[0] == "stem"
+    for w in ["zrking", "z0rking", "zzorker", "ozrker"[1:]]:
+        assert lx.judge(w)[0] == "fuzzy", w
+
+
 def test_toxicity_of_held_out_rows(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = held(spark, SF, "op3_toxicity", labels)
