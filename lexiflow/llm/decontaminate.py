@@ -1,7 +1,7 @@
 """Benchmark decontamination: an inverted index of the test items, queried with every passage.
 
-Terms are maximal runs of ASCII letters, digits and non-ASCII bytes, A-Z
-lower-cased.  Items are indexed with BM25 weights, each divided by the item's own total,
+Terms are maximal runs of ASCII letters, digits and non-ASCII characters that are neither punctuation nor
+blanks, A-Z lower-cased; in scripts written without blanks (``SINGLE``) each character is a term.  Items are indexed with BM25 weights, each divided by the item's own total,
 so a passage that holds every term of an item scores 1 on it, whatever its length.
 Every document is cut into passages of 2L terms, one starting every L terms, with L the
 longest item: any copy of an item lies in one passage whole.
@@ -17,8 +17,10 @@ alike.  All items at or above the threshold come back.  Then question and answer
 The index of one pass takes at most ``INDEX_BYTES`` of item text (checked); a larger
 benchmark is dealt over several passes by a hash of the item id, and their findings unite.
 
+Items of fewer than ``LEAST_TERMS`` terms are found where a text has exactly their terms in a row (score 1).
+
 Defined cases: null or empty text has no passages and is clean; items that are null
-or have fewer than ``LEAST_TERMS`` terms are not searched (they would match by chance); a null
+or have no term are not searched; a null
 id stays null; repeated rows have equal results; items of equal text are all found;
 with an empty benchmark all is clean; an empty table gives an empty result; other columns
 are ignored (``with_leaks`` keeps them).
@@ -26,7 +28,9 @@ are ignored (``with_leaks`` keeps them).
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm import kernels as K
 from lexiflow.llm.common import partitions, written
 
-#: item text of one index, the terms an item has at least, items of a block at least, blocks at most
+#: item text of one index, the terms an indexed item has at least, items of a block at least, blocks at most
 INDEX_BYTES, LEAST_TERMS, BLOCK, MAX_BLOCKS = 4 << 20, 5, 8, 64
 SCORE, OVERLAP, RUN = 0.6, 0.6, 3
 K1, B = 1.2, 0.75
@@ -44,10 +48,48 @@ _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
 
 
+#: Thai, Lao, Tibetan, Myanmar, Khmer, Tai Le to Khmer symbols, Tai Tham, Balinese, kana to Yi, Javanese and Myanmar B, Myanmar A to
+#: Tai Viet, compatibility ideographs, half-width kana, further kana, rare ideographs; Hangul, which has blanks, is left out
+SINGLE = ((0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F),
+          (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D),
+          (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 0 between terms, 1 within a term, 2 a term of its own."""
+    kind = np.ones(0x110000, np.uint8)
+    for a, b in SINGLE:
+        kind[a: b + 1] = 2
+    for c in range(128, 0x20000):                        # planes 2 and 3 have ideographs only
+        if unicodedata.category(chr(c))[0] in "PZ":
+            kind[c] = 0
+    return kind
+
+
 def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every term, and the number of the first term of each row (rows + 1)."""
     low = K.lower(buf)
-    ws, we, first = K.words(low, off, _APART)
+    if not len(low):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    apart, new = _APART[low], np.zeros(len(low) + 1, bool)        # new: a term does not go on over this place
+    new[off] = True
+    lead = np.flatnonzero(low >= 0xC0)
+    if len(lead):
+        b0 = low[lead].astype(np.int32)
+        size = 2 + (b0 >= 0xE0) + (b0 >= 0xF0)
+        b1, b2, b3 = (low[np.minimum(lead + j, len(low) - 1)].astype(np.int32) & 63 for j in (1, 2, 3))
+        code = np.where(size == 2, (b0 & 31) << 6 | b1, np.where(size == 3, (b0 & 15) << 12 | b1 << 6 | b2,
+                                                                 (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+        kind = _kinds()[code]
+        for j in range(4):
+            apart[lead[(kind == 0) & (size > j)] + j] = True
+        new[lead[kind == 2]] = True
+        new[(lead + size)[kind == 2]] = True
+    begins = ~apart & (new[:-1] | np.append(True, apart[:-1]))
+    ws = np.flatnonzero(begins)
+    we = np.flatnonzero(~apart & (new[1:] | np.append(apart[1:], True))) + 1
+    first = np.searchsorted(ws, off)
     if not len(ws):
         return np.zeros(0, np.uint64), first
     with np.errstate(over="ignore"):
@@ -103,6 +145,36 @@ def build(ids: list, texts: list) -> Index | None:
                  [np.unique(_runs_of(x[c:])) for x, c in zip(own, cut)], int(size.max()))
 
 
+def build_short(ids: list, texts: list) -> dict[int, dict[int, list]]:
+    """Items of fewer than ``LEAST_TERMS`` terms, by number of terms and hash of their sequence."""
+    h, first = terms(*K.utf8(pa.array([x or "" for x in texts], pa.large_string())))
+    out: dict[int, dict[int, list]] = {}
+    for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist()):
+        if 0 < b - a < LEAST_TERMS:
+            out.setdefault(b - a, {}).setdefault(int(_sequences(h[a:b], b - a)[0]), []).append(i)
+    return out
+
+
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return K.shingle_hash(h, n)
+
+
+def search_short(short: dict[int, dict[int, list]], h: np.ndarray, first: np.ndarray) -> list[list]:
+    """For each row the ids of the short items whose terms it has in a row."""
+    out: list[list] = [[] for _ in range(len(first) - 1)]
+    for n, items in short.items():
+        if len(h) < n:
+            continue
+        s = _sequences(h, n)
+        at = np.flatnonzero(np.isin(s, np.array(list(items), np.uint64)))
+        row = np.searchsorted(first, at, "right") - 1
+        inside = at + n <= first[row + 1]
+        for r, key in set(zip(row[inside].tolist(), s[at[inside]].tolist())):
+            out[r] += items[key]
+    return out
+
+
 def wand(ix: Index, query: np.ndarray, term: np.ndarray, least: float = SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, item, score) of all items that score ``least`` or more; block-max WAND over many queries.
 
@@ -163,17 +235,16 @@ def search(ix: Index, h: np.ndarray, first: np.ndarray) -> list[dict[int, float]
 
 def _find(index):
     def run(batches):
-        ix = index.value
+        ix, short = index.value
         for batch in batches:
             for part in K.slices(batch, "__lf_t", 1 << 20):
-                if ix is None:
-                    got: list[dict[int, float]] = [{} for _ in range(part.num_rows)]
-                else:
-                    got = search(ix, *terms(*K.utf8(part.column(part.num_columns - 1))))
-                items = [sorted(ix.ids[i] for i in g) for g in got]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(items, pa.list_(pa.int64())), pa.array([max(g.values(), default=0.0) for g in got])],
-                    [*part.schema.names[:-1], "__lf_items", "__lf_best"])
+                h, first = terms(*K.utf8(part.column(part.num_columns - 1)))
+                got: list[dict[int, float]] = [{} for _ in range(part.num_rows)] if ix is None else search(ix, h, first)
+                brief = search_short(short, h, first)
+                items = [sorted([ix.ids[i] for i in g] + b) for g, b in zip(got, brief)]
+                best = [1.0 if b else max(g.values(), default=0.0) for g, b in zip(got, brief)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())],
+                                                 [*part.schema.names[:-1], "__lf_items", "__lf_best"])
     return run
 
 
@@ -190,7 +261,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", i
     def one(d: DataFrame, names: str, number: int) -> DataFrame:
         # at most about index_bytes of text come to the driver
         got = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == number).toPandas()
-        index = spark.sparkContext.broadcast(build(got["i"].tolist(), got["t"].tolist()))
+        ids, texts = got["i"].tolist(), got["t"].tolist()
+        index = spark.sparkContext.broadcast((build(ids, texts), build_short(ids, texts)))
         return (d.select("*", F.col(text_col).alias("__lf_t")).mapInArrow(
             _find(index), f"{names}, __lf_items array<long>, __lf_best double"))
     if passes == 1:

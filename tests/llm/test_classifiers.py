@@ -293,6 +293,17 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark, index_bytes):
     assert decontaminate.leaks(df.limit(0), bench).collect() == []
 
 
+def test_items_without_blanks_and_short_items_are_found(spark):
+    items = [(1, "日本の首都はどこですか。東京です。"), (2, "How many?"), (3, "世界最高峰"), (4, "。、！"), (5, "¿Dónde está «la casa» azul—verde?")]
+    texts = {10: ("前の文章、" + items[0][1] + "後ろの文章", [1]), 11: ("日本の首都 は、どこですか東京です", [1]), 12: ("say HOW MANY, then", [2]),
+             13: ("how very many. How. Many", [2]), 14: ("how", []), 15: ("many how", []), 16: ("彼は世界最高峰に登った", [3]), 17: ("世界の最高峰", []),
+             18: ("x ¿Dónde está la casa azul verde y", [5]), 19: ("日本の首都", []), 20: ("", []), 21: ("many", [])}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {x.doc_id: x["items"] for x in decontaminate.leaks(df, bench).collect()} == {i: w for i, (_, w) in texts.items()}
+    assert {x.doc_id for x in decontaminate.leaks(df, bench.where("item_id = 2")).where("contaminated").collect()} == {12, 13}
+
+
 def test_leaks_of_the_given_tables(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     bench = [(b.item_id, tuple(words_of(b.text))) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
