@@ -316,10 +316,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # least document of each component, for every class
     of = label.join(alive.select("id", "doc"), "id")
     least = of.groupBy("label").agg(F.min("doc").alias("component"))
-    of = label.join(least, "label").select(F.col("id").alias("node"), "component")
-    every = classes.join(of, "node", "left").select(*print_of, F.coalesce("component", "id").alias("component"))
+    of = label.join(least, "label").select(F.col("id").alias("node"), "component", "label")
+    every = classes.join(of, "node", "left").select(*print_of, F.coalesce("component", "id").alias("component"),
+                                                    F.coalesce("label", "node").alias("class"))
     got = sigs.drop("sig").join(every, print_of, "left")
-    got = written(got.select(ID, TH, "n", F.when(F.col(ID) < LAST_ID, F.col("component")).alias("component")), "components")
+    got = written(got.select(ID, TH, "n", F.when(F.col(ID) < LAST_ID, F.col("component")).alias("component"), "class"), "components")
     tmp.drop()
     return got
 
@@ -338,7 +339,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` without near copies: one of each component, all rows without words or id."""
     got = _classes(docs, id_col, text_col)
     has_id = F.col(ID) < LAST_ID
-    best = (got.where(has_id & (F.col("n") > 0) & (F.col(ID) == F.col("component"))).groupBy(ID).agg(F.min(TH).alias(TH)))
+    best = (got.where(has_id & (F.col("n") > 0) & (F.col(ID) == F.col("component"))).groupBy(ID, "class").agg(F.min(TH).alias(TH))
+            .select(ID, TH))       # texts of one id may be in several components
     alone = got.where(~has_id | (F.col("n") == 0)).select(ID, TH).distinct()
     marks = best.withColumn("__lf_one", F.lit(True)).unionAll(alone.withColumn("__lf_one", F.lit(False)))
     rows = keyed(docs, id_col, text_col).join(marks, [ID, TH])

@@ -93,6 +93,13 @@ def test_one_of_each_component_stays(spark):
     assert sum(k[0] is None for k in kept) == 2
 
 
+def test_unrelated_texts_of_one_id_both_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, c), (3, a), (4, b)]
+    got = without_near_copies(spark.createDataFrame([(d, t, "c") for d, t in rows], SCHEMA))
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == [(1, a), (1, b), (2, c)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).collect() == []
