@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import lang_id, quality, toxicity
+from lexiflow.llm import lang_id, quality, sql, toxicity
 from lexiflow.llm.ann import nearest
 from lexiflow.llm.common import remainder, table
 from lexiflow.llm.decontaminate import leaks
+from lexiflow.llm.divergence import with_verdicts
 from lexiflow.llm.mixing import mix_sources
 from lexiflow.llm.near_dups import near_duplicates
 from lexiflow.llm.suffix_repeats import remove_repeated_bytes
@@ -77,11 +77,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers   # only this query needs it
     got = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return got.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = with_verdicts(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_substring_dedup, op3_toxicity, op4_near_dedup, op5_nearest, op6_suffix_dedup, op7_mixing, op8_decontamination,
-    op9_language_id, op10_token_counts)}
-SQL: dict[str, str] = {}
+    op9_language_id, op10_token_counts, op11_quality_rules)}
+SQL: dict[str, str] = {"op11_quality_rules": sql.quality_rules()}
