@@ -53,3 +53,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
         class_distance > {D.CLASS_LIMIT} + {chance(len(names), "n_words")}
         OR sqrt(greatest(inside + {_js("p", "q")}, 0)) > {D.WORD_LIMIT} + {chance(D.COMMON + 1, "n_words")})) AS kept
 FROM j"""
+
+
+def lexical_search() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+t AS (SELECT r, unnest(regexp_extract_all({low.format("text")}, '{term}')) AS term FROM d),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM t GROUP BY r, term),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs),
+b AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT i, term, count(*)::BIGINT AS times FROM (SELECT i, unnest(regexp_extract_all({low.format("text")}, '{term}')) AS term FROM b) GROUP BY i, term),
+m AS (SELECT r, 75 + (25 * n * n_docs) // n_terms AS m FROM n, s),
+z AS (SELECT i, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM z JOIN d USING (r) JOIN b USING (i) WHERE score > 0)
+WHERE rank <= 20"""
