@@ -13,6 +13,7 @@ from lexiflow.llm.divergence import with_verdicts
 from lexiflow.llm.lexical import search
 from lexiflow.llm.mixing import mix_sources
 from lexiflow.llm.near_dups import near_duplicates
+from lexiflow.llm.phrases import collocations
 from lexiflow.llm.suffix_repeats import remove_repeated_bytes
 from lexiflow.llm.token_counts import count_tokens
 from lexiflow.llm.word_repeats import remove_repeated_words
@@ -88,11 +89,17 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_substring_dedup, op3_toxicity, op4_near_dedup, op5_nearest, op6_suffix_dedup, op7_mixing, op8_decontamination,
-    op9_language_id, op10_token_counts, op11_quality_rules, op13_lexical_search)}
-SQL: dict[str, str] = {"op11_quality_rules": sql.quality_rules(), "op13_lexical_search": sql.lexical_search()}
+    op9_language_id, op10_token_counts, op11_quality_rules, op12_collocations,
+    op13_lexical_search)}
+SQL: dict[str, str] = {"op11_quality_rules": sql.quality_rules(), "op12_collocations": sql.collocations(),
+                       "op13_lexical_search": sql.lexical_search()}

@@ -73,3 +73,26 @@ z AS (SELECT i, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))):
 SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM z JOIN d USING (r) JOIN b USING (i) WHERE score > 0)
 WHERE rank <= 20"""
+
+
+def collocations() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({low}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (SELECT unnest(generate_series(1, 5)) AS k))),
+f AS (SELECT lang, phrase, k, count(*)::BIGINT AS a FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, k, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail
+    FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)),
+s AS (SELECT cut.*, l.a AS l, r.a AS r, n.n, (1000 * cut.a::HUGEINT * n.n) // (l.a::HUGEINT * r.a) AS score
+    FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = head JOIN f r ON r.lang = cut.lang AND r.phrase = tail JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s) WHERE o = 1),
+sub AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c)) GROUP BY 1, 2)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+    FROM best LEFT JOIN sub ON sub.lang = best.lang AND sub.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+WHERE rank <= 2000"""
