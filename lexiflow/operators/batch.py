@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..session import WorkDir, work_dir
-from .call import call_chunks, call_singles
+from .call import call_chunks, call_singles, reply_tag
 from .dedup import dedup_units
 from .pack import pack_chunk_rows, with_segments
 
@@ -95,8 +95,8 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                               f"{name}/chunks")
     assignments = chunk_assignments(chunks)
     call_conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}
-    responses = work.paid(chunks, lambda c: call_chunks(c, translator, settings), f"{name}/responses", ["scope", "chunk_id"],
-                          settings.calls_per_wave, call_conf)
+    responses = work.paid(chunks, lambda c, n: call_chunks(c, translator, settings, n), f"{name}/responses", ["scope", "chunk_id"],
+                          settings.calls_per_wave, call_conf, stored=True, tag=reply_tag(settings))
 
     zipped = zip_responses(responses)
     chunk_errors = (responses.filter(F.col("status") == "error")
@@ -104,9 +104,8 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     missing = missing_positions(zipped)
     if isolate == "scope":   # a scope that is lost anyway pays for no fallback
         missing = missing.join(chunk_errors.select("scope").distinct(), "scope", "left_anti")
-    # (with nothing missing this is one empty wave)
-    singles = work.paid(missing, lambda m: call_singles(m, translator, settings), f"{name}/singles", ["scope", "text"],
-                        settings.calls_per_wave, call_conf)
+    singles = work.paid(missing, lambda m, n: call_singles(m, translator, settings, n), f"{name}/singles", ["scope", "text"],
+                        settings.calls_per_wave, call_conf, tag=reply_tag(settings))
     single_errors = (singles.filter(F.col("status") == "error")
                      .select("scope", F.lit("single").alias("stage"), "error"))
     errors = chunk_errors.unionByName(single_errors)

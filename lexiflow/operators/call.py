@@ -152,16 +152,21 @@ def translate_name_py(translator, name: str, context: str, settings: Settings =
 
 # --- DataFrame stages --------------------------------------------------------
 
-def _call_partitions(df: DataFrame, settings: Settings) -> int:
+def _call_partitions(df: DataFrame, settings: Settings, calls: int | None) -> int:
     """Tasks by the number of calls, so that a task's loss costs no more on a large corpus;
     a small one still uses all cores."""
     if settings.call_partitions:
         return settings.call_partitions
-    n = df.count()
+    n = df.count() if calls is None else calls
     return max(1, -(-n // settings.calls_per_task), min(n, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def call_chunks(chunks: DataFrame, translator, settings: Settings = DEFAULT) -> DataFrame:
+def reply_tag(settings: Settings) -> str:
+    """The settings that change what a call answers or whether it is accepted."""
+    return f"{settings.chunk_attempts},{settings.call_attempts},{settings.text_reply_cap},{settings.name_reply_cap},{settings.reject_blank}"
+
+
+def call_chunks(chunks: DataFrame, translator, settings: Settings = DEFAULT, calls: int | None = None) -> DataFrame:
     """One row per chunk in (``scope, chunk_id, context, items``), one out.
 
     Output adds ``attempts, out_items ARRAY<STRING>, status, input_tokens,
@@ -194,13 +199,13 @@ def call_chunks(chunks: DataFrame, translator, settings: Settings = DEFAULT) ->
                              o.status, o.input_tokens, o.output_tokens, o.error))
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    n = _call_partitions(chunks, settings)
+    n = _call_partitions(chunks, settings, calls)
     return (chunks.select("scope", "chunk_id", "context", "items")
             .repartition(n, "scope", "chunk_id")
             .mapInPandas(run, schema))
 
 
-def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT) -> DataFrame:
+def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT, calls: int | None = None) -> DataFrame:
     """One call per missing string (``scope, text, context``).
 
     Output: ``scope, context, text, text_en, status, input_tokens, output_tokens, error``.
@@ -228,13 +233,13 @@ def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT) -
                     rows.append((r.scope, r.context, r.text, None, "error", 0, 0, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    n = _call_partitions(missing, settings)
+    n = _call_partitions(missing, settings, calls)
     return (missing.select("scope", "text", "context")
             .repartition(n, "scope", "text")
             .mapInPandas(run, schema))
 
 
-def call_names(names: DataFrame, translator, settings: Settings = DEFAULT) -> DataFrame:
+def call_names(names: DataFrame, translator, settings: Settings = DEFAULT, calls: int | None = None) -> DataFrame:
     """T5 over distinct ``(name, context)`` rows.
 
     Output: ``name, context, name_en, status, input_tokens, output_tokens, error``;
@@ -261,6 +266,6 @@ def call_names(names: DataFrame, translator, settings: Settings = DEFAULT) -> Da
                     rows.append((r.name, r.context, r.name, "error", 0, 0, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    n = _call_partitions(names, settings)
+    n = _call_partitions(names, settings, calls)
     return (names.select("name", "context").repartition(n, "name", "context")
             .mapInPandas(run, schema))

@@ -15,7 +15,7 @@ from ..config import DEFAULT, Settings
 from ..functions.script import has_script
 from ..functions.text import file_name_context, folder_context, folder_name_context
 from ..session import WorkDir, work_dir
-from .call import call_names
+from .call import call_names, reply_tag
 
 
 def folder_table(files: DataFrame, root_name: str) -> DataFrame:
@@ -46,8 +46,8 @@ def translate_names(names: DataFrame, translator, settings: Settings, work: Work
     ``how`` ('model' | 'kept' | 'error'), tokens and ``error``.
     """
     todo = names.select("name", "context").filter(_needs_call("name", settings)).distinct()
-    called = work.paid(todo, lambda t: call_names(t, translator, settings), table, ["name", "context"], settings.calls_per_wave,
-                       {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows})
+    called = work.paid(todo, lambda t, n: call_names(t, translator, settings, n), table, ["name", "context"], settings.calls_per_wave,
+                       {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}, tag=reply_tag(settings))
     kept = (names.select("name", "context").filter(~_needs_call("name", settings)).distinct()
             .select("name", "context", F.col("name").alias("name_en"), F.lit("kept").alias("how"),
                     F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),

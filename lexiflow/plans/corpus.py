@@ -115,8 +115,7 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
                                                                   F.col("name_error").alias("error"))
                    .unionByName(named.filter(F.col("how") == "error").select("path", F.lit("file_name").alias("stage"),
                                                                              F.col("name_error").alias("error"))))
-    spark = files.sparkSession
-    calls = (spark.read.parquet(work.table("names/folders")).unionByName(spark.read.parquet(work.table("names/files"))))
+    calls = work.replies["names/folders"].unionByName(work.replies["names/files"])
     layout = None if lay is None else layout_style(apply_translations(lay, batch.translations))
     return CorpusResult(out, named, folders, batch, failed.unionByName(name_errors), calls, bad, layout)
 

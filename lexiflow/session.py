@@ -13,7 +13,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _CKPT_KEY = "spark.checkpoint.dir"
 
@@ -103,6 +102,8 @@ class WorkDir:
         self.spark = spark
         self.path = path or os.path.join(checkpoint_root(spark), "lexiflow-" + uuid.uuid4().hex[:12])
         self.resume = resume and path is not None
+        self.queues: list = []
+        self.replies: dict[str, DataFrame] = {}      # of each paid stage, by its name
 
     def table(self, name: str) -> str:
         return os.path.join(self.path, name)
@@ -134,19 +135,25 @@ class WorkDir:
         return self.spark.read.schema(df.schema).parquet(p)
 
     def paid(self, todo: DataFrame, call, name: str, key: list[str], calls_per_wave: int,
-             conf: dict | None = None) -> DataFrame:
-        """The rows of ``call(todo)``, made and written in waves of about ``calls_per_wave`` rows.
+             conf: dict | None = None, stored: bool = False, tag: str = "") -> DataFrame:
+        """The replies ``call(calls, number of calls)`` to the rows of ``todo``, paid for in waves of about ``calls_per_wave``.
 
-        What a lost driver leaves behind is whole waves; with ``resume`` only the others are paid for.
-        Rows go to waves by a hash of ``key``, so a rerun cuts the same waves.
+        ``todo`` is written first unless it is ``stored``.  See :mod:`lexiflow.operators.queue`: a wave is
+        paid for once, also by a later run on the same folder with ``resume``, and the result has the replies to these
+        calls only.  ``tag``: settings that change a reply; another tag is another run.
         """
-        if self.spark.sparkContext.getConf().get("spark.speculation", "false") == "true":
-            raise RuntimeError("spark.speculation must be off for paid calls: a speculative task would pay again")
-        waves = max(1, -(-todo.count() // calls_per_wave))
-        for k in range(waves):
-            part = todo if waves == 1 else todo.where(F.pmod(F.xxhash64(*key), F.lit(waves)) == k)
-            schema = self.materialize(call(part), f"{name}/wave={k}", conf).schema
-        return self.spark.read.schema(schema).parquet(self.table(name)).select(*schema.fieldNames())
+        from .operators.queue import PaidQueue
+        calls = todo if stored else self.materialize(todo, f"{name}-calls")
+        queue = PaidQueue(self, calls, name, key, calls_per_wave, tag)
+        self.queues.append(queue)
+        self.replies[name] = queue.run(call, conf)
+        return self.replies[name]
+
+    def spent(self, settings=None) -> DataFrame:
+        """Calls, errors, tokens and dollars of all paid stages of this run, from their manifests (one row)."""
+        from .config import DEFAULT
+        from .operators.queue import spent
+        return spent(self.queues, settings or DEFAULT)
 
 
 def work_dir(spark: SparkSession, path: str | None = None, resume: bool = False) -> WorkDir:

@@ -35,7 +35,8 @@ DOC_SCHEMA = T.StructType([
 def translate_batch(batch: DataFrame, batch_id: int, translator, settings: Settings, memory_path: str,
                     out_path: str, work_root: str) -> None:
     spark = batch.sparkSession
-    work = WorkDir(spark, os.path.join(work_root, f"batch={batch_id}"))
+    # a batch that is played again finds the replies of its first run by their fingerprint and pays nothing
+    work = WorkDir(spark, os.path.join(work_root, f"batch={batch_id}"), resume=True)
     docs = work.materialize(batch, "docs")
     lines = explode_lines(docs.select(F.col("doc_id").alias("scope"), "context", "text"), "text",
                           keep=["scope", "context"])

@@ -159,3 +159,92 @@ def test_an_interrupted_run_pays_no_wave_twice(spark, tmp_path, monkeypatch):
     assert len(list(calls.iterdir())) == 40
     batch_translate(units, Counting(str(calls)), s, work_dir(spark, path, resume=True)).translations.count()
     assert len(list(calls.iterdir())) == 40
+
+
+def counting_model(folder):
+    class Counting:
+        """Notes every call as a file (tasks are other processes)."""
+
+        def __call__(self, req):
+            import os
+            import uuid
+            open(os.path.join(str(folder), uuid.uuid4().hex), "w").write(req.items[0])
+            return MockTranslator()(req)
+    return Counting()
+
+
+def numbered(spark, n):
+    return spark.createDataFrame([(i % 5, i, f"日{i}", "c") for i in range(n)], "scope int, ord long, text string, context string")
+
+
+WAVES = S.with_(chunk_max_strings=1, calls_per_wave=8, calls_per_task=2)
+
+
+def test_a_rerun_with_fewer_rows_returns_exactly_its_rows(spark, tmp_path):
+    from lexiflow.operators.batch import batch_translate
+    from lexiflow.session import work_dir
+    for n in (40, 3, 0, 17):
+        res = batch_translate(numbered(spark, n), MockTranslator(), WAVES, work_dir(spark, str(tmp_path / "same")))
+        assert {r.text for r in res.translations.collect()} == {f"日{i}" for i in range(n)}
+        assert res.responses.count() == n
+
+
+def test_waves_read_the_dealt_calls_once(spark, tmp_path):
+    """Every wave reads its own folder: the paths of all waves together are the dealt table, each file once."""
+    from lexiflow.operators.call import call_chunks
+    from lexiflow.operators.queue import PaidQueue
+    from lexiflow.session import work_dir
+    w = work_dir(spark, str(tmp_path / "w"))
+    calls = w.materialize(spark.range(100).selectExpr("cast(id % 7 as int) scope", "id chunk_id", "'c' context", "array(concat('日', id)) items"), "calls")
+    q = PaidQueue(w, calls, "replies", ["scope", "chunk_id"], 9)
+    waves = q._dealt()
+    files = [f for x in waves for f in x.input.inputFiles()]
+    assert len(files) == len(set(files)) and all(f"wave={x.number}/" in f for x in waves for f in x.input.inputFiles())
+    assert sum(x.rows for x in waves) == 100 == sum(x.input.count() for x in waves) and len(waves) > 5
+    got = q.run(lambda c, n: call_chunks(c, MockTranslator(), S, n))
+    assert sorted(r.items[0] for r in got.select("items").collect()) == sorted(f"日{i}" for i in range(100))
+    other = PaidQueue(w, w.materialize(calls.where("chunk_id < 3"), "fewer"), "replies", ["scope", "chunk_id"], 9)
+    assert other.run(lambda c, n: call_chunks(c, MockTranslator(), S, n)).count() == 3
+
+
+def test_a_killed_run_pays_for_open_waves_only(spark, tmp_path, monkeypatch):
+    from lexiflow.operators import queue
+    from lexiflow.operators.batch import batch_translate
+    from lexiflow.session import work_dir
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    path, plain, seen = str(tmp_path / "work"), queue.write_whole, []
+
+    def lost(spark, to, text):
+        if len(seen) == 2:
+            raise KeyboardInterrupt("driver lost between a wave and its manifest")
+        seen.append(to)
+        plain(spark, to, text)
+    monkeypatch.setattr(queue, "write_whole", lost)
+    with pytest.raises(KeyboardInterrupt):
+        batch_translate(numbered(spark, 40), counting_model(calls), WAVES, work_dir(spark, path, resume=True))
+    first = len(list(calls.iterdir()))
+    assert 0 < first < 40
+    monkeypatch.setattr(queue, "write_whole", plain)
+    w = work_dir(spark, path, resume=True)
+    res = batch_translate(numbered(spark, 40), counting_model(calls), WAVES, w)
+    assert {r.text for r in res.translations.collect()} == {f"日{i}" for i in range(40)}
+    assert len(list(calls.iterdir())) == 40              # the wave without a manifest was whole: not paid again
+    # other settings of a reply are another run
+    batch_translate(numbered(spark, 40), counting_model(calls), WAVES.with_(reject_blank=True), work_dir(spark, path, resume=True))
+    assert len(list(calls.iterdir())) == 80
+
+
+def test_usage_of_the_manifests_equals_the_responses(spark, tmp_path):
+    from lexiflow.models import ScriptedFaultTranslator
+    from lexiflow.operators.batch import batch_translate
+    from lexiflow.operators.estimate import usage_totals
+    from lexiflow.session import work_dir
+    for n, s in ((40, S.with_(chunk_max_strings=3, calls_per_wave=4)), (40, S), (0, S)):
+        w = work_dir(spark)
+        res = batch_translate(numbered(spark, n), ScriptedFaultTranslator(), s, w)
+        want = usage_totals(res, settings=s).collect()[0]
+        got = w.spent(s).collect()[0]
+        assert (got.input_tokens, got.output_tokens, got.cost_usd) == (want.input_tokens, want.output_tokens, want.cost_usd)
+        assert got.rows == res.responses.count() + res.singles.count()
+        assert got.errors == res.errors.count()
