@@ -77,6 +77,7 @@ class Settings:
     overhead_factor: float = 1.3
     # execution knobs (not semantics)
     pack_segment_units: int = 200_000  # max units one packing group holds (numbers only)
+    pack_segment_bytes: int = 32 << 20  # max bytes of text one packing group holds
     call_partitions: int | None = None  # tasks of a model stage; None = by the number of calls
     calls_per_task: int = 100           # what a lost task pays again at most
     calls_per_wave: int = 100_000       # calls written together; a lost driver pays one wave again

@@ -25,7 +25,7 @@ from ..config import DEFAULT, Settings
 from ..session import WorkDir, work_dir
 from .call import call_chunks, call_singles, reply_tag
 from .dedup import dedup_units
-from .pack import pack_chunk_rows, with_segments
+from .pack import pack_chunk_rows
 
 
 @dataclass
@@ -78,7 +78,7 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     (the caller's unit is a file, copied as a whole).  ``chunk``: only its own strings.
     """
     work = work or work_dir(units.sparkSession)
-    uu_all = work.materialize(with_segments(dedup_units(units, settings), settings), f"{name}/unique_units")
+    uu_all = work.materialize(dedup_units(units, settings), f"{name}/unique_units")
     known = None
     uu = uu_all
     if memory is not None:
@@ -86,12 +86,11 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
         mem = memory.groupBy(*memory_key).agg(F.min("text_en").alias("text_en"))
         known = (uu_all.join(mem, list(memory_key))
                  .select("scope", "context", "text", "text_en", F.lit("memory").alias("how")))
-        uu = work.materialize(with_segments(uu_all.drop("seg").join(mem.select(*memory_key), list(memory_key), "left_anti"),
-                                            settings), f"{name}/new_units")
+        uu = work.materialize(uu_all.join(mem.select(*memory_key), list(memory_key), "left_anti"), f"{name}/new_units")
     # packing carries the text, so chunks come out assembled (no join back to the
     # texts); the paid stage's exact input is written first: packing runs with
     # normal Arrow batches, and a retried model stage re-reads fixed chunks
-    chunks = work.materialize(pack_chunk_rows(uu.select("scope", "ord", "est", "text", "context", "seg"), settings),
+    chunks = work.materialize(pack_chunk_rows(uu, settings, work),
                               f"{name}/chunks")
     assignments = chunk_assignments(chunks)
     call_conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": settings.call_batch_rows}

@@ -7,39 +7,39 @@ oversize string gets a chunk of its own.  ``chunk_id`` is the ``ord`` of the
 chunk's first unit, ``chunk_no`` counts chunks from 1 within the scope and
 ``pos`` counts units from 1 within the chunk.
 
+A scope within ``pack_segment_units`` units and ``pack_segment_bytes`` bytes of text (a document, usually) is
+walked by one task: one exchange by scope, one pass.
+
 Next-fit is a running sum with reset, so it is not a window function, and a
-scope can be arbitrarily large (one table translated as one scope).  The
-packing is therefore exact *and* split:
-
-1. units are range-partitioned and sorted by ``(scope, ord)`` and written with a
-   running number; segments are ``(scope, floor(number / M))``, so they hold up to
-   ``M`` consecutive units however sparse ``ord`` is (a CSV cell's row and column,
-   a key of 2**62), and are hash-partitioned on that key;
-2. pass 1: per segment, the greedy is run from every possible first chunk
-   boundary ``b`` (at most ``max_strings`` of them, since an open chunk must
-   close within that many units); runs that meet share their tail, so the
-   work is ``O(n log n)`` per segment.  Output: one small row per segment;
-3. stitch: per scope, a sequential fold over its segment rows (one row per
-   segment, never the units) picks the real boundary of each segment;
-4. pass 2: each segment's entry row is unioned in front of its units (same
-   key, sorted first) and the segment is assigned in one stream.
-
-A scope of a single segment (the usual document) costs one greedy run per
-pass; no task ever holds more than ``M`` units.
+scope can be arbitrarily large (one table translated as one scope).  Larger scopes are packed exactly *and* split:
+
+1. *Numbers.*  Units are range-partitioned and sorted by ``(scope, ord)`` and written with their place in their
+   partition; the sizes of a scope's pieces (one row per partition) give every unit its number in the scope.
+   Numbers cut the scope into segments of exactly ``S`` units, however sparse ``ord`` is.
+2. *Maps.*  The next chunk starts within ``K = max_strings`` units, so all that a segment needs to know of those before it
+   is at which of its first K units a chunk starts.  A task holds the estimates of a segment and of the K units
+   after it, and computes for each such entry the exit (the entry of the next segment) and the chunks in between.
+   Runs that meet share their tail: O(S + K) steps.
+3. *Tree.*  Maps compose associatively: ``FAN`` neighbours become one map, in log(segments) rounds, and the entries come
+   down the same way.  No task reads all segments of a scope.
+4. *Text.*  With its entry known a segment is walked again (numbers only), which gives the entry of each of its text
+   segments: as many units as fit ``pack_segment_bytes`` at the scope's longest text.  Text meets its entries by one
+   exchange, and chunks that cross a border are merged.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import uuid
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
-from ..session import work_dir
+from ..session import WorkDir, work_dir
 
 
 class _Greedy:
@@ -73,31 +73,6 @@ class _Greedy:
         return out
 
 
-def _summary_schema(scope_type) -> T.StructType:
-    return T.StructType([
-        T.StructField("scope", scope_type),
-        T.StructField("seg", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("total_est", T.LongType()),
-        T.StructField("head_est", T.ArrayType(T.LongType())),
-        T.StructField("cand_chunks", T.ArrayType(T.LongType())),
-        T.StructField("cand_last_ord", T.ArrayType(T.LongType())),
-        T.StructField("cand_exit_cnt", T.ArrayType(T.LongType())),
-        T.StructField("cand_exit_budget", T.ArrayType(T.LongType())),
-    ])
-
-
-def _entry_schema(scope_type) -> T.StructType:
-    return T.StructType([
-        T.StructField("scope", scope_type),
-        T.StructField("seg", T.LongType()),
-        T.StructField("entry_b", T.LongType()),
-        T.StructField("open_id", T.LongType()),
-        T.StructField("open_cnt", T.LongType()),
-        T.StructField("chunks_before", T.LongType()),
-    ])
-
-
 def _assign_schema(scope_type) -> T.StructType:
     return T.StructType([
         T.StructField("scope", scope_type),
@@ -131,113 +106,229 @@ def iter_groups(batches, keys: list[str], cols: list[str]):
         yield carry
 
 
-def _summarize(g: dict, B: int, K: int) -> tuple:
-    ests, ords = g["est"], g["ord"]
-    gr = _Greedy(ests, B, K)
-    n = gr.n
-    info: dict[int, tuple[int, int]] = {}  # start -> (chunks from here, last start)
-    chunks, last_ord, exit_cnt, exit_budget = [], [], [], []
-    for b in range(min(K, n)):
-        path, p = [], b
-        while p < n and p not in info:
-            path.append(p)
-            p = gr.next_start(p)
-        cnt, last = info[p] if p < n else (0, -1)
-        for q in reversed(path):
-            cnt += 1
-            if last < 0:
-                last = q
-            info[q] = (cnt, last)
-        c, last = info[b]
-        chunks.append(c)
-        last_ord.append(int(ords[last]))
-        exit_cnt.append(n - last)
-        exit_budget.append(gr.P[n] - gr.P[last])
-    return (g["scope"][0], int(g["seg"][0]), n, gr.P[n], [int(e) for e in ests[:K]],
-            chunks, last_ord, exit_cnt, exit_budget)
-
-
-ENTRY_COLS = ["scope", "seg", "entry_b", "open_id", "open_cnt", "chunks_before", "is_last"]
-
-
-def with_segments(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``units`` with ``seg``: at most ``M`` consecutive units of a scope in ``ord`` order.
-
-    To be written before it is packed: the number comes from the position in the
-    sorted partitions, and both packing passes must see the same one.
-    """
-    return (units.repartitionByRange("scope", "ord").sortWithinPartitions("scope", "ord")
-            .withColumn("seg", F.floor(F.monotonically_increasing_id() / F.lit(settings.pack_segment_units)).cast("bigint")))
+#: neighbouring maps that one task composes
+FAN = 64
+#: rows of piece sizes up to which they are broadcast (some 100 bytes each)
+MOST_PIECES = 50_000
 
 
-def _segments(units: DataFrame, settings: Settings, extra: list[str] | None = None) -> DataFrame:
-    if "seg" not in units.columns:
-        units = work_dir(units.sparkSession).materialize(
-            with_segments(units.select("scope", "ord", "est", *(extra or [])), settings), "segments")
-    return units.select("scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"),
-                        "seg", *(extra or []))
+class _Map:
+    """What a run of segments does with a chunk that starts at one of its first units.
 
+    By entry: the entry behind the run, the chunks that start in it, and the number and ``ord`` of the last of them.
+    An entry behind the last unit of a scope's last segment starts nothing there.
+    """
 
-def _entries(seg: DataFrame, settings: Settings) -> DataFrame:
-    """Passes 1 and 2: segment summaries, then the per-scope stitch.
+    FIELDS = ("exit", "chunks", "last", "last_ord")
 
-    One entry row per segment: first boundary ``entry_b``, the open chunk
-    carried in (``open_id``, ``open_cnt``), chunks started before, and
-    whether the segment is the scope's last.
-    """
-    B, K = settings.chunk_token_budget, settings.chunk_max_strings
-    scope_type = seg.schema["scope"].dataType
-    sch_sum = _summary_schema(scope_type)
+    def __init__(self, exit, chunks, last, last_ord):
+        self.exit, self.chunks, self.last, self.last_ord = (np.asarray(x, np.int64) for x in (exit, chunks, last, last_ord))
 
-    def summarize(batches):
+    @classmethod
+    def of_units(cls, ests: list, ords: list, n: int, first: int, budget: int, most: int) -> "_Map":
+        """Of a segment: the estimates and orders of its ``n`` units and of those after it; ``first``: its first unit's number."""
+        gr = _Greedy(ests, budget, most)
+        info: dict[int, tuple[int, int, int]] = {}            # start -> (exit, chunks from here, last start)
+        out = []
+        for b in range(min(most, n)):
+            path, p = [], b
+            while p < n and p not in info:
+                path.append(p)
+                p = gr.next_start(p)
+            got = info[p] if p < n else (p - n, 0, -1)
+            for q in reversed(path):
+                got = (got[0], got[1] + 1, got[2] if got[2] >= 0 else q)
+                info[q] = got
+            out.append((info[b][0], info[b][1], first + info[b][2], ords[info[b][2]]))
+        return cls(*zip(*out))
+
+    def then(self, other: "_Map") -> "_Map":
+        """This run and the one behind it."""
+        inside = self.exit < len(other.exit)
+        at = np.where(inside, self.exit, 0)
+        pick = lambda mine, theirs: np.where(inside, theirs[at], mine)
+        return _Map(pick(self.exit, other.exit), self.chunks + np.where(inside, other.chunks[at], 0),
+                    pick(self.last, other.last), pick(self.last_ord, other.last_ord))
+
+    def at(self, b: int):
+        return tuple(int(x[b]) for x in (self.exit, self.chunks, self.last, self.last_ord))
+
+
+_MAP_DDL = "exit array<long>, chunks array<long>, last array<long>, last_ord array<long>"
+
+
+def _stored(units: DataFrame, settings: Settings, work: WorkDir, text: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Units of scopes that one task may walk, and the sizes of the others (None: there are none)."""
+    long = F.octet_length(F.col(text[0])) if text else F.lit(0)
+    sizes = units.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum(long).alias("bytes"), F.max(long).alias("longest"))
+    unit = max(settings.pack_segment_units, settings.chunk_max_strings)
+    large = sizes.where((F.col("n") > settings.pack_segment_units) | (F.col("bytes") > settings.pack_segment_bytes))
+    fit = F.expr(f"int({settings.pack_segment_bytes} div greatest(longest, 1))")
+    large = work.materialize(large.select("scope", "n", F.lit(unit).alias("unit"), F.greatest(F.lit(1), F.least(F.lit(unit), fit)).alias("each")),
+                             f"pack-{uuid.uuid4().hex[:8]}/large")
+    if large.limit(1).count() == 0:
+        return units, None
+    return units.join(large.select("scope"), "scope", "left_anti"), large
+
+
+def _numbered(units: DataFrame, large: DataFrame, work: WorkDir, name: str) -> DataFrame:
+    """The units of large scopes with ``g`` (number in the scope from 0), ``unit``, ``each`` and ``total``."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = work.materialize(
+        units.join(large.select("scope"), "scope", "left_semi").repartitionByRange("scope", "ord")
+        .sortWithinPartitions("scope", "ord").withColumns({"piece": F.spark_partition_id(), "place": place}), f"{name}/numbered")
+    before = Window.partitionBy("scope").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = work.materialize(
+        rows.groupBy("scope", "piece").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("held"))
+        .withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+        .join(large.withColumnRenamed("n", "total"), "scope").drop("held"), f"{name}/pieces")
+    if pieces.count() <= MOST_PIECES:
+        pieces = F.broadcast(pieces)
+    return rows.join(pieces, ["scope", "piece"]).withColumn("g", F.col("place") - F.col("first") + F.col("before")).drop("piece", "place", "first", "before")
+
+
+def _grouped(df: DataFrame, keys: list[str], order: list[str], solve, schema: str) -> DataFrame:
+    """``solve(group)`` -> rows, for each group of ``keys`` sorted by ``order``; streams, a group at a time."""
+    cols = df.columns
+    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches):
         rows = []
-        for g in iter_groups(batches, ["scope", "seg"], ["scope", "seg", "ord", "est"]):
-            rows.append(_summarize(g, B, K))
-            if len(rows) >= 10_000:      # stream out: memory is one batch, not one partition
-                yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
+        for g in iter_groups(batches, keys, cols):
+            rows += solve(g)
+            if len(rows) >= 5_000:
+                yield pd.DataFrame(rows, columns=names)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=sch_sum.fieldNames())
-
-    summaries = (seg.select("scope", "seg", "ord", "est").repartition("scope", "seg")
-                 .sortWithinPartitions("scope", "seg", "ord").mapInPandas(summarize, sch_sum))
-
-    def stitch(batches):
-        # a sequential fold over each scope's segment rows, in seg order; the
-        # state is O(1) and rows stream out per batch, so a scope with millions
-        # of segments is a long stream, never a group held in memory.  A row is
-        # emitted once the next one is seen, to know the scope's last segment.
-        scope, state, started, pending = object(), None, 0, None
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                new_scope = r.scope != scope
-                if pending is not None:
-                    rows.append(pending + (new_scope,))
-                if new_scope:
-                    scope, state, started = r.scope, None, 0
-                n = int(r.n)
-                if state is None:
-                    b, open_id, open_cnt = 0, None, 0
-                else:
-                    c, bc, open_id = state
-                    head = np.cumsum(np.asarray(r.head_est, dtype=np.int64))
-                    b = max(0, min(K - c, int(np.searchsorted(head, B - bc, side="right"))))
-                    open_cnt = c
-                pending = (r.scope, int(r.seg), b, open_id, open_cnt, started)
-                if b < n:
-                    started += int(r.cand_chunks[b])
-                    state = (int(r.cand_exit_cnt[b]), int(r.cand_exit_budget[b]), int(r.cand_last_ord[b]))
-                else:
-                    state = (state[0] + n, state[1] + int(r.total_est), state[2])
-            if rows:
-                yield pd.DataFrame(rows, columns=ENTRY_COLS)
-        if pending is not None:
-            yield pd.DataFrame([pending + (True,)], columns=ENTRY_COLS)
-
-    schema = _entry_schema(scope_type).add(T.StructField("is_last", T.BooleanType()))
-    return (summaries.repartition("scope").sortWithinPartitions("scope", "seg")
-            .mapInPandas(stitch, schema))
+            yield pd.DataFrame(rows, columns=names)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _maps_of(g: dict) -> list[_Map]:
+    return [_Map(*(g[f][i] for f in _Map.FIELDS)) for i in range(len(g["node"]))]
+
+
+def _tree(maps: DataFrame, scopes: DataFrame, segments: int, work: WorkDir, name: str, scope: str) -> DataFrame:
+    """(scope, node, b, before, last, last_ord): the entry of every segment from the maps of all."""
+    levels = [maps]
+
+    def combined(g):
+        whole = _maps_of(g)
+        m = whole[0]
+        for x in whole[1:]:
+            m = m.then(x)
+        return [(g["scope"][0], int(g["parent"][0]), *(getattr(m, f).tolist() for f in _Map.FIELDS))]
+
+    def handed_down(g):
+        b, before, last, last_ord = (g[c][0] for c in ("b", "before", "last_in", "ord_in"))
+        out, b, before = [], int(b), int(before)
+        none = last is None or last != last
+        last, last_ord = (-1, 0) if none else (int(last), int(last_ord))
+        for node, exit, chunks, lasts, ords in zip(*(g[c][1:] for c in ("node", *_Map.FIELDS))):
+            out.append((g["scope"][0], int(node), b, before, last, last_ord))
+            if b < len(exit):
+                b, before, last, last_ord = int(exit[b]), before + int(chunks[b]), int(lasts[b]), int(ords[b])
+        return out
+
+    while segments > FAN:
+        up = _grouped(levels[-1].withColumn("parent", F.expr(f"node div {FAN}")), ["scope", "parent"], ["node"], combined,
+                      f"scope {scope}, node long, {_MAP_DDL}")
+        levels.append(work.materialize(up, f"{name}/level{len(levels)}"))
+        segments = -(-segments // FAN)
+    entries = scopes.select("scope", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("before"),
+                            F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("last_ord"))
+    for number in range(len(levels) - 1, -1, -1):
+        nothing = [F.lit(None).cast("array<long>").alias(f) for f in _Map.FIELDS]
+        top = entries.select("scope", F.col("node").alias("parent"), F.lit(-1).cast("long").alias("node"), *nothing, "b", "before",
+                             F.col("last").alias("last_in"), F.col("last_ord").alias("ord_in"))
+        below = levels[number].select("scope", F.expr(f"node div {FAN}").alias("parent"), "node", *_Map.FIELDS,
+                                      *[F.lit(None).cast("long").alias(c) for c in ("b", "before", "last_in", "ord_in")])
+        entries = _grouped(top.unionByName(below), ["scope", "parent"], ["node"], handed_down,
+                           f"scope {scope}, node long, b long, before long, last long, last_ord long")
+        entries = work.materialize(entries, f"{name}/entries{number}")
+    return entries
+
+
+def _text_segment():
+    """Number of the text segment of a unit: text segments don't cross segments."""
+    per = F.expr("(unit + each - 1) div each")
+    return F.expr("g div unit") * per + F.expr("(g % unit) div each")
+
+
+def _entries(numbered: DataFrame, large: DataFrame, settings: Settings, work: WorkDir, name: str) -> DataFrame:
+    """One row per text segment of the large scopes: ``ENTRY_COLS``."""
+    B, K = settings.chunk_token_budget, settings.chunk_max_strings
+    scope = numbered.schema["scope"].dataType.simpleString()
+    light = numbered.select("scope", "g", F.col("ord").cast("long").alias("ord"), F.col("est").cast("long").alias("est"),
+                            F.col("unit").cast("long").alias("unit"), F.col("each").cast("long").alias("each"), F.col("total").cast("long").alias("total"))
+
+    # a segment's first K units are also what its predecessor looks ahead to
+    seg = F.expr("g div unit")
+    near = F.when((F.expr("g % unit") < K) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))
+
+    def mapped(g):
+        first, unit = g["node"][0] * g["unit"][0], g["unit"][0]
+        n = min(unit, g["total"][0] - first)
+        m = _Map.of_units(g["est"], g["ord"], int(n), int(first), B, K)
+        return [(g["scope"][0], int(g["node"][0]), *(getattr(m, f).tolist() for f in _Map.FIELDS))]
+
+    maps = work.materialize(_grouped(light.select("*", F.explode(near).alias("node")).drop("each"), ["scope", "node"], ["g"], mapped,
+                                     f"scope {scope}, node long, {_MAP_DDL}"), f"{name}/maps")
+    most = large.agg(F.max(F.expr("(n + unit - 1) div unit"))).first()[0]
+    entries = _tree(maps, large, int(most), work, name, scope)
+
+    def split(g):
+        b, before, last, last_ord = (int(g[c][0]) for c in ("b", "before", "last", "last_ord"))
+        ests, ords, numbers = g["est"][1:], g["ord"][1:], g["g"][1:]
+        if not ests:
+            return []
+        n, first, unit, each, total = len(ests), int(numbers[0]), int(g["unit"][1]), int(g["each"][1]), int(g["total"][1])
+        starts = _Greedy(ests, B, K).starts_from(min(b, n))
+        per, out = -(-unit // each), []
+        for t, at in enumerate(range(0, n, each)):
+            i = bisect_left(starts, at)                        # chunks of this segment that start before
+            open_g, open_ord = (first + starts[i - 1], ords[starts[i - 1]]) if i else (last, last_ord)
+            end = min(at + each, n)
+            nxt = starts[i] if i < len(starts) else n
+            out.append((g["scope"][0], first // unit * per + t, min(nxt, end) - at, int(open_ord), first + at - open_g if open_g >= 0 else 0,
+                        before + i, first + end >= total))
+        return out
+
+    unit_rows = light.select("scope", F.expr("g div unit").alias("node"), F.lit(1).alias("kind"), "g", "ord", "est", "unit", "each", "total",
+                             *[F.lit(None).cast("long").alias(c) for c in ("b", "before", "last", "last_ord")])
+    entry_rows = entries.select("scope", "node", F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("g", "ord", "est", "unit", "each", "total")],
+                                "b", "before", "last", "last_ord")
+    return _grouped(unit_rows.unionByName(entry_rows), ["scope", "node"], ["kind", "g"], split,
+                    f"scope {scope}, seg long, entry_b long, open_id long, open_cnt long, chunks_before long, is_last boolean")
+
+
+def _large_segments(units: DataFrame, large: DataFrame, settings: Settings, work: WorkDir, text: list[str]) -> DataFrame:
+    """Entry and units of each text segment of the large scopes, one sorted stream (see :func:`_tagged`)."""
+    name = f"pack-{uuid.uuid4().hex[:8]}"
+    numbered = _numbered(units, large, work, name)
+    entries = _entries(numbered, large, settings, work, name)
+    seg = numbered.withColumn("seg", _text_segment()).select(
+        "scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"), "seg", *text)
+    return _tagged(seg, entries, text)
+
+
+def _whole_scopes(units: DataFrame, text: list[str]) -> DataFrame:
+    """Units of scopes of one segment, in the form of :func:`_tagged` without entry rows."""
+    return (units.select("scope", F.col("ord").cast("bigint").alias("ord"), F.col("est").cast("bigint").alias("est"), *text)
+            .repartition("scope").sortWithinPartitions("scope", "ord"))
+
+
+_NO_ENTRY = {"entry_b": 0, "open_id": None, "open_cnt": 0, "chunks_before": 0, "is_last": True}
+
+
+def _segment_groups(batches, cols: list[str], whole: bool):
+    """Groups with their entry row first; a whole scope starts at its first unit."""
+    if not whole:
+        yield from iter_groups(batches, ["scope", "seg"], cols)
+        return
+    own = [c for c in cols if c not in _NO_ENTRY and c not in ("seg", "kind")]
+    for g in iter_groups(batches, ["scope"], own):
+        yield {"scope": g["scope"][:1] + g["scope"], **{c: [None] + g[c] for c in own if c != "scope"}, **{c: [v] for c, v in _NO_ENTRY.items()}}
 
 
 def _tagged(seg: DataFrame, entries: DataFrame, unit_cols: list[str]) -> DataFrame:
@@ -277,26 +368,31 @@ def _walk(g: dict, B: int, K: int):
         p = q
 
 
-def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Assign chunks to deduplicated units.
+def _packed(units: DataFrame, settings: Settings, work: WorkDir | None, text: list[str], assign, schema) -> DataFrame:
+    """``assign`` over the groups of both ways: scopes of one segment, and segments of the large ones."""
+    work = work or work_dir(units.sparkSession)
+    whole, large = _stored(units, settings, work, text)
+    out = _whole_scopes(whole, text).mapInPandas(lambda b: assign(b, True), schema)
+    if large is None:
+        return out
+    return out.unionByName(_large_segments(units, large, settings, work, text).mapInPandas(lambda b: assign(b, False), schema))
+
+
+def pack_chunks(units: DataFrame, settings: Settings = DEFAULT, work: WorkDir | None = None) -> DataFrame:
+    """Assign chunks to deduplicated units (a stored table: it is read more than once).
 
     ``units`` needs ``scope`` (any type), ``ord`` (BIGINT, unique in the
     scope) and ``est`` (INT).  Returns ``scope, ord, chunk_id, chunk_no, pos``.
 
-    Each pass is ``repartition`` by key + ``sortWithinPartitions`` + one
-    ``mapInPandas`` that walks the sorted groups of its partition, so Python
-    is entered once per Arrow batch, not once per group.
+    Python is entered once per Arrow batch, not once per group.
     """
     B, K = settings.chunk_token_budget, settings.chunk_max_strings
-    scope_type = units.schema["scope"].dataType
-    seg = _segments(units, settings)
-    entries = _entries(seg, settings)
     out_cols = ["scope", "ord", "chunk_id", "chunk_no", "pos"]
     cols = ["scope", "seg", "kind", "ord", "est", "entry_b", "open_id", "open_cnt", "chunks_before"]
 
-    def assign(batches):
+    def assign(batches, whole):
         acc = {c: [] for c in out_cols}
-        for g in iter_groups(batches, ["scope", "seg"], cols):
+        for g in _segment_groups(batches, cols, whole):
             ords = g["ord"][1:]
             for lo, hi, cid, cno, first, _ in _walk(g, B, K):
                 acc["scope"] += g["scope"][1 + lo:1 + hi]
@@ -310,13 +406,13 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         if acc["ord"]:
             yield pd.DataFrame(acc, columns=out_cols)
 
-    return _tagged(seg, entries, []).mapInPandas(assign, _assign_schema(scope_type))
+    return _packed(units.select("scope", "ord", "est"), settings, work, [], assign, _assign_schema(units.schema["scope"].dataType))
 
 
-def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT, work: WorkDir | None = None) -> DataFrame:
     """Pack and assemble in one pass: chunk rows with their texts.
 
-    ``units``: ``scope, ord, est, text, context``.  Returns ``scope,
+    ``units``: ``scope, ord, est, text, context``, stored.  Returns ``scope,
     chunk_id, chunk_no, context, ords ARRAY<BIGINT>, items ARRAY<STRING>``.
 
     The assign pass carries the text, so a chunk lying inside one segment
@@ -326,20 +422,17 @@ def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     document is one segment, so its chunks never shuffle a second time.
     """
     B, K = settings.chunk_token_budget, settings.chunk_max_strings
-    scope_type = units.schema["scope"].dataType
-    seg = _segments(units, settings, ["text", "context"])
-    entries = _entries(seg, settings)
     schema = T.StructType([
-        T.StructField("scope", scope_type), T.StructField("chunk_id", T.LongType()),
+        T.StructField("scope", units.schema["scope"].dataType), T.StructField("chunk_id", T.LongType()),
         T.StructField("chunk_no", T.IntegerType()), T.StructField("context", T.StringType()),
         T.StructField("first_pos", T.IntegerType()), T.StructField("ords", T.ArrayType(T.LongType())),
         T.StructField("items", T.ArrayType(T.StringType())), T.StructField("open", T.BooleanType())])
     cols = ["scope", "seg", "kind", "ord", "est", "text", "context", "entry_b", "open_id", "open_cnt",
             "chunks_before", "is_last"]
 
-    def assign(batches):
+    def assign(batches, whole):
         rows = []
-        for g in iter_groups(batches, ["scope", "seg"], cols):
+        for g in _segment_groups(batches, cols, whole):
             n = len(g["ord"]) - 1
             last_seg = bool(g["is_last"][0])
             ords, texts, ctx = g["ord"][1:], g["text"][1:], (g["context"][1] if n > 0 else None)
@@ -352,12 +445,20 @@ def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT) -> DataFrame
         if rows:
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    pieces = _tagged(seg, entries, ["text", "context"]).mapInPandas(assign, schema)
-    done = pieces.filter(~F.col("open")).select("scope", "chunk_id", "chunk_no", "context", "ords", "items")
+    text = ["text", "context"]
+    own = units.select("scope", "ord", "est", *text)
+    work = work or work_dir(units.sparkSession)
+    whole, large = _stored(own, settings, work, text)
+    columns = ["scope", "chunk_id", "chunk_no", "context", "ords", "items"]
+    done = _whole_scopes(whole, text).mapInPandas(lambda b: assign(b, True), schema).select(*columns)
+    if large is None:
+        return done
+    # read twice, by the two halves below; the walk is cheaper than a copy of the texts
+    pieces = _large_segments(own, large, settings, work, text).mapInPandas(lambda b: assign(b, False), schema)
     merged = (pieces.filter(F.col("open"))
               .groupBy("scope", "chunk_id")
               .agg(F.min("chunk_no").alias("chunk_no"), F.min("context").alias("context"),
                    F.array_sort(F.collect_list(F.struct("first_pos", "ords", "items"))).alias("p"))
               .select("scope", "chunk_id", "chunk_no", "context",
                       F.flatten(F.col("p.ords")).alias("ords"), F.flatten(F.col("p.items")).alias("items")))
-    return done.unionByName(merged)
+    return done.unionByName(pieces.filter(~F.col("open")).select(*columns)).unionByName(merged)

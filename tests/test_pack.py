@@ -112,13 +112,76 @@ def test_split_packing_property(spark):
 
 def test_sparse_orders_make_dense_segments(spark):
     """Cells far apart, negative and near 2**62 are consecutive units of few segments."""
-    from pyspark.sql import functions as F
-    from lexiflow.operators.pack import with_segments
     rows = [(s, o, 20) for s in ("a", "b") for o in [-(2**62), -5, *[(r << 20) + c for r in range(500) for c in range(2)], 2**62]]
     df = spark.createDataFrame(rows, "scope string, ord long, est int")
-    seg = with_segments(df, DEFAULT).groupBy("scope").agg(F.countDistinct("seg").alias("n")).collect()
-    assert all(r.n <= spark.sparkContext.defaultParallelism for r in seg)
-    got = {(r.scope, r.ord): r.chunk_no for r in pack_chunks(df, DEFAULT.with_(chunk_max_strings=80)).collect()}
+    got = {(r.scope, r.ord): r.chunk_no for r in pack_chunks(df, DEFAULT.with_(chunk_max_strings=80, pack_segment_units=90)).collect()}
     orders = sorted({o for _, o, _ in rows})
     for s in ("a", "b"):
         assert [got[s, o] - 1 for o in orders] == next_fit([20] * len(orders), 6000, 80)
+
+
+def test_maps_compose_like_one_walk():
+    """Any cut of any units: composing the maps of the parts gives the map of the whole, and associates."""
+    from lexiflow.operators.pack import _Map
+    rnd = random.Random(5)
+    for _ in range(200):
+        k, budget = rnd.randint(1, 6), rnd.randint(100, 700)
+        ests = [rnd.randint(15, 400) for _ in range(rnd.randint(3 * k, 60))]
+        ords = [i * 3 for i in range(len(ests))]
+        cut = sorted({0, len(ests), *(rnd.randrange(0, len(ests) // k) * k for _ in range(4))})
+        maps = [_Map.of_units(ests[a: b + k], ords[a: b + k], b - a, a, budget, k) for a, b in zip(cut, cut[1:])]
+        whole = _Map.of_units(ests, ords, len(ests), 0, budget, k)
+        left = maps[0]
+        for m in maps[1:]:
+            left = left.then(m)
+        right = maps[-1]
+        for m in maps[-2::-1]:
+            right = m.then(right)
+        starts = _Greedy(ests, budget, k).starts_from(0)
+        for got in (left, right, whole):
+            assert (got.chunks[0], got.last[0], got.last_ord[0]) == (len(starts), starts[-1], ords[starts[-1]])
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_deep_trees_and_byte_bounds_equal_sequential(spark, monkeypatch, fan):
+    """Many levels, text segments of a few units, scopes of one segment beside them; texts come back in order."""
+    from lexiflow.operators import pack
+    monkeypatch.setattr(pack, "FAN", fan)
+    rnd = random.Random(fan)
+    rows, want = [], {}
+    for scope, n in enumerate((1, 5, 400, 37, 260, 8, 16, 17)):
+        ords = sorted(rnd.sample(range(-10_000, 10_000), n))
+        ests = [rnd.choice([15, 16, 40, 90, 310]) for _ in range(n)]
+        for o, e, (c, p) in zip(ords, ests, _expected(ests, 300, 8)):
+            rows.append((scope, o, e, f"t{o}" + "x" * rnd.randint(0, 20), f"c{scope}"))
+            want[scope, o] = (c, p)
+    df = spark.createDataFrame(rows, "scope long, ord long, est int, text string, context string")
+    text = {(r[0], r[1]): r[3] for r in rows}
+    for units, size in ((16, 1 << 20), (16, 90), (1000, 300)):
+        s = DEFAULT.with_(chunk_token_budget=300, chunk_max_strings=8, pack_segment_units=units, pack_segment_bytes=size)
+        got = {}
+        for r in pack.pack_chunk_rows(df.repartition(3), s).collect():
+            assert r.context == f"c{r.scope}" and r.chunk_id == r.ords[0]
+            for i, (o, t) in enumerate(zip(r.ords, r.items)):
+                assert t == text[r.scope, o] and (r.scope, o) not in got
+                got[r.scope, o] = (r.chunk_no, i + 1)
+        assert got == want
+
+
+def test_no_task_reads_all_segments_of_a_scope(spark, monkeypatch):
+    """The groups of the tree hold at most FAN maps and their entry."""
+    from lexiflow.operators import pack
+    monkeypatch.setattr(pack, "FAN", 4)
+    plain = pack._grouped
+    sizes = []
+
+    def watched(df, keys, order, solve, schema):
+        if "parent" in keys:
+            sizes.append(df.groupBy(*keys).count().agg({"count": "max"}).first()[0])
+        return plain(df, keys, order, solve, schema)
+    monkeypatch.setattr(pack, "_grouped", watched)
+    df = spark.range(500).selectExpr("'s' scope", "id ord", "20 est")
+    s = DEFAULT.with_(chunk_token_budget=300, chunk_max_strings=8, pack_segment_units=10)
+    got = {r.ord: r.chunk_no - 1 for r in pack.pack_chunks(df, s).collect()}
+    assert [got[i] for i in range(500)] == next_fit([20] * 500, 300, 8)
+    assert len(sizes) >= 4 and max(sizes) <= 5
