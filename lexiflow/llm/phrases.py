@@ -35,11 +35,13 @@ from lexiflow.llm.word_repeats import _codes
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: occurrences from which on the beginning of a suffix is dealt by more words; only the bucket changes
 HOT = 20_000
-#: bytes of text whose suffixes a task sorts and counts at once
-CHUNK = 8 << 20
+#: bytes of text whose suffixes a task sorts and counts at once (it takes some sixty times that)
+CHUNK = 2 << 20
 #: ranges in which a table of slots is summed
 RANGES = 32
 TABLES = 3
+#: count at which a task's slot stops; over LEAST and HOT
+MOST = 32_767
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -48,8 +50,8 @@ _APART[[0x20, 0x09]] = True
 
 
 def _bits(spark) -> int:
-    """log2 of the slots of a table: 2**16 for each shuffle partition, 2**26 (8 MB as bits) at most."""
-    return min(26, 16 + (partitions(spark) - 1).bit_length())
+    """log2 of the slots of a table: 2**16 for each shuffle partition, but 2**22 at least and 2**25 (4 MB as bits) at most."""
+    return min(25, max(22, 16 + (partitions(spark) - 1).bit_length()))
 
 
 class _Text:
@@ -119,18 +121,21 @@ def _one(parts: list) -> pa.RecordBatch:
 def _slots(bits: int):
     """Task: (lang, text) -> (g, lang, n, p): counts of each range of each table, and words by language (g -1)."""
     def run(batches):
-        table = np.zeros((TABLES, 1 << bits), np.uint32)
+        table = np.zeros((TABLES, 1 << bits), np.uint16)
         words: dict[str, int] = {}
-        for text in _texts(batches, 4 << 20):
+        for text in _texts(batches, 1 << 20):
             for k in range(TABLES):
-                np.add.at(table[k], (text.gram[k][text.left > k] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                slot = (text.gram[k][text.left > k] >> np.uint64(64 - bits)).astype(np.int64)
+                for at in range(0, len(slot), MOST):       # a slot stops at MOST, so it never passes 16 bits
+                    some = slot[at: at + MOST]
+                    np.add.at(table[k], some, np.uint16(1))
+                    table[k][some] = np.minimum(table[k][some], MOST)
             for name, n in zip(text.langs, text.words.tolist()):
                 words[name] = words.get(name, 0) + n
         step = (1 << bits) // RANGES
-        low = np.minimum(table, 65_535).astype(np.uint16)
         for g in range(TABLES * RANGES):
             k, r = divmod(g, RANGES)
-            part = low[k, r * step: (r + 1) * step]
+            part = table[k, r * step: (r + 1) * step]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([None], pa.string()), pa.array([0], pa.int64()),
                                                   pa.array([pack(part)], pa.binary())], ["g", "lang", "n", "p"])
