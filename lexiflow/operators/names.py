@@ -8,6 +8,8 @@ distinct folder, not per file, then joined to files on ``rel_dir``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..functions.script import has_script
 from ..functions.text import file_name_context, folder_context, folder_name_context
 from ..session import WorkDir, work_dir
 from .call import call_names, reply_tag
+from .numbering import free_numbers, with_numbers
 
 
 def folder_table(files: DataFrame, root_name: str) -> DataFrame:
@@ -107,7 +110,7 @@ def translate_file_names(files: DataFrame, dir_paths: DataFrame, translator, set
          .withColumn("stem_en0", F.coalesce("stem_en0", "stem")))
     f = f.withColumnRenamed("stem_en0", "stem_en")
     f = f.withColumn("name_en", F.concat("stem_en", "suffix"))
-    return f.join(unique_paths(f.select("path", "dir_en", F.col("stem_en").alias("stem"), "suffix"))
+    return f.join(unique_paths(f.select("path", "dir_en", F.col("stem_en").alias("stem"), "suffix"), work)
                   .withColumnRenamed("path_out", "path_en"), "path")
 
 
@@ -118,26 +121,42 @@ def safe_name(name, original) -> F.Column:
     return F.when(n.isNull() | F.trim(n).isin("", ".", ".."), original).otherwise(n)
 
 
-def unique_paths(files: DataFrame) -> DataFrame:
+#: files of one name up to which one task numbers them
+HOT_NAME = 10_000
+
+
+def unique_paths(files: DataFrame, work: WorkDir | None = None) -> DataFrame:
     """Q11 over final names: ``path, dir_en, stem, suffix`` -> ``path, path_out``, no two alike whatever the case.
 
     The first path of a name keeps it; the others take ``_2``, ``_3``..., passing over numbers that
     another file of the folder has by its own name.  A name with a given number has one base only,
-    so given names can't meet.  One window per colliding name; folders are never groups.
+    so given names can't meet.
+
+    Only names that collide are numbered: by a window where a name has up to ``HOT_NAME`` files, else by
+    :func:`with_numbers`; taken numbers are passed over by :func:`free_numbers`.  The work is linear in the files.
     """
-    low = [F.lower("dir_en").alias("d"), F.lower("stem").alias("s"), F.lower("suffix").alias("x")]
-    f = files.select("path", "dir_en", "stem", "suffix", *low)
-    w = Window.partitionBy("d", "s", "x").orderBy("path")
-    f = f.withColumn("k", F.row_number().over(w))
+    work = work or work_dir(files.sparkSession)
+    name = f"unique-{uuid.uuid4().hex[:8]}"
+    key = ["d", "s", "x"]
+    low = {"d": F.coalesce(F.lower("dir_en"), F.lit("")), "s": F.coalesce(F.lower("stem"), F.lit("")), "x": F.coalesce(F.lower("suffix"), F.lit(""))}
+    f = work.materialize(files.select("path", "dir_en", "stem", "suffix").withColumns(low), f"{name}/names")
+    out = lambda df: df.select("path", F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")),
+                                                   F.concat("stem", F.coalesce("suffix", F.lit("")))).alias("path_out"))
+    alike = work.materialize(f.groupBy(*key).agg(F.count(F.lit(1)).alias("held")).where("held > 1"), f"{name}/alike")
+    most = alike.agg(F.max("held")).first()[0]
+    if most is None:
+        return out(f)
+    calm, hot = alike.where(F.col("held") <= HOT_NAME), alike.where(F.col("held") > HOT_NAME)
+    w = Window.partitionBy(*key).orderBy("path")
+    ranked = f.join(calm.select(*key), key, "left_semi").withColumn("k", F.row_number().over(w).cast("long") - 1)
+    if most > HOT_NAME:
+        ranked = ranked.unionByName(with_numbers(f.join(hot.select(*key), key, "left_semi"), key, ["path"], work, f"{name}/hot", "k"))
+    ranked = work.materialize(ranked, f"{name}/ranked")
     # names that look numbered, by the base they would be numbers of
     m = r"^(.*)_([1-9][0-9]{0,8})$"
-    taken = (f.where(F.col("s").rlike(m)).select("d", F.regexp_extract("s", m, 1).alias("s"), "x",
-                                                 F.regexp_extract("s", m, 2).cast("int").alias("n"))
-             .groupBy("d", "s", "x").agg(F.collect_set("n").alias("taken")))
-    again = f.where("k > 1").join(taken, ["d", "s", "x"], "left")
-    free = F.array_except(F.sequence(F.lit(2), F.col("k") + F.coalesce(F.size("taken"), F.lit(0))),
-                          F.coalesce("taken", F.array().cast("array<int>")))
-    named = again.withColumn("stem", F.concat("stem", F.lit("_"), F.element_at(free, F.col("k") - 1).cast("string")))
-    both = f.where("k = 1").select("path", "dir_en", "stem", "suffix").unionByName(named.select("path", "dir_en", "stem", "suffix"))
-    return both.select("path", F.concat_ws("/", F.when(F.col("dir_en") != "", F.col("dir_en")),
-                                           F.concat("stem", F.coalesce("suffix", F.lit("")))).alias("path_out"))
+    base = f.where(F.col("s").rlike(m)).select("d", F.regexp_extract("s", m, 1).alias("s"), "x", F.regexp_extract("s", m, 2).try_cast("int").alias("n"))
+    again = free_numbers(ranked.where("k > 0"), base, key, "k", "number", work, f"{name}/free")
+    named = again.withColumn("stem", F.concat("stem", F.lit("_"), F.col("number").cast("string")))
+    same = ["path", "dir_en", "stem", "suffix"]
+    return out(f.join(alike.select(*key), key, "left_anti").select(*same).unionByName(ranked.where("k = 0").select(*same))
+               .unionByName(named.select(*same)))

@@ -34,12 +34,13 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
 from ..session import WorkDir, work_dir
+from .numbering import with_numbers
 
 
 class _Greedy:
@@ -108,8 +109,6 @@ def iter_groups(batches, keys: list[str], cols: list[str]):
 
 #: neighbouring maps that one task composes
 FAN = 64
-#: rows of piece sizes up to which they are broadcast (some 100 bytes each)
-MOST_PIECES = 50_000
 
 
 class _Map:
@@ -173,18 +172,9 @@ def _stored(units: DataFrame, settings: Settings, work: WorkDir, text: list[str]
 
 def _numbered(units: DataFrame, large: DataFrame, work: WorkDir, name: str) -> DataFrame:
     """The units of large scopes with ``g`` (number in the scope from 0), ``unit``, ``each`` and ``total``."""
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    rows = work.materialize(
-        units.join(large.select("scope"), "scope", "left_semi").repartitionByRange("scope", "ord")
-        .sortWithinPartitions("scope", "ord").withColumns({"piece": F.spark_partition_id(), "place": place}), f"{name}/numbered")
-    before = Window.partitionBy("scope").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = work.materialize(
-        rows.groupBy("scope", "piece").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("held"))
-        .withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
-        .join(large.withColumnRenamed("n", "total"), "scope").drop("held"), f"{name}/pieces")
-    if pieces.count() <= MOST_PIECES:
-        pieces = F.broadcast(pieces)
-    return rows.join(pieces, ["scope", "piece"]).withColumn("g", F.col("place") - F.col("first") + F.col("before")).drop("piece", "place", "first", "before")
+    own = units.join(large.select("scope"), "scope", "left_semi")
+    got = with_numbers(own, ["scope"], ["ord"], work, name, "g")
+    return got.join(large.withColumnRenamed("n", "total"), "scope")
 
 
 def _grouped(df: DataFrame, keys: list[str], order: list[str], solve, schema: str) -> DataFrame:

@@ -105,7 +105,7 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
            .join(rebuilt, "path", "left")
            .join(bad, "path", "left")
            .join(originals, "path", "left")
-           .join(final_paths(named, bad), "path"))
+           .join(final_paths(named, bad, work), "path"))
     is_text = F.col("handler").isin("lines", "csv")
     out = out.select(
         "path", "path_out", "handler",
@@ -120,13 +120,13 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
     return CorpusResult(out, named, folders, batch, failed.unionByName(name_errors), calls, bad, layout)
 
 
-def final_paths(named: DataFrame, failed: DataFrame) -> DataFrame:
+def final_paths(named: DataFrame, failed: DataFrame, work: WorkDir | None = None) -> DataFrame:
     """``path, path_out`` of all files: failed ones keep their own names in the translated
     folder (K7), and no two outputs share a path."""
     f = named.select("path", "dir_en", "stem", "stem_en", "suffix").join(
         failed.select("path").distinct().withColumn("__bad", F.lit(True)), "path", "left")
     return unique_paths(f.select("path", "dir_en", F.when(F.col("__bad"), F.col("stem")).otherwise(F.col("stem_en")).alias("stem"),
-                                 "suffix"))
+                                 "suffix"), work)
 
 
 def corpus_usage(result: CorpusResult, settings: Settings = DEFAULT) -> DataFrame:

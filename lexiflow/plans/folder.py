@@ -73,7 +73,7 @@ def translate_folder(spark: SparkSession, src: str, dst: str, translator, settin
     bad_pk = work.materialize(pres.errors.select("path").distinct(), "folder/bad_packages")
     # one uniqueness pass over every output, failed files under their own names included
     failed = corpus.failed.select("path").unionByName(bad_pk)
-    paths = work.materialize(final_paths(corpus.names, failed), "folder/paths")
+    paths = work.materialize(final_paths(corpus.names, failed, work), "folder/paths")
 
     text_out = (corpus.files.filter(F.col("handler").isin("lines", "csv") & (F.col("status") == "ok"))
                 .select("path", F.encode("text", "UTF-8").alias("data")))
