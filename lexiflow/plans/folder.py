@@ -4,8 +4,9 @@ listing (S1) -> bytes (read once, written) -> routing (F4) -> text decode (S3)
 -> names and text contents (:func:`translate_corpus`) -> packages
 (:func:`translate_packages`) -> writers (K1-K3, K5-K7) and empty folders.
 A file whose content stage fails is copied under its original name into the
-translated folder (K7); one that can't be listed, read or written is an error row
-and never an empty output.  PDF decoding is not rebuilt, so ``.pdf`` files are
+translated folder (K7); so is one whose output can't be written, or into its original folder where that can't be
+made either.  What can't be listed or read is an error row and never an empty output.  The output is put in place
+when all is written (:mod:`lexiflow.sinks.files`).  PDF decoding is not rebuilt, so ``.pdf`` files are
 copied and reported; their layout work runs on a ``spans`` table.
 """
 
@@ -14,17 +15,17 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import document_context
+from ..functions.text import document_context, name_stem, name_suffix
 from ..operators.routing import handler_of
 from ..session import WorkDir, work_dir
-from ..sinks.files import check_target, make_dirs, write_files, write_packages
+from ..sinks.files import FileTree, files as plain_files, folders as plain_folders, packages as zip_members
 from ..sources.files import archive_parts, files_of, folders_of, list_tree, listing_errors, read_bytes
 from ..sources.text import decode_files
-from ..operators.names import translate_dir_paths
+from ..operators.names import translate_dir_paths, unique_paths
 from .corpus import CorpusResult, final_paths, translate_corpus
 from .packages import PackageResult, translate_packages
 
@@ -48,8 +49,12 @@ def translate_folder(spark: SparkSession, src: str, dst: str, translator, settin
                      mode: str = "errorifexists", work: WorkDir | None = None, spans: DataFrame | None = None,
                      max_pages: int | None = None) -> FolderResult:
     """``spans``, ``max_pages``: the layout path, see :func:`translate_corpus`."""
-    check_target(dst, mode)
-    work = work or work_dir(spark)
+    with FileTree(spark, dst, mode) as tree:     # nothing is in place before all is written
+        return _translate_into(tree, spark, src, translator, settings, work or work_dir(spark), spans, max_pages)
+
+
+def _translate_into(tree: FileTree, spark: SparkSession, src: str, translator, settings: Settings, work: WorkDir,
+                    spans: DataFrame | None, max_pages: int | None) -> FolderResult:
     root_name = os.path.basename(os.path.abspath(src))
     entries = list_tree(spark, src, work)
     files = files_of(entries)
@@ -82,30 +87,43 @@ def translate_folder(spark: SparkSession, src: str, dst: str, translator, settin
     copies = (blobs.filter(F.col("read_error").isNull()).select("path", "handler", F.col("content").alias("data"))
               .join(failed.distinct().withColumn("__bad", F.lit(True)), "path", "left")
               .filter(F.col("__bad") | ~built_in).select("path", "data"))
-    written = write_files(text_out.unionByName(copies).join(paths, "path").select("path_out", "data"), dst)
-    pk_ok = pres.parts.join(bad_pk, "path", "left_anti").join(paths, "path")
-    packed = work.materialize(write_packages(pk_ok, dst), "folder/packages")
-    lost = packed.filter(F.col("error").isNotNull())
-    # a package that can't be written goes out as it came (K7)
-    rescue = write_files(lost.select("path", "path_out").join(blobs.select("path", F.col("content").alias("data")), "path")
-                         .select("path_out", "data"), dst)
-    dirs = (translate_dir_paths(corpus.folders, root_name).filter(F.col("rel_dir") != "")
-            .select(F.col("dir_en").alias("dir_out")))
-    written = (written.unionByName(packed.filter(F.col("error").isNull()).select("path_out", "bytes", "error"))
-               .unionByName(rescue).unionByName(make_dirs(dirs, dst)))
-    written = work.materialize(written, "folder/written")
+    tree.write(plain_files(text_out.unionByName(copies).join(paths, "path")))
+    tree.write(zip_members(pres.parts.join(bad_pk, "path", "left_anti").join(paths, "path")))
+    dirs = translate_dir_paths(corpus.folders, root_name).filter(F.col("rel_dir") != "")
+    tree.write(plain_folders(dirs, "rel_dir", "dir_en", "rel_dir"))
+    first = work.materialize(tree.results(), "folder/first_writes")
+    lost = first.filter(~F.col("written") & F.col("kind").isin("file", "package"))
+    if lost.limit(1).count():       # K7 for writes: the original under its own name, in the translated folder or else in its own
+        tree.write(_rescued(first, lost, corpus.names, blobs, work))
+    last = Window.partitionBy("path", F.col("kind") == "dir").orderBy(F.desc("written"), "error")
+    written = work.materialize(tree.results().withColumn("r", F.row_number().over(last)).filter("r = 1").drop("r"), "folder/written")
+    tree.commit()
+    unwritten = (first.filter(F.col("error").isNotNull()).select("path", F.lit("write").alias("stage"), "error")
+                 .unionByName(written.filter(~F.col("written") & (F.col("kind") != "dir")).select("path", F.lit("lost").alias("stage"), "error")))
+    written = written.select("path_out", "bytes", F.when(~F.col("written"), F.col("error")).alias("error"))
     note = (corpus.files.filter(F.col("handler") == "layout")
             .select("path", F.lit("layout").alias("stage"), F.lit("pdf decoding not available; copied").alias("error")))
     if spans is not None:
         note = note.join(spans.select("path").distinct(), "path", "left_anti")
-    unwritten = (written.filter(F.col("error").isNotNull()).join(paths, "path_out")
-                 .select("path", F.lit("write").alias("stage"), "error")
-                 .unionByName(lost.select("path", F.lit("write").alias("stage"), "error")))
     errors = (corpus.errors.unionByName(pres.errors).unionByName(listing_errors(entries)).unionByName(unwritten)
               .unionByName(note))
     return FolderResult(written, corpus, errors, pres)
 
 
+def _rescued(first: DataFrame, lost: DataFrame, names: DataFrame, blobs: DataFrame, work: WorkDir) -> DataFrame:
+    """Members of the files that could not be written: their original bytes, and two names that no output has."""
+    split = lambda c: [F.regexp_extract(c, "(?s)^(.*)/[^/]*$", 1).alias("dir_en"), F.regexp_extract(c, "[^/]*$", 0).alias("n")]
+    own = lost.select("path").distinct().join(names.select("path", "dir_en", "rel_dir", "name"), "path")
+    taken = first.filter(F.col("written") & (F.col("kind") != "dir")).select(F.concat(F.lit("0"), "path_out").alias("path"), *split("path_out"))
+    asked = (taken.unionByName(own.select(F.concat(F.lit("1"), "path").alias("path"), "dir_en", F.col("name").alias("n")))
+             .unionByName(own.select(F.concat(F.lit("2"), "path").alias("path"), F.col("rel_dir").alias("dir_en"), F.col("name").alias("n"))))
+    given = unique_paths(asked.select("path", "dir_en", name_stem("n").alias("stem"), name_suffix("n").alias("suffix")), work)
+    given = given.filter(~F.col("path").startswith("0")).select(F.substring("path", 1, 1).alias("o"), F.expr("substring(path, 2)").alias("path"), "path_out")
+    targets = given.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("o", "path_out"))).alias("t")).select("path", F.col("t.path_out").alias("targets"))
+    return (blobs.select("path", F.col("content").alias("data")).join(targets, "path")
+            .select(F.lit("file").alias("kind"), "path", "targets", "data"))
+
+
 @dataclass
 class EstimateResult:
     breakdown: DataFrame   # path, name, ext, jp_chars (largest first)
