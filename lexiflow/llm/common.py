@@ -83,3 +83,20 @@ def unpack(blob: bytes, *types) -> list[np.ndarray]:
         out.append(np.frombuffer(raw, t, int(n) // np.dtype(t).itemsize, at))
         at += int(n)
     return out
+
+
+#: what this worker keeps from one task to the next, by owner
+_KEPT: dict = {}
+
+
+def kept(owner: str, of, make):
+    """``make()``, made once for each ``of`` in a worker; what another owner kept goes."""
+    if _KEPT.get("owner") != owner or _KEPT.get("of") is not of:
+        _KEPT.clear()
+        _KEPT.update(owner=owner, of=of, value=make())
+    return _KEPT["value"]
+
+
+def let_go() -> None:
+    """First call of a task of an operator that keeps nothing: a reused worker gives back what an earlier one kept."""
+    _KEPT.clear()

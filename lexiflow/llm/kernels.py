@@ -11,7 +11,6 @@ that must be exact compares the bytes themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +34,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    inv = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: BASE**i and BASE**-i for i < n: one table, remade when a longer one is asked for; beyond KEEP it isn't kept
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+KEEP = (4 << 20) + (1 << 16)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n (or more)."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(1 << 16, min(n + n // 4, max(n, KEEP)))
     out = []
     with np.errstate(over="ignore"):
-        for b in (BASE, inv):
-            p = np.full(n, b, np.uint64)
+        for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+            p = np.full(size, b, np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p))
+            out.append(np.cumprod(p, out=p))
+    if size <= KEEP:
+        _POWERS[:] = out
     return out[0], out[1]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    return _powers(max(16, int(n - 1).bit_length()))
-
-
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """S with S[j] - S[i] = BASE**i * hash(buf[i:j])."""
     p, _ = powers(len(buf) + 1)

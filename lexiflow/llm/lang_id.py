@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm import kernels as K
-from lexiflow.llm.common import partitions, written
+from lexiflow.llm.common import kept, partitions, written
 
 #: strings and costs of one part
 MAX_GRAMS, MAX_CELLS = 1_000_000, 16_000_000
@@ -254,16 +254,9 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Le
     return Learned(counts, langs, root, deal(units, seen, sum(whole), MAX_GRAMS, MAX_CELLS))
 
 
-#: the part whose costs this worker has
-_READY: dict = {}
-
-
 def _ready(sent) -> Model | None:
     """The model of a broadcast part, made once in a worker."""
-    if _READY.get("of") is not sent:
-        _READY.clear()
-        _READY.update(of=sent, model=None if sent.value is None else Model(*sent.value))
-    return _READY["model"]
+    return kept("language", sent, lambda: None if sent.value is None else Model(*sent.value))
 
 
 def _letters(column: pa.Array, buf: np.ndarray, off: np.ndarray) -> np.ndarray:

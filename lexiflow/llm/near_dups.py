@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm import kernels as K
-from lexiflow.llm.common import LAST_ID, Scratch, partitions, written
+from lexiflow.llm.common import LAST_ID, Scratch, let_go, partitions, written
 from lexiflow.llm.repeats import ID, TH, keyed, shared_values
 
 SHINGLE, HASHES, CHUNKS, DISTANCE = 5, 64, 16, 31
@@ -87,6 +87,7 @@ def _signatures(batches):
     """(id, th, text) -> size, two sums of the set, and the 64 minima."""
     schema = pa.schema([(ID, pa.int64()), (TH, pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
                         ("sig", pa.binary())])
+    let_go()
     for batch in batches:
         for part in K.slices(batch, "t", 1 << 20):
             sets = list(_row_shingles(part, 2))

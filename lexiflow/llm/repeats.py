@@ -15,7 +15,9 @@ compares the windows of one bucket.
    those of the smallest id are repeats.  One travels on to the bucket of its
    minimiser.  A minimiser with very many holders (``hot``) is dealt by whole
    windows instead of by runs, so its bucket splits exactly.
-3. *Buckets.*  Windows are compared exactly and each gets the smallest id.
+3. *Buckets.*  Windows are compared exactly and each gets the smallest id.  A bucket is compared in
+   runs of whole minimisers of some MB, so memory follows that size and not the bucket's; a single minimiser over
+   it (periodic texts) is compared by its distinct windows, fragment by fragment.
 4. *Rows.*  Spans go back to their rows (the second join, on the same exchange).
 
 Rows are told apart by id and a 32-bit hash of the text: rows equal in both have
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm import kernels as K
-from lexiflow.llm.common import LAST_ID, pack, partitions, unpack, written
+from lexiflow.llm.common import LAST_ID, let_go, pack, partitions, unpack, written
 
 #: so many hot minimisers at most are named (8 bytes each), those with the most holders first
 MOST_HOT = 1_000_000
@@ -51,6 +53,8 @@ class Unit:
     #: bytes of text that a task gathers before it sends, and bytes that one numpy pass covers; limits of memory only
     chunk: int = 8 << 20
     piece: int = 1 << 20
+    #: bytes of fragments that a bucket compares at once (whole minimisers, or classes of windows of a larger one)
+    part: int = 2 << 20
     #: from this number of holders on, a minimiser is dealt by windows; only the bucket changes, never the result
     hot: int = 2000
 
@@ -84,6 +88,7 @@ def _find_runs(unit: Unit, buf: np.ndarray, off: np.ndarray):
 def _chunks(unit: Unit, batches: Iterator[pa.RecordBatch], column: str, take: Callable) -> Iterator[list]:
     """``take(slice)`` of consecutive slices, gathered up to ``chunk`` bytes of text."""
     got, size = [], 0
+    let_go()
     for batch in batches:
         for part in K.slices(batch, column, unit.piece):
             one = take(part)
@@ -326,53 +331,140 @@ def _solve(unit: Unit):
                 continue
             got = [unpack(p, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint8) for p in blobs]
             h, ids, th, start, size, ln, byte = (_join(got, i) for i in range(7))
-            del got
-            with np.errstate(over="ignore"):
-                at = np.cumsum(ln) - ln
-                s = K.prefix_hash(byte)
-                fh = K.span_hash(s, at, at + ln)
-                o = np.lexsort((ids, ln, fh, h))
-                h, ids, th, start, size, ln, fh, at = (x[o] for x in (h, ids, th, start, size.astype(np.int64), ln, fh, at))
-                new = np.append(True, (h[1:] != h[:-1]) | (fh[1:] != fh[:-1]) | (ln[1:] != ln[:-1]))
-                new |= ~equal_bytes(byte, at, at[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))], ln)
-                rep = np.flatnonzero(new)                 # the least id of its class, as ids sort last
-                cls = np.cumsum(new) - 1
-                key_new = np.append(True, h[rep][1:] != h[rep][:-1])
-                classes = np.bincount(np.cumsum(key_new) - 1)
-                multi = (classes > 1)[np.cumsum(key_new) - 1]  # by class
-                # one class: every window of it is in each of its rows
-                best = ids[rep][cls]
-                alone = ~multi[cls] & (ids > best)
-                yield from _by_row(ids[alone], th[alone], start[alone],
-                                   start[alone] + (size[alone] + unit.window - 1).astype(np.uint32))
-                m = rep[multi]
-                if not len(m):
-                    continue
-                label = unit.solve(byte, s, at[m], ln[m], size[m], h[m])
-                # least id of each window, then of each window of each member
-                _, label = np.unique(label, return_inverse=True)
-                least = np.full(int(label.max()) + 1, LAST_ID)
-                np.minimum.at(least, label, np.repeat(ids[m], size[m]))
-                win0 = np.zeros(len(rep), np.int64)
-                win0[multi] = np.cumsum(size[m]) - size[m]
-                mem = np.flatnonzero(multi[cls])
-                for i in range(0, len(mem), 1 << 15):
-                    j = mem[i: i + (1 << 15)]
-                    w = K.ranges(win0[cls[j]], size[j])
-                    of = np.repeat(np.arange(len(j)), size[j])
-                    flag = least[label[w]] < ids[j][of]
-                    k = np.flatnonzero(flag)
-                    if not len(k):
-                        continue
-                    brk = np.append(True, (k[1:] != k[:-1] + 1) | (of[k][1:] != of[k][:-1]))
-                    a, b = k[brk], k[np.append(np.flatnonzero(brk)[1:] - 1, len(k) - 1)]
-                    f = of[a]
-                    shift = start[j][f].astype(np.int64) - (np.cumsum(size[j]) - size[j])[f]
-                    yield from _by_row(ids[j][f], th[j][f], (a + shift).astype(np.uint32),
-                                       (b + shift + unit.window).astype(np.uint32))
+            del got, blobs
+            at = np.cumsum(ln) - ln
+            for large, i in _parts(h, ln, unit.part):
+                if large:
+                    yield from _solve_large(unit, ids[i], th[i], start[i], size[i], at[i], ln[i], byte)
+                else:
+                    yield from _solve_part(unit, h[i], ids[i], th[i], start[i], size[i], ln[i], byte[K.ranges(at[i], ln[i])])
     return run
 
 
+def _parts(h: np.ndarray, ln: np.ndarray, most: int) -> Iterator[tuple[bool, np.ndarray]]:
+    """Fragments of consecutive minimisers, about ``most`` bytes at a time; a minimiser with more comes alone (True)."""
+    key, inv = np.unique(h, return_inverse=True)
+    held = np.bincount(inv, ln, len(key))
+    large = held > most
+    calm = np.where(large, 0, held)
+    part = ((np.cumsum(calm) - calm) // most).astype(np.int64)
+    part[large] = int(part.max(initial=0)) + 1 + np.arange(int(large.sum()))
+    of = part[inv]
+    o = np.argsort(of, kind="stable")
+    cut = np.flatnonzero(np.append(True, of[o][1:] != of[o][:-1])) if len(o) else o
+    for a, b in zip(cut, np.append(cut[1:], len(o))):
+        yield bool(large[inv[o[a]]]), o[a:b]
+
+
+def _solve_part(unit: Unit, h, ids, th, start, size, ln, byte) -> Iterator[pa.RecordBatch]:
+    """Spans by row of fragments of whole minimisers."""
+    with np.errstate(over="ignore"):
+        at = np.cumsum(ln) - ln
+        s = K.prefix_hash(byte)
+        fh = K.span_hash(s, at, at + ln)
+        o = np.lexsort((ids, ln, fh, h))
+        h, ids, th, start, size, ln, fh, at = (x[o] for x in (h, ids, th, start, size.astype(np.int64), ln, fh, at))
+        new = np.append(True, (h[1:] != h[:-1]) | (fh[1:] != fh[:-1]) | (ln[1:] != ln[:-1]))
+        new |= ~equal_bytes(byte, at, at[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))], ln)
+        rep = np.flatnonzero(new)                 # the least id of its class, as ids sort last
+        cls = np.cumsum(new) - 1
+        key_new = np.append(True, h[rep][1:] != h[rep][:-1])
+        classes = np.bincount(np.cumsum(key_new) - 1)
+        multi = (classes > 1)[np.cumsum(key_new) - 1]  # by class
+        # one class: every window of it is in each of its rows
+        best = ids[rep][cls]
+        alone = ~multi[cls] & (ids > best)
+        yield from _by_row(ids[alone], th[alone], start[alone],
+                           start[alone] + (size[alone] + unit.window - 1).astype(np.uint32))
+        m = rep[multi]
+        if not len(m):
+            return
+        label = unit.solve(byte, s, at[m], ln[m], size[m], h[m])
+        # least id of each window, then of each window of each member
+        _, label = np.unique(label, return_inverse=True)
+        least = np.full(int(label.max()) + 1, LAST_ID)
+        np.minimum.at(least, label, np.repeat(ids[m], size[m]))
+        win0 = np.zeros(len(rep), np.int64)
+        win0[multi] = np.cumsum(size[m]) - size[m]
+        mem = np.flatnonzero(multi[cls])
+        for i in range(0, len(mem), 1 << 15):
+            j = mem[i: i + (1 << 15)]
+            w = K.ranges(win0[cls[j]], size[j])
+            of = np.repeat(np.arange(len(j)), size[j])
+            yield from _flagged(unit, least[label[w]] < ids[j][of], of, ids[j], th[j], start[j], size[j])
+
+
+def _flagged(unit: Unit, flag, of, ids, th, start, size) -> Iterator[pa.RecordBatch]:
+    """Spans by row from a flag for each window of consecutive fragments; ``of``: the fragment of each window."""
+    k = np.flatnonzero(flag)
+    if not len(k):
+        return
+    brk = np.append(True, (k[1:] != k[:-1] + 1) | (of[k][1:] != of[k][:-1]))
+    a, b = k[brk], k[np.append(np.flatnonzero(brk)[1:] - 1, len(k) - 1)]
+    f = of[a]
+    size = size.astype(np.int64)
+    shift = start[f].astype(np.int64) - (np.cumsum(size) - size)[f]
+    yield from _by_row(ids[f], th[f], (a + shift).astype(np.uint32), (b + shift + unit.window).astype(np.uint32))
+
+
+def _solve_large(unit: Unit, ids, th, start, size, at, ln, byte) -> Iterator[pa.RecordBatch]:
+    """Spans by row of the fragments of one minimiser, whatever their size: each fragment's distinct windows are compared.
+
+    A minimiser in many places of one text (a text that repeats itself) makes fragments as long as the text; their distinct
+    windows are few.  Windows are known by hash and compared by bytes with the least row's and, in a fragment, with the first.
+    """
+    cuts = np.flatnonzero(np.append(True, np.diff(np.cumsum(ln) // unit.part) > 0))
+    pieces = [np.arange(a, b) for a, b in zip(cuts, np.append(cuts[1:], len(ln)))]
+    exact: dict[bytes, int] | None = None
+
+    def windows(i):
+        """(fragment, first byte, bytes, identity) of each window of the fragments i."""
+        for f in i:                                   # a fragment may be as long as a text: one at a time
+            buf = byte[at[f]: at[f] + ln[f]]
+            if unit.words:
+                ws, we, _ = K.words(buf, np.array([0, len(buf)]))
+                a, e = ws[: size[f]], we[unit.window - 1: unit.window - 1 + size[f]]
+            else:
+                a = np.arange(size[f])
+                e = a + unit.window
+            if exact is None:
+                h = K.span_hash(K.prefix_hash(buf), a, e)
+            else:
+                h = np.array([exact.setdefault(buf[x:y].tobytes(), len(exact)) for x, y in zip(a, e)], np.uint64)
+            yield f, a + at[f], e - a, h
+
+    with np.errstate(over="ignore"):
+        while True:
+            hs, of, first, width, sound = [], [], [], [], True
+            for i in pieces:
+                for f, a, w, h in windows(i):
+                    key, rep, inv = np.unique(h, return_index=True, return_inverse=True)
+                    sound &= exact is not None or bool((w == w[rep][inv]).all() and equal_bytes(byte, a, a[rep][inv], w).all())
+                    hs.append(key)
+                    of.append(np.full(len(key), f))
+                    first.append(a[rep])
+                    width.append(w[rep])
+            h, of, first, width = (np.concatenate(x) for x in (hs, of, first, width))
+            o = np.lexsort((ids[of], h))
+            new = np.append(True, h[o][1:] != h[o][:-1])
+            rep = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+            if exact is None:
+                sound &= bool((width[o] == width[rep]).all() and equal_bytes(byte, first[o], first[rep], width[o]).all())
+            if sound:
+                break
+            exact = {}                                # two strings of one hash: numbers of the strings themselves
+        late = ids[of[o]] > ids[of[rep]]
+        flagged = np.zeros(len(o), bool)
+        flagged[o] = late
+        edge = np.searchsorted(of, np.arange(len(ln) + 1))   # fragments lie in order
+        for i in pieces:
+            for f, _, _, own in windows(i):
+                x = slice(edge[f], edge[f + 1])
+                flag = flagged[x][np.searchsorted(h[x], own)]   # a fragment's windows are sorted by identity
+                one = slice(f, f + 1)
+                yield from _flagged(unit, flag, np.zeros(len(own), np.int64), ids[one], th[one], start[one], size[one])
+
+
 def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "b").sortWithinPartitions("known", "b")
 

@@ -65,7 +65,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "en", 1) for d, t in rows], SCHEMA).repartition(5)
 
 
-LIMITS = [{}, {"hot": 2}, {"hot": 3, "chunk": 500, "piece": 200}]
+LIMITS = [{}, {"hot": 2}, {"hot": 3, "chunk": 500, "piece": 200}, {"part": 1}, {"part": 600}, {"hot": 3, "part": 90}]
 
 
 @pytest.mark.parametrize("limits", LIMITS)
@@ -79,7 +79,7 @@ def test_bytes(spark, limits):
     assert sum(x[2] for x in got) > 1000
 
 
-@pytest.mark.parametrize("window,gram,limits", [(50, 8, {}), (6, 3, {"hot": 2}), (50, 8, LIMITS[2])])
+@pytest.mark.parametrize("window,gram,limits", [(50, 8, {}), (6, 3, {"hot": 2}), (50, 8, LIMITS[2]), (50, 8, LIMITS[3]), (6, 3, LIMITS[4])])
 def test_words(spark, window, gram, limits):
     rows = corpus()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept)
@@ -100,3 +100,44 @@ def test_text_is_cut_and_columns_stay(spark):
     rows = [(1, "é" * 60), (2, "é" * 60), (3, "a" + "é" * 60), (4, None), (5, "")]
     got = {r.doc_id: (r.text, r.lang, r["__lf_x"]) for r in without_repeats(frame(spark, rows)).collect()}
     assert got == {1: ("é" * 60, "en", 1), 3: ("a", "en", 1), 4: (None, "en", 1), 5: ("", "en", 1)}
+
+
+def test_texts_that_repeat_themselves(spark):
+    rows = [(1, "ab" * 700), (2, "x" + "ab" * 900 + "y"), (3, "c" * 5000), (4, "c" * 60 + "d" + "c" * 60), (5, ("q" * 30 + "r") * 60), (6, ("q" * 30 + "r") * 9)]
+    for limits in ({"part": 100}, {}):
+        got = {r.doc_id: (r.n_bytes, len(r.kept), len(r.spans)) for r in remove_repeated_bytes(frame(spark, rows), **limits).collect()}
+        assert got == {d: (len(u), len(u) - sum(g), spans(g)) for d, u, g in brute(rows, 50, lambda t: t.encode())}
+
+
+BUCKET = """
+import resource, sys
+import numpy as np
+from lexiflow.llm import repeats, suffix_repeats, word_repeats
+from lexiflow.llm.common import pack
+import pyarrow as pa
+unit, kind = (suffix_repeats, 80) if sys.argv[1] == "bytes" else (word_repeats, 400)
+unit, r = unit.unit(), np.random.default_rng(1)
+n = (64 << 20) // kind
+base = r.integers(97, 123, (n // 4, kind)).astype(np.uint8)
+if unit.words:
+    base[:, 4::5] = 32
+byte = base[r.integers(0, n // 4, n)]
+byte[np.arange(n), r.integers(0, kind // 5, n) * 5] = 65
+size = 31 if not unit.words else kind // 5 - 49
+h = r.integers(0, 40_000, n).astype(np.uint32)
+blob = pack(h, np.arange(n, dtype=np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint32), np.full(n, size, np.uint32), np.full(n, kind, np.int64), byte.ravel())
+batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([False]), pa.array([blob], pa.binary())], ["b", "known", "p"])
+del byte, base, h, blob
+print(sum(x.num_rows for x in repeats._solve(unit)(iter([batch]))), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_a_bucket_of_64_mb_is_solved_in_bounded_memory(kind):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", BUCKET, kind], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=600)
+    rows, peak = map(int, out.stdout.split()[-2:])
+    assert rows > 0 and peak < 700, (rows, peak, out.stderr[-500:])
