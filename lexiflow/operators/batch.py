@@ -67,9 +67,12 @@ def missing_positions(zipped: DataFrame) -> DataFrame:
 def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                     work: WorkDir | None = None, name: str = "batch",
                     memory: DataFrame | None = None, memory_key: tuple[str, ...] = ("context", "text"),
-                    isolate: str = "scope") -> BatchResult:
+                    isolate: str = "scope", contexts: DataFrame | None = None) -> BatchResult:
     """T1 over a units table (``scope, ord, text, context``).
 
+    ``contexts`` (optional): ``scope, context``, one row per scope; the units then need no context, and it is joined
+    to the distinct units only.
+
     ``memory`` (optional): stored translations (``context, text, text_en``).
     Unique units found there are answered from it (``how = 'memory'``) and
     never reach the model; only new strings are packed and sent.
@@ -78,7 +81,13 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     (the caller's unit is a file, copied as a whole).  ``chunk``: only its own strings.
     """
     work = work or work_dir(units.sparkSession)
-    uu_all = work.materialize(dedup_units(units, settings), f"{name}/unique_units")
+    if contexts is None:
+        distinct = dedup_units(units, settings)
+    else:
+        distinct = dedup_units(units.select("scope", "ord", "text", F.lit(None).cast("string").alias("context")), settings)
+        own = distinct.columns
+        distinct = distinct.drop("context").join(contexts.select("scope", "context"), "scope", "left").select(*own)
+    uu_all = work.materialize(distinct, f"{name}/unique_units")
     known = None
     uu = uu_all
     if memory is not None:

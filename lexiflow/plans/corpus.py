@@ -27,7 +27,7 @@ from ..operators.batch import BatchResult, batch_translate
 from ..operators.layout import layout_lines, layout_style, layout_units
 from ..operators.names import translate_dir_paths, translate_file_names, translate_folders, unique_paths
 from ..operators.rebuild import apply_and_rebuild, csv_text, rebuild_csv_rows
-from ..operators.routing import handler_of
+from ..operators.routing import TEXT_HANDLERS, handler_of, text_handlers
 from ..session import WorkDir, work_dir
 from ..sources.csv_cells import cell_units, csv_cells, csv_errors
 from ..sources.text import explode_lines
@@ -64,49 +64,56 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
     dirs = translate_dir_paths(folders, root_name)
     named = work.materialize(translate_file_names(meta, dirs, translator, settings, work), "corpus/files")
 
-    src = (files.select("path", "ext", "text").join(named.select("path", "name_en", "folder_context"), "path")
-           .withColumn("handler", handler_of("ext"))
-           .withColumn("context", document_context("name_en", "folder_context")))
-
-    lines = explode_lines(src.filter(F.col("handler") == "lines").select("path", "context", "text"),
-                          "text", keep=["path", "context"]).withColumn("scope", F.col("path"))
+    # the texts stay where they are: names and contexts are joined to what is small, the distinct units and the results
+    src = files.select("path", "text", handler_of("ext").alias("handler"))
+    contexts = named.select(F.col("path").alias("scope"), document_context("name_en", "folder_context").alias("context"))
+    lines = explode_lines(src.filter(F.col("handler") == "lines").select("path", "text"), "text", keep=["path"]).withColumn("scope", F.col("path"))
     # the parse is read by the units, the errors and the rebuild: written once
     cells = work.materialize(csv_cells(src.filter(F.col("handler") == "csv").select("path", "text")), "corpus/cells")
-    bad_csv = csv_errors(cells)
-    cell_u = (cell_units(cells).drop("context").join(src.select("path", "context"), "path")
-              .join(bad_csv.select("path"), "path", "left_anti"))
-    units = (lines.select("scope", "ord", "text", "context")
-             .unionByName(cell_u.select("scope", "ord", "text", "context")))
+    bad_parse = csv_errors(cells)
+    own = {}
+    for h in TEXT_HANDLERS.values():
+        rows = work.materialize(h.units(src.filter(F.col("handler") == h.name).select("path", "text")), f"corpus/units-{h.name}")
+        own[h.name] = rows
+        if "error" in rows.columns:
+            bad_parse = bad_parse.unionByName(rows.filter(F.col("error").isNotNull()).groupBy("path").agg(F.min("error").alias("error"))
+                                              .select("path", F.lit("parse").alias("stage"), "error"))
+    whole = lambda df: df.join(bad_parse.select("path"), "path", "left_anti").withColumn("scope", F.col("path"))
+    units = lines.select("scope", "ord", "text").unionByName(whole(cell_units(cells)).select("scope", "ord", "text"))
+    for rows in own.values():
+        units = units.unionByName(whole(rows).filter(F.col("text").isNotNull()).select("scope", F.col("ord").cast("bigint").alias("ord"), "text"))
     lay = None
     if spans is not None:
         ctx = named.select("path", document_context("name_en", "folder_context").alias("__ctx"))
         laid = layout_lines(spans, max_pages=max_pages).join(ctx, "path")
         lay = work.materialize(layout_units(laid, F.col("__ctx")), "corpus/layout")
-        units = units.unionByName(lay.select("scope", "ord", "text", "context"))
-    batch = batch_translate(units, translator, settings, work, "corpus/content")
+        units = units.unionByName(lay.select("scope", "ord", "text"))
+        contexts = contexts.unionByName(lay.groupBy("scope").agg(F.min("context").alias("context")))
+    batch = batch_translate(units, translator, settings, work, "corpus/content", contexts=contexts)
 
-    text_out = apply_and_rebuild(lines.withColumn("scope", F.col("path")), batch.translations, "scope", "text") \
-        .withColumnRenamed("scope", "path")
-    cell_all = cells.join(bad_csv.select("path"), "path", "left_anti").withColumn("scope", F.col("path"))
-    csv_out = (rebuild_csv_rows(apply_translations(cell_all, batch.translations).withColumn(
+    rebuilt = apply_and_rebuild(lines, batch.translations, "scope", "text").withColumnRenamed("scope", "path")
+    csv_out = (rebuild_csv_rows(apply_translations(whole(cells), batch.translations).withColumn(
         "text_out", F.coalesce("text_out", "text")), "path")
         .select("path", csv_text("rows").alias("text")))
-    rebuilt = text_out.unionByName(csv_out)
+    rebuilt = rebuilt.unionByName(csv_out)
+    for name, rows in own.items():
+        rebuilt = rebuilt.unionByName(TEXT_HANDLERS[name].rebuild(apply_translations(whole(rows), batch.translations).drop("how", "scope"))
+                                      .select("path", "text"))
 
     # a layout scope is path#page
     of = F.col("scope") if spans is None else F.regexp_replace("scope", r"#\d+$", "")
-    failed = batch.errors.select(of.alias("path"), "stage", "error").unionByName(bad_csv)
+    failed = batch.errors.select(of.alias("path"), "stage", "error").unionByName(bad_parse)
     if input_errors is not None:
         failed = failed.unionByName(input_errors.select("path", "stage", "error"))
     bad = work.materialize(failed.select("path").distinct().withColumn("failed", F.lit(True)), "corpus/failed")
     # the original text is fetched again only for failed files (K7); others carry the rebuilt text
-    originals = src.select("path", F.col("text").alias("original")).join(bad.select("path"), "path", "left_semi")
+    originals = files.select("path", F.col("text").alias("original")).join(bad.select("path"), "path", "left_semi")
     out = (named.select("path", handler_of("ext").alias("handler"))
            .join(rebuilt, "path", "left")
            .join(bad, "path", "left")
            .join(originals, "path", "left")
            .join(final_paths(named, bad, work), "path"))
-    is_text = F.col("handler").isin("lines", "csv")
+    is_text = F.col("handler").isin(text_handlers())
     out = out.select(
         "path", "path_out", "handler",
         F.when(F.col("failed"), "error").when(is_text, "ok").otherwise(F.col("handler")).alias("status"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import document_context, name_stem, name_suffix
-from ..operators.routing import handler_of
+from ..operators.routing import TEXT_HANDLERS, handler_of, text_handlers
 from ..session import WorkDir, work_dir
 from ..sinks.files import FileTree, files as plain_files, folders as plain_folders, packages as zip_members
 from ..sources.files import archive_parts, files_of, folders_of, list_tree, listing_errors, read_bytes
@@ -62,9 +62,10 @@ def _translate_into(tree: FileTree, spark: SparkSession, src: str, translator, s
     unread = blobs.filter(F.col("read_error").isNotNull()).select("path", F.lit("read").alias("stage"),
                                                                   F.col("read_error").alias("error"))
     # charset detection is the slowest step and its result is read several times: written once
-    texts = work.materialize(decode_files(blobs.filter(F.col("handler").isin("lines", "csv") & F.col("read_error").isNull())
-                                          .select("path", "content")).select("path", "text"), "folder/texts")
-    meta = blobs.select("path", "rel_dir", "name", "stem", "suffix", "ext").join(texts, "path", "left")
+    known = ["path", "rel_dir", "name", "stem", "suffix", "ext"]
+    decoded = F.col("handler").isin(text_handlers()) & F.col("read_error").isNull()
+    texts = decode_files(blobs.filter(decoded).select(*known, "content"), keep=known).select(*known, "text")
+    meta = work.materialize(texts.unionByName(blobs.filter(~decoded).select(*known, F.lit(None).cast("string").alias("text"))), "folder/texts")
     corpus = translate_corpus(meta, root_name, translator, settings, work, spans, max_pages, unread,
                               folders_of(entries).select(F.col("path").alias("rel_dir")))
 
@@ -80,9 +81,9 @@ def _translate_into(tree: FileTree, spark: SparkSession, src: str, translator, s
     failed = corpus.failed.select("path").unionByName(bad_pk)
     paths = work.materialize(final_paths(corpus.names, failed, work), "folder/paths")
 
-    text_out = (corpus.files.filter(F.col("handler").isin("lines", "csv") & (F.col("status") == "ok"))
+    text_out = (corpus.files.filter(F.col("handler").isin(text_handlers()) & (F.col("status") == "ok"))
                 .select("path", F.encode("text", "UTF-8").alias("data")))
-    built_in = F.col("handler").isin("lines", "csv", "docx", "xlsx")
+    built_in = F.col("handler").isin(*text_handlers(), "docx", "xlsx")
     # copies: other handlers, and every file whose content stage failed; never a file that could not be read
     copies = (blobs.filter(F.col("read_error").isNull()).select("path", "handler", F.col("content").alias("data"))
               .join(failed.distinct().withColumn("__bad", F.lit(True)), "path", "left")
@@ -148,9 +149,9 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     work = work or work_dir(spark)
     entries = list_tree(spark, src, work)
     files = files_of(entries).withColumn("handler", handler_of("ext"))
-    read = F.col("handler").isin("lines", "csv", "docx", "xlsx")      # no other file's bytes are looked at
+    read = F.col("handler").isin(*text_handlers(), "docx", "xlsx")      # no other file's bytes are looked at
     blobs = work.materialize(read_bytes(files.filter(is_supported("ext") & read), src), "estimate/bytes")
-    texts = decode_files(blobs.filter(F.col("handler").isin("lines", "csv")).select("path", "content")) \
+    texts = decode_files(blobs.filter(F.col("handler").isin(text_handlers())).select("path", "content")) \
         .join(blobs.select("path", "handler"), "path")
     u_lines = explode_lines(texts.filter(F.col("handler") == "lines"), "text", keep=["path"]).select("path", "text")
     u_csv = csv_cells(texts.filter(F.col("handler") == "csv").select("path", "text")) \
@@ -160,6 +161,9 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     pu = package_units(p, settings)
     u_pk = pu.units.filter(~F.col("scope").endswith("\u0001tabs")).select(scope_path("scope").alias("path"), "text")
     units = u_lines.unionByName(u_csv).unionByName(u_pk)
+    for h in TEXT_HANDLERS.values():
+        units = units.unionByName(h.units(texts.filter(F.col("handler") == h.name).select("path", "text"))
+                                  .filter(F.col("text").isNotNull()).select("path", "text"))
     if spans is not None:   # the layout lines that the run would read, within the page limit (Q16)
         from ..operators.layout import layout_lines
         units = units.unionByName(layout_lines(spans, max_pages=max_pages).select("path", "text"))

@@ -2,10 +2,10 @@
 
 A table written as one file with one row group is scanned by a single task,
 and every per-row step before the first shuffle (line splitting, regex
-filters, explode) then runs on one core.  When the scan has fewer splits
-than the cluster's default parallelism, the rows are hash-partitioned on
-the table's key (deterministic under task retry).  On a large input the
-scan already has thousands of splits and nothing is added.
+filters, explode) then runs on one core.  A *small* table (under ``SMALL`` bytes) whose scan has
+fewer splits than the cluster's default parallelism is hash-partitioned on
+its key (deterministic under task retry).  A larger table is never moved for this: its scan is split by
+``spark.sql.files.maxPartitionBytes`` and by its row groups.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: estimated bytes up to which a table is dealt anew
+SMALL = 1 << 30
+
+
 def spread(df: DataFrame, key: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
-    if have >= want:
+    if have >= want or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         return df
     return df.repartition(want, *key) if key else df.repartition(want)
 

@@ -76,19 +76,20 @@ def _decode(data: bytes) -> tuple[str, str]:
     return enc, text
 
 
-def decode_files(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """S3: ``path, content BINARY`` -> ``path, encoding, text``.
+def decode_files(files: DataFrame, content_col: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """S3: ``path, content BINARY`` -> ``path, encoding, text`` (``keep``: these columns instead of ``path``).
 
     Runs per Arrow batch, so one task decodes many files; the bytes never go
     through a shuffle.
     """
-    schema = T.StructType([T.StructField("path", T.StringType()),
+    keep = keep or ["path"]
+    schema = T.StructType([*(files.schema[c] for c in keep),
                            T.StructField("encoding", T.StringType()),
                            T.StructField("text", T.StringType())])
 
     def run(batches):
         for pdf in batches:
-            out = [(p, *_decode(bytes(b) if b is not None else b"")) for p, b in zip(pdf["path"], pdf[content_col])]
-            yield pd.DataFrame(out, columns=["path", "encoding", "text"])
+            out = [_decode(bytes(b) if b is not None else b"") for b in pdf[content_col]]
+            yield pdf[keep].assign(encoding=[o[0] for o in out], text=[o[1] for o in out])
 
-    return files.select("path", content_col).mapInPandas(run, schema)
+    return files.select(*keep, content_col).mapInPandas(run, schema)
