@@ -36,8 +36,8 @@ from lexiflow.llm import kernels as K
 from lexiflow.llm.common import written
 from lexiflow.llm.quality import sample_of_labels
 
-#: labelled rows that learning takes at most, terms that are counted, terms of a lexicon, and forms that are excepted
-MAX_ROWS, MAX_COUNTED, MAX_TERMS, MAX_FORMS = 20_000, 50_000, 2_000, 20_000
+#: labelled rows that learning takes at most; they bound the terms that are counted, the lexicon and the forms that are excepted
+MAX_ROWS = 20_000
 STEMS, WINDOW, FUZZY_LENGTH, MEMO = (4, 5, 6), 5, 5, 300_000
 _STRIP = string.punctuation + "“”„«»‘’‚…¡¿–—"
 _QUOTE = set("\"“”„«»")
@@ -204,7 +204,7 @@ def features(text: str, memo: _Memo) -> tuple[list[float], list[str]]:
 
 def _terms(text: str) -> set[str]:
     words = {t.strip(_STRIP).lower() for t in set(text.split())} - {""}
-    return {"w" + w for w in words if len(w) <= 64} | {"p" + w[:n] for w in words for n in STEMS if len(w) >= n}
+    return {"w" + w for w in words} | {"p" + w[:n] for w in words for n in STEMS if len(w) >= n}
 
 
 def _count(only):
@@ -229,7 +229,7 @@ def _describe(lexicon):
         for batch in batches:
             got = [features(t.as_py() or "", memo) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.float64())),
-                                              pa.array([g[1][:100] for g in got], pa.list_(pa.string()))], ["y", "x", "forms"])
+                                              pa.array([g[1] for g in got], pa.list_(pa.string()))], ["y", "x", "forms"])
     return run
 
 
@@ -278,18 +278,17 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, rows, max_rows: in
         return Model(Lexicon([], [], {}), np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(len(NAMES)), math.log(p / (1 - p)))
     least = max(3, math.ceil(0.005 * toxic))
     frequent = (sample.where("y = 1").select("t").mapInArrow(_count(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-                .where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_COUNTED).collect())
+                .where(F.col("n") >= least).collect())          # each in ``least`` of the toxic rows
     terms = spark.sparkContext.broadcast({r.term for r in frequent})
     other = {r.term: r.n for r in (sample.where("y <> 1").select("t").mapInArrow(_count(terms), "term string, n long")
-                                   .groupBy("term").agg(F.sum("n").alias("n")).collect())}       # MAX_COUNTED at most
+                                   .groupBy("term").agg(F.sum("n").alias("n")).collect())}       # of those only
     odds = {r.term: math.log((r.n + 0.5) / (toxic + 1)) - math.log((other.get(r.term, 0) + 0.5) / (clean + 1)) for r in frequent}
-    strong = sorted(((w, t) for t, w in odds.items() if w >= math.log(10)), key=lambda p: (-p[0], p[1]))[:MAX_TERMS]
+    strong = sorted(((w, t) for t, w in odds.items() if w >= math.log(10)), key=lambda p: (-p[0], p[1]))
     words = [(t[1:], w) for w, t in strong if t[0] == "w"]
     stems = {t[1:]: w for w, t in strong if t[0] == "p"}
     lexicon = Lexicon([t for t, _ in words], [w for _, w in words], stems)
     first = sample.mapInArrow(_describe(spark.sparkContext.broadcast(lexicon)), "y int, x array<double>, forms array<string>")
-    forms = (first.where("y <> 1").select(F.explode("forms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "w").limit(MAX_FORMS).collect())
+    forms = (first.where("y <> 1").select(F.explode("forms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect())
     lexicon.forms = {r.w for r in forms}
     got = sample.mapInArrow(_describe(spark.sparkContext.broadcast(lexicon)), "y int, x array<double>, forms array<string>").select("y", "x").toArrow()
     y = (got.column("y").to_numpy() == 1).astype(np.float64)
