@@ -237,12 +237,15 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None
     each = own.mapInArrow(_distinct(keep), "v binary, dim int, ids array<long>")
     entry = written(each.groupBy("v", "dim").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
                                                  .alias("ids")).withColumn("did", F.monotonically_increasing_id()), "entries")
-    schema = "query_id long, rank int, vec_id long, score double"
-    dims = entry.groupBy("dim").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "dim").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], schema)
-    dim, count = dims[0]
-    entry = entry.where(F.col("dim") == dim)
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # vectors of different lengths have no cosine: each length is a search of its own
+    for dim, count in entry.groupBy("dim").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "dim").collect():
+        found = found.unionByName(_nearest_of_length(own, entry.where(F.col("dim") == dim), dim, count, every, k, probes, seed))
+    return found
+
+
+def _nearest_of_length(own: DataFrame, entry: DataFrame, dim: int, count: int, every: int, k: int, probes: int | None, seed: int) -> DataFrame:
+    spark, n, keep = own.sparkSession, partitions(own.sparkSession), k + 1
     # every query row, by entry (a query's id need not be among the smallest of its vector)
     asked = (own.where((F.col("id") % every) == 0).mapInArrow(_queries, "id long, v binary").distinct()
              .join(entry.select("v", "did"), "v").select("id", "did"))
