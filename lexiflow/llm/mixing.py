@@ -86,9 +86,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     kept = docs.columns if keep else [id_col]
     base = written(docs.select(*kept, F.monotonically_increasing_id().alias("__lf_uid"), size.alias("__lf_size"),
-                               F.col(id_col).alias("__lf_id"), F.col(source_col).alias("__lf_source")), "mix")
+                               F.col(id_col).alias("__lf_id"), F.col(source_col).alias("__lf_source"),
+                               F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("__lf_mark")), "mix")
     d = base.select(F.col("__lf_uid").alias("uid"), F.col("__lf_id").alias("id"), F.col("__lf_source").alias("source"),
-                    F.col("__lf_size").alias("size"))
+                    F.col("__lf_size").alias("size"), F.col("__lf_mark").alias("mark"))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     every = Window.partitionBy(F.lit(0))
@@ -97,7 +98,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     quotas = written(quotas, "quotas")           # one row per source
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     d = (d.join(quotas.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-         .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), shards)))
+         .withColumn("shard", F.pmod("mark", shards)))       # ids may be null or repeat: the text tells rows apart
     of_shard = d.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("words"))
     got = sainte_lague(of_shard, ["source"], ["shard"], "words", "blocks", "q")
     got = (got.withColumn("__n", F.ceil(F.col("words") / block)).where("__n > 0")
@@ -105,7 +106,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
            .withColumn("__full", F.floor(F.col("__q") / F.col("__n"))).withColumn("__r", F.col("__q") % F.col("__n"))
            .withColumn("__u", F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), F.col("__n")))
            .select(F.col("source").alias("s"), F.col("shard").alias("h"), "__n", "__full", "__r", "__u"))
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 2)), "id", "size").rowsBetween(
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("mark", F.lit(seed + 2)), "id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = d.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
     taken = (placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")), "left")
@@ -113,7 +114,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                                              - _upto(F.col("start"), block), F.lit(0)).cast("long"))
              .select(F.col("uid").alias("__lf_uid"), F.col("source_size").alias("__lf_source_size"),
                      F.col("target").alias("__lf_target"), F.col("taken").alias("__lf_taken")))
-    return base.drop("__lf_id", "__lf_source").join(taken, "__lf_uid").drop("__lf_uid")
+    return base.drop("__lf_id", "__lf_source", "__lf_mark").join(taken, "__lf_uid").drop("__lf_uid")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
