@@ -17,7 +17,9 @@ alike.  All items at or above the threshold come back.  Then question and answer
 The index of one pass takes at most ``INDEX_BYTES`` of item text (checked); a larger
 benchmark is dealt over several passes by a hash of the item id, and their findings unite.
 
-Items of fewer than ``LEAST_TERMS`` terms are found where a text has exactly their terms in a row (score 1).
+Items of fewer than ``LEAST_TERMS`` terms are found where a text has exactly their terms in a row (score 1), if these hold
+``LEAST_BYTES`` bytes or more: a name or a common phrase alone is no evidence of a leak.  ``unsearchable`` lists the
+items that are not searched.
 
 Defined cases: null or empty text has no passages and is clean; items that are null
 or have no term are not searched; a null
@@ -43,6 +45,8 @@ from lexiflow.llm.common import partitions, written
 #: item text of one index, the terms an indexed item has at least, items of a block at least, blocks at most
 INDEX_BYTES, LEAST_TERMS, BLOCK, MAX_BLOCKS = 4 << 20, 5, 8, 64
 SCORE, OVERLAP, RUN = 0.6, 0.6, 3
+#: UTF-8 bytes that the terms of a short item hold at least: of one term, of more
+LEAST_BYTES = (12, 7)
 K1, B = 1.2, 0.75
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
@@ -145,12 +149,21 @@ def build(ids: list, texts: list) -> Index | None:
                  [np.unique(_runs_of(x[c:])) for x, c in zip(own, cut)], int(size.max()))
 
 
+def _held_bytes(text: str) -> int:
+    """Bytes of a text's terms: what is left without blanks and punctuation."""
+    return len("".join(c for c in text if (c.isalnum() if c < "\x80" else unicodedata.category(c)[0] not in "PZ")).encode())
+
+
+def _too_short(text: str, n: int) -> bool:
+    return n < LEAST_TERMS and _held_bytes(text) < LEAST_BYTES[n > 1]
+
+
 def build_short(ids: list, texts: list) -> dict[int, dict[int, list]]:
-    """Items of fewer than ``LEAST_TERMS`` terms, by number of terms and hash of their sequence."""
+    """Items of fewer than ``LEAST_TERMS`` terms and of ``LEAST_BYTES`` at least, by number of terms and hash of their sequence."""
     h, first = terms(*K.utf8(pa.array([x or "" for x in texts], pa.large_string())))
     out: dict[int, dict[int, list]] = {}
-    for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist()):
-        if 0 < b - a < LEAST_TERMS:
+    for i, t, a, b in zip(ids, texts, first[:-1].tolist(), first[1:].tolist()):
+        if 0 < b - a < LEAST_TERMS and not _too_short(t, b - a):
             out.setdefault(b - a, {}).setdefault(int(_sequences(h[a:b], b - a)[0]), []).append(i)
     return out
 
@@ -287,3 +300,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return got.select(F.col(id_col).alias("doc_id"), (F.size("__lf_items") > 0).alias("contaminated"),
                       F.size("__lf_items").cast("long").alias("n_items"), F.col("__lf_items").alias("items"),
                       F.col("__lf_best").alias("best_score"))
+
+
+def unsearchable(benchmark: DataFrame, id_col: str = "item_id", item_col: str = "text") -> DataFrame:
+    """item_id, reason of the items that are not searched: ``null``, ``no term`` or ``too short``."""
+    kind = dict(benchmark.dtypes)[id_col]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            _, first = terms(*K.utf8(pa.array([x or "" for x in texts], pa.large_string())))
+            why = ["null" if t is None or i is None else "no term" if not n else "too short" if _too_short(t, n) else None
+                   for i, t, n in zip(batch.column(0).to_pylist(), texts, np.diff(first).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(why, pa.string())], ["item_id", "reason"])
+    return benchmark.select(id_col, item_col).mapInArrow(run, f"item_id {kind}, reason string").where("reason is not null")

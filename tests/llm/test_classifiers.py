@@ -229,11 +229,17 @@ def test_misspelled_inflections_match(spark):
         assert lx.judge(w)[0] == "fuzzy", w
 
 
+#: more labelled rows than SF has
+LARGER = "/root/testdata/sf0.1"
+
+
 def test_toxicity_of_held_out_rows(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = held(spark, SF, "op3_toxicity", labels)
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    rows = held(spark, LARGER, "op3_toxicity", labels)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in rows)
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.88
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.95
+    toxic = [r for r in rows if r.toxic == 1]
+    assert sum(r.predicted == 1 for r in toxic) / len(toxic) >= 0.9
 
 
 def words_of(t):
@@ -304,6 +310,16 @@ def test_items_without_blanks_and_short_items_are_found(spark):
     assert {x.doc_id for x in decontaminate.leaks(df, bench.where("item_id = 2")).where("contaminated").collect()} == {12, 13}
 
 
+def test_an_item_of_a_common_word_is_no_leak_and_is_reported(spark):
+    items = [(1, "Paris"), (2, "in the"), (3, "Donaudampfschiff"), (4, None), (5, " .,"), (6, "What is the capital of France? Paris"), (7, "東京")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(1, "we went to paris by train in the rain"), (2, "das donaudampfschiff kommt"),
+                                (3, "x what is the capital of france paris y 東京")], "doc_id long, text string")
+    assert {x.doc_id: x["items"] for x in decontaminate.leaks(df, bench).collect()} == {1: [], 2: [3], 3: [6]}
+    assert {(r.item_id, r.reason) for r in decontaminate.unsearchable(bench).collect()} == {
+        (1, "too short"), (2, "too short"), (4, "null"), (5, "no term"), (7, "too short")}
+
+
 def test_leaks_of_the_given_tables(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     bench = [(b.item_id, tuple(words_of(b.text))) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

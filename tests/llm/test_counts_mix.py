@@ -195,3 +195,26 @@ def test_nearest_default_keeps_its_recall(spark):
     rng = np.random.default_rng(8)
     assert recall_of_default(spark, rng.standard_normal((1_000, 64)).astype(np.float32)) >= 0.9
     assert recall_of_default(spark, rng.standard_normal((8_000, 64)).astype(np.float32)) >= 0.9
+
+
+def test_every_vector_length_is_searched(spark):
+    r = random.Random(6)
+    rows = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(20)] + [(50, [1.0, 0.0]), (51, [1.0, 1.0]), (100, [2.0] * 5)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    flat = lambda q: sorted((-float(np.dot(v, w)) / math.sqrt(np.dot(v, v) * np.dot(w, w)), j) for v in [dict(rows)[q]] for j, w in rows
+                            if j != q and len(w) == len(v))[:5]
+    for q in (0, 50, 100):
+        mine = sorted((x["rank"], x.vec_id, x.score) for x in got if x.query_id == q)
+        assert [m[1] for m in mine] == [j for _, j in flat(q)]
+        assert all(abs(m[2] + s) < 1e-12 for m, (s, _) in zip(mine, flat(q)))
+
+
+def test_null_ids_of_a_source_spread_over_shards(spark):
+    rows = [(None, f"w{i} " * (i % 9 + 1), "a") for i in range(3000)] + [(i, "b c", "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed(df, shard_words=500, block=4).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [x for x in got if x.source == s]
+        assert abs(sum(x["__lf_taken"] for x in own) - own[0]["__lf_target"]) <= 120                   # a block for each shard
+        assert all(x["__lf_taken"] <= 3 * x["__lf_size"] for x in own)

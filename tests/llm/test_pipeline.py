@@ -95,3 +95,13 @@ def test_run_returns_the_last_stage(spark, tmp_path, corpus):
 def test_empty_tables(spark, tmp_path):
     sf = make(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_columns_of_the_last_stage_replace_those_of_the_same_name(spark, tmp_path, corpus):
+    from pyspark.sql import functions as F
+    rows, items = corpus
+    sf = make(spark, tmp_path, rows, items)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"size": F.lit("own"), "taken": F.lit(None).cast("string"), "extra": F.lit(7)})
+    got = corpus_pipeline.mixing(spark, docs, sf)
+    assert got.columns == [c for c in docs.columns if c not in ("size", "taken")] + ["size", "source_size", "target", "taken"]
+    assert all(x.extra == 7 and isinstance(x.size, int) for x in got.collect())
