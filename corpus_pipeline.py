@@ -12,6 +12,12 @@ as the next stage's input.  All but the last return the columns of ``documents``
 4. decontamination: documents that hold a benchmark item go.
 5. mixing: documents are taken to the sources' targets; a document that is not taken goes, the
    others carry size, source_size, target and taken (the words the mix takes).
+
+Defined cases, beside those of the operators: null text has no language and goes, an empty text too; a null id is kept and
+ranks after every id; of rows equal in id and text one stays (near_dedup); equal ids with different texts are documents of their
+own; a null lang teaches nothing, a null source is a source of its own, last in the order; an empty table gives an empty result;
+other columns are carried through all stages, except that columns named size, source_size, target or taken
+give way to those of the last stage.
 """
 
 from __future__ import annotations
@@ -56,8 +62,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return (mixed(docs).where("__lf_taken > 0").withColumnsRenamed(
-        {"__lf_size": "size", "__lf_source_size": "source_size", "__lf_target": "target", "__lf_taken": "taken"}))
+    own = {"__lf_size": "size", "__lf_source_size": "source_size", "__lf_target": "target", "__lf_taken": "taken"}
+    return mixed(docs.drop(*own.values())).where("__lf_taken > 0").withColumnsRenamed(own)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup),
