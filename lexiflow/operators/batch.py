@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.script import est_tokens
 from ..session import WorkDir, work_dir
 from .call import call_chunks, call_singles, reply_tag
 from .dedup import dedup_units
@@ -67,11 +68,12 @@ def missing_positions(zipped: DataFrame) -> DataFrame:
 def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
                     work: WorkDir | None = None, name: str = "batch",
                     memory: DataFrame | None = None, memory_key: tuple[str, ...] = ("context", "text"),
-                    isolate: str = "scope", contexts: DataFrame | None = None) -> BatchResult:
+                    isolate: str = "scope", contexts: DataFrame | None = None,
+                    distinct: bool = False) -> BatchResult:
     """T1 over a units table (``scope, ord, text, context``).
 
     ``contexts`` (optional): ``scope, context``, one row per scope; the units then need no context, and it is joined
-    to the distinct units only.
+    to the distinct units only.  ``distinct``: the units are a stored table of translatable strings, each once in its scope.
 
     ``memory`` (optional): stored translations (``context, text, text_en``).
     Unique units found there are answered from it (``how = 'memory'``) and
@@ -81,13 +83,15 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     (the caller's unit is a file, copied as a whole).  ``chunk``: only its own strings.
     """
     work = work or work_dir(units.sparkSession)
-    if contexts is None:
-        distinct = dedup_units(units, settings)
+    if distinct:
+        uu_all = units.select("scope", "text", "ord", "context", F.lit(1).cast("long").alias("occurrences"), est_tokens("text", settings).alias("est"))
     else:
-        distinct = dedup_units(units.select("scope", "ord", "text", F.lit(None).cast("string").alias("context")), settings)
-        own = distinct.columns
-        distinct = distinct.drop("context").join(contexts.select("scope", "context"), "scope", "left").select(*own)
-    uu_all = work.materialize(distinct, f"{name}/unique_units")
+        own = units if contexts is None else units.select("scope", "ord", "text", F.lit(None).cast("string").alias("context"))
+        unique = dedup_units(own, settings)
+        if contexts is not None:
+            cols = unique.columns
+            unique = unique.drop("context").join(contexts.select("scope", "context"), "scope", "left").select(*cols)
+        uu_all = work.materialize(unique, f"{name}/unique_units")
     known = None
     uu = uu_all
     if memory is not None:
