@@ -3,7 +3,8 @@
 The listing is a level-wise distributed walk: each round is one Spark job
 that lists a DataFrame of directories with ``os.scandir`` inside
 ``mapInPandas`` and writes the level before the next round reads it, so
-lineage never grows with depth.  Hidden names, empty files, empty folders
+lineage never grows with depth.  A folder is one stream of names that leaves its task in batches, however many
+it holds; sizes are asked for afterwards, by tasks that share all files evenly.  Hidden names, empty files, empty folders
 and symlinked folders (listed, not followed) are all kept, which
 ``binaryFile`` + ``recursiveFileLookup`` would drop.
 """
@@ -30,8 +31,8 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("length", T.LongType()),
     T.StructField("error", T.StringType()),
 ])
-#: folders that one listing task takes on
-DIRS_PER_TASK = 200
+#: folders that one listing task takes on, entries that leave it at once, and files whose size one task asks for
+DIRS_PER_TASK, LIST_BATCH, SIZES_PER_TASK = 200, 10_000, 50_000
 
 
 def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None) -> DataFrame:
@@ -49,11 +50,12 @@ def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None) -> Da
 
     def entry(rel, e):
         try:
-            is_dir = e.is_dir(follow_symlinks=True)
-            return rel, e.name, is_dir, e.is_symlink(), 0 if is_dir else e.stat(follow_symlinks=True).st_size, None
+            return rel, e.name, e.is_dir(follow_symlinks=True), e.is_symlink(), 0, None
         except OSError as exc:
             return rel, e.name, False, e.is_symlink(), 0, f"{type(exc).__name__}: {exc}"
 
+    names = ENTRY_SCHEMA.fieldNames()
+
     def scan(batches):
         for pdf in batches:
             out = []
@@ -61,10 +63,27 @@ def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None) -> Da
                 full = os.path.join(root, rel) if rel else root
                 try:
                     with os.scandir(full) as it:
-                        out += [entry(rel, e) for e in it]
+                        for e in it:
+                            out.append(entry(rel, e))
+                            if len(out) >= LIST_BATCH:
+                                yield pd.DataFrame(out, columns=names)
+                                out = []
                 except OSError as exc:   # the folder's own row is in the level above; this one carries the reason
                     out.append((rel, None, True, False, 0, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(out, columns=ENTRY_SCHEMA.fieldNames())
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    def sized(batches):
+        for pdf in batches:
+            size, error = [], []
+            for rel, name in zip(pdf["rel_dir"], pdf["name"]):
+                try:
+                    size.append(os.stat(os.path.join(root, rel, name)).st_size)
+                    error.append(None)
+                except OSError as exc:
+                    size.append(0)
+                    error.append(f"{type(exc).__name__}: {exc}")
+            yield pdf.assign(length=size, error=error)
 
     level, n_dirs, depth = spark.createDataFrame([("",)], "rel string"), 1, 0
     while n_dirs:
@@ -75,7 +94,11 @@ def list_tree(spark: SparkSession, root: str, work: WorkDir | None = None) -> Da
             F.concat_ws("/", F.when(F.col("rel_dir") != "", F.col("rel_dir")), F.col("name")).alias("rel"))
         n_dirs, depth = level.count(), depth + 1
     # one table for all levels, however many there are
-    out = spark.read.schema(ENTRY_SCHEMA).parquet(work.table("listing"))
+    found = spark.read.schema(ENTRY_SCHEMA).parquet(work.table("listing")).select(*names)
+    files = found.filter(~F.col("is_dir") & F.col("error").isNull())
+    n_tasks = max(1, -(-files.count() // SIZES_PER_TASK))
+    files = work.materialize(files.repartition(n_tasks, "rel_dir", "name").mapInPandas(sized, ENTRY_SCHEMA), "listing-sizes")
+    out = found.filter(F.col("is_dir") | F.col("error").isNotNull()).unionByName(files)
     return out.select(F.concat_ws("/", F.when(F.col("rel_dir") != "", F.col("rel_dir")), F.col("name")).alias("path"),
                       "rel_dir", "name", "is_dir", "is_link", "length", "error")
 
