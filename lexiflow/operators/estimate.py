@@ -7,12 +7,14 @@ aggregation; the breakdown is per file and never collected.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.cost import cost_usd, est_input_tokens, est_output_tokens
-from ..functions.script import has_script, script_char_count
+from ..functions.script import has_script, is_translatable, script_char_count
 
 
 def file_char_totals(units: DataFrame, settings: Settings = DEFAULT, with_unique: bool = False) -> DataFrame:
@@ -30,6 +32,59 @@ def file_char_totals(units: DataFrame, settings: Settings = DEFAULT, with_unique
                                         F.sum("c_one").cast("bigint").alias("unique_chars"))
 
 
+def _least_hashes(size: int):
+    """Task: (h, c) -> the ``size`` smallest different hashes and their c; memory is a few times that."""
+    def settle(h, c):
+        h, first = np.unique(h, return_index=True)
+        return h[:size], c[first][:size]
+
+    def run(batches):
+        held_h, held_c, n = [], [], 0
+        for batch in batches:
+            h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held_h and len(held_h[0]) == size:            # settled before: nothing over its largest can come in
+                keep = h < held_h[0][-1]
+                h, c = h[keep], c[keep]
+            held_h.append(h)
+            held_c.append(c)
+            n += len(h)
+            if n > 4 * size:
+                h, c = settle(np.concatenate(held_h), np.concatenate(held_c))
+                held_h, held_c, n = [h], [c], len(h)
+        if held_h:
+            h, c = settle(np.concatenate(held_h), np.concatenate(held_c))
+            for at in range(0, len(h), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at: at + 10_000]), pa.array(c[at: at + 10_000])], ["h", "c"])
+    return run
+
+
+def unique_chars(units: DataFrame, keys: list[str], size: int | None = 65_536, settings: Settings = DEFAULT) -> DataFrame:
+    """Q12: what the run will send, one row: ``unique_strings, unique_chars, error``.
+
+    ``units``: ``keys`` (the scope of deduplication) and ``text``; only translatable strings count.
+    A bottom-k sketch: of the 64-bit hashes of ``(keys, text)`` each task keeps the ``size`` smallest different ones with
+    their characters, and so does the merge.  With the largest kept hash at share u of all hashes, k - 1 smaller ones
+    stand for ``(k - 1) / u`` strings and their characters for ``sum / u``.  ``error`` is the relative standard
+    error of the characters, ``sqrt((1 + cv**2) / (k - 2))`` with cv that of the kept strings' lengths; with fewer than ``size``
+    different strings nothing is estimated and it is 0.  ``size`` None: the exact aggregation of all hashes.
+    """
+    rows = units.filter(is_translatable("text", settings.profile)).select(
+        F.xxhash64(*keys, "text").alias("h"), script_char_count("text", settings.profile).cast("bigint").alias("c"))
+    if size is None:
+        kept = rows.groupBy("h").agg(F.max("c").alias("c"))
+        return kept.agg(F.count(F.lit(1)).alias("unique_strings"), F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("unique_chars"),
+                        F.lit(0.0).alias("error"))
+    kept = (rows.mapInArrow(_least_hashes(size), "h long, c long").groupBy("h").agg(F.max("c").alias("c")).orderBy("h").limit(size))
+    got = kept.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("s"), F.max(F.struct("h", "c")).alias("last"),
+                   F.coalesce(F.avg("c"), F.lit(1.0)).alias("m"), F.coalesce(F.stddev_pop("c"), F.lit(0.0)).alias("d"))
+    full = F.col("k") >= size
+    u = (F.col("last.h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return got.select(
+        F.when(full, F.round((F.col("k") - 1) / u)).otherwise(F.col("k")).cast("bigint").alias("unique_strings"),
+        F.when(full, F.round((F.col("s") - F.col("last.c")) / u)).otherwise(F.col("s")).cast("bigint").alias("unique_chars"),
+        F.when(full, F.sqrt((1 + F.pow(F.col("d") / F.col("m"), F.lit(2.0))) / F.greatest(F.col("k") - 2, F.lit(1)))).otherwise(F.lit(0.0)).alias("error"))
+
+
 def breakdown(files: DataFrame, totals: DataFrame) -> DataFrame:
     """F7 + O1: files with content, largest first (path breaks ties)."""
     return (files.select("path", "name", "ext").join(totals.select("path", "jp_chars"), "path")

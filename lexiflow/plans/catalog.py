@@ -208,6 +208,13 @@ def q_estimate_cost(spark, sf):
     return corpus_estimate(lines, _name_calls(spark, sf))
 
 
+def q_estimate_unique(spark, sf):
+    """Q12: strings and characters that the run would send, by the sketch (exact while it is not full)."""
+    from ..operators.estimate import unique_chars
+    _, lines = _file_lines(spark, sf)
+    return unique_chars(lines, ["path"]).select("unique_strings", "unique_chars")
+
+
 def _names_run(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "names")
     if key not in _RUNS:
@@ -788,6 +795,7 @@ QUERIES = {
     "estimate_breakdown": q_estimate_breakdown,
     "estimate_name_calls": q_estimate_name_calls,
     "estimate_cost": q_estimate_cost,
+    "estimate_unique": q_estimate_unique,
     "name_translate": q_name_translate,
     "path_translate": q_path_translate,
     "context_strings": q_context_strings,

@@ -129,6 +129,7 @@ def _rescued(first: DataFrame, lost: DataFrame, names: DataFrame, blobs: DataFra
 class EstimateResult:
     breakdown: DataFrame   # path, name, ext, jp_chars (largest first)
     totals: DataFrame      # one row: chars, name calls, tokens, dollars, nothing_to_do
+    unique: DataFrame      # one row: strings and characters that the run would send, and the estimate's error (Q12)
 
 
 def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT, work: WorkDir | None = None,
@@ -140,7 +141,7 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     folder names and file stems over the tree, plus every source-script
     ``name="..."`` of each workbook part without dedup (Q15).
     """
-    from ..operators.estimate import breakdown, corpus_estimate, file_char_totals, name_calls
+    from ..operators.estimate import breakdown, corpus_estimate, file_char_totals, name_calls, unique_chars
     from ..operators.routing import is_supported
     from ..sources.csv_cells import csv_cells
     from ..sources.text import explode_lines
@@ -159,16 +160,20 @@ def estimate_folder(spark: SparkSession, src: str, settings: Settings = DEFAULT,
     pk = blobs.filter(F.col("handler").isin("docx", "xlsx")).select("path", "ext", F.lit("").alias("context"))
     p, _ = prepare_parts(pk, archive_parts(blobs.join(pk.select("path"), "path", "left_semi")), work)
     pu = package_units(p, settings)
-    u_pk = pu.units.filter(~F.col("scope").endswith("\u0001tabs")).select(scope_path("scope").alias("path"), "text")
-    units = u_lines.unionByName(u_csv).unionByName(u_pk)
+    u_pk = pu.units.filter(~F.col("scope").endswith("\u0001tabs")).select(scope_path("scope").alias("path"), "scope", "text")
+    units = u_lines.unionByName(u_csv)
     for h in TEXT_HANDLERS.values():
         units = units.unionByName(h.units(texts.filter(F.col("handler") == h.name).select("path", "text"))
                                   .filter(F.col("text").isNotNull()).select("path", "text"))
     if spans is not None:   # the layout lines that the run would read, within the page limit (Q16)
         from ..operators.layout import layout_lines
-        units = units.unionByName(layout_lines(spans, max_pages=max_pages).select("path", "text"))
+        pages = layout_lines(spans, max_pages=max_pages).select("path", F.concat_ws("#", "path", "page").alias("scope"), "text")
+    # a package's scopes are its parts, a layout's its pages: the run sends a string once in each
+    units = units.withColumn("scope", F.col("path")).unionByName(u_pk)
+    if spans is not None:
+        units = units.unionByName(pages)
     tabs = (p.filter(F.col("kind") == "workbook")
             .select(F.explode(F.regexp_extract_all("xml", F.lit(r'name="([^"]+)"'), 1)).alias("name")))
     calls = name_calls(folders_of(entries), files, tabs, settings)
     totals = file_char_totals(units, settings)
-    return EstimateResult(breakdown(files, totals), corpus_estimate(units, calls, settings))
+    return EstimateResult(breakdown(files, totals), corpus_estimate(units, calls, settings), unique_chars(units, ["scope"], settings=settings))

@@ -208,6 +208,8 @@ SQL["estimate_breakdown"] = with_(FILES) + (
 SQL["estimate_name_calls"] = with_(FILES, _NAME_CALLS) + "SELECT name_calls FROM nc"
 SQL["estimate_cost"] = with_(FILES, _NAME_CALLS) + _estimate_select(
     f"SELECT CAST(sum({jp_chars('jp')}) AS BIGINT) AS total_chars, (SELECT name_calls FROM nc) AS name_calls FROM files")
+SQL["estimate_unique"] = with_(DOC_CTES) + (
+    f"SELECT CAST(count(*) AS BIGINT) AS unique_strings, CAST(sum({jp_chars('text')}) AS BIGINT) AS unique_chars FROM uq")
 SQL["usage_report"] = with_(DOC_CTES) + f"""
 SELECT * FROM ({_estimate_select(f"SELECT CAST(sum({jp_chars('jp')}) AS BIGINT) AS total_chars, CAST(0 AS BIGINT) AS name_calls FROM docs")})
 CROSS JOIN (

@@ -183,7 +183,9 @@ def test_overwrite_mode_and_empty_estimate(spark, tree, tmp_path):
     empty = tmp_path / "empty_src"
     (empty / "only_english").mkdir(parents=True)
     (empty / "only_english" / "notes.txt").write_text("plain words only\n")
-    t = estimate_folder(spark, str(empty), S).totals.first()
+    e = estimate_folder(spark, str(empty), S)
+    assert tuple(e.unique.first()) == (0, 0, 0.0)
+    t = e.totals.first()
     assert t.nothing_to_do and t.total_chars == 0 and t.name_calls == 0
 
 
