@@ -9,6 +9,8 @@ Public API (U3), imported lazily so that ``import lexiflow`` stays cheap:
 * ``batch_translate``                         - the core operator on a units table
 * ``call_names`` / ``call_singles``           - names, and free texts, of a DataFrame, one call each
 * ``corpus_estimate`` / ``usage_totals``      - cost before, usage after (``folder_usage``, ``corpus_usage``: a whole run)
+* ``unique_chars``                            - what a run would send, by a mergeable sketch
+* ``register_handler`` / ``TextHandler``      - a text format as a unit source and a rebuild
 * ``translate_stream``                        - incremental corpora with a translation memory
 * ``Settings``, ``ScriptProfile``, ``ModelRequest``, ``ModelReply``, ``Throttled``
 """
@@ -24,6 +26,9 @@ _EXPORTS = {
     "batch_translate": "lexiflow.operators.batch",
     "corpus_estimate": "lexiflow.operators.estimate",
     "usage_totals": "lexiflow.operators.estimate",
+    "unique_chars": "lexiflow.operators.estimate",
+    "register_handler": "lexiflow.operators.routing",
+    "TextHandler": "lexiflow.operators.routing",
     "folder_usage": "lexiflow.plans.folder",
     "corpus_usage": "lexiflow.plans.corpus",
     "call_names": "lexiflow.operators.call",

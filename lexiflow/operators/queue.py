@@ -16,6 +16,7 @@ tag of the settings that shape a reply) names the run's folder::
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -60,9 +61,8 @@ def write_whole(spark: SparkSession, path: str, text: str) -> None:
 def fingerprint(calls: DataFrame, calls_per_wave: int, tag: str) -> tuple[int, str]:
     """Number of calls, and a name that another set of calls does not have."""
     row = calls.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*calls.columns).cast("decimal(38,0)")).alias("s")).first()
-    spark = calls.sparkSession
     said = f"{row.n}|{row.s}|{calls_per_wave}|{tag}|{calls.schema.simpleString()}"
-    return row.n, spark.range(1).select(F.sha2(F.lit(said), 256).alias("h")).first().h[:24]
+    return row.n, hashlib.sha256(said.encode()).hexdigest()[:24]
 
 
 @dataclass
