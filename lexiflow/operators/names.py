@@ -75,19 +75,30 @@ def translate_folders(files: DataFrame, root_name: str, translator, settings: Se
                         ["name", "context"], "left")
 
 
-def translate_dir_paths(folders_en: DataFrame, root_name: str) -> DataFrame:
+def translate_dir_paths(folders_en: DataFrame, root_name: str, work: WorkDir | None = None) -> DataFrame:
     """Every folder's translated path, each ancestor replaced by its own
-    translation.  Output ``rel_dir, dir_en, folder_context`` (+ top level '')."""
-    anc = (folders_en.select(F.col("dir").alias("rel_dir"), F.split("dir", "/").alias("p"))
-           .select("rel_dir", F.posexplode("p").alias("i", "part"), "p")
-           .select("rel_dir", "i", F.array_join(F.slice("p", 1, F.col("i") + 1), "/").alias("dir")))
-    named = anc.join(folders_en.select("dir", "name", "name_en"), "dir", "left")
-    per_dir = (named.groupBy("rel_dir")
-               .agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("name_en", "name").alias("n")))).alias("s"))
-               .select("rel_dir", F.col("s.n").alias("parts")))
+    translation.  Output ``rel_dir, dir_en, folder_context`` (+ top level '').
+
+    Pointer jumping: a folder knows its names from an ancestor down to itself, and each round joins it to that
+    ancestor, which doubles the distance; log2(depth) rounds, each written.  No path is cut into all its prefixes.
+    """
+    work = work or work_dir(folders_en.sparkSession)
+    name = f"paths-{uuid.uuid4().hex[:8]}"
+    step = F.split("dir", "/")
+    above = F.when(F.size(step) > 1, F.array_join(F.slice(step, 1, F.size(step) - 1), "/"))
+    state = work.materialize(folders_en.select("dir", above.alias("up"), F.size(step).alias("depth"),
+                                               F.array(F.coalesce("name_en", "name")).alias("parts")), f"{name}/round0")
+    depth, reach = state.agg(F.max("depth")).first()[0] or 0, 1
+    while reach < depth:
+        upper = state.select(F.col("dir").alias("up"), F.col("up").alias("__up"), F.col("parts").alias("__parts"))
+        none = F.array().cast("array<string>")
+        state = state.join(upper, "up", "left").select("dir", F.col("__up").alias("up"), F.concat(F.coalesce("__parts", none), "parts").alias("parts"))
+        reach *= 2
+        if reach < depth:
+            state = work.materialize(state, f"{name}/round{reach}")
     top = folders_en.sparkSession.createDataFrame([("",)], "rel_dir string").select(
         "rel_dir", F.array().cast("array<string>").alias("parts"))
-    return (per_dir.unionByName(top)
+    return (state.select(F.col("dir").alias("rel_dir"), "parts").unionByName(top)
             .select("rel_dir", F.array_join("parts", "/").alias("dir_en"),
                     folder_context("parts", F.lit(root_name)).alias("folder_context")))
 

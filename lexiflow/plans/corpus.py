@@ -61,7 +61,7 @@ def translate_corpus(files: DataFrame, root_name: str, translator, settings: Set
     # stage A's model calls are written inside translate_folders; the folder rows
     # around them are a cheap recomputation from written inputs
     folders = translate_folders(meta, root_name, translator, settings, work, more_dirs=more_dirs)
-    dirs = translate_dir_paths(folders, root_name)
+    dirs = translate_dir_paths(folders, root_name, work)
     named = work.materialize(translate_file_names(meta, dirs, translator, settings, work), "corpus/files")
 
     # the texts stay where they are: names and contexts are joined to what is small, the distinct units and the results

@@ -90,7 +90,7 @@ def _translate_into(tree: FileTree, spark: SparkSession, src: str, translator, s
               .filter(F.col("__bad") | ~built_in).select("path", "data"))
     tree.write(plain_files(text_out.unionByName(copies).join(paths, "path")))
     tree.write(zip_members(pres.parts.join(bad_pk, "path", "left_anti").join(paths, "path")))
-    dirs = translate_dir_paths(corpus.folders, root_name).filter(F.col("rel_dir") != "")
+    dirs = translate_dir_paths(corpus.folders, root_name, work).filter(F.col("rel_dir") != "")
     tree.write(plain_folders(dirs, "rel_dir", "dir_en", "rel_dir"))
     first = work.materialize(tree.results(), "folder/first_writes")
     lost = first.filter(~F.col("written") & F.col("kind").isin("file", "package"))

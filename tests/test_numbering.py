@@ -86,3 +86,19 @@ def test_a_million_files_of_one_name(spark):
         files = n - (n + 2) // 3                          # without a number of their own: they take the numbers that 3 does not divide
         assert got.top <= max(n, files * 3 // 2 + 3)
     assert took[1] < 8 * took[0] + 10
+
+
+def test_paths_of_a_deep_tree_by_pointer_jumping(spark):
+    from lexiflow.operators.names import folder_table, translate_dir_paths
+    rnd = random.Random(9)
+    deep = "/".join(f"d{i}" for i in range(300))
+    dirs = {deep, "x", "", *("/".join(f"n{rnd.randint(0, 2)}" for _ in range(rnd.randint(1, 9))) for _ in range(60))}
+    table = folder_table(spark.createDataFrame([(d,) for d in dirs], "rel_dir string"), "root")
+    en = table.withColumn("name_en", F.when(~F.col("name").startswith("x"), F.upper("name")))     # one folder has no translation
+    got = {r.rel_dir: (r.dir_en, r.folder_context) for r in translate_dir_paths(en, "root").collect()}
+    every = {"/".join(d.split("/")[:i]) for d in dirs for i in range(len(d.split("/")) + 1)}
+    assert set(got) == every
+    for d, (path, context) in got.items():
+        want = [p if p.startswith("x") else p.upper() for p in d.split("/")] if d else []
+        assert path == "/".join(want) and context == (" > ".join(want) or "root")
+    assert translate_dir_paths(en.limit(0), "root").collect()[0].rel_dir == ""
