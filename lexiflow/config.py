@@ -79,7 +79,7 @@ class Settings:
     pack_segment_units: int = 200_000  # max units one packing group holds (numbers only)
     pack_segment_bytes: int = 32 << 20  # max bytes of text one packing group holds
     call_partitions: int | None = None  # tasks of a model stage; None = by the number of calls
-    calls_per_task: int = 100           # what a lost task pays again at most
+    calls_per_task: int = 100           # calls of a task, unless that makes more than call.TASKS_PER_CORE tasks a core
     calls_per_wave: int = 100_000       # calls written together; a lost driver pays one wave again
     call_batch_rows: int = 64           # Arrow batch size in the model stage (rows = calls)
     # behaviour options (defaults reproduce the reference)

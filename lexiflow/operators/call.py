@@ -1,6 +1,6 @@
 """Model calls inside Spark tasks.
 
-The functions here run in Python workers via ``mapInPandas``: one input row
+The functions here run in Python workers via Arrow batches: one input row
 is one request, the translator object is built once per task iterator, and a
 failed request becomes a row with ``status='error'`` instead of a failed
 Spark job.  Usage is returned as columns and summed later (accumulators
@@ -13,7 +13,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,13 +152,24 @@ def translate_name_py(translator, name: str, context: str, settings: Settings =
 
 # --- DataFrame stages --------------------------------------------------------
 
-def _call_partitions(df: DataFrame, settings: Settings, calls: int | None) -> int:
-    """Tasks by the number of calls, so that a task's loss costs no more on a large corpus;
-    a small one still uses all cores."""
+#: tasks of a model stage for each core: a lost task repeats this share of what its core pays in the stage, at most
+TASKS_PER_CORE = 16
+
+
+def call_tasks(calls: int, cores: int, settings: Settings = DEFAULT) -> int:
+    """Tasks of a stage of so many calls: by ``calls_per_task``, but no more than ``TASKS_PER_CORE`` for each core.
+
+    A task costs the driver a result of some 20 KB and its core a start and a file, whatever it calls; tasks by the number
+    of calls alone are tens of thousands on a large corpus.  A small stage still uses all cores.
+    """
     if settings.call_partitions:
         return settings.call_partitions
-    n = df.count() if calls is None else calls
-    return max(1, -(-n // settings.calls_per_task), min(n, df.sparkSession.sparkContext.defaultParallelism))
+    return max(1, min(-(-calls // settings.calls_per_task), TASKS_PER_CORE * cores), min(calls, cores))
+
+
+def _call_partitions(df: DataFrame, settings: Settings, calls: int | None) -> int:
+    n = df.count() if calls is None and not settings.call_partitions else calls
+    return call_tasks(n or 0, df.sparkSession.sparkContext.defaultParallelism, settings)
 
 
 def reply_tag(settings: Settings) -> str:
@@ -166,6 +177,28 @@ def reply_tag(settings: Settings) -> str:
     return f"{settings.chunk_attempts},{settings.call_attempts},{settings.text_reply_cap},{settings.name_reply_cap},{settings.reject_blank}"
 
 
+_ADDED = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
+_SPARK = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _call_rows(requests: DataFrame, tasks: int, key: list[str], args: list[str], answer, added: list[tuple[str, str]]) -> DataFrame:
+    """``requests`` with the columns ``added`` (name, type) that ``answer(*args)`` gives for each row.
+
+    The requests' own columns are handed on as they came; only what a call needs becomes Python objects.
+    """
+    own = requests.columns
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in requests.schema.fields), *(T.StructField(n, _SPARK[t]) for n, t in added)])
+    types = [_ADDED[t] for _, t in added]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            said = zip(*(answer(*row) for row in zip(*(b.column(c).to_pylist() for c in args))))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(v, t) for v, t in zip(said, types))], schema.fieldNames())
+    return requests.repartition(tasks, *key).mapInArrow(run, schema)
+
+
 def call_chunks(chunks: DataFrame, translator, settings: Settings = DEFAULT, calls: int | None = None) -> DataFrame:
     """One row per chunk in (``scope, chunk_id, context, items``), one out.
 
@@ -174,35 +207,16 @@ def call_chunks(chunks: DataFrame, translator, settings: Settings = DEFAULT, cal
     tasks first: AQE would otherwise coalesce a small input to one task and
     serialise every call.
     """
-    scope_type = chunks.schema["scope"].dataType
-    schema = T.StructType([
-        T.StructField("scope", scope_type),
-        T.StructField("chunk_id", T.LongType()),
-        T.StructField("context", T.StringType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("attempts", T.IntegerType()),
-        T.StructField("out_items", T.ArrayType(T.StringType())),
-        T.StructField("status", T.StringType()),
-        T.StructField("input_tokens", T.LongType()),
-        T.StructField("output_tokens", T.LongType()),
-        T.StructField("error", T.StringType()),
-    ])
+    def answer(items, context):
+        o = translate_chunk(translator, [str(x) for x in items], context or "", settings)
+        return o.attempts, o.out_items, o.status, o.input_tokens, o.output_tokens, o.error
+
+    return _call_rows(chunks.select("scope", F.col("chunk_id").cast("bigint").alias("chunk_id"), "context", "items"),
+                      _call_partitions(chunks, settings, calls), ["scope", "chunk_id"], ["items", "context"], answer,
+                      [("attempts", "int"), ("out_items", "array<string>"), ("status", "string"), *_COST])
 
-    def run(batches):
-        tr = translator
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                items = [str(x) for x in r.items]
-                o = translate_chunk(tr, items, r.context or "", settings)
-                rows.append((r.scope, int(r.chunk_id), r.context, items, o.attempts, o.out_items,
-                             o.status, o.input_tokens, o.output_tokens, o.error))
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    n = _call_partitions(chunks, settings, calls)
-    return (chunks.select("scope", "chunk_id", "context", "items")
-            .repartition(n, "scope", "chunk_id")
-            .mapInPandas(run, schema))
+_COST = [("input_tokens", "bigint"), ("output_tokens", "bigint"), ("error", "string")]
 
 
 def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT, calls: int | None = None) -> DataFrame:
@@ -210,33 +224,15 @@ def call_singles(missing: DataFrame, translator, settings: Settings = DEFAULT, c
 
     Output: ``scope, context, text, text_en, status, input_tokens, output_tokens, error``.
     """
-    scope_type = missing.schema["scope"].dataType
-    schema = T.StructType([
-        T.StructField("scope", scope_type),
-        T.StructField("context", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("text_en", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("input_tokens", T.LongType()),
-        T.StructField("output_tokens", T.LongType()),
-        T.StructField("error", T.StringType()),
-    ])
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    out, i, o = translate_text(translator, r.text, r.context or "", settings)
-                    rows.append((r.scope, r.context, r.text, out, "ok", i, o, None))
-                except Exception as exc:  # noqa: BLE001
-                    rows.append((r.scope, r.context, r.text, None, "error", 0, 0, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+    def answer(text, context):
+        try:
+            out, i, o = translate_text(translator, text, context or "", settings)
+            return out, "ok", i, o, None
+        except Exception as exc:  # noqa: BLE001
+            return None, "error", 0, 0, f"{type(exc).__name__}: {exc}"
 
-    n = _call_partitions(missing, settings, calls)
-    return (missing.select("scope", "text", "context")
-            .repartition(n, "scope", "text")
-            .mapInPandas(run, schema))
+    return _call_rows(missing.select("scope", "context", "text"), _call_partitions(missing, settings, calls), ["scope", "text"],
+                      ["text", "context"], answer, [("text_en", "string"), ("status", "string"), *_COST])
 
 
 def call_names(names: DataFrame, translator, settings: Settings = DEFAULT, calls: int | None = None) -> DataFrame:
@@ -245,27 +241,12 @@ def call_names(names: DataFrame, translator, settings: Settings = DEFAULT, calls
     Output: ``name, context, name_en, status, input_tokens, output_tokens, error``;
     a failed call keeps the original name (Q10) and reports the error.
     """
-    schema = T.StructType([
-        T.StructField("name", T.StringType()),
-        T.StructField("context", T.StringType()),
-        T.StructField("name_en", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("input_tokens", T.LongType()),
-        T.StructField("output_tokens", T.LongType()),
-        T.StructField("error", T.StringType()),
-    ])
+    def answer(name, context):
+        try:
+            out, i, o = translate_name_py(translator, name, context or "", settings)
+            return out, "ok", i, o, None
+        except Exception as exc:  # noqa: BLE001
+            return name, "error", 0, 0, f"{type(exc).__name__}: {exc}"
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    out, i, o = translate_name_py(translator, r.name, r.context or "", settings)
-                    rows.append((r.name, r.context, out, "ok", i, o, None))
-                except Exception as exc:  # noqa: BLE001
-                    rows.append((r.name, r.context, r.name, "error", 0, 0, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
-
-    n = _call_partitions(names, settings, calls)
-    return (names.select("name", "context").repartition(n, "name", "context")
-            .mapInPandas(run, schema))
+    return _call_rows(names.select("name", "context"), _call_partitions(names, settings, calls), ["name", "context"],
+                      ["name", "context"], answer, [("name_en", "string"), ("status", "string"), *_COST])

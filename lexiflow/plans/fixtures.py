@@ -26,8 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def to_jp(c) -> F.Column:
+    # no target is a source, so one replacement after the other is the simultaneous one; ``translate`` looks every character up
     col = F.col(c) if isinstance(c, str) else c
-    return F.translate(col, FIXTURE_ACCENTS, MOCK_SRC)
+    for accent, char in zip(FIXTURE_ACCENTS, MOCK_SRC):
+        col = F.replace(col, F.lit(accent), F.lit(char))
+    return col
 
 
 def mock_en(c) -> F.Column:

@@ -248,3 +248,11 @@ def test_usage_of_the_manifests_equals_the_responses(spark, tmp_path):
         assert (got.input_tokens, got.output_tokens, got.cost_usd) == (want.input_tokens, want.output_tokens, want.cost_usd)
         assert got.rows == res.responses.count() + res.singles.count()
         assert got.errors == res.errors.count()
+
+
+@pytest.mark.parametrize("calls,cores,tasks", [(0, 12, 1), (5, 12, 5), (900, 12, 12), (5_000, 12, 50), (100_000, 12, 192), (6_000_000, 12, 192)])
+def test_tasks_of_a_large_stage_follow_the_cores(calls, cores, tasks):
+    # by the number of calls alone 6 M calls made 60,000 tasks of 20 KB of result each
+    from lexiflow.operators.call import call_tasks
+    assert call_tasks(calls, cores, S) == tasks
+    assert call_tasks(calls, cores, S.with_(call_partitions=7)) == 7
