@@ -333,7 +333,7 @@ def q_layout_lines(spark, sf):
 
 def q_page_limit(spark, sf):
     from ..operators.layout import layout_lines
-    return layout_lines(spans(spark, sf), max_pages=2).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+    return layout_lines(spans(spark, sf), max_pages=2, style=False).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def q_layout_style(spark, sf):
