@@ -13,7 +13,9 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,18 +113,45 @@ def parse_replies(replies: DataFrame, text_col: str = "reply", out_col: str = "i
     return replies.mapInPandas(run, schema)
 
 
+def _best_of_batches(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """The attempts that may be best, by the order of :func:`best_partial`: one per key and Arrow batch, with ``__last``, the
+    largest attempt it stands for.  No items are sorted, copied into Python or kept beyond their batch."""
+    own = attempts.select(*keys, "attempt", "n", "items")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in own.schema.fields), T.StructField("__last", own.schema["attempt"].dataType)])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = np.zeros(b.num_rows, np.int64)
+            for k in [*keys, "n"]:
+                code = b.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                group = np.unique(group * (int(code.max()) + 1) + code, return_inverse=True)[1]
+            size = pc.fill_null(pc.list_value_length(b.column("items")), -1).to_numpy(zero_copy_only=False)
+            number = b.column("attempt").to_numpy(zero_copy_only=False)
+            whole = size == pc.fill_null(b.column("n"), -2).to_numpy(zero_copy_only=False)
+            order = np.lexsort((-number, np.where(whole, -number, size), whole, group))
+            last = np.flatnonzero(np.append(np.diff(group[order]) != 0, True))
+            most = np.maximum.reduceat(number[order], np.append(0, last[:-1] + 1))
+            best = b.take(pa.array(order[last]))
+            yield pa.RecordBatch.from_arrays([*best.columns, pa.array(most, best.column("attempt").type)], schema.fieldNames())
+    return own.mapInArrow(run, schema)
+
+
 def best_partial(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """W3 over a table of attempts: ``keys..., attempt, n, items`` (null items = unusable reply).
 
     One row per key: ``attempts, status, out_items`` by the rule of :func:`translate_chunk`:
     the first reply of exactly ``n`` items wins, else the longest (the earliest of
-    equals), cut to ``n`` with blank items missing.  One partial aggregation.
+    equals), cut to ``n`` with blank items missing.  Each batch keeps the best of its own attempts before the shuffle
+    (:func:`_best_of_batches`), and the aggregation stands behind it: in front Spark would sort the items of every attempt on disk.
     """
     size = F.coalesce(F.size("items"), F.lit(-1))
     whole = size == F.col("n")
     best = F.max_by(F.struct("items", "attempt"), F.struct(whole, F.when(whole, -F.col("attempt")).otherwise(size),
                                                             -F.col("attempt")))
-    got = attempts.groupBy(*keys, "n").agg(best.alias("b"), F.max("attempt").alias("last"), F.max(whole).alias("ok"))
+    few = _best_of_batches(attempts, keys).repartition(*keys, "n")
+    got = few.groupBy(*keys, "n").agg(best.alias("b"), F.max("__last").alias("last"), F.max(whole).alias("ok"))
     cut = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.try_element_at(F.coalesce("b.items", F.array().cast("array<string>")), i))
     out = F.when(F.col("ok"), cut).otherwise(F.transform(cut, lambda x: F.when(is_nonblank(x), x)))
     return (got.withColumn("out_items", out)

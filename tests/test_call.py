@@ -256,3 +256,17 @@ def test_tasks_of_a_large_stage_follow_the_cores(calls, cores, tasks):
     from lexiflow.operators.call import call_tasks
     assert call_tasks(calls, cores, S) == tasks
     assert call_tasks(calls, cores, S.with_(call_partitions=7)) == 7
+
+
+def test_attempts_are_not_sorted_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from lexiflow.operators.call import best_partial
+    a = spark.createDataFrame([(k, t, 2, ["x"] * ((k + t) % 4)) for k in range(40) for t in (1, 2, 3)], "k long, attempt int, n int, items array<string>")
+    plan = best_partial(a, ["k"])._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert "Aggregate" not in below and "Sort" not in below
+    got = {r.k: (r.attempts, r.status) for r in best_partial(a.orderBy(F.desc("attempt"), F.rand(1)), ["k"]).collect()}
+    for k in range(40):
+        fits = [t for t in (1, 2, 3) if (k + t) % 4 == 2]
+        assert got[k] == ((fits[0], "ok") if fits else (3, "partial"))
