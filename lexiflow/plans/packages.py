@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,21 +61,33 @@ def _map_per_scope(translations: DataFrame) -> DataFrame:
             .agg(F.collect_list(F.struct("text", "text_en")).alias("tmap")))
 
 
+#: rewritten parts that a worker holds before it hands them on
+PARTS_AT_ONCE = 64
+
+
+def rewritten_batches(batches, fn):
+    """Batches of ``path, part, xml, tmap`` to ``path, part, xml``: a part's map becomes Python objects when its turn comes, and
+    ``PARTS_AT_ONCE`` results are held at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, PARTS_AT_ONCE):
+            rows = b.slice(at, PARTS_AT_ONCE)
+            new = []
+            for xml, tmap in zip(rows.column("xml"), rows.column("tmap")):
+                m = {r["text"]: r["text_en"] for r in tmap.as_py() or ()}
+                new.append(fn(xml.as_py(), m) if m else xml.as_py())
+            yield pa.RecordBatch.from_arrays([rows.column("path"), rows.column("part"), pa.array(new, pa.string())], ["path", "part", "xml"])
+
+
 def _apply_python(parts: DataFrame, maps: DataFrame, fn) -> DataFrame:
     """Run ``fn(xml, dict)`` on each part row that has a map; others untouched."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("part", T.StringType()),
                            T.StructField("xml", T.StringType())])
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for path, part, xml, tmap in zip(pdf["path"], pdf["part"], pdf["xml"], pdf["tmap"]):
-                m = {r["text"]: r["text_en"] for r in tmap} if tmap is not None else {}
-                out.append((path, part, fn(xml, m) if m else xml))
-            yield pd.DataFrame(out, columns=["path", "part", "xml"])
+        return rewritten_batches(batches, fn)
 
     j = parts.select("path", "part", "xml", _scope("path", "part").alias("scope")).join(maps, "scope", "left")
-    return j.select("path", "part", "xml", "tmap").mapInPandas(run, schema)
+    return j.select("path", "part", "xml", "tmap").mapInArrow(run, schema)
 
 
 _WP = re.compile(W_PARA)

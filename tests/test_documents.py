@@ -40,3 +40,21 @@ def test_failing_document_keeps_original(spark):
     got = {r.scope: (r.text, r.status) for r in res.documents.collect()}
     assert got[2] == ("失敗 行\n日本", "error")
     assert got[1][1] == "ok" and got[1][0].startswith("<en>")
+
+
+def test_rewritten_parts_are_handed_on_a_few_at_a_time():
+    import pyarrow as pa
+
+    from lexiflow.plans.packages import PARTS_AT_ONCE, rewritten_batches
+    n, calls = 10 * PARTS_AT_ONCE + 3, []
+
+    def fn(xml, m):
+        calls.append(xml)
+        return m["t"] + xml
+    b = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(n)], "part": ["p"] * n, "xml": [f"x{i}" for i in range(n)],
+                                    "tmap": [[{"text": "t", "text_en": "e"}] if i % 3 else None for i in range(n)]})
+    out = rewritten_batches(iter([b]), fn)
+    first = next(out)
+    assert first.num_rows == PARTS_AT_ONCE and len(calls) < PARTS_AT_ONCE        # before, a whole Arrow batch was held as Python objects
+    got = [x for part in [first, *out] for x in part.column("xml").to_pylist()]
+    assert got == [f"ex{i}" if i % 3 else f"x{i}" for i in range(n)]
