@@ -41,7 +41,8 @@ def is_translatable(c, profile: ScriptProfile = DEFAULT.profile) -> Column:
 
 def script_char_count(c, profile: ScriptProfile = DEFAULT.profile) -> Column:
     """Number of source-script code points."""
-    return F.length(F.regexp_replace(_col(c), f"[^{profile.char_class()}]", ""))
+    # other characters go by runs: one by one, each is a replacement of its own
+    return F.length(F.regexp_replace(_col(c), f"[^{profile.char_class()}]+", ""))
 
 
 def est_tokens(c, settings: Settings = DEFAULT) -> Column:
