@@ -53,11 +53,14 @@ class ModelReply:
 MOCK_SRC = "日本語文書報告資料採用表求"
 MOCK_DST = "abcdefghijklm"
 FIXTURE_ACCENTS = "éèêçàäöüßñóíá"
-_MOCK_TABLE = str.maketrans(MOCK_SRC, MOCK_DST)
+_MOCK_PAIRS = tuple(zip(MOCK_SRC, MOCK_DST))
 
 
 def mock_translate(s: str) -> str:
-    return "<en>" + s.translate(_MOCK_TABLE)
+    # no target is a source, so one replacement after the other is the simultaneous one; ``translate`` looks every character up
+    for src, dst in _MOCK_PAIRS:
+        s = s.replace(src, dst)
+    return "<en>" + s
 
 
 def _usage(sent: list[str], got: list[str]) -> tuple[int, int]:

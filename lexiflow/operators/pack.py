@@ -34,6 +34,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -399,6 +400,53 @@ def pack_chunks(units: DataFrame, settings: Settings = DEFAULT, work: WorkDir |
     return _packed(units.select("scope", "ord", "est"), settings, work, [], assign, _assign_schema(units.schema["scope"].dataType))
 
 
+def _whole_runs(batches, key: str):
+    """Arrow batches of complete groups from a stream of them sorted by ``key``; a group cut by a batch's end waits for its rest."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code = b.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.diff(code))
+        last = int(new[-1]) + 1 if len(new) else 0            # where the last group starts
+        if held and held[-1].column(key)[-1] != b.column(key)[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if last:
+            yield pa.concat_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def whole_chunk_rows(batches, budget: int, most: int):
+    """Chunk rows of whole scopes from Arrow batches (``scope, ord, est, text, context``) sorted by ``(scope, ord)``.
+
+    Units of a chunk are neighbours, so its lists are slices of the columns: no text becomes a Python object.
+    """
+    for b in _whole_runs(batches, "scope"):
+        code = b.column("scope").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        heads = np.append(0, np.flatnonzero(np.diff(code)) + 1).tolist()
+        total = np.append(0, np.cumsum(b.column("est").to_numpy(zero_copy_only=False).astype(np.int64))).tolist()
+        starts, numbers, first = [], [], []
+        for head, end in zip(heads, [*heads[1:], b.num_rows]):
+            p, k = head, 0
+            while p < end:
+                k += 1
+                starts.append(p)
+                numbers.append(k)
+                first.append(head)
+                # the first unit that no longer fits; a chunk has one unit at least
+                far = min(p + most, end)
+                p = max(p + 1, bisect_right(total, total[p] + budget, p, far + 1) - 1)
+        at, cuts = pa.array(starts, pa.int64()), pa.array([*starts, b.num_rows], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("scope").take(at), b.column("ord").take(at), pa.array(numbers, pa.int32()), b.column("context").take(pa.array(first, pa.int64())),
+             pa.ListArray.from_arrays(cuts, b.column("ord")), pa.ListArray.from_arrays(cuts, b.column("text"))],
+            ["scope", "chunk_id", "chunk_no", "context", "ords", "items"])
+
+
 def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT, work: WorkDir | None = None) -> DataFrame:
     """Pack and assemble in one pass: chunk rows with their texts.
 
@@ -420,9 +468,9 @@ def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT, work: WorkDi
     cols = ["scope", "seg", "kind", "ord", "est", "text", "context", "entry_b", "open_id", "open_cnt",
             "chunks_before", "is_last"]
 
-    def assign(batches, whole):
+    def assign(batches):
         rows = []
-        for g in _segment_groups(batches, cols, whole):
+        for g in _segment_groups(batches, cols, False):
             n = len(g["ord"]) - 1
             last_seg = bool(g["is_last"][0])
             ords, texts, ctx = g["ord"][1:], g["text"][1:], (g["context"][1] if n > 0 else None)
@@ -440,11 +488,11 @@ def pack_chunk_rows(units: DataFrame, settings: Settings = DEFAULT, work: WorkDi
     work = work or work_dir(units.sparkSession)
     whole, large = _stored(own, settings, work, text)
     columns = ["scope", "chunk_id", "chunk_no", "context", "ords", "items"]
-    done = _whole_scopes(whole, text).mapInPandas(lambda b: assign(b, True), schema).select(*columns)
+    done = _whole_scopes(whole, text).mapInArrow(lambda b: whole_chunk_rows(b, B, K), T.StructType([schema[c] for c in columns]))
     if large is None:
         return done
     # read twice, by the two halves below; the walk is cheaper than a copy of the texts
-    pieces = _large_segments(own, large, settings, work, text).mapInPandas(lambda b: assign(b, False), schema)
+    pieces = _large_segments(own, large, settings, work, text).mapInPandas(assign, schema)
     merged = (pieces.filter(F.col("open"))
               .groupBy("scope", "chunk_id")
               .agg(F.min("chunk_no").alias("chunk_no"), F.min("context").alias("context"),

@@ -185,3 +185,26 @@ def test_no_task_reads_all_segments_of_a_scope(spark, monkeypatch):
     got = {r.ord: r.chunk_no - 1 for r in pack.pack_chunks(df, s).collect()}
     assert [got[i] for i in range(500)] == next_fit([20] * 500, 300, 8)
     assert len(sizes) >= 4 and max(sizes) <= 5
+
+
+@pytest.mark.parametrize("cut", [1, 3, 10_000])
+def test_whole_scopes_are_packed_as_arrow_columns(cut):
+    """Groups may be cut by a batch's end; the lists are slices of the columns and equal sequential next-fit."""
+    import pyarrow as pa
+
+    from lexiflow.operators.pack import whole_chunk_rows
+    rnd = random.Random(cut)
+    scopes = {f"s{k}": [rnd.choice([15, 16, 40, 90, 310]) for _ in range(rnd.choice([1, 2, 8, 9, 40]))] for k in range(9)}
+    rows = [(s, 3 * i, e, f"{s}-{i}", f"c{s}" if i == 0 else "other") for s, ests in scopes.items() for i, e in enumerate(ests)]
+    names = ["scope", "ord", "est", "text", "context"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + cut]), types)], names) for at in range(0, len(rows), cut)]
+    got = [r for b in whole_chunk_rows(iter([*batches, batches[0].slice(0, 0)]), 300, 8) for r in b.to_pylist()]
+    want = []
+    for s, ests in scopes.items():
+        idx = next_fit(ests, 300, 8)
+        for k in range(idx[-1] + 1):
+            own = [i for i, c in enumerate(idx) if c == k]
+            want.append({"scope": s, "chunk_id": 3 * own[0], "chunk_no": k + 1, "context": f"c{s}", "ords": [3 * i for i in own],
+                         "items": [f"{s}-{i}" for i in own]})
+    assert got == want
