@@ -219,11 +219,12 @@ def _names_run(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "names")
     if key not in _RUNS:
         from ..operators.names import translate_dir_paths, translate_file_names, translate_folders
-        f = jp_files(spark, sf)
         w = work_dir(spark)
+        # every stage reads the names: derived from the texts once and written
+        f = w.materialize(jp_files(spark, sf).drop("text"), "names/meta")
         folders = w.materialize(translate_folders(f, ROOT_NAME, MockTranslator(), MOCK_SETTINGS, w), "names/folders_en")
         dirs = translate_dir_paths(folders, ROOT_NAME)
-        files = w.materialize(translate_file_names(f.drop("text"), dirs, MockTranslator(), MOCK_SETTINGS, w),
+        files = w.materialize(translate_file_names(f, dirs, MockTranslator(), MOCK_SETTINGS, w),
                               "names/files_en")
         _RUNS[key] = (folders, files)
     return _RUNS[key]

@@ -264,3 +264,20 @@ def test_word_text_with_tabs_breaks_and_nested_tables(spark):
     out = py_rewrite_paragraphs(xml, {"日\t本\n語": "Japanese <x>", "後": "after"})
     assert '<w:tab w:val="left"/></w:tabs><w:t>Japanese &lt;x&gt;</w:t><w:t></w:t><w:t></w:t></w:r>' in out
     assert "<w:t>after</w:t>" in out and "<w:t>外</w:t>" in out
+
+
+def test_names_are_derived_from_the_texts_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lexiflow.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+    files = catalog.jp_files
+    monkeypatch.setattr(catalog, "_RUNS", {})
+    monkeypatch.setattr(catalog, "jp_files", lambda s, d: files(s, d).withColumn("name", F.udf(counted)("name")))
+    catalog._names_run(spark, sf)
+    assert seen.value == files(spark, sf).count()      # each stage derived them again
