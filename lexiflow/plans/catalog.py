@@ -680,11 +680,13 @@ def q_sheet_rewrite(spark, sf):
     """S10 -> T1 (scope = sheet) -> R6 on both node patterns."""
     from ..operators.markup import node_replacements, rewrite_nodes
     from ..sources.markup import CACHED_STR, INLINE_STR, sheet_strings
-    parts = sheet_parts(spark, sf)
-    ss = sheet_strings(parts, "xml", ["wb"])
+    w = work_dir(spark)
+    # parts and strings come out of a shuffle and are read by the units and by both rewrites: written once
+    parts = w.materialize(sheet_parts(spark, sf), "sheet_parts")
+    ss = w.materialize(sheet_strings(parts, "xml", ["wb"]), "sheet_strings")
     u = union_units(*[ss.filter(F.col("kind") == k).select(F.col("wb").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text",
                                                            F.lit("sheet").alias("context")) for k in ("inline", "cached")])
-    res = batch_translate(u, MockTranslator(), MOCK_SETTINGS, work_dir(spark), "sheets")
+    res = batch_translate(u, MockTranslator(), MOCK_SETTINGS, w, "sheets")
     for kind, pattern in (("inline", INLINE_STR), ("cached", CACHED_STR)):
         new = node_replacements(ss.filter(F.col("kind") == kind), ["wb"], res.translations, F.col("wb"))
         parts = rewrite_nodes(parts, ["wb"], "xml", pattern, new)
@@ -698,11 +700,13 @@ def q_drawing_rewrite(spark, sf):
     from ..sources.markup import DRAWING_NODE, text_nodes
     t = _tabs(spark, sf)
     node = F.concat(F.lit('<a:p><a:noAutofit/><a:latin typeface="'), xml_escape("p_brand"), F.lit('"/><a:t>'), xml_escape("jp"), F.lit("</a:t></a:p>"))
-    parts = (t.groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))).alias("s"))
-             .select("wb", F.array_join(F.col("s.n"), "").alias("xml")))
-    nodes = text_nodes(parts, "xml", DRAWING_NODE, ["wb"])
+    w = work_dir(spark)
+    # as in sheet_rewrite: written once
+    parts = w.materialize(t.groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))).alias("s"))
+                          .select("wb", F.array_join(F.col("s.n"), "").alias("xml")), "drawing_parts")
+    nodes = w.materialize(text_nodes(parts, "xml", DRAWING_NODE, ["wb"]), "drawing_nodes")
     res = batch_translate(nodes.select(F.col("wb").alias("scope"), F.col("i").cast("bigint").alias("ord"), "text", F.lit("drawing").alias("context")),
-                          MockTranslator(), MOCK_SETTINGS, work_dir(spark), "drawings")
+                          MockTranslator(), MOCK_SETTINGS, w, "drawings")
     new = node_replacements(nodes, ["wb"], res.translations, F.col("wb"))
     return rewrite_nodes(parts, ["wb"], "xml", DRAWING_NODE, new).select("wb", fonts_drawing("xml").alias("xml"))
 

@@ -80,3 +80,12 @@ def test_drawing_discovery(spark):
     df = spark.createDataFrame(rows, "path string, part string, data binary")
     got = sorted(tuple(r) for r in drawing_parts(df).collect())
     assert got == [("a.xlsx", "xl/media/d1.xml"), ("b.xlsx", "xl/drawings/drawing1.xml")]
+
+
+def test_replacements_evaluate_the_nodes_once(spark):
+    from lexiflow.operators.markup import node_replacements
+    nodes = spark.range(0, 6).selectExpr("'k' || (id div 2) as k", "int(id % 2) as i", "'r' || id as raw", "'t' || id as text")
+    tr = spark.createDataFrame([("k0", "t1", "a<b"), ("k2", "t4", "c"), ("k1", "t0", "other scope")], "scope string, text string, text_en string")
+    got = node_replacements(nodes, ["k"], tr, nodes["k"])
+    assert sorted(map(tuple, got.collect())) == [("k0", 0, "t0"), ("k0", 1, "a&lt;b"), ("k2", 0, "c"), ("k2", 1, "t5")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1
