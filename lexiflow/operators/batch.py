@@ -91,15 +91,19 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
         if contexts is not None:
             cols = unique.columns
             unique = unique.drop("context").join(contexts.select("scope", "context"), "scope", "left").select(*cols)
-        uu_all = work.materialize(unique, f"{name}/unique_units")
+        uu_all = unique if memory is not None else work.materialize(unique, f"{name}/unique_units")
     known = None
     uu = uu_all
     if memory is not None:
         # several answers for one key: the least, so that runs agree
-        mem = memory.groupBy(*memory_key).agg(F.min("text_en").alias("text_en"))
-        known = (uu_all.join(mem, list(memory_key))
+        mem = memory.groupBy(*memory_key).agg(F.min("text_en").alias("text_en")).withColumn("__held", F.lit(True))
+        # looked up once and written with what was found: both halves, and every later use of them, read that table
+        cols = uu_all.columns
+        found = work.materialize(uu_all.join(mem, list(memory_key), "left").select(*cols, "text_en", "__held"), f"{name}/unique_units")
+        uu_all = found.select(*cols)
+        known = (found.where("__held")
                  .select("scope", "context", "text", "text_en", F.lit("memory").alias("how")))
-        uu = work.materialize(uu_all.join(mem.select(*memory_key), list(memory_key), "left_anti"), f"{name}/new_units")
+        uu = found.where("__held is null").select(*cols)
     # packing carries the text, so chunks come out assembled (no join back to the
     # texts); the paid stage's exact input is written first: packing runs with
     # normal Arrow batches, and a retried model stage re-reads fixed chunks
@@ -110,14 +114,16 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     responses = work.paid(chunks, lambda c, n: call_chunks(c, translator, settings, n), f"{name}/responses", ["scope", "chunk_id"],
                           settings.calls_per_wave, call_conf, stored=True, tag=reply_tag(settings))
 
+    failed = work.queues[-1].errors()
     zipped = zip_responses(responses)
     chunk_errors = (responses.filter(F.col("status") == "error")
                     .select("scope", F.lit("chunk").alias("stage"), "error"))
     missing = missing_positions(zipped)
-    if isolate == "scope":   # a scope that is lost anyway pays for no fallback
+    if isolate == "scope" and failed:   # a scope that is lost anyway pays for no fallback
         missing = missing.join(chunk_errors.select("scope").distinct(), "scope", "left_anti")
     singles = work.paid(missing, lambda m, n: call_singles(m, translator, settings, n), f"{name}/singles", ["scope", "text"],
                         settings.calls_per_wave, call_conf, tag=reply_tag(settings))
+    failed += work.queues[-1].errors()
     single_errors = (singles.filter(F.col("status") == "error")
                      .select("scope", F.lit("single").alias("stage"), "error"))
     errors = chunk_errors.unionByName(single_errors)
@@ -130,7 +136,7 @@ def batch_translate(units: DataFrame, translator, settings: Settings = DEFAULT,
     translations = from_chunks.unionByName(from_singles)
     if known is not None:
         translations = translations.unionByName(known)
-    if isolate == "scope":
+    if isolate == "scope" and failed:   # where no call failed, no translation is moved to look for its scope
         translations = translations.join(errors.select("scope").distinct(), "scope", "left_anti")
     return BatchResult(uu_all, assignments, chunks, responses, singles, translations, errors)
 

@@ -139,6 +139,10 @@ class PaidQueue:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json(self.work.table(f"{self.name}/commits")).where(F.col("fingerprint") == self.mark)
 
+    def errors(self) -> int:
+        """Calls that failed, from the manifests."""
+        return self.spent().agg(F.sum("errors")).first()[0] or 0 if self.n else 0
+
 
 def spent(queues: list[PaidQueue], settings: Settings = DEFAULT) -> DataFrame:
     """A8 from the manifests: calls, errors, tokens and dollars of the given queues, one row; no reply is read."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
+@contextmanager
+def session_conf(spark: SparkSession, conf: dict):
+    """Session settings that apply inside the block only (restored after)."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -120,17 +137,8 @@ class WorkDir:
         """
         p = self.table(name)
         if not (self.resume and self.exists(name)):
-            old = {k: self.spark.conf.get(k, None) for k in (conf or {})}
-            try:
-                for k, v in (conf or {}).items():
-                    self.spark.conf.set(k, str(v))
+            with session_conf(self.spark, conf or {}):
                 df.write.mode("overwrite").parquet(p)
-            finally:
-                for k, v in old.items():
-                    if v is None:
-                        self.spark.conf.unset(k)
-                    else:
-                        self.spark.conf.set(k, v)
         # the schema is known: no footer inference on read-back
         return self.spark.read.schema(df.schema).parquet(p)
 

@@ -22,7 +22,7 @@ from ..config import DEFAULT, Settings
 from ..operators.batch import batch_translate
 from ..operators.memory import append_memory, read_memory
 from ..operators.rebuild import apply_and_rebuild
-from ..session import WorkDir, checkpoint_root
+from ..session import WorkDir, checkpoint_root, session_conf
 from ..sources.text import explode_lines
 
 DOC_SCHEMA = T.StructType([
@@ -37,14 +37,16 @@ def translate_batch(batch: DataFrame, batch_id: int, translator, settings: Setti
     spark = batch.sparkSession
     # a batch that is played again finds the replies of its first run by their fingerprint and pays nothing
     work = WorkDir(spark, os.path.join(work_root, f"batch={batch_id}"), resume=True)
-    docs = work.materialize(batch, "docs")
-    lines = explode_lines(docs.select(F.col("doc_id").alias("scope"), "context", "text"), "text",
+    # the batch's files stay where they are until it is committed: read again by the rebuild, not copied
+    lines = explode_lines(batch.select(F.col("doc_id").alias("scope"), "context", "text"), "text",
                           keep=["scope", "context"])
     res = batch_translate(lines, translator, settings, work, "t1", memory=read_memory(spark, memory_path, except_run=f"b{batch_id}"))
-    out = apply_and_rebuild(lines, res.translations, "scope", "text")
-    empty = docs.filter(F.length("text") == 0).select(F.col("doc_id").alias("scope"), F.lit("").alias("text"))
-    (out.unionByName(empty).withColumnRenamed("scope", "doc_id")
-     .write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}")))
+    empty = batch.filter(F.length("text") == 0).select(F.col("doc_id").alias("scope"), F.lit("").alias("text"))
+    # dealt by document once: the join by (scope, text) and the regroup by scope both take that
+    with session_conf(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        out = apply_and_rebuild(lines, res.translations, "scope", "text")
+        (out.unionByName(empty).withColumnRenamed("scope", "doc_id")
+         .write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}")))
     append_memory(res.translations, memory_path, f"b{batch_id}")
 
 

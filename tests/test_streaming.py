@@ -50,3 +50,24 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
         assert read_memory(spark, mem).count() == 2
         assert [r.text for r in spark.read.parquet(out).collect()] == [f"{mock_translate('日本')}\n{mock_translate('語 行')}"]
     assert read_memory(spark, mem, except_run="b0").count() == 0
+
+
+def test_translations_are_not_moved_where_no_call_failed(spark, tmp_path):
+    from lexiflow.config import DEFAULT
+    from lexiflow.models import MockTranslator, ScriptedFaultTranslator
+    from lexiflow.operators.batch import batch_translate
+    from lexiflow.operators.memory import read_memory
+    from lexiflow.session import work_dir
+    units = spark.createDataFrame([("a", 0, "日本 x", "c"), ("a", 1, "本失", "c"), ("b", 0, "語 y", "c"), ("b", 1, "日本 x", "c")],
+                                  "scope string, ord bigint, text string, context string")
+    spark.createDataFrame([("c", "日本 x", "kept", "r0"), ("c", "日本 x", "least of two", "r0")], "context string, text string, text_en string, run string") \
+        .write.partitionBy("run").parquet(str(tmp_path / "memory"))
+    memory = read_memory(spark, str(tmp_path / "memory"))
+    good = batch_translate(units, MockTranslator(), DEFAULT, work_dir(spark), memory=memory)
+    bad = batch_translate(units, ScriptedFaultTranslator(fail_marker="失", faults=False), DEFAULT, work_dir(spark), memory=memory)
+    said = lambda r: sorted((x.scope, x.text, x.text_en, x.how) for x in r.translations.collect())
+    assert said(good) == [("a", "日本 x", "kept", "memory"), ("a", "本失", "<en>b失", "chunk"), ("b", "日本 x", "kept", "memory"), ("b", "語 y", "<en>c y", "chunk")]
+    assert said(bad) == [("b", "日本 x", "kept", "memory"), ("b", "語 y", "<en>c y", "chunk")]
+    plan = lambda r: r.translations._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(good)
+    assert "Join LeftAnti" in plan(bad)
