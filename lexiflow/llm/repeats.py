@@ -13,13 +13,16 @@ compares the windows of one bucket.
 2. *Fragments.*  Rows get their shared runs back (one join by row) and cut the
    text of each run.  Equal fragments of one chunk are settled there: all but
    those of the smallest id are repeats.  One travels on to the bucket of its
-   minimiser.  A minimiser with very many holders (``hot``) is dealt by whole
-   windows instead of by runs, so its bucket splits exactly.
+   minimiser.  A minimiser with very many holders (``hot``) is dealt by longer strings: windows at
+   about the same distance from it (``NEAR``) have all but some units in common, so its bucket splits.
 3. *Buckets.*  Windows are compared exactly and each gets the smallest id.  A bucket is compared in
    runs of whole minimisers of some MB, so memory follows that size and not the bucket's; a single minimiser over
    it (periodic texts) is compared by its distinct windows, fragment by fragment.
 4. *Rows.*  Spans go back to their rows (the second join, on the same exchange).
 
+Addresses and spans travel as packs: a task sends one to each group of rows (by a hash of the row), where they are
+sorted into one record per row before the join.  So their records follow the rows and tasks, not the buckets a row meets.
+
 Rows are told apart by id and a 32-bit hash of the text: rows equal in both have
 equal results.  A null id ranks after every other id.  Null text counts as empty.
 """
@@ -39,6 +42,8 @@ from lexiflow.llm.common import LAST_ID, let_go, pack, partitions, unpack, writt
 
 #: so many hot minimisers at most are named (8 bytes each), those with the most holders first
 MOST_HOT = 1_000_000
+#: distances from a hot minimiser that go together: equal windows have equal distances, so only the bucket changes
+NEAR = 8
 ID, TH = "__lf_id", "__lf_th"
 
 
@@ -55,12 +60,12 @@ class Unit:
     piece: int = 1 << 20
     #: bytes of fragments that a bucket compares at once (whole minimisers, or classes of windows of a larger one)
     part: int = 2 << 20
-    #: from this number of holders on, a minimiser is dealt by windows; only the bucket changes, never the result
+    #: from this number of holders on, a minimiser is dealt by longer strings; only the bucket changes, never the result
     hot: int = 2000
 
 
 def _find_runs(unit: Unit, buf: np.ndarray, off: np.ndarray):
-    """Row, first window, window count and minimiser of each run; and the word table for words."""
+    """Row, first window, window count and minimiser of each run; the word table for words; each window's minimiser's place."""
     with np.errstate(over="ignore"):
         s = K.prefix_hash(buf)
         if unit.words:
@@ -69,20 +74,31 @@ def _find_runs(unit: Unit, buf: np.ndarray, off: np.ndarray):
             tab = (ws, we, first)
         else:
             first, tab = off, None
-            n = len(buf) - unit.gram + 1
-            at = np.arange(max(n, 0))
-            gram = K.span_hash(s, at, at + unit.gram) if n > 0 else np.zeros(0, np.uint64)
-        least = K.window_min((gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64),
-                             unit.window - unit.gram + 1)
+            n = max(len(buf) - unit.gram + 1, 0)
+            gram = s[unit.gram: unit.gram + n] - s[:n]
+            gram *= K.powers(len(s))[1][:n]          # mixed only where it is a minimiser
+        order = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
+        place = K.window_min(order, unit.window - unit.gram + 1).astype(np.uint32)
         count = np.maximum(np.diff(first) - unit.window + 1, 0)
-        win = K.ranges(first[:-1], count)
-        row = np.repeat(np.arange(len(count)), count)
-        h = gram[(least[win] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        new = np.ones(len(win), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        held = np.flatnonzero(count)
+        # windows of one minimiser's place; what lies between the windows of two rows goes
+        new = np.ones(len(place), bool)
+        new[1:] = place[1:] != place[:-1]
+        new[first[held]] = True
+        last = first[held] + count[held]
+        new[last[last < len(new)]] = True
         at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(win)))
-    return row[at], win[at] - first[row[at]], size, h[at], first, tab, s
+        size = np.diff(np.append(at, len(new)))
+        row = np.searchsorted(first, at, "right") - 1
+        i = np.flatnonzero(at < (first[:-1] + count)[row])
+        at, size, row = at[i], size[i], row[i]
+        h = gram[place[at]]
+        if not unit.words:
+            h = K.mix(h)
+        # a minimiser may come again at the next place
+        i = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else at
+        size = np.add.reduceat(size, i) if len(i) else size
+    return row[i], at[i] - first[row[i]], size, h[i], first, tab, s, place
 
 
 def _chunks(unit: Unit, batches: Iterator[pa.RecordBatch], column: str, take: Callable) -> Iterator[list]:
@@ -115,6 +131,18 @@ def _entries(unit: Unit, buckets: int):
     return lambda batches: _send(_chunks(unit, batches, "t", take), buckets)
 
 
+def _by_hash(h: np.ndarray) -> np.ndarray:
+    """An order in which equal hashes lie together, each in the order it came (but for hashes equal in their leading 40 bits or so)."""
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    return (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def _by_bucket(dest: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, stable, and where each bucket begins."""
+    o = np.argsort(dest.astype(np.uint16) if buckets < 1 << 16 else dest, kind="stable")
+    return o, np.append(0, np.cumsum(np.bincount(dest, minlength=buckets)))
+
+
 def _send(chunks: Iterator[list], buckets: int) -> Iterator[pa.RecordBatch]:
     """Chunks of (id, th, start, hash) -> (bucket, known, payload): every hash of a chunk once, to its bucket."""
     salt = 0
@@ -122,29 +150,32 @@ def _send(chunks: Iterator[list], buckets: int) -> Iterator[pa.RecordBatch]:
         ids, th, start, h = (_join(got, i) for i in range(4))
         if not len(h):
             continue
-        o = np.lexsort((start, th, ids, h))
-        ids, th, start, h = ids[o], th[o], start[o].astype(np.uint32), h[o]
+        head = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]))
+        row = np.cumsum(head) - 1
+        num, rows = _numbers(ids[head], th[head])
+        if rows < len(num):                         # a row (or its equal) comes in several places
+            row = num[row]
+            i = np.argsort(row, kind="stable")
+            ids, th, start, h, row = ids[i], th[i], start[i], h[i], row[i]
+        o = _by_hash(h)
+        ids, th, start, h, row = ids[o], th[o], start[o].astype(np.uint32), h[o], row[o]
         new = np.append(True, h[1:] != h[:-1])
-        doc = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])) | new
+        doc = np.append(True, row[1:] != row[:-1]) | new
         g = np.cumsum(new) - 1
         rows = np.bincount(g, doc)                  # rows of the chunk that hold it
         many = rows[g] > 1
-        one = many & new
         dest = (h % np.uint64(buckets)).astype(np.int64)
         short = (h >> np.uint64(32)).astype(np.uint32)   # within a bucket these bits tell minimisers apart well enough
         # addresses of minimisers that are known to be shared go anywhere; those that may be, to their bucket
-        lone = np.flatnonzero(~many)
-        lone = lone[np.argsort(dest[lone], kind="stable")]
-        mark = np.flatnonzero(one)
-        mark = mark[np.argsort(dest[mark], kind="stable")]
-        cuts = np.searchsorted(dest[lone], np.arange(buckets + 1))
-        mcut = np.searchsorted(dest[mark], np.arange(buckets + 1))
-        out_b, out_p = [], []
-        for b in range(buckets):
-            i, m = lone[cuts[b]: cuts[b + 1]], mark[mcut[b]: mcut[b + 1]]
-            if len(i) or len(m):
-                out_b.append(b)
-                out_p.append(pack(short[i], ids[i], th[i], start[i], short[m], rows[g[m]].astype(np.uint32)))
+        lone, mark = np.flatnonzero(~many), np.flatnonzero(many & new)
+        i, cuts = _by_bucket(dest[lone], buckets)
+        lone = lone[i]
+        i, mcut = _by_bucket(dest[mark], buckets)
+        mark = mark[i]
+        columns = [x[lone] for x in (short, ids, th, start)]
+        marks = [short[mark], rows[g[mark]].astype(np.uint32)]
+        out_b = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(mcut) > 0)).tolist()
+        out_p = [pack(*(x[cuts[b]: cuts[b + 1]] for x in columns), *(x[mcut[b]: mcut[b + 1]] for x in marks)) for b in out_b]
         yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array([False] * len(out_b)),
                                           pa.array(out_p, pa.binary())], ["b", "known", "p"])
         i = np.flatnonzero(many)
@@ -155,22 +186,81 @@ def _send(chunks: Iterator[list], buckets: int) -> Iterator[pa.RecordBatch]:
                 [pack(ids[j], th[j], start[j])], pa.binary())], ["b", "known", "p"])
 
 
-_ADDRESS = pa.schema([(ID, pa.int64()), (TH, pa.int64()), ("r", pa.binary())])
+def _numbers(ids: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, int]:
+    """A dense number of each (id, th), in their order, and how many there are."""
+    o = np.lexsort((th, ids))
+    new = np.append(True, (ids[o][1:] != ids[o][:-1]) | (th[o][1:] != th[o][:-1]))
+    num = np.empty(len(o), np.int64)
+    num[o] = np.cumsum(new) - 1
+    return num, int(new.sum())
 
 
-def _by_row(ids: np.ndarray, th: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One record per row id: its values as a blob."""
-    if not len(ids):
-        return
-    o = np.lexsort((th, ids))
-    ids, th = ids[o], th[o]
-    values = [v[o] for v in values]
-    cut = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
-    end = np.append(cut[1:], len(ids))
-    for at in range(0, len(cut), 20_000):
-        c, e = cut[at: at + 20_000], end[at: at + 20_000]
-        blobs = [b"".join(np.ascontiguousarray(v[i:j]).tobytes() for v in values) for i, j in zip(c, e)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[c]), pa.array(th[c]), pa.array(blobs, pa.binary())], schema=_ADDRESS)
+#: values that a task gathers before it sends them to the groups of their rows; a limit of memory only
+GATHER = 1 << 20
+_PACK = pa.schema([("g", pa.int32()), ("p", pa.binary()), ("k", pa.int8())])
+
+
+def _to_rows(found: Iterator[tuple], groups: int) -> Iterator[pa.RecordBatch]:
+    """(ids, th, uint32 values ...) of rows, gathered and packed for the group of each row (k 0)."""
+    got, size = [], 0
+
+    def packed():
+        ids, th, *values = (_join(got, i) for i in range(len(got[0])))
+        with np.errstate(over="ignore"):
+            to = (K.mix(ids.astype(np.uint64) * K.BASE ^ th.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        o = np.lexsort((ids, to))                     # a row's values together, for the packing
+        cut = np.append(0, np.cumsum(np.bincount(to, minlength=groups)))
+        columns = [ids[o], th[o].astype(np.uint32), *(v[o] for v in values)]
+        out = np.flatnonzero(np.diff(cut)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(
+            [pack(*(x[cut[g]: cut[g + 1]] for x in columns)) for g in out], pa.binary()), pa.array(np.zeros(len(out), np.int8))], schema=_PACK)
+
+    for one in found:
+        if not len(one[0]):
+            continue
+        got.append(one)
+        size += len(one[0])
+        if size >= GATHER:
+            yield packed()
+            got, size = [], 0
+    if got:
+        yield packed()
+
+
+def _row_records(values: int):
+    """Task: packs (group, payload), sorted by group -> (id, th, blob), one of each row: its sorted places, or its merged spans."""
+    def run(batches):
+        now, got = None, []
+        for batch in batches:
+            for g, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if g != now and got:
+                    yield from group(got)
+                    got = []
+                now = g
+                got.append(unpack(p, np.int64, np.uint32, *[np.uint32] * values))
+        if got:
+            yield from group(got)
+
+    def group(got):
+        ids, th, *x = (_join(got, i) for i in range(2 + values))
+        o = np.lexsort((x[0], th, ids))
+        ids, th, x = ids[o], th[o], [v[o] for v in x]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]))
+        own = np.flatnonzero(new)
+        ids, th = ids[own], th[own].astype(np.int64)
+        if values == 2:                               # each row's spans lie apart from the next row's
+            base = (np.cumsum(new) - 1) << 32
+            a, e = K.runs(base + x[0], base + x[1])
+            own = np.searchsorted(a, np.arange(len(own)) << 32)
+            x = [a & 0xFFFFFFFF, e & 0xFFFFFFFF]
+        flat = np.column_stack(x).astype(np.uint32)
+        cut = np.append(own, len(flat))
+        for at in range(0, len(own), 20_000):
+            c = cut[at: at + 20_001]
+            blobs = pa.Array.from_buffers(pa.binary(), len(c) - 1, [None, pa.py_buffer(((c - c[0]) * (4 * values)).astype(np.int32)),
+                                                                    pa.py_buffer(flat[c[0]: c[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at: at + 20_000]), pa.array(th[at: at + 20_000]), blobs], [ID, TH, "r"])
+    return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -190,46 +280,49 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield [False, *got]
 
 
-def _shared(hot: int):
-    """Task: minimisers of a bucket -> addresses of the shared ones by row (k 0), and the hot ones with their counts (k 1)."""
+def _shared(hot: int, groups: int):
+    """Task: minimisers of a bucket -> addresses of the shared ones, for the groups of their rows (k 0), and the hot ones with their counts (k 1)."""
     def run(batches):
+        very: list[pa.RecordBatch] = []
+        yield from _to_rows(found(batches, very), groups)
+        yield from very
+
+    def found(batches, very):
         for known, *blobs in _buckets(batches):
             if known:
-                ids, th, start = unpack(blobs[0], np.int64, np.int64, np.uint32)
-                for b in _by_row(ids, th, start):
-                    yield _kind(b, 0)
+                yield tuple(unpack(blobs[0], np.int64, np.int64, np.uint32))
                 continue
             got = [unpack(p, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32) for p in blobs]
             h, ids, th, start, mark, rows = (_join(got, i) for i in range(6))
-            o = np.lexsort((th, ids, h))
+            del got, blobs
+            o = (np.sort((h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             h, ids, th, start = h[o], ids[o], th[o], start[o]
             new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-            doc = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])) | new if len(h) else new
-            g = np.cumsum(new) - 1
-            n = np.bincount(g, doc) if len(h) else np.zeros(0)
-            keep = n[g] > 1 if len(h) else new
+            g, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            # shared, if a row other than the first one holds it
+            other = np.bincount(g, (ids != ids[first][g]) | (th != th[first][g]), len(first))
+            keep = other[g] > 0 if len(h) else new
+            key = h[first]
             if len(mark):
-                keep |= np.isin(h, mark)
-            for b in _by_row(ids[keep], th[keep], start[keep]):
-                yield _kind(b, 0)
-            both = np.concatenate([h[new], mark])
-            held = np.concatenate([n, rows.astype(np.float64)])
-            key, inv = np.unique(both, return_inverse=True)
-            total = np.bincount(inv, held, len(key)).astype(np.int64)
-            very = total > hot
-            if very.any():
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array(
-                    [key[very].astype(np.int64).tobytes() + total[very].tobytes()], pa.binary()), pa.array([1], pa.int8())], schema=_SHARED)
+                keep |= np.isin(key, mark)[g]
+            yield ids[keep], th[keep], start[keep]
+            both = np.concatenate([key, mark])
+            many = np.concatenate([np.bincount(g, minlength=len(first)), rows])
+            name, inv = np.unique(both, return_inverse=True)
+            most = np.bincount(inv, many, len(name)) > hot       # entries of a row are counted each, so look again
+            if not most.any():
+                continue
+            i = np.flatnonzero(most[inv[: len(first)]][g])
+            num, _ = _numbers(ids[i], th[i]) if len(i) else (i, 0)
+            i = i[np.unique((inv[g[i]] << 32) | num, return_index=True)[1]]
+            total = (np.bincount(inv[g[i]], minlength=len(name)) + np.bincount(inv[len(first):], rows, len(name))).astype(np.int64)
+            most = total > hot
+            if most.any():
+                very.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array(
+                    [name[most].astype(np.int64).tobytes() + total[most].tobytes()], pa.binary()), pa.array([1], pa.int8())], schema=_PACK))
     return run
 
 
-_SHARED = pa.schema([*_ADDRESS, ("k", pa.int8())])
-
-
-def _kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, kind, np.int8))], schema=_SHARED)
-
-
 def _hot_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column(0).to_pylist():
@@ -241,27 +334,36 @@ def _hot_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fragments(unit: Unit, buckets: int, hot, text: str):
     """Task: rows with their shared runs -> fragments by bucket, and spans settled here.
 
-    ``hot``: broadcast of the sorted hot minimisers; their runs are cut into single windows.
+    ``hot``: broadcast of the sorted hot minimisers; their runs are cut where a window is NEAR places nearer to the minimiser,
+    and each piece goes by the string that its windows have in common.
     """
     def take(part):
-        own_id, own_th, own_text, blobs = (part.column(part.schema.get_field_index(c)) for c in (ID, TH, text, "__lf_r"))
+        own_id, own_th, own_text, shared = (part.column(part.schema.get_field_index(c)) for c in (ID, TH, text, "__lf_r"))
         buf, off = K.utf8(own_text)
-        row, start, size, h, first, tab, s = _find_runs(unit, buf, off)
-        blobs = blobs.to_pylist()
-        want_row, want = [], []
-        for r, lists in enumerate(blobs):
-            for x in lists:
-                want.append(np.frombuffer(x, np.uint32))
-                want_row.append(np.full(len(want[-1]), r))
-        want_row, want = np.concatenate(want_row), np.concatenate(want).astype(np.int64)
-        i = np.searchsorted(row * (1 << 32) + start, want_row * (1 << 32) + want)
-        i = np.unique(i)
+        row, start, size, h, first, tab, s, place = _find_runs(unit, buf, off)
+        want, edge = K.utf8(shared)
+        want = (np.repeat(np.arange(len(edge) - 1), np.diff(edge) // 4) << 32) | want.view(np.uint32)
+        picked = np.zeros(len(row), bool)
+        picked[np.searchsorted((row << 32) | start, want)] = True
+        i = np.flatnonzero(picked)
         row, start, size, h = row[i], start[i], size[i], h[i]
         very = np.isin(h >> np.uint64(32), hot.value)
         if very.any():
             n = np.where(very, size, 1)
-            start = K.ranges(start, n)
-            row, h, very, size = (np.repeat(x, n) for x in (row, h, very, np.where(very, 1, size)))
+            of, a = np.repeat(np.arange(len(n)), n), K.ranges(first[row] + start, n)
+            far = place[a] - a                          # from the window to its minimiser
+            new = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(place[a].astype(np.int64)) != 0) | (np.diff(far // NEAR) != 0)))
+            of, a, far, n = of[new], a[new], far[new] // NEAR * NEAR, np.diff(np.append(new, len(a)))
+            row, h, very, size = row[of], h[of], very[of], np.where(very[of], n, size[of])
+            start = a - first[row]
+            # what all windows of so near a place have in common, in units (words may stand apart by other spaces)
+            units = s
+            if unit.words:
+                units = K.span_hash(s, *tab[:2])
+                units = np.append(np.uint64(0), np.cumsum(units * K.powers(len(units) + 1)[0][: len(units)]))
+            near = place[a].astype(np.int64)
+            common = K.span_hash(units, near - far, near + unit.window - np.minimum(far + NEAR - 1, unit.window - unit.gram))
+            h = np.where(very, common, h)
         a = first[row] + start
         if unit.words:
             ws, we, _ = tab
@@ -269,8 +371,7 @@ def _fragments(unit: Unit, buckets: int, hot, text: str):
         else:
             frm, to = a, a + size + unit.window - 1
         fh = K.span_hash(s, frm, to)
-        h = np.where(very, K.mix(fh), h)
-        byte = buf[K.ranges(frm, to - frm)]
+        byte = _strings(buf, frm, to - frm)
         return (own_id.to_numpy()[row], own_th.to_numpy()[row], start.astype(np.uint32),
                 size.astype(np.uint32), h, fh, (to - frm).astype(np.int64), byte, len(byte) + 64 * len(row))
 
@@ -281,10 +382,15 @@ def _fragments(unit: Unit, buckets: int, hot, text: str):
             if not len(h):
                 continue
             at = np.cumsum(ln) - ln
-            o = np.lexsort((ids, ln, fh, h))
-            new = np.append(True, (h[o][1:] != h[o][:-1]) | (fh[o][1:] != fh[o][:-1]) | (ln[o][1:] != ln[o][:-1]))
+            with np.errstate(over="ignore"):
+                o = _by_hash(K.mix((h ^ (fh >> np.uint64(1))) + fh * K.BASE + ln.astype(np.uint64)))
+            ho, fo, lo, own = h[o], fh[o], ln[o], ids[o]
+            new = np.append(True, (ho[1:] != ho[:-1]) | (fo[1:] != fo[:-1]) | (lo[1:] != lo[:-1]))
             g = np.cumsum(new) - 1
-            rep = o[new][g]                               # of the least id, as ids sort last
+            i = np.flatnonzero(own == np.minimum.reduceat(own, np.flatnonzero(new))[g])
+            rep = np.empty(int(g[-1]) + 1, np.int64)
+            rep[g[i]] = o[i]                              # one of the least id
+            rep = rep[g]
             same = equal_bytes(byte, at[o], at[rep], ln[o])
             settled = same & (ids[o] > ids[rep])
             i = o[settled]
@@ -293,21 +399,34 @@ def _fragments(unit: Unit, buckets: int, hot, text: str):
                 to = int((int(fh[j[0]]) >> 17) + salt) % buckets
                 yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([True]), pa.array([pack(
                     ids[j], th[j], start[j], start[j] + size[j] + np.uint32(unit.window - 1))], pa.binary())], ["b", "known", "p"])
-            i = np.sort(o[~settled])
-            dest = (h[i] % np.uint64(buckets)).astype(np.int64)
-            i = i[np.argsort(dest, kind="stable")]
-            cuts = np.searchsorted(np.sort(dest), np.arange(buckets + 1))
-            out_b, out_p = [], []
-            for b in range(buckets):
-                j = i[cuts[b]: cuts[b + 1]]
-                if len(j):
-                    out_b.append(b)
-                    out_p.append(pack((h[j] >> np.uint64(32)).astype(np.uint32), ids[j], th[j], start[j], size[j], ln[j], byte[K.ranges(at[j], ln[j])]))
+            rest = np.ones(len(h), bool)
+            rest[i] = False
+            i = np.flatnonzero(rest)
+            o, cuts = _by_bucket((h[i] % np.uint64(buckets)).astype(np.int64), buckets)
+            i = i[o]
+            columns = [(h[i] >> np.uint64(32)).astype(np.uint32), *(x[i] for x in (ids, th, start, size, ln))]
+            byte = _strings(byte, at[i], ln[i])
+            edge = np.append(0, np.cumsum(ln[i]))
+            out_b = np.flatnonzero(np.diff(cuts)).tolist()
+            out_p = [pack(*(x[cuts[b]: cuts[b + 1]] for x in columns), byte[edge[cuts[b]]: edge[cuts[b + 1]]]) for b in out_b]
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array([False] * len(out_b)),
                                               pa.array(out_p, pa.binary())], ["b", "known", "p"])
     return run
 
 
+def _strings(byte: np.ndarray, at: np.ndarray, ln: np.ndarray) -> np.ndarray:
+    """byte[at:at+ln] of each, one after another; some of them at a time, as places take eight times their room."""
+    end = np.cumsum(ln)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    i = 0
+    while i < len(ln):
+        a = int(end[i] - ln[i])
+        j = max(i + 1, int(np.searchsorted(end, a + (1 << 19), "right")))
+        out[a: end[j - 1]] = byte[K.ranges(at[i:j], ln[i:j])]
+        i = j
+    return out
+
+
 def equal_bytes(byte: np.ndarray, a: np.ndarray, b: np.ndarray, ln: np.ndarray) -> np.ndarray:
     """Whether byte[a:a+ln] equals byte[b:b+ln], for each."""
     ok = np.ones(len(a), bool)
@@ -322,12 +441,15 @@ def equal_bytes(byte: np.ndarray, a: np.ndarray, b: np.ndarray, ln: np.ndarray)
     return ok
 
 
-def _solve(unit: Unit):
-    """Task: fragments of a bucket -> spans of the windows that a smaller id has too, by row."""
+def _solve(unit: Unit, groups: int = 1):
+    """Task: fragments of a bucket -> spans of the windows that a smaller id has too, for the groups of their rows."""
     def run(batches):
+        yield from _to_rows(found(batches), groups)
+
+    def found(batches):
         for known, *blobs in _buckets(batches):
             if known:
-                yield from _by_row(*unpack(blobs[0], np.int64, np.int64, np.uint32, np.uint32))
+                yield tuple(unpack(blobs[0], np.int64, np.int64, np.uint32, np.uint32))
                 continue
             got = [unpack(p, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint8) for p in blobs]
             h, ids, th, start, size, ln, byte = (_join(got, i) for i in range(7))
@@ -337,7 +459,7 @@ def _solve(unit: Unit):
                 if large:
                     yield from _solve_large(unit, ids[i], th[i], start[i], size[i], at[i], ln[i], byte)
                 else:
-                    yield from _solve_part(unit, h[i], ids[i], th[i], start[i], size[i], ln[i], byte[K.ranges(at[i], ln[i])])
+                    yield from _solve_part(unit, h[i], ids[i], th[i], start[i], size[i], ln[i], _strings(byte, at[i], ln[i]))
     return run
 
 
@@ -356,13 +478,13 @@ def _parts(h: np.ndarray, ln: np.ndarray, most: int) -> Iterator[tuple[bool, np.
         yield bool(large[inv[o[a]]]), o[a:b]
 
 
-def _solve_part(unit: Unit, h, ids, th, start, size, ln, byte) -> Iterator[pa.RecordBatch]:
-    """Spans by row of fragments of whole minimisers."""
+def _solve_part(unit: Unit, h, ids, th, start, size, ln, byte) -> Iterator[tuple]:
+    """Spans of the rows (id, th, start, end) of fragments of whole minimisers."""
     with np.errstate(over="ignore"):
         at = np.cumsum(ln) - ln
         s = K.prefix_hash(byte)
         fh = K.span_hash(s, at, at + ln)
-        o = np.lexsort((ids, ln, fh, h))
+        o = np.lexsort((ids, (h.astype(np.uint64) << np.uint64(32)) | (K.mix(fh ^ ln.astype(np.uint64)) >> np.uint64(32))))
         h, ids, th, start, size, ln, fh, at = (x[o] for x in (h, ids, th, start, size.astype(np.int64), ln, fh, at))
         new = np.append(True, (h[1:] != h[:-1]) | (fh[1:] != fh[:-1]) | (ln[1:] != ln[:-1]))
         new |= ~equal_bytes(byte, at, at[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))], ln)
@@ -374,14 +496,12 @@ def _solve_part(unit: Unit, h, ids, th, start, size, ln, byte) -> Iterator[pa.Re
         # one class: every window of it is in each of its rows
         best = ids[rep][cls]
         alone = ~multi[cls] & (ids > best)
-        yield from _by_row(ids[alone], th[alone], start[alone],
-                           start[alone] + (size[alone] + unit.window - 1).astype(np.uint32))
+        yield ids[alone], th[alone], start[alone], start[alone] + (size[alone] + unit.window - 1).astype(np.uint32)
         m = rep[multi]
         if not len(m):
             return
         label = unit.solve(byte, s, at[m], ln[m], size[m], h[m])
         # least id of each window, then of each window of each member
-        _, label = np.unique(label, return_inverse=True)
         least = np.full(int(label.max()) + 1, LAST_ID)
         np.minimum.at(least, label, np.repeat(ids[m], size[m]))
         win0 = np.zeros(len(rep), np.int64)
@@ -394,8 +514,8 @@ def _solve_part(unit: Unit, h, ids, th, start, size, ln, byte) -> Iterator[pa.Re
             yield from _flagged(unit, least[label[w]] < ids[j][of], of, ids[j], th[j], start[j], size[j])
 
 
-def _flagged(unit: Unit, flag, of, ids, th, start, size) -> Iterator[pa.RecordBatch]:
-    """Spans by row from a flag for each window of consecutive fragments; ``of``: the fragment of each window."""
+def _flagged(unit: Unit, flag, of, ids, th, start, size) -> Iterator[tuple]:
+    """Spans of the rows from a flag for each window of consecutive fragments; ``of``: the fragment of each window."""
     k = np.flatnonzero(flag)
     if not len(k):
         return
@@ -404,11 +524,11 @@ def _flagged(unit: Unit, flag, of, ids, th, start, size) -> Iterator[pa.RecordBa
     f = of[a]
     size = size.astype(np.int64)
     shift = start[f].astype(np.int64) - (np.cumsum(size) - size)[f]
-    yield from _by_row(ids[f], th[f], (a + shift).astype(np.uint32), (b + shift + unit.window).astype(np.uint32))
+    yield ids[f], th[f], (a + shift).astype(np.uint32), (b + shift + unit.window).astype(np.uint32)
 
 
-def _solve_large(unit: Unit, ids, th, start, size, at, ln, byte) -> Iterator[pa.RecordBatch]:
-    """Spans by row of the fragments of one minimiser, whatever their size: each fragment's distinct windows are compared.
+def _solve_large(unit: Unit, ids, th, start, size, at, ln, byte) -> Iterator[tuple]:
+    """Spans of the rows of the fragments of one minimiser, whatever their size: each fragment's distinct windows are compared.
 
     A minimiser in many places of one text (a text that repeats itself) makes fragments as long as the text; their distinct
     windows are few.  Windows are known by hash and compared by bytes with the least row's and, in a fragment, with the first.
@@ -469,6 +589,14 @@ def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "b").sortWithinPartitions("known", "b")
 
 
+_PACKS = "g int, p binary, k byte"
+
+
+def _records(packs: DataFrame, n: int, values: int) -> DataFrame:
+    """One record of each row (``ID``, ``TH``, r) from the packs of its values."""
+    return packs.select("g", "p").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_row_records(values), f"{ID} long, {TH} long, r binary")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the row key; the text as it is."""
     return docs.withColumns({ID: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)),
@@ -476,7 +604,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
-    """All rows and columns of ``docs`` with ID, TH and ``__lf_spans``: blobs of the spans, in
+    """All rows and columns of ``docs`` with ID, TH and ``__lf_spans``: a blob of the spans (see ``spans_of``), in
     units, that repeat a row with a smaller id (null where nothing repeats).
 
     Both joins read the same columns of the same rows, so one exchange of the texts serves both.
@@ -487,14 +615,13 @@ def with_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataF
     rows = keyed(docs, id_col, text_col)
     blob = "b int, known boolean, p binary"
     entries = rows.select(ID, TH, F.col(text_col).alias("t")).mapInArrow(_entries(unit, buckets), blob)
-    shared = written(_dealt(entries, n).mapInArrow(_shared(unit.hot), f"{ID} long, {TH} long, r binary, k byte"), "shared")
-    top = (shared.where("k = 1").select("r").mapInArrow(_hot_list, "h long, n long")
+    shared = written(_dealt(entries, n).mapInArrow(_shared(unit.hot, n), _PACKS), "shared")
+    top = (shared.where("k = 1").select("p").mapInArrow(_hot_list, "h long, n long")
            .orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").toPandas())
     hot = spark.sparkContext.broadcast(np.sort(top["h"].to_numpy(np.int64).astype(np.uint64)))
-    of_row = shared.where("k = 0").groupBy(ID, TH).agg(F.collect_list("r").alias("__lf_r"))
+    of_row = _records(shared.where("k = 0"), n, 1).withColumnRenamed("r", "__lf_r")
     cut = rows.join(of_row, [ID, TH]).mapInArrow(_fragments(unit, buckets, hot, text_col), blob)
-    spans = (_dealt(cut, n).mapInArrow(_solve(unit), f"{ID} long, {TH} long, r binary")
-             .groupBy(ID, TH).agg(F.collect_list("r").alias("__lf_spans")))
+    spans = _records(_dealt(cut, n).mapInArrow(_solve(unit, n), _PACKS), n, 2).withColumnRenamed("r", "__lf_spans")
     return rows.join(spans, [ID, TH], "left")
 
 
@@ -512,16 +639,11 @@ def shared_values(rows: DataFrame, values: Callable) -> DataFrame:
                 for at in range(0, batch.num_rows, 8192):
                     yield [values(batch.slice(at, 8192))]
         yield from _send(chunks(), 4 * n)
-    found = _dealt(rows.mapInArrow(run, "b int, known boolean, p binary"), n).mapInArrow(
-        _shared(2**31), f"{ID} long, {TH} long, r binary, k byte")
-    return (found.where("k = 0").groupBy(F.col(ID).alias("node"))
-            .agg((F.sum(F.length("r")) / 4).cast("long").alias("held")))
-
-
-def spans_of(blobs) -> tuple[np.ndarray, np.ndarray]:
-    """The merged spans of one row's blobs."""
-    if not blobs:
-        z = np.zeros(0, np.int64)
-        return z, z
-    half = [(np.frombuffer(x, np.uint32, len(x) // 8), np.frombuffer(x, np.uint32, len(x) // 8, len(x) // 2)) for x in blobs]
-    return K.runs(np.concatenate([a for a, _ in half]).astype(np.int64), np.concatenate([b for _, b in half]).astype(np.int64))
+    found = _dealt(rows.mapInArrow(run, "b int, known boolean, p binary"), n).mapInArrow(_shared(2**31, n), _PACKS)
+    return _records(found.where("k = 0"), n, 1).select(F.col(ID).alias("node"), (F.length("r") / 4).cast("long").alias("held"))
+
+
+def spans_of(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of one row's spans, which are sorted and apart."""
+    x = np.frombuffer(blob or b"", np.uint32).reshape(-1, 2).astype(np.int64)
+    return x[:, 0], x[:, 1]

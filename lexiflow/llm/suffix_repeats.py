@@ -3,8 +3,8 @@
 The suffixes that may share a 50-byte start meet in the bucket of their
 minimiser.  There they are sorted: by their first eight bytes, then by a
 mergesort whose comparison finds the common extension of two suffixes by binary
-search over prefix polynomial hashes (six probes for 50 bytes) and looks at the
-first byte after it.  Merges of all groups run in step, as numpy passes.
+search over prefix polynomial hashes (one probe for all 50 bytes, six more if
+they differ; eight bytes and less are their own hash) and looks at the first byte after it.  Merges of all groups run in step, as numpy passes.
 Neighbours that the hashes call equal are compared byte by byte; if any pair
 differs (a collision), the bucket's strings are told apart by their bytes.
 
@@ -29,31 +29,53 @@ from lexiflow.llm.repeats import Unit, equal_bytes, spans_of, with_spans
 WINDOW = 50
 
 
-def _common(s, pw, a, b, most):
+def _grams(byte, s, most):
+    """{length: a number of the string of that length at each place}: hashes; up to eight bytes, the bytes themselves.
+
+    Lengths are ``most`` and the powers of two under it; at the end of the bytes the numbers mean nothing.
+    """
+    _, inv = K.powers(len(s))
+    padded = np.append(byte, np.zeros(8, np.uint8))
+    out, step = {}, 1
+    while step < most:
+        out[step] = np.ndarray(len(byte), f"<u{step}", padded, strides=(1,)) if step <= 8 else None
+        step *= 2
+    for e in [most, *(e for e, x in out.items() if x is None)]:
+        n = max(len(byte) - e + 1, 0)
+        h = np.zeros(len(byte), np.uint64)
+        np.subtract(s[e: e + n], s[:n], out=h[:n])
+        h *= inv[: len(h)]
+        out[e] = h
+    return out
+
+
+def _common(grams, a, b, most):
     """Length of the common start of the suffixes a and b, up to ``most`` bytes, by hashes."""
-    got = np.zeros(len(a), np.int64)
-    step = 1 << (most.bit_length() - 1)
+    whole = grams[most]
+    got = np.full(len(a), most)
+    i = np.flatnonzero(whole[a] != whole[b])
+    x, y, n = a[i], b[i], np.zeros(len(i), np.int64)
+    step = 1 << ((most - 1).bit_length() - 1) if most > 1 else 0
     while step:
-        m = got + step
-        i = np.flatnonzero(m <= most)
-        x, y, e = a[i], b[i], m[i]
-        same = (s[x + e] - s[x]) * pw[y] == (s[y + e] - s[y]) * pw[x]
-        got[i[same]] = e[same]
+        h = grams[step]
+        # what lies beyond the string isn't part of it (and a longer common start would have made it whole)
+        same = (n + step < most) & (h[x + n] == h[y + n])
+        n += same * step
         step >>= 1
+    got[i] = n
     return got
 
 
-def _less(byte, s, pw, a, b, most, equal_too):
-    """Whether suffix a sorts before suffix b (or is equal, if ``equal_too``)."""
-    n = _common(s, pw, a, b, most)
+def _less(byte, grams, a, b, most, equal_too):
+    """Whether suffix a sorts before suffix b (or is equal, where ``equal_too``)."""
+    n = _common(grams, a, b, most)
     full = n == most
     n = np.minimum(n, most - 1)
     return np.where(full, equal_too, byte[a + n] < byte[b + n])
 
 
-def _merge_sort(byte, s, pos, group_start, group_end, most):
+def _merge_sort(byte, grams, pos, group_start, group_end, most):
     """Sorts pos within each group (given per element by its bounds); all merges of a pass run in step."""
-    pw, _ = K.powers(len(s))
     n = len(pos)
     at = np.arange(n)
     local = at - group_start
@@ -69,10 +91,7 @@ def _merge_sort(byte, s, pos, group_start, group_end, most):
         while len(act):
             mid = (lo[act] + hi[act]) >> 1
             # elements of the right run go before this one if less; those of the left run if less or equal
-            before = np.empty(len(act), bool)
-            for side in (False, True):
-                i = np.flatnonzero(left[act] != side)
-                before[i] = _less(byte, s, pw, pos[mid[i]], pos[act[i]], most, side)
+            before = _less(byte, grams, pos[mid], pos[act], most, ~left[act])
             lo[act] = np.where(before, mid + 1, lo[act])
             hi[act] = np.where(before, hi[act], mid)
             act = act[lo[act] < hi[act]]
@@ -89,9 +108,12 @@ def _label_bytes(window: int):
         pos = K.ranges(at, size)
         _, group = np.unique(key, return_inverse=True)
         group = np.repeat(group, size).astype(np.uint64)
-        lead = np.zeros(len(pos), np.uint64)
-        for i in range(min(8, window)):
-            lead = (lead << np.uint64(8)) | byte[pos + i]
+        if window >= 8:
+            lead = np.ndarray(len(byte), ">u8", np.append(byte, np.zeros(8, np.uint8)), strides=(1,))[pos].astype(np.uint64)
+        else:
+            lead = np.zeros(len(pos), np.uint64)
+            for i in range(window):
+                lead = (lead << np.uint64(8)) | byte[pos + i]
         o = np.lexsort((lead, group))
         p, g, l = pos[o], group[o], lead[o]
         new = np.append(True, (g[1:] != g[:-1]) | (l[1:] != l[:-1]))
@@ -102,13 +124,13 @@ def _label_bytes(window: int):
         # only suffixes with company are merged; their bounds are renumbered
         idx = np.flatnonzero(many)
         shift = np.cumsum(~many) if len(many) else many
-        q = _merge_sort(byte, s, p[idx], start[idx] - shift[idx], end[idx] - shift[idx], window)
+        grams = _grams(byte, s, window)
+        q = _merge_sort(byte, grams, p[idx], start[idx] - shift[idx], end[idx] - shift[idx], window)
         p = p.copy()
         p[idx] = q
-        pw, _ = K.powers(len(s))
         near = np.flatnonzero(~new)                       # has a neighbour before it in its group
         a, b = p[near - 1], p[near]
-        alike = (s[a + window] - s[a]) * pw[b] == (s[b + window] - s[b]) * pw[a]
+        alike = grams[window][a] == grams[window][b]
         if not equal_bytes(byte, a[alike], b[alike], np.full(int(alike.sum()), window)).all():
             own: dict[bytes, int] = {}                    # a collision: tell the strings apart by their bytes
             return np.array([own.setdefault(byte[i: i + window].tobytes(), len(own)) for i in pos], np.int64)
@@ -122,29 +144,31 @@ def _label_bytes(window: int):
     return solve
 
 
-def _cut(raw: bytes, blobs) -> tuple[bytes, np.ndarray, np.ndarray]:
-    a, e = spans_of(blobs)
-    if not len(a):
-        return raw, a, e
+def _cut(raw: bytes, blob: bytes) -> bytes:
+    a, e = spans_of(blob)
     edge = np.concatenate([[0], np.ravel(np.column_stack([a, e])), [len(raw)]])
-    return b"".join(raw[i:j] for i, j in edge.reshape(-1, 2).tolist()), a, e
-
-
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return b"".join(raw[i:j] for i, j in edge.reshape(-1, 2).tolist())
 
 
 def _results(batches):
     """(id, text, spans) -> (id, n_bytes, kept, spans)."""
     for batch in batches:
-        size, kept, spans = [], [], []
-        for x, b in zip(batch.column(1), batch.column(2)):
-            raw = (x.as_py() or "").encode()
-            left, a, e = _cut(raw, b.as_py())
-            size.append(len(raw))
-            kept.append(left)
-            spans.append([{"start": i, "end": j} for i, j in zip(a.tolist(), e.tolist())])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()),
-                                          pa.array(spans, _SPAN)], ["doc_id", "n_bytes", "kept", "spans"])
+        for part in K.slices(batch, batch.schema.names[1]):
+            buf, off = K.utf8(part.column(1))
+            blobs, edge = K.utf8(part.column(2))
+            a, e = spans_of(blobs.tobytes())
+            n = np.diff(edge) // 8                        # spans of each row
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.zeros(len(buf) + 1, np.int8)
+            np.add.at(step, off[row] + a, 1)
+            np.add.at(step, off[row] + e, -1)
+            left = buf[np.cumsum(step[:-1], dtype=np.int8) == 0]
+            size = np.diff(off)
+            kept = np.append(0, np.cumsum(size - np.bincount(row, e - a, len(n)).astype(np.int64)))
+            spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(a), pa.array(e)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.Array.from_buffers(pa.binary(), len(n), [
+                None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(left)]), spans], ["doc_id", "n_bytes", "kept", "spans"])
 
 
 def _replaced(text: int):
@@ -153,9 +177,9 @@ def _replaced(text: int):
         for batch in batches:
             new, gone = [], []
             for x, b in zip(batch.column(text), batch.column(batch.num_columns - 1)):
-                blobs = b.as_py()
-                if blobs:
-                    new.append(_cut(x.as_py().encode(), blobs)[0].decode(errors="ignore"))
+                blob = b.as_py()
+                if blob:
+                    new.append(_cut(x.as_py().encode(), blob).decode(errors="ignore"))
                     gone.append(not new[-1])
                 else:
                     new.append(x.as_py())

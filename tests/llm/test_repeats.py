@@ -141,3 +141,79 @@ def test_a_bucket_of_64_mb_is_solved_in_bounded_memory(kind):
     out = subprocess.run([sys.executable, "-c", BUCKET, kind], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=600)
     rows, peak = map(int, out.stdout.split()[-2:])
     assert rows > 0 and peak < 700, (rows, peak, out.stderr[-500:])
+
+
+@pytest.mark.parametrize("window", [5, 8, 9, 17, 50])
+def test_labels_of_byte_windows(window):
+    import numpy as np
+
+    from lexiflow.llm import kernels as K
+    from lexiflow.llm.suffix_repeats import _label_bytes
+    r = random.Random(window)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(window, window + 12))) for _ in range(60)] + [b"a" * (window + 40), b"ab" * window]
+    texts += [t[:window - 1] + b"c" + t[:window] for t in texts[:20]] + [b"z" * window] * 3
+    ln = np.array([len(t) for t in texts])
+    byte, at, size = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(ln) - ln, ln - window + 1
+    for key in (np.zeros(len(texts), np.uint32), np.array([len(t) % 3 for t in texts], np.uint32)):
+        with np.errstate(over="ignore"):
+            got = _label_bytes(window)(byte, K.prefix_hash(byte), at, ln, size, key)
+        want: dict = {}
+        strings = [(k, t[i: i + window]) for k, t in zip(key.tolist(), texts) for i in range(len(t) - window + 1)]
+        for label, x in zip(got.tolist(), strings, strict=True):
+            assert want.setdefault(x, label) == label
+        assert len(set(want.values())) == len(want)
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_records_follow_the_rows_not_the_buckets(kind):
+    import numpy as np
+    import pyarrow as pa
+
+    from lexiflow.llm import repeats, suffix_repeats, word_repeats
+    unit = (suffix_repeats if kind == "bytes" else word_repeats).unit(chunk=1)
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["ab", "cde", "fgh", "ij", "klm"]) + str(r.randint(0, 99)) for _ in range(400)) for _ in range(10)]
+    n = 40
+    docs = pa.RecordBatch.from_pydict({repeats.ID: np.arange(n), repeats.TH: np.zeros(n, np.int64), "t": [texts[i % 10] + f" {i}" for i in range(n)]})
+    blobs = pa.Table.from_batches(repeats._entries(unit, 256)(docs.slice(i, 1) for i in range(n))).sort_by([("known", "ascending"), ("b", "ascending")])
+    records = sum(x.num_rows for x in repeats._shared(2000, 4)(iter(blobs.to_batches())))
+    assert 0 < records <= 2 * n     # with a record of each row in each bucket: more than a thousand
+
+
+def _fragments_of(repeats, unit, texts):
+    """What the fragments of ``texts`` are sent as, if all their minimisers are shared and hot."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexiflow.llm import kernels as K
+    runs = [repeats._find_runs(unit, *K.utf8(pa.array([t]))) for t in texts]
+    starts = [x[1].astype(np.uint32).tobytes() for x in runs]
+
+    class hot:
+        value = np.unique(np.concatenate([x[3] for x in runs]) >> np.uint64(32))
+
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts), pa.array(starts, pa.binary())],
+                                      [repeats.ID, repeats.TH, "t", "__lf_r"])
+    blobs = [p for b in repeats._fragments(unit, 7, hot, "t")(iter([docs])) for k, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if not k]
+    return [repeats.unpack(p, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint8) for p in blobs]
+
+
+def test_hot_minimisers_are_dealt_by_more_than_windows():
+    import numpy as np
+
+    from lexiflow.llm import kernels as K
+    from lexiflow.llm import repeats, suffix_repeats
+    r = random.Random(4)
+    got = _fragments_of(repeats, suffix_repeats.unit(), ["".join(r.choice("abcdefgh ") for _ in range(4000))])
+    covered = np.sort(np.concatenate([K.ranges(x[3].astype(np.int64), x[4].astype(np.int64)) for x in got]))
+    assert covered.tolist() == list(range(4000 - 49))              # every window once
+    assert sum(len(x[6]) for x in got) < 20 * 4000                  # of single windows: 50 bytes each
+
+
+def test_hot_words_meet_whatever_stands_between_them():
+    from lexiflow.llm import repeats, word_repeats
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    got = _fragments_of(repeats, word_repeats.unit(), [" ".join(words), "\n".join(words)])
+    keys = [{(int(k), int(a), int(n)) for x in got for k, i, a, n in zip(x[0], x[1], x[3], x[4]) if i == row} for row in (0, 1)]
+    assert len(keys[0]) > 20 and keys[0] == keys[1]
